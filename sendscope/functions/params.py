@@ -14,14 +14,39 @@ from pyspark.sql.types import StructType
 DEFAULT_MAX_PARAM_ROWS = 10_000
 
 
+_KNOWN_ROWS = "_sendscope_known_rows"
+_LOCAL_ROWS = "_sendscope_local_rows"
+
+
 def bounded_rows(df: DataFrame, max_rows: int = DEFAULT_MAX_PARAM_ROWS) -> list[Row] | None:
     """Rows of ``df`` if it holds at most ``max_rows`` rows, else None."""
     rows = df.limit(max_rows + 1).collect()
     return rows if len(rows) <= max_rows else None
 
 
+def is_bounded(df: DataFrame, max_rows: int = DEFAULT_MAX_PARAM_ROWS) -> bool:
+    """True when ``df`` provably holds at most ``max_rows`` rows.
+
+    Tables built by :func:`param_frame` carry their row count; others are
+    checked with one ``limit(max_rows + 1)`` job.
+    """
+    known = getattr(df, _KNOWN_ROWS, None)
+    if known is not None:
+        return known <= max_rows
+    return df.select().limit(max_rows + 1).count() <= max_rows
+
+
 def param_frame(spark: SparkSession, rows, schema: StructType) -> DataFrame:
     """A parameter table from Python rows (or pass a DataFrame through)."""
     if isinstance(rows, DataFrame):
         return rows
-    return spark.createDataFrame(list(rows), schema)
+    rows = list(rows)
+    df = spark.createDataFrame(rows, schema)
+    setattr(df, _KNOWN_ROWS, len(rows))
+    setattr(df, _LOCAL_ROWS, [Row(**dict(zip(schema.names, r))) for r in rows])
+    return df
+
+
+def local_rows(df: DataFrame) -> list[Row] | None:
+    """The driver-side rows a parameter table was built from, if any."""
+    return getattr(df, _LOCAL_ROWS, None)

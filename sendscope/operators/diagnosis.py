@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.params import DEFAULT_MAX_PARAM_ROWS, bounded_rows
+from ..functions.params import DEFAULT_MAX_PARAM_ROWS, is_bounded, local_rows
 from .payload import cta_log_evidence
 from .templates import distinct_templates, template_candidates
 
@@ -21,7 +21,7 @@ HYPOTHESES = ["wrong_name", "not_registered", "payload_error", "api_failure_poss
 
 def campaign_diagnosis(expected: DataFrame, camp: DataFrame, conv: DataFrame, logs: DataFrame,
                        max_distance: int = 4, max_rows: int = DEFAULT_MAX_PARAM_ROWS) -> DataFrame:
-    if bounded_rows(expected.select(F.lit(1)), max_rows) is None:
+    if not is_bounded(expected, max_rows):
         raise ValueError(f"expected campaigns exceed {max_rows} rows")
     exp = F.broadcast(expected.select("campaign", "template", "cta", "dispatch_date", "send_type"))
 
@@ -35,7 +35,9 @@ def campaign_diagnosis(expected: DataFrame, camp: DataFrame, conv: DataFrame, lo
         F.min_by(F.col("similar_template"), F.struct("distance", "similar_template")).alias("best_similar"),
         F.min("distance").alias("best_distance"))
 
-    evidence = cta_log_evidence(expected.select("cta"), logs).select("cta", "n_log_hits", "n_error_hits")
+    given = local_rows(expected)
+    ctas = [r.cta for r in given] if given is not None else expected.select("cta")
+    evidence = cta_log_evidence(ctas, logs, max_rows=max_rows).select("cta", "n_log_hits", "n_error_hits")
 
     day = F.to_date("publish_time")
     conv_days = (conv.join(exp.select(F.col("dispatch_date")).distinct(),

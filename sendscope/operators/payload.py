@@ -52,14 +52,14 @@ def cta_list(ctas: Iterable[str] | DataFrame, col: str = "cta",
 
 
 def cta_log_evidence(ctas: Iterable[str] | DataFrame, logs: DataFrame,
-                     message_col: str = "message") -> DataFrame:
+                     message_col: str = "message", max_rows: int = DEFAULT_MAX_PARAM_ROWS) -> DataFrame:
     """Per CTA, log lines containing it (exact, case-sensitive substring),
     how many of them are deserialisation errors, and when it was first seen.
 
     One scan of the logs evaluates every CTA as a literal ``contains``; CTAs
     without evidence are reported with zeros.
     """
-    names = cta_list(ctas)
+    names = cta_list(ctas, max_rows=max_rows)
     spark = logs.sparkSession
     if not names:
         return spark.createDataFrame([], "cta string, n_log_hits long, n_error_hits long, first_seen timestamp_ntz")

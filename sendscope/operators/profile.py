@@ -34,21 +34,24 @@ def profile_table(df: DataFrame, table_name: str) -> DataFrame:
 def column_stats(df: DataFrame, exact: bool = True) -> DataFrame:
     """One row per column: ordinal, name, type, n_rows, non_null, n_distinct, varies.
 
-    ``varies`` is the constant-column test (P8) without any distinct count:
-    a column varies iff ``min <> max`` or it is partly null. ``n_distinct``
-    ignores nulls like ``nunique()``; ``exact=False`` uses HyperLogLog sketches
-    (one pass, no Expand) for very wide tables at scale.
+    ``n_distinct`` ignores nulls like ``nunique()``. A column varies iff it has
+    two distinct values, or one value and some nulls (null counts as a value).
+    Exact mode uses ``count(distinct)`` only — string min/max next to distinct
+    aggregates would force a slow sort-based aggregate. ``exact=False`` uses
+    HyperLogLog sketches (one pass, no Expand) for very wide tables at scale,
+    and then decides "varies" from min/max so the verdict stays exact.
     """
     names = df.columns
-    distinct = F.count_distinct if exact else F.approx_count_distinct
     aggs = [F.count(F.lit(1)).alias("_n")]
     for i, name in enumerate(names):
         c = _comparable(df, name)
-        aggs.append(F.struct(
-            F.count(c).alias("non_null"),
-            distinct(c).alias("n_distinct"),
-            F.coalesce(F.min(c) != F.max(c), F.lit(False)).alias("min_ne_max"),
-        ).alias(f"_c{i}"))
+        fields = [F.count(c).alias("non_null")]
+        if exact:
+            fields.append(F.count_distinct(c).alias("n_distinct"))
+        else:
+            fields += [F.approx_count_distinct(c).alias("n_distinct"),
+                       F.coalesce(F.min(c) != F.max(c), F.lit(False)).alias("min_ne_max")]
+        aggs.append(F.struct(*fields).alias(f"_c{i}"))
     stats = df.agg(*aggs)
     per_col = F.array(*[
         F.struct(
@@ -57,12 +60,12 @@ def column_stats(df: DataFrame, exact: bool = True) -> DataFrame:
             F.lit(df.schema[name].dataType.simpleString()).alias("data_type"),
             F.col(f"_c{i}.non_null").alias("non_null"),
             F.col(f"_c{i}.n_distinct").cast("long").alias("n_distinct"),
-            F.col(f"_c{i}.min_ne_max").alias("min_ne_max"),
+            (F.col(f"_c{i}.n_distinct") > 1 if exact else F.col(f"_c{i}.min_ne_max")).alias("multi"),
         ) for i, name in enumerate(names)
     ])
     out = stats.select(F.col("_n").alias("n_rows"), F.explode(per_col).alias("s")).select("n_rows", "s.*")
     partly_null = (out.non_null > 0) & (out.non_null < out.n_rows)
-    return out.withColumn("varies", out.min_ne_max | partly_null).drop("min_ne_max")
+    return out.withColumn("varies", out.multi | partly_null).drop("multi")
 
 
 def profile_columns(df: DataFrame, table_name: str, exact: bool = True) -> DataFrame:

@@ -7,13 +7,13 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.params import DEFAULT_MAX_PARAM_ROWS, bounded_rows
+from ..functions.params import DEFAULT_MAX_PARAM_ROWS, is_bounded
 from .prepare import conversations_with_campaigns
 
 
-def _bounded(df: DataFrame, max_rows: int, what: str) -> DataFrame:
+def _bounded(df: DataFrame, max_rows: int, what: str, check: DataFrame | None = None) -> DataFrame:
     """Broadcast a parameter table only after proving it is small."""
-    if bounded_rows(df.select(F.lit(1)), max_rows) is None:
+    if not is_bounded(check if check is not None else df, max_rows):
         raise ValueError(f"{what} exceeds {max_rows} rows; it is meant as a small parameter table")
     return F.broadcast(df)
 
@@ -25,7 +25,7 @@ def distinct_templates(camp: DataFrame) -> DataFrame:
 def missing_templates(expected: DataFrame, camp: DataFrame,
                       max_rows: int = DEFAULT_MAX_PARAM_ROWS) -> DataFrame:
     """Reported campaigns whose template never appears in the campaign base."""
-    exp = _bounded(expected.select("campaign", "template"), max_rows, "expected campaigns")
+    exp = _bounded(expected.select("campaign", "template"), max_rows, "expected campaigns", expected)
     return exp.join(distinct_templates(camp), "template", "left_anti").select("campaign", "template")
 
 
@@ -43,7 +43,7 @@ def template_candidates(expected: DataFrame, camp: DataFrame, max_distance: int
         .where(F.col("expected_template").isNotNull())
     bands = exp.withColumn("_len", F.explode(F.sequence(F.length("expected_template") - k,
                                                         F.length("expected_template") + k)))
-    bands = _bounded(bands, max_rows * (2 * k + 1), "expected campaigns")
+    bands = _bounded(bands, max_rows, "expected campaigns", expected)
     base = distinct_templates(camp).withColumn("_len", F.length("template"))
     pairs = base.join(bands, "_len", "inner")
     d = F.levenshtein(F.col("template"), F.col("expected_template"), k)

@@ -15,7 +15,8 @@ from .. import schemas
 from ..functions.params import param_frame
 from ..operators import checks, diagnosis, payload, prepare, profile, search, sessions, templates
 from ..session import scratch_path
-from ..sources.adapter import load_tables, logs_from_events
+from ..sources.adapter import logs_from_events
+from ..sources.staging import staged_tables
 from ..streaming.alerts import run_error_rate_alerts
 from . import params as P
 
@@ -31,7 +32,7 @@ def register(name: str):
 
 
 def _t(spark: SparkSession, sf_dir: str):
-    t = load_tables(spark, sf_dir)
+    t = staged_tables(spark, sf_dir)
     return t["campaigns"], t["conversations"], t["logs"]
 
 
