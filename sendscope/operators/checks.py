@@ -82,8 +82,9 @@ def check_orphan_sessions(conv: DataFrame, camp: DataFrame, ctas: Iterable | Dat
     """Conversations of the day before ``as_of`` carrying a known CTA whose
     session has no campaign record, per CTA, above ``threshold`` messages.
 
-    * the day filter is a half-open range on the raw timestamp, so it prunes
-      date partitions / row groups;
+    * the day filter is a half-open range on the raw timestamp (row-group
+      skipping) plus, on a ``publish_date``-partitioned table, a partition
+      filter that skips every other day's files;
     * exact CTAs become one hash-set ``isin``; regex CTAs one ``rlike`` each;
     * conversations are pre-aggregated per (session, CTA) before the anti join
       and campaigns reduced to distinct sessions, so a hot session is one row
@@ -98,6 +99,8 @@ def check_orphan_sessions(conv: DataFrame, camp: DataFrame, ctas: Iterable | Dat
     ts = F.col("publish_time")
     day = conv.where((ts >= F.lit(dt.datetime.combine(day_start, dt.time()))) &
                      (ts < F.lit(dt.datetime.combine(day_end, dt.time()))))
+    if "publish_date" in conv.columns:  # date-partitioned table: prune directories
+        day = day.where(F.col("publish_date") == F.lit(day_start))
     labels = []
     if exact:
         labels.append(F.when(F.col("text").isin(exact), F.col("text")))

@@ -13,6 +13,12 @@ is cut into several contiguous slices, each handled by its own task:
    for a hot group — and prefix-sum those across slices of the group;
 4. join the offsets back on (slice, group); the key spreads a hot group over
    slices, so this join has no skew either.
+
+Steps 2 and 3 both read the slice-tagged rows. Range bounds are sampled per
+shuffle, so two independent range exchanges could cut the data differently;
+the tagged rows are therefore checkpointed once (reliable checkpoint in the
+shared ``spark.checkpoint.dir``) and both steps read that single copy. This
+also cuts the lineage: a lost executor recomputes from the checkpoint.
 """
 
 from __future__ import annotations
@@ -20,6 +26,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
+
 
 def sequence_within_groups(df: DataFrame, group_cols: list[str], order_cols: list[str],
                            seq_col: str = "seq", prev_prefix: str | None = "prev_",
@@ -32,7 +40,10 @@ def sequence_within_groups(df: DataFrame, group_cols: list[str], order_cols: lis
     spark = df.sparkSession
     n = num_slices or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = [F.col(c) for c in group_cols + order_cols]
-    sliced = df.repartitionByRange(n, *keys).withColumn("_slice", F.spark_partition_id())
+    ensure_checkpoint_dir(spark)
+    sliced = (df.repartitionByRange(n, *keys)
+                .withColumn("_slice", F.spark_partition_id())
+                .checkpoint(eager=True))
 
     local_w = Window.partitionBy("_slice", *group_cols).orderBy(*order_cols)
     order_struct = F.struct(*[F.col(c).alias(c) for c in [*order_cols, *carry_cols]])

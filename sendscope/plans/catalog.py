@@ -31,8 +31,8 @@ def register(name: str):
     return deco
 
 
-def _t(spark: SparkSession, sf_dir: str):
-    t = staged_tables(spark, sf_dir)
+def _t(spark: SparkSession, sf_dir: str, keep_date: bool = False):
+    t = staged_tables(spark, sf_dir, keep_date)
     return t["campaigns"], t["conversations"], t["logs"]
 
 
@@ -265,7 +265,7 @@ def check_version(spark, sf_dir):
 
 @register("check_orphan_sessions")
 def check_orphan_sessions(spark, sf_dir):
-    camp, conv, _ = _t(spark, sf_dir)
+    camp, conv, _ = _t(spark, sf_dir, keep_date=True)
     return checks.check_orphan_sessions(conv, camp, P.CTAS, P.AS_OF, P.ORPHAN_THRESHOLD)
 
 
@@ -276,9 +276,9 @@ def error_rate_hourly(spark, sf_dir):
 
 @register("alerts")
 def alerts(spark, sf_dir):
-    camp, conv, logs = _t(spark, sf_dir)
+    camp, conv, logs = _t(spark, sf_dir, keep_date=True)
     return checks.alerts(
-        template_date=checks.check_template_date(camp),
+        template_date=checks.check_template_date(camp.drop("publish_date")),
         version=checks.check_version(camp),
         orphans=checks.check_orphan_sessions(conv, camp, P.CTAS, P.AS_OF, P.ORPHAN_THRESHOLD),
         error_rate=checks.error_rate_hourly(logs, P.ERROR_RATE_THRESHOLD))

@@ -59,8 +59,12 @@ def _write(df: DataFrame, path: str, time_col: str, sort_cols: list[str]) -> Non
        .write.mode("overwrite").partitionBy("publish_date").parquet(path))
 
 
-def staged_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """campaigns / conversations / logs read from their staged Parquet copies."""
+def staged_tables(spark: SparkSession, sf_dir: str, keep_date: bool = False) -> dict[str, DataFrame]:
+    """campaigns / conversations / logs read from their staged Parquet copies.
+
+    ``keep_date=True`` keeps the ``publish_date`` partition column so date
+    filters on it prune whole directories.
+    """
     base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/sendscope/bases/{stage_key(spark, sf_dir)}"
     raw = None
     out = {}
@@ -70,8 +74,7 @@ def staged_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
             raw = raw or load_tables(spark, sf_dir)
             _write(raw[name], path, time_col, sort_cols)
         df = spark.read.parquet(path)
-        cols = [c for c in raw[name].columns] if raw else None
-        out[name] = df.select(*(cols or [c for c in df.columns if c != "publish_date"]))
+        out[name] = df if keep_date else df.drop("publish_date")
     return out
 
 
