@@ -40,19 +40,24 @@ def conversations_with_campaigns(camp: DataFrame, conv: DataFrame) -> DataFrame:
         "publish_time_conversa", "message_id_conversa")
 
 
-def latest_per_session(camp: DataFrame) -> DataFrame:
-    """The most recent record of each session (ties: highest message_id).
+def latest_per_key(df: DataFrame, key: str, order_cols: list[str]) -> DataFrame:
+    """The row with the greatest ``order_cols`` per ``key`` (order_cols should
+    end in a unique id so ties are broken deterministically).
 
-    ``max(struct(publish_time, message_id, ...))`` is an ordinary aggregate:
-    it combines map-side, so a hot session collapses to one row per task
-    before the shuffle — no window sort of the whole group.
+    ``max(struct(order..., rest...))`` is an ordinary aggregate: it combines
+    map-side, so a hot key collapses to one row per task before the shuffle —
+    no window sort of the whole group.
     """
-    rest = [c for c in camp.columns if c not in ("session_id", "publish_time", "message_id")]
-    best = F.max(F.struct("publish_time", "message_id", *rest)).alias("_best")
-    return (camp.groupBy("session_id").agg(best)
-                .select("session_id", *[F.col(f"_best.{c}").alias(c)
-                                        for c in ["message_id", *rest, "publish_time"]])
-                .select(*camp.columns))
+    rest = [c for c in df.columns if c != key and c not in order_cols]
+    best = F.max(F.struct(*order_cols, *rest)).alias("_best")
+    return (df.groupBy(key).agg(best)
+              .select(key, *[F.col(f"_best.{c}").alias(c) for c in [*order_cols, *rest]])
+              .select(*df.columns))
+
+
+def latest_per_session(camp: DataFrame) -> DataFrame:
+    """The most recent record of each session (ties: highest message_id)."""
+    return latest_per_key(camp, "session_id", ["publish_time", "message_id"])
 
 
 def conversation_sequence(conv: DataFrame) -> DataFrame:

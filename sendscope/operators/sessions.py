@@ -57,15 +57,17 @@ def _key_counts(df: DataFrame, key: str, name: str) -> DataFrame:
     return df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias(name))
 
 
-def join_fanout(left: DataFrame, right: DataFrame, key: str = "session_id") -> DataFrame:
+def join_fanout(left: DataFrame, right: DataFrame, key: str = "session_id",
+                right_key: str | None = None) -> DataFrame:
     """What an inner join on ``key`` would produce, without producing it.
 
     ``join_rows = Σ n_left·n_right`` over matching keys; ``nm_keys`` counts
     keys repeated on both sides (the N:M duplication the dashboard risks).
+    ``right_key`` names the key on the right when it differs.
     """
-    l = _key_counts(left, key, "n_left")
-    r = _key_counts(right, key, "n_right")
-    m = l.join(r, key, "inner")
+    l = _key_counts(left, key, "n_left").withColumnRenamed(key, "_k")
+    r = _key_counts(right, right_key or key, "n_right").withColumnRenamed(right_key or key, "_k")
+    m = l.join(r, "_k", "inner")
     return m.agg(
         F.count(F.lit(1)).alias("matching_keys"),
         F.coalesce(F.sum(F.col("n_left") * F.col("n_right")), F.lit(0)).cast("long").alias("join_rows"),

@@ -318,6 +318,49 @@ def campaign_diagnosis(spark, sf_dir):
 flagship = campaign_diagnosis
 
 
+# --- generic operators on the untouched driver tables -------------------------
+
+def _driver(spark, sf_dir, name):
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+@register("profile_columns_orders")
+def profile_columns_orders(spark, sf_dir):
+    return profile.profile_columns(_driver(spark, sf_dir, "orders"), "orders")
+
+
+@register("constant_columns_lineitem")
+def constant_columns_lineitem(spark, sf_dir):
+    return profile.constant_columns(_driver(spark, sf_dir, "lineitem"), "lineitem")
+
+
+@register("orders_per_customer")
+def orders_per_customer(spark, sf_dir):
+    return sessions.session_messages(_driver(spark, sf_dir, "orders"), key="o_custkey", item="o_orderkey")
+
+
+@register("user_duplicate_share_events")
+def user_duplicate_share_events(spark, sf_dir):
+    return sessions.session_duplicate_share(_driver(spark, sf_dir, "events"), key="user_id")
+
+
+@register("join_fanout_orders_lineitem")
+def join_fanout_orders_lineitem(spark, sf_dir):
+    return sessions.join_fanout(_driver(spark, sf_dir, "orders"), _driver(spark, sf_dir, "lineitem"),
+                                "o_orderkey", "l_orderkey")
+
+
+@register("latest_event_per_user")
+def latest_event_per_user(spark, sf_dir):
+    return prepare.latest_per_key(_driver(spark, sf_dir, "events"), "user_id", ["ts", "event_id"])
+
+
+@register("keyword_hits_documents")
+def keyword_hits_documents(spark, sf_dir):
+    return search.keyword_hits(_driver(spark, sf_dir, "documents"), P.DOCUMENT_KEYWORDS,
+                               keep_cols=["doc_id", "lang"])
+
+
 # --- streaming ---------------------------------------------------------------
 
 @register("stream_error_rate")

@@ -74,27 +74,27 @@ def _nunique_with_null(c: str) -> str:
     return f'COUNT(DISTINCT "{c}") + CASE WHEN COUNT("{c}") < COUNT(*) THEN 1 ELSE 0 END'
 
 
-def _profile_columns() -> str:
+def _profile_columns(table: str = "campaigns", view: str = "camp", cols=None, with_bases: bool = True) -> str:
     parts = []
-    for i, (c, t) in enumerate(CAMP_COLS):
+    for i, (c, t) in enumerate(cols or CAMP_COLS):
         parts.append(
-            f"SELECT 'campaigns' AS table_name, {i} AS ordinal, '{c}' AS column_name, '{t}' AS data_type, "
+            f"SELECT '{table}' AS table_name, {i} AS ordinal, '{c}' AS column_name, '{t}' AS data_type, "
             f'COUNT(*) AS n_rows, COUNT("{c}") AS non_null, COUNT(DISTINCT "{c}") AS n_distinct, '
             f"CASE WHEN COUNT(\"{c}\") = 0 THEN 'all_null' WHEN {_nunique_with_null(c)} <= 1 THEN 'constant' "
-            f"ELSE 'varying' END AS verdict FROM camp")
-    return _with() + "\nUNION ALL\n".join(parts)
+            f"ELSE 'varying' END AS verdict FROM {view}")
+    return (_with() if with_bases else "") + "\nUNION ALL\n".join(parts)
 
 
-def _constant_columns() -> str:
+def _constant_columns(tables=None, with_bases: bool = True) -> str:
     parts = []
-    for table, view, cols in [("campaigns", "camp", [c for c, _ in CAMP_COLS]),
-                              ("conversations", "conv", CONV_COLS), ("logs", "logs", LOG_COLS)]:
+    for table, view, cols in tables or [("campaigns", "camp", [c for c, _ in CAMP_COLS]),
+                                        ("conversations", "conv", CONV_COLS), ("logs", "logs", LOG_COLS)]:
         for i, c in enumerate(cols):
             parts.append(
                 f"SELECT '{table}' AS table_name, {i} AS ordinal, '{c}' AS column_name, "
                 f"CASE WHEN COUNT(\"{c}\") = 0 THEN 'all_null' ELSE 'single_value' END AS reason "
                 f"FROM {view} HAVING {_nunique_with_null(c)} <= 1")
-    return _with() + "\nUNION ALL\n".join(parts)
+    return (_with() if with_bases else "") + "\nUNION ALL\n".join(parts)
 
 
 def _keyword_union(cols: str) -> str:
@@ -354,3 +354,38 @@ SELECT window_start, window_start + INTERVAL 1 HOUR AS window_end, n_errors FROM
 WHERE window_start + INTERVAL 1 HOUR <= (SELECT MAX("timestamp") FROM err) - INTERVAL 10 MINUTE
   AND n_errors > {P.ERROR_RATE_THRESHOLD}""",
 }
+
+ORDERS_COLS = [("o_orderkey", "bigint"), ("o_custkey", "bigint"), ("o_orderstatus", "string"),
+               ("o_totalprice", "double"), ("o_orderdate", "timestamp_ntz"), ("o_orderpriority", "string")]
+LINEITEM_COLS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
+                 "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
+
+ORACLE_SQL.update({
+    "profile_columns_orders": _profile_columns("orders", "orders", ORDERS_COLS, with_bases=False),
+    "constant_columns_lineitem": _constant_columns([("lineitem", "lineitem", LINEITEM_COLS)], with_bases=False),
+    "orders_per_customer": """
+SELECT o_custkey, COUNT(DISTINCT o_orderkey) AS n_messages FROM orders GROUP BY o_custkey
+HAVING COUNT(DISTINCT o_orderkey) > 1""",
+    "user_duplicate_share_events": """
+WITH total AS (SELECT COUNT(DISTINCT user_id) AS n_sessions FROM events),
+dup AS (SELECT COUNT(DISTINCT user_id) AS n_duplicated
+        FROM (SELECT user_id FROM events GROUP BY user_id HAVING COUNT(*) > 1) d)
+SELECT dup.n_duplicated, total.n_sessions,
+       CAST(ROUND(dup.n_duplicated * 100.0 / NULLIF(total.n_sessions, 0), 2) AS DOUBLE) AS pct_duplicated
+FROM total, dup""",
+    "join_fanout_orders_lineitem": """
+WITH l AS (SELECT o_orderkey AS k, COUNT(*) AS n_left FROM orders WHERE o_orderkey IS NOT NULL GROUP BY 1),
+r AS (SELECT l_orderkey AS k, COUNT(*) AS n_right FROM lineitem WHERE l_orderkey IS NOT NULL GROUP BY 1)
+SELECT COUNT(*) AS matching_keys,
+       (SELECT COUNT(*) FROM orders JOIN lineitem ON l_orderkey = o_orderkey) AS join_rows,
+       COUNT(*) FILTER (WHERE n_left > 1 AND n_right > 1) AS nm_keys,
+       COUNT(*) FILTER (WHERE n_left > 1) AS left_dup_keys,
+       COUNT(*) FILTER (WHERE n_right > 1) AS right_dup_keys
+FROM l JOIN r ON l.k = r.k""",
+    "latest_event_per_user": """
+SELECT * FROM events
+QUALIFY ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1""",
+    "keyword_hits_documents": "\nUNION ALL\n".join(
+        f"SELECT doc_id, lang, {_q(n)} AS keyword FROM documents WHERE regexp_matches(text, {_q(p)})"
+        for n, p in P.DOCUMENT_KEYWORDS),
+})

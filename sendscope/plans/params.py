@@ -28,3 +28,10 @@ TOP_SIMILAR = 3
 LOGS_SAMPLE_ROWS = 100
 TOP_SESSIONS = 5
 JOIN_KEYS = ["message_id", "session_id"]
+
+# Generic operators over the untouched driver tables.
+DOCUMENT_KEYWORDS = [
+    ("license", r"(?i)licen[cs]e"),
+    ("the_of", r"(?i)the\s+of"),
+    ("four_digits", r"[0-9]{4}"),
+]
