@@ -108,8 +108,8 @@ def check_orphan_sessions(conv: DataFrame, camp: DataFrame, ctas: Iterable | Dat
     if not labels:
         return conv.sparkSession.createDataFrame(
             [], "cta string, orphan_messages long, orphan_sessions long, first_seen timestamp_ntz")
-    tagged = day.select("session_id", "publish_time",
-                        F.explode(F.array_compact(F.array(*labels))).alias("cta"))
+    tagged = (day.select("session_id", "publish_time", F.explode(F.array(*labels)).alias("cta"))
+                 .where(F.col("cta").isNotNull()))
     per_session = tagged.groupBy("session_id", "cta").agg(
         F.count(F.lit(1)).alias("n"), F.min("publish_time").alias("first_seen"))
     known = camp.select("session_id").distinct()

@@ -64,9 +64,10 @@ def cta_log_evidence(ctas: Iterable[str] | DataFrame, logs: DataFrame,
     if not names:
         return spark.createDataFrame([], "cta string, n_log_hits long, n_error_hits long, first_seen timestamp_ntz")
     msg = F.col(message_col)
-    hit = F.array_compact(F.array(*[F.when(msg.contains(F.lit(c)), F.lit(c)) for c in names]))
-    hits = logs.select("timestamp", is_deserialization_error(message_col).alias("_err"),
-                       F.explode(hit).alias("cta"))
+    hit = F.array(*[F.when(msg.contains(F.lit(c)), F.lit(c)) for c in names])
+    hits = (logs.select("timestamp", is_deserialization_error(message_col).alias("_err"),
+                        F.explode(hit).alias("cta"))
+                .where(F.col("cta").isNotNull()))
     agg = hits.groupBy("cta").agg(F.count(F.lit(1)).alias("n_log_hits"),
                                  F.count_if("_err").alias("n_error_hits"),
                                  F.min("timestamp").alias("first_seen"))

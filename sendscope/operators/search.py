@@ -60,8 +60,10 @@ def keyword_hits(df: DataFrame, keywords: Keywords, text_col: str = "text",
     """one scan for all patterns; one output row per (row, matching keyword)."""
     kws = keyword_list(keywords)
     keep = keep_cols if keep_cols is not None else [c for c in df.columns if c != text_col]
-    hit_names = F.array_compact(F.array(*[F.when(matches(text_col, p), F.lit(n)) for n, p in kws]))
-    return df.select(*keep, F.explode(hit_names).alias("keyword"))
+    # explode + not-null filter stays in whole-stage codegen (array_compact
+    # is a lambda function evaluated outside it).
+    hit_names = F.array(*[F.when(matches(text_col, p), F.lit(n)) for n, p in kws])
+    return df.select(*keep, F.explode(hit_names).alias("keyword")).where(F.col("keyword").isNotNull())
 
 
 def keyword_linkage(conv: DataFrame, camp: DataFrame, keywords: Keywords) -> DataFrame:

@@ -15,21 +15,29 @@ inputs are re-staged. A stage is complete only when every table has its
 from __future__ import annotations
 
 import hashlib
-import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pyspark.sql.types import DateType, StructField, StructType
+
+from .. import schemas
 from ..session import ensure_checkpoint_dir
 from .adapter import load_tables
 
-STAGE_VERSION = "1"
+STAGE_VERSION = "2"
 _LAYOUT = {
     "campaigns": ("publish_time", ["session_id", "publish_time", "message_id"]),
     "conversations": ("publish_time", ["session_id", "publish_time", "message_id"]),
     "logs": ("timestamp", ["timestamp", "insertId"]),
 }
 _INPUTS = ["events", "conversations"]
+_SCHEMAS = {
+    name: StructType([StructField(f.name, f.dataType, True) for f in schema.fields]
+                     + [StructField("publish_date", DateType(), True)])
+    for name, schema in (("campaigns", schemas.CAMPAIGNS), ("conversations", schemas.CONVERSATIONS),
+                         ("logs", schemas.LOGS))
+}
 
 
 def _fs_info(spark: SparkSession, path: str) -> str:
@@ -52,34 +60,38 @@ def stage_key(spark: SparkSession, sf_dir: str) -> str:
 
 
 def _write(df: DataFrame, path: str, time_col: str, sort_cols: list[str]) -> None:
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # No explicit partition count: AQE sizes the range partitions from the
+    # data, so small inputs do not turn into hundreds of tiny files.
     (df.withColumn("publish_date", F.to_date(F.col(time_col)))
-       .repartitionByRange(n, "publish_date", *sort_cols)
+       .repartitionByRange("publish_date", *sort_cols)
        .sortWithinPartitions("publish_date", *sort_cols)
        .write.mode("overwrite").partitionBy("publish_date").parquet(path))
 
 
+# Read DataFrames per (application, stage key): the staged files are immutable,
+# so their file listing is done once per application.
+_READ_CACHE: dict[tuple[str, str], dict[str, DataFrame]] = {}
+
+
 def staged_tables(spark: SparkSession, sf_dir: str, keep_date: bool = False) -> dict[str, DataFrame]:
     """campaigns / conversations / logs read from their staged Parquet copies.
 
     ``keep_date=True`` keeps the ``publish_date`` partition column so date
     filters on it prune whole directories.
     """
-    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/sendscope/bases/{stage_key(spark, sf_dir)}"
-    raw = None
-    out = {}
-    for name, (time_col, sort_cols) in _LAYOUT.items():
-        path = f"{base}/{name}"
-        if not _exists(spark, f"{path}/_SUCCESS"):
-            raw = raw or load_tables(spark, sf_dir)
-            _write(raw[name], path, time_col, sort_cols)
-        df = spark.read.parquet(path)
-        out[name] = df if keep_date else df.drop("publish_date")
-    return out
-
-
-def local_path(path: str) -> str:
-    return path[len("file:"):] if path.startswith("file:") else path
-
+    key = stage_key(spark, sf_dir)
+    cache_key = (spark.sparkContext.applicationId, key)
+    tables = _READ_CACHE.get(cache_key)
+    if tables is None:
+        base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/sendscope/bases/{key}"
+        raw = None
+        tables = {}
+        for name, (time_col, sort_cols) in _LAYOUT.items():
+            path = f"{base}/{name}"
+            if not _exists(spark, f"{path}/_SUCCESS"):
+                raw = raw or load_tables(spark, sf_dir)
+                _write(raw[name], path, time_col, sort_cols)
+            tables[name] = spark.read.schema(_SCHEMAS[name]).parquet(path)
+        _READ_CACHE[cache_key] = tables
+    return {n: (df if keep_date else df.drop("publish_date")) for n, df in tables.items()}
 
-__all__ = ["staged_tables", "stage_key", "local_path", "os"]
