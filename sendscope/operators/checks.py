@@ -63,11 +63,12 @@ def check_version(camp: DataFrame, strict: bool = False) -> DataFrame:
                 .orderBy(F.col("first_dispatch").desc(), "template", F.col("version").asc_nulls_first()))
 
 
-def _cta_rules(ctas, max_rows: int) -> tuple[list[str], list[str]]:
+def _cta_rules(ctas, max_rows: int) -> tuple[list[str], list[str]] | None:
+    """(exact, regex) CTA literals, or None when the CTA table is too large."""
     if isinstance(ctas, DataFrame):
         rows = bounded_rows(ctas.select("cta", "match"), max_rows)
         if rows is None:
-            raise ValueError(f"CTA table exceeds {max_rows} rows")
+            return None
         pairs = [(r.cta, r.match) for r in rows]
     else:
         pairs = [(c, "exact") if isinstance(c, str) else tuple(c) for c in ctas]
@@ -93,7 +94,7 @@ def check_orphan_sessions(conv: DataFrame, camp: DataFrame, ctas: Iterable | Dat
     ``orphan_messages`` is the reference's COUNT(*) over conversation rows;
     ``orphan_sessions`` counts distinct sessions.
     """
-    exact, regex = _cta_rules(ctas, max_rows)
+    rules = _cta_rules(ctas, max_rows)
     day_end = _date(as_of)
     day_start = day_end - dt.timedelta(days=1)
     ts = F.col("publish_time")
@@ -101,15 +102,26 @@ def check_orphan_sessions(conv: DataFrame, camp: DataFrame, ctas: Iterable | Dat
                      (ts < F.lit(dt.datetime.combine(day_end, dt.time()))))
     if "publish_date" in conv.columns:  # date-partitioned table: prune directories
         day = day.where(F.col("publish_date") == F.lit(day_start))
-    labels = []
-    if exact:
-        labels.append(F.when(F.col("text").isin(exact), F.col("text")))
-    labels += [F.when(matches("text", p), F.lit(p)) for p in regex]
-    if not labels:
-        return conv.sparkSession.createDataFrame(
-            [], "cta string, orphan_messages long, orphan_sessions long, first_seen timestamp_ntz")
-    tagged = (day.select("session_id", "publish_time", F.explode(F.array(*labels)).alias("cta"))
-                 .where(F.col("cta").isNotNull()))
+    if rules is None:
+        # Large CTA table: exact CTAs by a shuffle equi-join on the text;
+        # regex CTAs cannot be keyed, so they must stay within the bound.
+        table = ctas.select("cta", "match")
+        if table.where(F.col("match") != "exact").limit(1).count():
+            raise ValueError(f"more than {max_rows} CTAs including regex ones; split the regex CTAs out")
+        exact_tbl = table.where(F.col("match") == "exact").select("cta").distinct()
+        tagged = day.select("session_id", "publish_time", "text") \
+            .join(exact_tbl, F.col("text") == F.col("cta"), "inner").drop("text")
+    else:
+        exact, regex = rules
+        labels = []
+        if exact:
+            labels.append(F.when(F.col("text").isin(exact), F.col("text")))
+        labels += [F.when(matches("text", p), F.lit(p)) for p in regex]
+        if not labels:
+            return conv.sparkSession.createDataFrame(
+                [], "cta string, orphan_messages long, orphan_sessions long, first_seen timestamp_ntz")
+        tagged = (day.select("session_id", "publish_time", F.explode(F.array(*labels)).alias("cta"))
+                     .where(F.col("cta").isNotNull()))
     per_session = tagged.groupBy("session_id", "cta").agg(
         F.count(F.lit(1)).alias("n"), F.min("publish_time").alias("first_seen"))
     known = camp.select("session_id").distinct()

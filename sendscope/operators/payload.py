@@ -42,36 +42,78 @@ def error_payloads(logs: DataFrame, message_col: str = "message") -> DataFrame:
 
 
 def cta_list(ctas: Iterable[str] | DataFrame, col: str = "cta",
-             max_rows: int = DEFAULT_MAX_PARAM_ROWS) -> list[str]:
+             max_rows: int = DEFAULT_MAX_PARAM_ROWS) -> list[str] | None:
+    """Distinct CTAs as literals, or None when a CTA table exceeds ``max_rows``."""
     if isinstance(ctas, DataFrame):
         rows = bounded_rows(ctas.select(col).where(F.col(col).isNotNull()).distinct(), max_rows)
-        if rows is None:
-            raise ValueError(f"CTA table exceeds {max_rows} rows; it is meant as a small parameter table")
-        return sorted(r[0] for r in rows)
+        return None if rows is None else sorted(r[0] for r in rows)
     return sorted({str(c) for c in ctas if c is not None})
 
 
+def contains_join(texts: DataFrame, patterns: DataFrame, text_col: str, pattern_col: str,
+                  q: int | None = None) -> DataFrame:
+    """Exact ``contains(text, pattern)`` pairs for a pattern table of any size.
+
+    Anchored q-gram equi-join instead of a nested-loop join: with every
+    pattern at least L_min long, q ≤ L_min and stride s = L_min − q + 1, an
+    occurrence of a pattern starting at i covers exactly one text position
+    p ∈ [i, i+s) that is a multiple of s, at offset o = p − i < s inside the
+    pattern. Texts are exploded into their q-grams at stride s, patterns into
+    their q-grams at offsets 0…s−1, and the two are equi-joined on the gram.
+    A candidate is kept only if its implied start is the *first* occurrence
+    (``instr``), so each (text row, pattern) pair survives exactly once — no
+    row ids, no distinct, no self-join. Output: the text rows plus
+    ``pattern_col``.
+    """
+    lmin = patterns.agg(F.min(F.length(pattern_col)).alias("m")).collect()[0].m
+    cols = texts.columns
+    if lmin is None:
+        return texts.withColumn(pattern_col, F.lit(None).cast("string")).where(F.lit(False))
+    qq = max(1, min(q or 4, lmin))
+    stride = lmin - qq + 1
+    txt = F.col(text_col)
+    grams = (texts.where(F.length(txt) >= qq)
+                  .select(*cols, F.explode(F.sequence(F.lit(0), F.length(txt) - qq, F.lit(stride))).alias("_p"))
+                  .withColumn("_g", F.substring(txt, F.col("_p") + 1, qq)))
+    pat = F.col(pattern_col)
+    anchors = (patterns.select(pat.alias("_pat")).where(F.col("_pat").isNotNull()).distinct()
+               .select("_pat", F.explode(F.sequence(F.lit(0), F.least(F.lit(stride - 1),
+                                                                      F.length("_pat") - qq))).alias("_o"))
+               .withColumn("_g", F.substring("_pat", F.col("_o") + 1, qq)))
+    cand = grams.join(anchors, "_g", "inner")
+    first = F.instr(txt, F.col("_pat")) == F.col("_p") - F.col("_o") + 1
+    return cand.where(first).select(*cols, F.col("_pat").alias(pattern_col))
+
+
 def cta_log_evidence(ctas: Iterable[str] | DataFrame, logs: DataFrame,
                      message_col: str = "message", max_rows: int = DEFAULT_MAX_PARAM_ROWS) -> DataFrame:
     """Per CTA, log lines containing it (exact, case-sensitive substring),
     how many of them are deserialisation errors, and when it was first seen.
 
-    One scan of the logs evaluates every CTA as a literal ``contains``; CTAs
-    without evidence are reported with zeros.
+    A CTA list within ``max_rows`` becomes literal ``contains`` tests in one
+    scan of the logs. A larger CTA table is matched with :func:`contains_join`
+    (exact, no broadcast, no nested loop). CTAs without evidence get zeros.
     """
     names = cta_list(ctas, max_rows=max_rows)
     spark = logs.sparkSession
-    if not names:
-        return spark.createDataFrame([], "cta string, n_log_hits long, n_error_hits long, first_seen timestamp_ntz")
     msg = F.col(message_col)
-    hit = F.array(*[F.when(msg.contains(F.lit(c)), F.lit(c)) for c in names])
-    hits = (logs.select("timestamp", is_deserialization_error(message_col).alias("_err"),
-                        F.explode(hit).alias("cta"))
-                .where(F.col("cta").isNotNull()))
+    if names is not None:
+        if not names:
+            return spark.createDataFrame(
+                [], "cta string, n_log_hits long, n_error_hits long, first_seen timestamp_ntz")
+        hit = F.array(*[F.when(msg.contains(F.lit(c)), F.lit(c)) for c in names])
+        hits = (logs.select("timestamp", is_deserialization_error(message_col).alias("_err"),
+                            F.explode(hit).alias("cta"))
+                    .where(F.col("cta").isNotNull()))
+        base = F.broadcast(spark.createDataFrame([(c,) for c in names], "cta string"))
+    else:
+        table = ctas.select(F.col("cta")).where(F.col("cta").isNotNull()).distinct()
+        hits = contains_join(logs.select("timestamp", message_col), table, message_col, "cta") \
+            .select("timestamp", is_deserialization_error(message_col).alias("_err"), "cta")
+        base = table
     agg = hits.groupBy("cta").agg(F.count(F.lit(1)).alias("n_log_hits"),
                                  F.count_if("_err").alias("n_error_hits"),
                                  F.min("timestamp").alias("first_seen"))
-    base = spark.createDataFrame([(c,) for c in names], "cta string")
-    return (F.broadcast(base).join(agg, "cta", "left")
-              .select("cta", F.coalesce("n_log_hits", F.lit(0)).alias("n_log_hits"),
-                      F.coalesce("n_error_hits", F.lit(0)).alias("n_error_hits"), "first_seen"))
+    return (base.join(agg, "cta", "left")
+                .select("cta", F.coalesce("n_log_hits", F.lit(0)).alias("n_log_hits"),
+                        F.coalesce("n_error_hits", F.lit(0)).alias("n_error_hits"), "first_seen"))

@@ -85,9 +85,15 @@ def test_error_rate_and_alerts(spark):
     assert al[0].severity == "critical" and al[0].n_rows == 3
 
 
-def test_cta_table_bound_is_enforced(spark):
-    conv = _conv(spark, [("o1", "x", "2024-03-20 10:00:00")])
+def test_large_cta_table_uses_equi_join(spark):
+    conv = _conv(spark, [("o1", "c1", "2024-03-20 10:00:00"), ("o2", "c1", "2024-03-20 11:00:00"),
+                         ("o3", "c4", "2024-03-20 10:00:00"), ("k1", "c2", "2024-03-20 10:00:00")])
     camp = spark.createDataFrame([("k1",)], "session_id string")
     ctas = spark.createDataFrame([(f"c{i}", "exact") for i in range(5)], "cta string, match string")
+    small = checks.check_orphan_sessions(conv, camp, ctas, "2024-03-21", 0)
+    large = checks.check_orphan_sessions(conv, camp, ctas, "2024-03-21", 0, max_rows=3)
+    assert sorted(small.collect()) == sorted(large.collect())
+    assert {r.cta: r.orphan_messages for r in large.collect()} == {"c1": 2, "c4": 1}
+    regex = spark.createDataFrame([(f"c{i}", "regex") for i in range(5)], "cta string, match string")
     with pytest.raises(ValueError):
-        checks.check_orphan_sessions(conv, camp, ctas, "2024-03-21", 0, max_rows=3)
+        checks.check_orphan_sessions(conv, camp, regex, "2024-03-21", 0, max_rows=3)

@@ -29,3 +29,21 @@ def test_error_payloads_and_cta_evidence(spark):
     ev = {r.cta: (r.n_log_hits, r.n_error_hits) for r in
           payload.cta_log_evidence(["Falar com a Lu", "Comprar Galaxy S26", "Nada"], logs).collect()}
     assert ev == {"Falar com a Lu": (2, 1), "Comprar Galaxy S26": (2, 2), "Nada": (0, 0)}
+
+
+def test_contains_join_matches_literal_path(spark):
+    import random
+    rnd = random.Random(3)
+    words = ["Buy now", "Talk to an agent", "Falar com a Lu", "ab", "abc", "xyz", "now Buy"]
+    msgs = [" ".join(rnd.choice(words) for _ in range(rnd.randint(0, 6))) for _ in range(300)]
+    msgs += ["Buy nowBuy now", "aaaaab", None, ""]
+    logs = _logs(spark, msgs)
+    ctas = spark.createDataFrame([(c,) for c in ["Buy now", "Talk to an agent", "ab", "Lu", "zz", "now Buy n"]],
+                                 "cta string")
+    literal = {r.cta: (r.n_log_hits, r.n_error_hits) for r in payload.cta_log_evidence(ctas, logs).collect()}
+    joined = {r.cta: (r.n_log_hits, r.n_error_hits)
+              for r in payload.cta_log_evidence(ctas, logs, max_rows=2).collect()}
+    assert literal == joined
+    brute = {c: sum(1 for m in msgs if m is not None and c in m)
+             for c in ["Buy now", "Talk to an agent", "ab", "Lu", "zz", "now Buy n"]}
+    assert {c: v[0] for c, v in joined.items()} == brute
