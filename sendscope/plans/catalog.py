@@ -14,10 +14,11 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..functions.params import param_frame
 from ..operators import checks, diagnosis, payload, prepare, profile, search, sessions, templates
-from ..session import scratch_path
-from ..sources.adapter import logs_from_events
+from ..session import prefer_rocksdb_state, scratch_path
+from ..sources.adapter import campaigns_from_events, logs_from_events
 from ..sources.staging import staged_tables
 from ..streaming.alerts import run_error_rate_alerts
+from ..streaming.dedup import dedup_redeliveries
 from . import params as P
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -363,17 +364,36 @@ def keyword_hits_documents(spark, sf_dir):
 
 # --- streaming ---------------------------------------------------------------
 
+def _event_stream(spark, sf_dir):
+    prefer_rocksdb_state(spark)
+    ref = spark.read.parquet(f"{sf_dir.rstrip('/')}/events.parquet")
+    return (spark.readStream.schema(ref.schema)
+            .option("pathGlobFilter", "events.parquet")
+            .option("maxFilesPerTrigger", 1)
+            .parquet(sf_dir))
+
+
 @register("stream_error_rate")
 def stream_error_rate(spark, sf_dir):
     """T1 end to end: the events file is replayed as a stream (availableNow),
     hourly error windows are appended to a Parquet alerts table in the shared
     checkpoint folder once closed, and the table is returned."""
-    ref = spark.read.parquet(f"{sf_dir.rstrip('/')}/events.parquet")
-    stream = (spark.readStream.schema(ref.schema)
-              .option("pathGlobFilter", "events.parquet")
-              .option("maxFilesPerTrigger", 1)
-              .parquet(sf_dir))
+    stream = _event_stream(spark, sf_dir)
     base = scratch_path(spark, "stream_error_rate")
     run_error_rate_alerts(logs_from_events(stream), P.ERROR_RATE_THRESHOLD,
                           sink_path=f"{base}/alerts", checkpoint=f"{base}/_checkpoint")
     return spark.read.parquet(f"{base}/alerts").select("window_start", "window_end", "n_errors")
+
+
+@register("stream_dedup_campaigns")
+def stream_dedup_campaigns(spark, sf_dir):
+    """T4 end to end: campaign dispatches replayed as a stream, re-deliveries of
+    a message_id within the watermark dropped, survivors appended to Parquet."""
+    base = scratch_path(spark, "stream_dedup_campaigns")
+    q = (dedup_redeliveries(campaigns_from_events(_event_stream(spark, sf_dir))).writeStream
+         .format("parquet").outputMode("append")
+         .option("path", f"{base}/out").option("checkpointLocation", f"{base}/_checkpoint")
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    cols = [f.name for f in schemas.CAMPAIGNS.fields]
+    return spark.read.parquet(f"{base}/out").select(*cols)

@@ -389,3 +389,6 @@ QUALIFY ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC)
         f"SELECT doc_id, lang, {_q(n)} AS keyword FROM documents WHERE regexp_matches(text, {_q(p)})"
         for n, p in P.DOCUMENT_KEYWORDS),
 })
+
+ORACLE_SQL["stream_dedup_campaigns"] = _with() + """
+SELECT * FROM camp QUALIFY ROW_NUMBER() OVER (PARTITION BY message_id ORDER BY publish_time) = 1"""

@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import SparkSession
 
+ROCKSDB_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+HDFS_PROVIDER = "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"
+
 # Settings the operators rely on. AQE re-plans joins from runtime sizes, splits
 # skewed shuffle partitions and coalesces small ones.
 DEFAULT_CONF = {
@@ -17,6 +20,10 @@ DEFAULT_CONF = {
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # checkpoint files of DataFrames that are no longer referenced are removed
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+    # streaming state (dedup keys, open windows) off-heap, spilling to local disk
+    "spark.sql.streaming.stateStore.providerClass": ROCKSDB_PROVIDER,
 }
 
 
@@ -57,3 +64,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint dir (stream checkpoints, tables)."""
     base = ensure_checkpoint_dir(spark)
     return f"{base.rstrip('/')}/sendscope/{name}-{uuid.uuid4().hex}"
+
+
+def prefer_rocksdb_state(spark: SparkSession) -> None:
+    """Use the RocksDB state store for new streaming queries when the session
+    still has the heap-based default (state for hot or long-lived keys must not
+    live on the JVM heap). A query restarted from an existing checkpoint keeps
+    the provider it was started with."""
+    if spark.conf.get("spark.sql.streaming.stateStore.providerClass", HDFS_PROVIDER) == HDFS_PROVIDER:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB_PROVIDER)
