@@ -21,9 +21,9 @@ HYPOTHESES = ["wrong_name", "not_registered", "payload_error", "api_failure_poss
 
 def campaign_diagnosis(expected: DataFrame, camp: DataFrame, conv: DataFrame, logs: DataFrame,
                        max_distance: int = 4, max_rows: int = DEFAULT_MAX_PARAM_ROWS) -> DataFrame:
-    if not is_bounded(expected, max_rows):
-        raise ValueError(f"expected campaigns exceed {max_rows} rows")
-    exp = F.broadcast(expected.select("campaign", "template", "cta", "dispatch_date", "send_type"))
+    small = is_bounded(expected, max_rows)
+    exp = expected.select("campaign", "template", "cta", "dispatch_date", "send_type")
+    exp = F.broadcast(exp) if small else exp
 
     exists = (distinct_templates(camp)
               .join(exp.select("template").distinct(), "template", "left_semi")
@@ -46,7 +46,7 @@ def campaign_diagnosis(expected: DataFrame, camp: DataFrame, conv: DataFrame, lo
 
     d = (exp.join(exists, "template", "left")
             .join(similar, "campaign", "left")
-            .join(F.broadcast(evidence), "cta", "left")
+            .join(F.broadcast(evidence) if small else evidence, "cta", "left")
             .join(conv_days, "dispatch_date", "left")
             .select("campaign", "template", "cta", "dispatch_date", "send_type",
                     F.coalesce("template_exists", F.lit(False)).alias("template_exists"),

@@ -11,11 +11,9 @@ from ..functions.params import DEFAULT_MAX_PARAM_ROWS, is_bounded
 from .prepare import conversations_with_campaigns
 
 
-def _bounded(df: DataFrame, max_rows: int, what: str, check: DataFrame | None = None) -> DataFrame:
-    """Broadcast a parameter table only after proving it is small."""
-    if not is_bounded(check if check is not None else df, max_rows):
-        raise ValueError(f"{what} exceeds {max_rows} rows; it is meant as a small parameter table")
-    return F.broadcast(df)
+def _maybe_broadcast(df: DataFrame, bounded: bool) -> DataFrame:
+    """Broadcast hint only for a side whose size was proven small."""
+    return F.broadcast(df) if bounded else df
 
 
 def distinct_templates(camp: DataFrame) -> DataFrame:
@@ -25,7 +23,7 @@ def distinct_templates(camp: DataFrame) -> DataFrame:
 def missing_templates(expected: DataFrame, camp: DataFrame,
                       max_rows: int = DEFAULT_MAX_PARAM_ROWS) -> DataFrame:
     """Reported campaigns whose template never appears in the campaign base."""
-    exp = _bounded(expected.select("campaign", "template"), max_rows, "expected campaigns", expected)
+    exp = _maybe_broadcast(expected.select("campaign", "template"), is_bounded(expected, max_rows))
     return exp.join(distinct_templates(camp), "template", "left_anti").select("campaign", "template")
 
 
@@ -33,19 +31,23 @@ def template_candidates(expected: DataFrame, camp: DataFrame, max_distance: int
                         max_rows: int = DEFAULT_MAX_PARAM_ROWS) -> DataFrame:
     """All (expected, base template) pairs within ``max_distance`` edits, self excluded.
 
-    Edit distance ≤ k implies lengths differ by ≤ k, so each expected name is
-    expanded to its 2k+1 admissible lengths and equi-joined with the DISTINCT
-    base templates on length — an exact filter with no cartesian product.
-    ``levenshtein(a, b, k)`` stops early once k is exceeded.
+    A proven-small expected list uses length bands: distance ≤ k implies the
+    lengths differ by ≤ k, so each expected name is expanded to its 2k+1
+    admissible lengths, broadcast, and equi-joined with the DISTINCT base
+    templates on length. A larger expected table uses :func:`_segment_candidates`,
+    which never pairs names that merely share a length. ``levenshtein(a, b, k)``
+    stops early once k is exceeded.
     """
     k = int(max_distance)
     exp = expected.select("campaign", F.col("template").alias("expected_template")) \
         .where(F.col("expected_template").isNotNull())
-    bands = exp.withColumn("_len", F.explode(F.sequence(F.length("expected_template") - k,
-                                                        F.length("expected_template") + k)))
-    bands = _bounded(bands, max_rows, "expected campaigns", expected)
-    base = distinct_templates(camp).withColumn("_len", F.length("template"))
-    pairs = base.join(bands, "_len", "inner")
+    base = distinct_templates(camp)
+    if is_bounded(expected, max_rows):
+        bands = exp.withColumn("_len", F.explode(F.sequence(F.length("expected_template") - k,
+                                                            F.length("expected_template") + k)))
+        pairs = base.withColumn("_len", F.length("template")).join(F.broadcast(bands), "_len", "inner")
+    else:
+        pairs = _segment_candidates(exp, base, k)
     d = F.levenshtein(F.col("template"), F.col("expected_template"), k)
     return (pairs.withColumn("distance", d)
                  .where((F.col("distance") >= 1) & (F.col("distance") <= k))
@@ -53,6 +55,63 @@ def template_candidates(expected: DataFrame, camp: DataFrame, max_distance: int
                          "distance"))
 
 
+def _segments(length: Column, k: int, i: int) -> tuple[Column, Column]:
+    """Start (0-based) and length of segment ``i`` of an even split of a
+    string of ``length`` into k+1 parts (the first parts are the shorter)."""
+    parts = k + 1
+    short = F.floor(length / parts)
+    n_short = parts - (length % parts)
+    start = F.when(F.lit(i) < n_short, short * i).otherwise(short * n_short + (short + 1) * (F.lit(i) - n_short))
+    seg_len = F.when(F.lit(i) < n_short, short).otherwise(short + 1)
+    return start.cast("int"), seg_len.cast("int")
+
+
+def _segment_candidates(exp: DataFrame, base: DataFrame, k: int) -> DataFrame:
+    """Exact candidate pairs by partition-based blocking (pigeonhole).
+
+    Split each expected name of length L ≥ k+1 into k+1 segments. If a
+    template is within k edits, at least one segment occurs in it unchanged,
+    starting within ±k of the segment's own start. So: expected names emit
+    (L, i, segment i); templates emit, for each admissible L and i, their
+    substrings at those ±k positions; equi-join on (L, i, substring); then
+    the caller verifies the distance. Names shorter than k+1 cannot be
+    blocked this way and use the length equi-join (such names are few).
+    """
+    seg_rows = []
+    for i in range(k + 1):
+        st, ln = _segments(F.length("expected_template"), k, i)
+        seg_rows.append(F.struct(F.lit(i).alias("i"), F.substring("expected_template", st + 1, ln).alias("s")))
+    long_exp = exp.where(F.length("expected_template") >= k + 1)
+    e_keys = (long_exp.select("campaign", "expected_template",
+                              F.length("expected_template").alias("_L"), F.inline(F.array(*seg_rows)))
+                      .select("campaign", "expected_template", "_L", F.col("i").alias("_i"), F.col("s").alias("_s")))
+
+    t = base.withColumn("_lt", F.length("template"))
+    t = t.withColumn("_L", F.explode(F.sequence(F.greatest(F.col("_lt") - k, F.lit(k + 1)),
+                                                F.col("_lt") + k)))
+    t = t.where(F.col("_L") <= F.col("_lt") + k)
+    t = t.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(k))))
+    starts = {}
+    for i in range(k + 1):
+        starts[i] = _segments(F.col("_L"), k, i)
+    st = F.coalesce(*[F.when(F.col("_i") == i, starts[i][0]) for i in range(k + 1)])
+    ln = F.coalesce(*[F.when(F.col("_i") == i, starts[i][1]) for i in range(k + 1)])
+    t = t.withColumn("_st", st).withColumn("_ln", ln)
+    t = t.withColumn("_x", F.explode(F.sequence(F.greatest(F.col("_st") - k, F.lit(0)),
+                                                F.least(F.col("_st") + k, F.col("_lt") - F.col("_ln")))))
+    t_keys = t.where(F.col("_x") <= F.col("_lt") - F.col("_ln")) \
+        .select("template", "_L", "_i", F.substring("template", F.col("_x") + 1, F.col("_ln")).alias("_s"))
+    blocked = e_keys.join(t_keys, ["_L", "_i", "_s"], "inner") \
+        .select("campaign", "expected_template", "template").distinct()
+
+    short_exp = exp.where(F.length("expected_template") < k + 1)
+    bands = short_exp.withColumn("_len", F.explode(F.sequence(F.length("expected_template") - k,
+                                                              F.length("expected_template") + k)))
+    short_pairs = base.withColumn("_len", F.length("template")).join(bands, "_len", "inner") \
+        .select("campaign", "expected_template", "template")
+    return blocked.unionByName(short_pairs)
+
+
 def similar_templates(expected: DataFrame, camp: DataFrame, max_distance: int = 4,
                       top_k: int = 3) -> DataFrame:
     """For each reported template, the ``top_k`` nearest base templates

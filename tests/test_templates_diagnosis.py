@@ -63,3 +63,33 @@ def test_campaign_diagnosis_case_study(spark):
     assert d["apple"].hypotheses == ["wrong_name", "payload_error", "api_failure_possible", "incomplete_data"]
     assert d["samsung"].hypotheses == ["not_registered", "payload_error"]
     assert d["apple"].best_similar == "crm_cerebro_ads_apple_1003"
+
+
+def test_segment_blocking_equals_length_bands(spark):
+    # Forcing the unbounded path (max_rows=0) must give exactly the same pairs.
+    from sendscope.plans import params as P
+    from sendscope.sources.adapter import load_tables
+    camp = load_tables(spark, "/root/testdata/sf0.01")["campaigns"]
+    names = [("a", "crm_click_3101"), ("b", "crm_galaxy26"), ("c", "crm_click_2001"), ("d", "crm"),
+             ("e", "crm_error_at"), ("f", "xy")]
+    exp = spark.createDataFrame([(c, t, "x", dt.date(2024, 1, 1), 1) for c, t in names],
+                                schemas.EXPECTED_CAMPAIGNS)
+    for k in (1, 2, 4):
+        small = sorted(tuple(r) for r in templates.template_candidates(exp, camp, k).collect())
+        large = sorted(tuple(r) for r in templates.template_candidates(exp, camp, k, max_rows=0).collect())
+        assert small == large, k
+    assert P.MAX_EDIT_DISTANCE == 4
+    plan = templates.template_candidates(exp, camp, 4, max_rows=0)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_unbounded_expected_diagnosis_matches(spark):
+    camp = _camp(spark)
+    conv = spark.createDataFrame([("x", "2024-03-20 10:00:00")], "session_id string, publish_time string") \
+        .withColumn("publish_time", F.col("publish_time").cast("timestamp_ntz"))
+    logs = spark.createDataFrame(
+        [("2024-03-20 10:00:00", "It is not a JSON type and cannot be deserialized: Comprar Galaxy S26 e")],
+        "timestamp string, message string").withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))
+    a = diagnosis.campaign_diagnosis(_expected(spark), camp, conv, logs).drop("hypotheses")
+    b = diagnosis.campaign_diagnosis(_expected(spark), camp, conv, logs, max_rows=0).drop("hypotheses")
+    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
