@@ -39,10 +39,16 @@ def campaign_diagnosis(expected: DataFrame, camp: DataFrame, conv: DataFrame, lo
     ctas = [r.cta for r in given] if given is not None else expected.select("cta")
     evidence = cta_log_evidence(ctas, logs, max_rows=max_rows).select("cta", "n_log_hits", "n_error_hits")
 
-    day = F.to_date("publish_time")
-    conv_days = (conv.join(exp.select(F.col("dispatch_date")).distinct(),
-                           day == F.col("dispatch_date"), "inner")
-                     .groupBy("dispatch_date").agg(F.count(F.lit(1)).alias("n_conversations_on_date")))
+    # conversations on each dispatch date; literal dates (a local parameter
+    # table) prune date partitions of a publish_date-partitioned table
+    day = F.col("publish_date") if "publish_date" in conv.columns else F.to_date("publish_time")
+    if given is not None:
+        dates = sorted({r.dispatch_date for r in given if r.dispatch_date is not None})
+        on_dates = conv.where(day.isin(dates)).select(day.alias("dispatch_date"))
+    else:
+        on_dates = conv.join(exp.select("dispatch_date").distinct(), day == F.col("dispatch_date"), "inner") \
+            .select("dispatch_date")
+    conv_days = on_dates.groupBy("dispatch_date").agg(F.count(F.lit(1)).alias("n_conversations_on_date"))
 
     d = (exp.join(exists, "template", "left")
             .join(similar, "campaign", "left")
