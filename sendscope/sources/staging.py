@@ -15,6 +15,7 @@ inputs are re-staged. A stage is complete only when every table has its
 from __future__ import annotations
 
 import hashlib
+import threading
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -71,6 +72,8 @@ def _write(df: DataFrame, path: str, time_col: str, sort_cols: list[str]) -> Non
 # Read DataFrames per (application, stage key): the staged files are immutable,
 # so their file listing is done once per application.
 _READ_CACHE: dict[tuple[str, str], dict[str, DataFrame]] = {}
+# Queries submitted from several threads must not stage the same tables twice.
+_STAGE_LOCK = threading.Lock()
 
 
 def staged_tables(spark: SparkSession, sf_dir: str, keep_date: bool = False) -> dict[str, DataFrame]:
@@ -81,17 +84,21 @@ def staged_tables(spark: SparkSession, sf_dir: str, keep_date: bool = False) ->
     """
     key = stage_key(spark, sf_dir)
     cache_key = (spark.sparkContext.applicationId, key)
-    tables = _READ_CACHE.get(cache_key)
-    if tables is None:
-        base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/sendscope/bases/{key}"
-        raw = None
-        tables = {}
-        for name, (time_col, sort_cols) in _LAYOUT.items():
-            path = f"{base}/{name}"
-            if not _exists(spark, f"{path}/_SUCCESS"):
-                raw = raw or load_tables(spark, sf_dir)
-                _write(raw[name], path, time_col, sort_cols)
-            tables[name] = spark.read.schema(_SCHEMAS[name]).parquet(path)
+    with _STAGE_LOCK:
+        tables = _READ_CACHE.get(cache_key) or _stage(spark, sf_dir, key)
         _READ_CACHE[cache_key] = tables
     return {n: (df if keep_date else df.drop("publish_date")) for n, df in tables.items()}
 
+
+def _stage(spark: SparkSession, sf_dir: str, key: str) -> dict[str, DataFrame]:
+    """Write any missing staged table, then return readers for all three."""
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/sendscope/bases/{key}"
+    raw = None
+    tables = {}
+    for name, (time_col, sort_cols) in _LAYOUT.items():
+        path = f"{base}/{name}"
+        if not _exists(spark, f"{path}/_SUCCESS"):
+            raw = raw or load_tables(spark, sf_dir)
+            _write(raw[name], path, time_col, sort_cols)
+        tables[name] = spark.read.schema(_SCHEMAS[name]).parquet(path)
+    return tables
