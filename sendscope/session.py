@@ -73,3 +73,27 @@ def prefer_rocksdb_state(spark: SparkSession) -> None:
     the provider it was started with."""
     if spark.conf.get("spark.sql.streaming.stateStore.providerClass", HDFS_PROVIDER) == HDFS_PROVIDER:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB_PROVIDER)
+
+
+def scale_conf(shuffle_bytes: int, target_partition_bytes: int = 256 << 20) -> dict[str, str]:
+    """Session settings for a cluster run whose largest shuffle moves
+    ``shuffle_bytes`` (after projection and map-side aggregation).
+
+    Shuffle partitions start at ~``target_partition_bytes`` each so no reducer
+    must spill heavily; AQE then coalesces small ones and splits skewed ones.
+    Broadcasts stay capped well below executor memory — every broadcast in
+    this library is of a proven-small parameter table or a runtime-measured
+    side chosen by AQE.
+    """
+    n = int(min(50_000, max(200, shuffle_bytes // target_partition_bytes)))
+    mb = max(64, target_partition_bytes >> 20)
+    return {
+        "spark.sql.shuffle.partitions": str(n),
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(n),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": f"{mb}m",
+        "spark.sql.files.maxPartitionBytes": f"{mb}m",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": f"{2 * mb}m",
+        "spark.sql.autoBroadcastJoinThreshold": "64m",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "64m",
+    }

@@ -56,3 +56,16 @@ def test_constant_columns_matches_nunique_definition(spark):
         got = {r.column_name for r in profile.constant_columns(df, name).collect()}
         assert got == expect, name
         assert not math.isnan(len(got))
+
+
+def test_approx_profile_keeps_exact_verdicts(spark):
+    exact = {r.column_name: r.verdict for r in profile.profile_columns(_df(spark), "t").collect()}
+    approx = {r.column_name: r.verdict for r in profile.profile_columns(_df(spark), "t", exact=False).collect()}
+    assert exact == approx
+
+
+def test_scale_conf_bounds():
+    from sendscope.session import scale_conf
+    small, huge = scale_conf(1 << 30), scale_conf(100 << 40)
+    assert small["spark.sql.shuffle.partitions"] == "200"
+    assert huge["spark.sql.shuffle.partitions"] == "50000"
