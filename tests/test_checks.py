@@ -46,20 +46,20 @@ def _conv(spark, rows):
 
 def test_orphan_sessions_counts_messages_and_sessions(spark):
     conv = _conv(spark, [
-        ("o1", "Comprar Galaxy S26", "2024-03-20 10:00:00"),
-        ("o1", "Comprar Galaxy S26", "2024-03-20 10:05:00"),  # same CTA twice in one orphan session
-        ("o2", "Comprar Galaxy S26", "2024-03-20 11:00:00"),
-        ("k1", "Comprar Galaxy S26", "2024-03-20 12:00:00"),  # has a campaign
-        ("o3", "Comprar Galaxy S26", "2024-03-21 00:00:00"),  # outside the day
-        ("o4", "Falar com a Lu agora", "2024-03-20 12:00:00"),
+        ("o1", "Comprar Fone X9", "2024-03-20 10:00:00"),
+        ("o1", "Comprar Fone X9", "2024-03-20 10:05:00"),  # same CTA twice in one orphan session
+        ("o2", "Comprar Fone X9", "2024-03-20 11:00:00"),
+        ("k1", "Comprar Fone X9", "2024-03-20 12:00:00"),  # has a campaign
+        ("o3", "Comprar Fone X9", "2024-03-21 00:00:00"),  # outside the day
+        ("o4", "Falar com atendente agora", "2024-03-20 12:00:00"),
     ])
     camp = spark.createDataFrame([("k1",), ("k1",)], "session_id string")
     out = {r.cta: (r.orphan_messages, r.orphan_sessions)
-           for r in checks.check_orphan_sessions(conv, camp, ["Comprar Galaxy S26"], "2024-03-21", 0).collect()}
-    assert out == {"Comprar Galaxy S26": (3, 2)}  # M15
-    rx = checks.check_orphan_sessions(conv, camp, [("(?i)falar\\s+com\\s+a\\s+lu", "regex")], "2024-03-21", 0)
-    assert [(r.cta, r.orphan_messages) for r in rx.collect()] == [("(?i)falar\\s+com\\s+a\\s+lu", 1)]
-    assert checks.check_orphan_sessions(conv, camp, ["Comprar Galaxy S26"], "2024-03-21", 3).count() == 0
+           for r in checks.check_orphan_sessions(conv, camp, ["Comprar Fone X9"], "2024-03-21", 0).collect()}
+    assert out == {"Comprar Fone X9": (3, 2)}  # M15
+    rx = checks.check_orphan_sessions(conv, camp, [("(?i)falar\\s+com\\s+atendente", "regex")], "2024-03-21", 0)
+    assert [(r.cta, r.orphan_messages) for r in rx.collect()] == [("(?i)falar\\s+com\\s+atendente", 1)]
+    assert checks.check_orphan_sessions(conv, camp, ["Comprar Fone X9"], "2024-03-21", 3).count() == 0
 
 
 def test_orphan_plan_is_anti_join(spark):

@@ -20,21 +20,21 @@ def test_non_json_and_schema_violations(spark):
 
 
 def test_error_payloads_and_cta_evidence(spark):
-    logs = _logs(spark, ["It is not a JSON type and cannot be deserialized: Comprar Galaxy S26",
-                         "It is not a JSON type and cannot be deserialized: Comprar Galaxy S26",
-                         "It is not a JSON type and cannot be deserialized: Falar com a Lu",
-                         "info: Falar com a Lu clicked", "ok"])
+    logs = _logs(spark, ["It is not a JSON type and cannot be deserialized: Comprar Fone X9",
+                         "It is not a JSON type and cannot be deserialized: Comprar Fone X9",
+                         "It is not a JSON type and cannot be deserialized: Falar com atendente",
+                         "info: Falar com atendente clicked", "ok"])
     got = {r.payload: r.n_errors for r in payload.error_payloads(logs).collect()}
-    assert got == {"Comprar Galaxy S26": 2, "Falar com a Lu": 1}
+    assert got == {"Comprar Fone X9": 2, "Falar com atendente": 1}
     ev = {r.cta: (r.n_log_hits, r.n_error_hits) for r in
-          payload.cta_log_evidence(["Falar com a Lu", "Comprar Galaxy S26", "Nada"], logs).collect()}
-    assert ev == {"Falar com a Lu": (2, 1), "Comprar Galaxy S26": (2, 2), "Nada": (0, 0)}
+          payload.cta_log_evidence(["Falar com atendente", "Comprar Fone X9", "Nada"], logs).collect()}
+    assert ev == {"Falar com atendente": (2, 1), "Comprar Fone X9": (2, 2), "Nada": (0, 0)}
 
 
 def test_contains_join_matches_literal_path(spark):
     import random
     rnd = random.Random(3)
-    words = ["Buy now", "Talk to an agent", "Falar com a Lu", "ab", "abc", "xyz", "now Buy"]
+    words = ["Buy now", "Talk to an agent", "Falar com atendente", "ab", "abc", "xyz", "now Buy"]
     msgs = [" ".join(rnd.choice(words) for _ in range(rnd.randint(0, 6))) for _ in range(300)]
     msgs += ["Buy nowBuy now", "aaaaab", None, ""]
     logs = _logs(spark, msgs)

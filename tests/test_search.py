@@ -3,7 +3,7 @@ from sendscope.operators import search
 
 
 def test_unicode_case_rewrite():
-    assert unicode_case("(?i)apple") == "(?iu)apple"
+    assert unicode_case("(?i)promo") == "(?iu)promo"
     assert unicode_case("(?iu)x") == "(?iu)x"
     assert unicode_case("plain") == "plain"
 
@@ -16,11 +16,11 @@ def test_flag_null_text_and_non_ascii_case(spark):
 
 
 def test_keyword_conversations_does_not_multiply(spark):
-    conv = spark.createDataFrame([("s1", "m1", "use CUPOMS26"), ("s2", "m2", "cupoms26 now"),
-                                  ("s3", "m3", "nothing"), (None, "m4", "CUPOMS26")],
+    conv = spark.createDataFrame([("s1", "m1", "use CUPOM26X"), ("s2", "m2", "cupom26x now"),
+                                  ("s3", "m3", "nothing"), (None, "m4", "CUPOM26X")],
                                  "session_id string, message_id string, text string")
     camp = spark.createDataFrame([("s1",), ("s1",), ("s1",)], "session_id string")  # repeated session
-    out = search.keyword_conversations(conv, camp, "(?i)CUPOMS26", "cupom").collect()
+    out = search.keyword_conversations(conv, camp, "(?i)CUPOM26X", "cupom").collect()
     assert sorted(r.message_id for r in out) == ["m1", "m2", "m4"]  # M6: no fan-out
     linked = {r.message_id: r.session_campanha for r in out}
     assert linked == {"m1": "s1", "m2": None, "m4": None}
@@ -38,17 +38,17 @@ def test_keyword_hits_one_scan_many_patterns(spark):
 
 
 def test_keyword_linkage_counts_and_zero_rows(spark):
-    conv = spark.createDataFrame([("s1", "m1", "CUPOMS26"), ("s9", "m2", "CUPOMS26"), ("s9", "m3", "cupoms26")],
+    conv = spark.createDataFrame([("s1", "m1", "CUPOM26X"), ("s9", "m2", "CUPOM26X"), ("s9", "m3", "cupom26x")],
                                  "session_id string, message_id string, text string")
     camp = spark.createDataFrame([("s1",)], "session_id string")
-    rows = {r.keyword: r for r in search.keyword_linkage(conv, camp, [("cupom", "(?i)cupoms26"),
-                                                                      ("lu", "Falar com a Lu")]).collect()}
+    rows = {r.keyword: r for r in search.keyword_linkage(conv, camp, [("cupom", "(?i)cupom26x"),
+                                                                      ("lu", "Falar com atendente")]).collect()}
     assert (rows["cupom"].n_hits, rows["cupom"].n_linked, rows["cupom"].n_unlinked,
             rows["cupom"].n_sessions) == (3, 1, 2, 2)
     assert rows["lu"].n_hits == 0
 
 
 def test_keyword_logs(spark):
-    logs = spark.createDataFrame([("cannot be deserialized: Comprar Galaxy S26",), ("ok",), (None,)],
+    logs = spark.createDataFrame([("cannot be deserialized: Comprar Fone X9",), ("ok",), (None,)],
                                  "message string")
-    assert search.keyword_logs(logs, r"(?i)galaxy\s+s26", "s26").count() == 1
+    assert search.keyword_logs(logs, r"(?i)fone\s+x9", "fone").count() == 1

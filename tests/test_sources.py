@@ -25,12 +25,12 @@ def test_logs_csv_quotes_newlines_and_dotted_names(spark, tmp_path):
     p = tmp_path / "logs.csv"
     p.write_text('timestamp,insertId,resource.type,jsonPayload.message\n'
                  '2024-03-20 10:00:00,a1,gce_instance,"It is not a JSON type and cannot be '
-                 'deserialized: Comprar ""Galaxy"", S26\nsegunda linha"\n'
+                 'deserialized: Comprar ""Fone"", X9\nsegunda linha"\n'
                  '2024-03-20 10:01:00,a2,gce_instance,"{""k"": 1}"\n')
     df = read_logs_csv(spark, str(p))
     assert df.columns == ["timestamp", "insertId", "resource_type", "message"]
     rows = {r.insertId: r.message for r in df.collect()}
-    assert rows["a1"].endswith('Comprar "Galaxy", S26\nsegunda linha')
+    assert rows["a1"].endswith('Comprar "Fone", X9\nsegunda linha')
     assert rows["a2"] == '{"k": 1}'
 
 

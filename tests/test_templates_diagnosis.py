@@ -8,9 +8,9 @@ from sendscope.operators import diagnosis, templates
 
 
 def _camp(spark):
-    rows = [("s1", "crm_cerebro_ads_apple_1003", "2024-03-19 10:00:00"),
-            ("s2", "crm_cerebro_ads_apple_1303", "2024-03-19 11:00:00"),
-            ("s3", "crm_cerebro_ads_apple_at", "2024-03-19 12:00:00"),
+    rows = [("s1", "crm_promo_1003", "2024-03-19 10:00:00"),
+            ("s2", "crm_promo_1303", "2024-03-19 11:00:00"),
+            ("s3", "crm_promo_at", "2024-03-19 12:00:00"),
             ("s4", "crm_other", "2024-03-20 12:00:00")]
     return spark.createDataFrame(rows, "session_id string, template string, publish_time string") \
         .withColumn("publish_time", F.col("publish_time").cast("timestamp_ntz")) \
@@ -19,18 +19,18 @@ def _camp(spark):
 
 def _expected(spark):
     return param_frame(spark, [
-        ("apple", "crm_cerebro_ads_apple_1903", "Falar com a Lu", dt.date(2024, 3, 19), 835),
-        ("samsung", "crm_cerebro_galaxys26", "Comprar Galaxy S26", dt.date(2024, 3, 20), 838),
+        ("promo", "crm_promo_1903", "Falar com atendente", dt.date(2024, 3, 19), 835),
+        ("launch", "crm_phone_launch26", "Comprar Fone X9", dt.date(2024, 3, 20), 838),
     ], schemas.EXPECTED_CAMPAIGNS)
 
 
 def test_missing_and_similar_templates(spark):
     camp, exp = _camp(spark), _expected(spark)
-    assert {r.campaign for r in templates.missing_templates(exp, camp).collect()} == {"apple", "samsung"}
+    assert {r.campaign for r in templates.missing_templates(exp, camp).collect()} == {"promo", "launch"}
     sim = [(r.similar_template, r.distance, r.rank) for r in
-           templates.similar_templates(exp, camp, 4, 3).where("campaign = 'apple'").orderBy("rank").collect()]
-    assert sim == [("crm_cerebro_ads_apple_1003", 1, 1), ("crm_cerebro_ads_apple_1303", 1, 2),
-                   ("crm_cerebro_ads_apple_at", 4, 3)]
+           templates.similar_templates(exp, camp, 4, 3).where("campaign = 'promo'").orderBy("rank").collect()]
+    assert sim == [("crm_promo_1003", 1, 1), ("crm_promo_1303", 1, 2),
+                   ("crm_promo_at", 4, 3)]
 
 
 def test_similar_templates_plan_has_no_cartesian_product(spark):
@@ -44,10 +44,10 @@ def test_template_join_counts_equals_materialised_join(spark):
     conv = spark.createDataFrame([("s1",), ("s1",), ("s2",)], "session_id string") \
         .withColumn("text", F.lit("t")).withColumn("publish_time", F.lit(None).cast("timestamp_ntz")) \
         .withColumn("message_id", F.lit("c"))
-    tpls = ["crm_cerebro_ads_apple_1003", "crm_cerebro_ads_apple_1303", "crm_cerebro_ads_apple_at"]
+    tpls = ["crm_promo_1003", "crm_promo_1303", "crm_promo_at"]
     got = {r.template: r.n_rows for r in templates.template_join_counts(camp, conv, tpls).collect()}
     detail = templates.similar_template_detail(camp, conv, tpls)
-    assert got == {"crm_cerebro_ads_apple_1003": 2, "crm_cerebro_ads_apple_1303": 1}
+    assert got == {"crm_promo_1003": 2, "crm_promo_1303": 1}
     assert detail.count() == sum(got.values())
 
 
@@ -56,13 +56,13 @@ def test_campaign_diagnosis_case_study(spark):
     conv = spark.createDataFrame([("x", "2024-03-20 10:00:00")], "session_id string, publish_time string") \
         .withColumn("publish_time", F.col("publish_time").cast("timestamp_ntz"))
     logs = spark.createDataFrame(
-        [("2024-03-20 10:00:00", "It is not a JSON type and cannot be deserialized: Comprar Galaxy S26 e"),
-         ("2024-03-19 10:00:00", "It is not a JSON type and cannot be deserialized: Falar com a Lu")],
+        [("2024-03-20 10:00:00", "It is not a JSON type and cannot be deserialized: Comprar Fone X9 e"),
+         ("2024-03-19 10:00:00", "It is not a JSON type and cannot be deserialized: Falar com atendente")],
         "timestamp string, message string").withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))
     d = {r.campaign: r for r in diagnosis.campaign_diagnosis(_expected(spark), camp, conv, logs).collect()}
-    assert d["apple"].hypotheses == ["wrong_name", "payload_error", "api_failure_possible", "incomplete_data"]
-    assert d["samsung"].hypotheses == ["not_registered", "payload_error"]
-    assert d["apple"].best_similar == "crm_cerebro_ads_apple_1003"
+    assert d["promo"].hypotheses == ["wrong_name", "payload_error", "api_failure_possible", "incomplete_data"]
+    assert d["launch"].hypotheses == ["not_registered", "payload_error"]
+    assert d["promo"].best_similar == "crm_promo_1003"
 
 
 def test_segment_blocking_equals_length_bands(spark):
@@ -88,7 +88,7 @@ def test_unbounded_expected_diagnosis_matches(spark):
     conv = spark.createDataFrame([("x", "2024-03-20 10:00:00")], "session_id string, publish_time string") \
         .withColumn("publish_time", F.col("publish_time").cast("timestamp_ntz"))
     logs = spark.createDataFrame(
-        [("2024-03-20 10:00:00", "It is not a JSON type and cannot be deserialized: Comprar Galaxy S26 e")],
+        [("2024-03-20 10:00:00", "It is not a JSON type and cannot be deserialized: Comprar Fone X9 e")],
         "timestamp string, message string").withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))
     a = diagnosis.campaign_diagnosis(_expected(spark), camp, conv, logs).drop("hypotheses")
     b = diagnosis.campaign_diagnosis(_expected(spark), camp, conv, logs, max_rows=0).drop("hypotheses")
