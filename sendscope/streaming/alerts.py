@@ -17,9 +17,16 @@ from pyspark.sql import functions as F
 from ..functions.payload import ERROR_SIGNATURE
 
 
-def event_time(col: str = "timestamp") -> Column:
-    """Event time as TIMESTAMP: watermarks reject TIMESTAMP_NTZ columns."""
-    return F.col(col).cast("timestamp")
+def event_time(col: str = "timestamp", tz: str = "UTC") -> Column:
+    """Event time as TIMESTAMP (watermarks reject TIMESTAMP_NTZ): the wall-clock
+    value is read as UTC, whatever the session zone ``tz``, so hourly windows
+    line up with the wall-clock hours of the data."""
+    return F.from_utc_timestamp(F.col(col).cast("timestamp"), tz)
+
+
+def wall_clock(col: Column, tz: str = "UTC") -> Column:
+    """Inverse of :func:`event_time`: back to a TIMESTAMP_NTZ wall clock."""
+    return F.to_utc_timestamp(col, tz).cast("timestamp_ntz")
 
 
 def _errors(logs: DataFrame, signature: str, resource_type: str | None) -> DataFrame:
@@ -38,13 +45,14 @@ def error_rate_stream(logs: DataFrame, threshold: int, signature: str = ERROR_SI
     ``n_errors``. State per open window is one counter, evicted when the
     watermark passes the window end.
     """
-    errs = _errors(logs, signature, resource_type).withColumn("_et", event_time())
+    tz = logs.sparkSession.conf.get("spark.sql.session.timeZone")
+    errs = _errors(logs, signature, resource_type).withColumn("_et", event_time("timestamp", tz))
     agg = (errs.withWatermark("_et", watermark)
                .groupBy(F.window("_et", window).alias("w"))
                .agg(F.count(F.lit(1)).alias("n_errors")))
     return (agg.where(F.col("n_errors") > threshold)
-               .select(F.col("w.start").cast("timestamp_ntz").alias("window_start"),
-                       F.col("w.end").cast("timestamp_ntz").alias("window_end"), "n_errors"))
+               .select(wall_clock(F.col("w.start"), tz).alias("window_start"),
+                       wall_clock(F.col("w.end"), tz).alias("window_end"), "n_errors"))
 
 
 def error_alert_stream(logs: DataFrame, signature: str = ERROR_SIGNATURE,

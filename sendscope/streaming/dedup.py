@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from .alerts import event_time
 
 
 def dedup_redeliveries(stream: DataFrame, key: str = "message_id", time_col: str = "publish_time",
                        watermark: str = "1 hour") -> DataFrame:
     """Keep the first delivery of each ``key``; state expires with the watermark."""
-    return (stream.withColumn("_et", F.col(time_col).cast("timestamp"))
+    tz = stream.sparkSession.conf.get("spark.sql.session.timeZone")
+    return (stream.withColumn("_et", event_time(time_col, tz))
                   .withWatermark("_et", watermark)
                   .dropDuplicatesWithinWatermark([key])
                   .drop("_et"))

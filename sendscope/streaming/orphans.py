@@ -10,15 +10,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .alerts import event_time, wall_clock
+
 
 def orphan_conversations_stream(conv_stream: DataFrame, camp_stream: DataFrame,
                                 max_lag: str = "1 day", watermark: str = "1 hour") -> DataFrame:
+    tz = conv_stream.sparkSession.conf.get("spark.sql.session.timeZone")
     conv = (conv_stream.select(F.col("session_id").alias("conv_session_id"), "text",
                                F.col("message_id").alias("conv_message_id"),
-                               F.col("publish_time").cast("timestamp").alias("conv_time"))
+                               event_time("publish_time", tz).alias("conv_time"))
             .withWatermark("conv_time", watermark))
     camp = (camp_stream.select(F.col("session_id").alias("camp_session_id"),
-                               F.col("publish_time").cast("timestamp").alias("camp_time"))
+                               event_time("publish_time", tz).alias("camp_time"))
             .withWatermark("camp_time", watermark))
     cond = (F.col("conv_session_id") == F.col("camp_session_id")) & \
         (F.col("camp_time") <= F.col("conv_time")) & \
@@ -26,4 +29,4 @@ def orphan_conversations_stream(conv_stream: DataFrame, camp_stream: DataFrame,
     joined = conv.join(camp, cond, "leftOuter")
     return joined.where(F.col("camp_session_id").isNull()).select(
         F.col("conv_session_id").alias("session_id"), F.col("conv_message_id").alias("message_id"),
-        "text", F.col("conv_time").alias("publish_time"))
+        "text", wall_clock(F.col("conv_time"), tz).alias("publish_time"))

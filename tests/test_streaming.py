@@ -88,3 +88,16 @@ def test_orphan_conversations_stream(spark, tmp_path):
     got = [r.message_id for r in spark.sql("SELECT * FROM orphans_out").collect()]
     assert got == ["c2"]
     assert F is not None
+
+
+def test_hourly_windows_independent_of_session_time_zone(spark):
+    rows = [(_t("2024-03-20 10:01:00"), "a", "gce_instance", ERR), (_t("2024-03-20 10:59:00"), "b", "gce_instance", ERR),
+            (_t("2024-03-20 11:00:00"), "c", "gce_instance", ERR)]
+    df = spark.createDataFrame(rows, LOG_SCHEMA)
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "Asia/Kolkata")  # +05:30
+        got = sorted((str(r.window_start), r.n_errors) for r in error_rate_stream(df, 0).collect())
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    assert got == [("2024-03-20 10:00:00", 2), ("2024-03-20 11:00:00", 1)]
