@@ -38,10 +38,12 @@ def sequence_within_groups(df: DataFrame, group_cols: list[str], order_cols: lis
     the last column) so results are deterministic on recomputation.
     """
     spark = df.sparkSession
-    n = num_slices or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = [F.col(c) for c in group_cols + order_cols]
     ensure_checkpoint_dir(spark)
-    sliced = (df.repartitionByRange(n, *keys)
+    # Without an explicit count AQE sizes the slices; coalescing merges
+    # adjacent ranges, so every slice is still one contiguous key range.
+    ranged = df.repartitionByRange(num_slices, *keys) if num_slices else df.repartitionByRange(*keys)
+    sliced = (ranged
                 .withColumn("_slice", F.spark_partition_id())
                 .checkpoint(eager=True))
 
