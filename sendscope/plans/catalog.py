@@ -15,10 +15,11 @@ from .. import schemas
 from ..functions.params import param_frame
 from ..operators import checks, diagnosis, payload, prepare, profile, search, sessions, templates
 from ..session import prefer_rocksdb_state, scratch_path
-from ..sources.adapter import campaigns_from_events, logs_from_events
+from ..sources.adapter import campaigns_from_events, conversations_from_driver, logs_from_events
 from ..sources.staging import staged_tables
 from ..streaming.alerts import run_error_rate_alerts
 from ..streaming.dedup import dedup_redeliveries
+from ..streaming.orphans import orphan_conversations_live
 from . import params as P
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -364,15 +365,19 @@ def keyword_hits_documents(spark, sf_dir):
 
 # --- streaming ---------------------------------------------------------------
 
-def _event_stream(spark, sf_dir):
+def _driver_stream(spark, sf_dir, table):
     prefer_rocksdb_state(spark)
-    ref = spark.read.parquet(f"{sf_dir.rstrip('/')}/events.parquet")
+    ref = spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
     return (spark.readStream.schema(ref.schema)
-            .option("pathGlobFilter", "events.parquet")
+            .option("pathGlobFilter", f"{table}.parquet")
             .option("maxFilesPerTrigger", 1)
             .parquet(sf_dir))
 
 
+def _event_stream(spark, sf_dir):
+    return _driver_stream(spark, sf_dir, "events")
+
+
 @register("stream_error_rate")
 def stream_error_rate(spark, sf_dir):
     """T1 end to end: the events file is replayed as a stream (availableNow),
@@ -397,3 +402,18 @@ def stream_dedup_campaigns(spark, sf_dir):
     q.awaitTermination()
     cols = [f.name for f in schemas.CAMPAIGNS.fields]
     return spark.read.parquet(f"{base}/out").select(*cols)
+
+
+@register("stream_orphan_conversations")
+def stream_orphan_conversations(spark, sf_dir):
+    """T5 end to end (C3 live): conversations replayed as a stream; each message
+    with a known CTA whose session has no campaign is appended to Parquet."""
+    camp = _t(spark, sf_dir)[0]
+    conv = conversations_from_driver(_driver_stream(spark, sf_dir, "conversations"))
+    base = scratch_path(spark, "stream_orphan_conversations")
+    q = (orphan_conversations_live(conv, camp, [c for c, m in P.CTAS if m == "exact"]).writeStream
+         .format("parquet").outputMode("append")
+         .option("path", f"{base}/out").option("checkpointLocation", f"{base}/_checkpoint")
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.parquet(f"{base}/out").select("session_id", "message_id", "cta", "publish_time")

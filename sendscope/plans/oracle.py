@@ -392,3 +392,8 @@ QUALIFY ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC)
 
 ORACLE_SQL["stream_dedup_campaigns"] = _with() + """
 SELECT * FROM camp QUALIFY ROW_NUMBER() OVER (PARTITION BY message_id ORDER BY publish_time) = 1"""
+
+ORACLE_SQL["stream_orphan_conversations"] = _with() + f"""
+SELECT c.session_id, c.message_id, c.text AS cta, c.publish_time FROM conv c
+WHERE c.text IN ({_in_list(c for c, m in P.CTAS if m == 'exact')})
+  AND NOT EXISTS (SELECT 1 FROM camp WHERE camp.session_id = c.session_id)"""

@@ -1,7 +1,8 @@
 from .alerts import (error_alert_stream, error_rate_stream, event_time, run_error_rate_alerts,
                      run_error_alert_sweep, wall_clock)
 from .dedup import dedup_redeliveries
-from .orphans import orphan_conversations_stream
+from .orphans import orphan_conversations_live, orphan_conversations_stream
 
 __all__ = ["error_alert_stream", "error_rate_stream", "event_time", "run_error_rate_alerts",
-           "run_error_alert_sweep", "wall_clock", "dedup_redeliveries", "orphan_conversations_stream"]
+           "run_error_alert_sweep", "wall_clock", "dedup_redeliveries", "orphan_conversations_live",
+           "orphan_conversations_stream"]

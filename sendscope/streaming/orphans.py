@@ -30,3 +30,17 @@ def orphan_conversations_stream(conv_stream: DataFrame, camp_stream: DataFrame,
     return joined.where(F.col("camp_session_id").isNull()).select(
         F.col("conv_session_id").alias("session_id"), F.col("conv_message_id").alias("message_id"),
         "text", wall_clock(F.col("conv_time"), tz).alias("publish_time"))
+
+
+def orphan_conversations_live(conv_stream: DataFrame, camp: DataFrame, ctas: list[str]) -> DataFrame:
+    """C3 live (stream-static): every arriving conversation message that
+    carries a known CTA and whose session has no campaign record.
+
+    The campaign side is a static table reduced to distinct sessions; the
+    stream side needs no state, so each message is reported in the micro-batch
+    it arrives in. Exact CTAs are a literal hash set on the stream.
+    """
+    known = camp.select("session_id").distinct()
+    hits = conv_stream.where(F.col("text").isin(sorted(set(ctas))))
+    return hits.join(known, "session_id", "left_anti").select(
+        "session_id", "message_id", F.col("text").alias("cta"), "publish_time")

@@ -101,3 +101,19 @@ def test_hourly_windows_independent_of_session_time_zone(spark):
     finally:
         spark.conf.set("spark.sql.session.timeZone", before)
     assert got == [("2024-03-20 10:00:00", 2), ("2024-03-20 11:00:00", 1)]
+
+
+def test_orphan_conversations_live(spark, tmp_path):
+    from sendscope.streaming import orphan_conversations_live
+    conv_schema = "session_id string, message_id string, text string, publish_time timestamp_ntz"
+    src = str(tmp_path / "conv")
+    _write_batches(spark, src, [[("s1", "c1", "Buy now", _t("2024-03-20 10:00:00")),
+                                 ("s9", "c2", "Buy now", _t("2024-03-20 10:05:00")),
+                                 ("s9", "c3", "hello", _t("2024-03-20 10:06:00"))],
+                                [("s8", "c4", "Buy now", _t("2024-03-20 11:00:00"))]], conv_schema)
+    camp = spark.createDataFrame([("s1",), ("s1",)], "session_id string")
+    q = (orphan_conversations_live(_stream(spark, src, conv_schema), camp, ["Buy now"]).writeStream
+         .format("memory").queryName("live_orphans").option("checkpointLocation", str(tmp_path / "ck"))
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    assert sorted(r.message_id for r in spark.sql("SELECT * FROM live_orphans").collect()) == ["c2", "c4"]
