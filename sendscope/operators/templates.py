@@ -126,10 +126,14 @@ def similar_templates(expected: DataFrame, camp: DataFrame, max_distance: int =
                 .where(F.col("rank") <= top_k))
 
 
-def _template_filter(templates: Iterable[str] | DataFrame) -> tuple[Column | None, DataFrame | None]:
-    if isinstance(templates, DataFrame):
-        return None, templates.select("template").distinct()
-    return F.col("template").isin([str(t) for t in templates]), None
+def _with_templates(camp: DataFrame, templates: Iterable[str] | DataFrame,
+                    max_rows: int = DEFAULT_MAX_PARAM_ROWS) -> DataFrame:
+    """Campaign rows whose template is listed: a literal hash set for a list,
+    a semi join for a table (broadcast only when proven small)."""
+    if not isinstance(templates, DataFrame):
+        return camp.where(F.col("template").isin([str(t) for t in templates]))
+    listed = templates.select("template").distinct()
+    return camp.join(_maybe_broadcast(listed, is_bounded(templates, max_rows)), "template", "left_semi")
 
 
 def template_join_counts(camp: DataFrame, conv: DataFrame, templates: Iterable[str] | DataFrame) -> DataFrame:
@@ -140,9 +144,7 @@ def template_join_counts(camp: DataFrame, conv: DataFrame, templates: Iterable[s
     hot session contributes one row per side. Templates without joined rows
     are absent, as with a GROUP BY over the join.
     """
-    cond, tdf = _template_filter(templates)
-    c = camp.where(cond) if cond is not None else camp.join(F.broadcast(tdf), "template", "left_semi")
-    c = c.groupBy("session_id", "template").agg(F.count(F.lit(1)).alias("n_c"))
+    c = _with_templates(camp, templates).groupBy("session_id", "template").agg(F.count(F.lit(1)).alias("n_c"))
     v = conv.groupBy("session_id").agg(F.count(F.lit(1)).alias("n_v"))
     return (c.join(v, "session_id", "inner")
              .groupBy("template").agg(F.sum(F.col("n_c") * F.col("n_v")).cast("long").alias("n_rows")))
@@ -150,6 +152,4 @@ def template_join_counts(camp: DataFrame, conv: DataFrame, templates: Iterable[s
 
 def similar_template_detail(camp: DataFrame, conv: DataFrame, templates: Iterable[str] | DataFrame) -> DataFrame:
     """Joined campaign/conversation rows for the listed templates (filter first)."""
-    cond, tdf = _template_filter(templates)
-    c = camp.where(cond) if cond is not None else camp.join(F.broadcast(tdf), "template", "left_semi")
-    return conversations_with_campaigns(c, conv)
+    return conversations_with_campaigns(_with_templates(camp, templates), conv)

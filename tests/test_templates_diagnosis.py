@@ -93,3 +93,14 @@ def test_unbounded_expected_diagnosis_matches(spark):
     a = diagnosis.campaign_diagnosis(_expected(spark), camp, conv, logs).drop("hypotheses")
     b = diagnosis.campaign_diagnosis(_expected(spark), camp, conv, logs, max_rows=0).drop("hypotheses")
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+
+
+def test_template_list_as_table(spark):
+    camp = _camp(spark)
+    conv = spark.createDataFrame([("s1",), ("s2",)], "session_id string") \
+        .withColumn("text", F.lit("t")).withColumn("publish_time", F.lit(None).cast("timestamp_ntz")) \
+        .withColumn("message_id", F.lit("c"))
+    tbl = spark.createDataFrame([("crm_promo_1003",), ("crm_promo_1303",)], "template string")
+    a = {r.template: r.n_rows for r in templates.template_join_counts(camp, conv, tbl).collect()}
+    b = {r.template: r.n_rows for r in templates.template_join_counts(camp, conv, ["crm_promo_1003", "crm_promo_1303"]).collect()}
+    assert a == b == {"crm_promo_1003": 1, "crm_promo_1303": 1}
