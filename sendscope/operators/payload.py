@@ -12,9 +12,19 @@ from ..functions.params import DEFAULT_MAX_PARAM_ROWS, bounded_rows
 from ..functions.payload import error_payload, is_deserialization_error, looks_like_json
 
 
-def non_json_payloads(logs: DataFrame, message_col: str = "message") -> DataFrame:
-    """messages that cannot be JSON objects/arrays (do not start with { or [)."""
-    return logs.where(~looks_like_json(message_col)).select("timestamp", "insertId", message_col)
+def non_json_payloads(logs: DataFrame, message_col: str = "message", method: str = "prefix") -> DataFrame:
+    """messages a JSON consumer would reject.
+
+    ``prefix`` (the deserialiser's rule): the text does not start with ``{``
+    or ``[``. ``parser``: the text does not parse as JSON at all
+    (``try_parse_json``) — it accepts JSON scalars such as ``12``, which the
+    prefix rule rejects.
+    """
+    if method == "parser":
+        bad = F.try_parse_json(F.col(message_col)).isNull() & F.col(message_col).isNotNull()
+    else:
+        bad = ~looks_like_json(message_col)
+    return logs.where(bad).select("timestamp", "insertId", message_col)
 
 
 def payload_schema_violations(logs: DataFrame, required: dict[str, str],

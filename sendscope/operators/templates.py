@@ -113,27 +113,35 @@ def _segment_candidates(exp: DataFrame, base: DataFrame, k: int) -> DataFrame:
 
 
 def similar_templates(expected: DataFrame, camp: DataFrame, max_distance: int = 4,
-                      top_k: int = 3) -> DataFrame:
+                      top_k: int = 3, conv: DataFrame | None = None) -> DataFrame:
     """For each reported template, the ``top_k`` nearest base templates
-    by (edit distance, name).
+    by (edit distance, name); with ``conv``, also ``n_linked_rows`` — how many
+    rows each neighbour contributes to campaigns ⋈ conversations (0 = the
+    name never reaches a conversation).
 
     ``row_number() <= k`` lets Spark insert a partial per-group limit before
     the shuffle, so no task receives more than k rows per group per map task.
     """
     cand = template_candidates(expected, camp, max_distance)
     w = Window.partitionBy("campaign").orderBy("distance", "similar_template")
-    return (cand.withColumn("rank", F.row_number().over(w))
-                .where(F.col("rank") <= top_k))
+    top = cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_k)
+    if conv is None:
+        return top
+    names = top.select(F.col("similar_template").alias("template"))
+    linked = template_join_counts(camp, conv, names).withColumnRenamed("template", "similar_template")
+    return (top.join(linked, "similar_template", "left")
+               .select("campaign", "expected_template", "similar_template", "distance", "rank",
+                       F.coalesce("n_rows", F.lit(0)).cast("long").alias("n_linked_rows")))
 
 
 def _with_templates(camp: DataFrame, templates: Iterable[str] | DataFrame,
                     max_rows: int = DEFAULT_MAX_PARAM_ROWS) -> DataFrame:
     """Campaign rows whose template is listed: a literal hash set for a list,
-    a semi join for a table (broadcast only when proven small)."""
+    a semi join against the distinct listed names for a table (AQE broadcasts
+    it when its measured size is small)."""
     if not isinstance(templates, DataFrame):
         return camp.where(F.col("template").isin([str(t) for t in templates]))
-    listed = templates.select("template").distinct()
-    return camp.join(_maybe_broadcast(listed, is_bounded(templates, max_rows)), "template", "left_semi")
+    return camp.join(templates.select("template").distinct(), "template", "left_semi")
 
 
 def template_join_counts(camp: DataFrame, conv: DataFrame, templates: Iterable[str] | DataFrame) -> DataFrame:

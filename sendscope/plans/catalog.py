@@ -236,8 +236,8 @@ def missing_templates(spark, sf_dir):
 
 @register("similar_templates")
 def similar_templates(spark, sf_dir):
-    return templates.similar_templates(_expected(spark), _t(spark, sf_dir)[0],
-                                       P.MAX_EDIT_DISTANCE, P.TOP_SIMILAR)
+    camp, conv, _ = _t(spark, sf_dir)
+    return templates.similar_templates(_expected(spark), camp, P.MAX_EDIT_DISTANCE, P.TOP_SIMILAR, conv)
 
 
 @register("similar_template_counts")
@@ -297,6 +297,11 @@ def non_json_payloads(spark, sf_dir):
     return payload.non_json_payloads(_t(spark, sf_dir)[2])
 
 
+@register("non_json_payloads_parser")
+def non_json_payloads_parser(spark, sf_dir):
+    return payload.non_json_payloads(_t(spark, sf_dir)[2], method="parser")
+
+
 @register("payload_schema_violations")
 def payload_schema_violations(spark, sf_dir):
     return payload.payload_schema_violations(_t(spark, sf_dir)[2], P.REQUIRED_FIELDS)

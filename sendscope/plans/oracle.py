@@ -271,8 +271,11 @@ WHERE NOT EXISTS (SELECT 1 FROM camp WHERE camp.template = e.template)""",
                   CAST(levenshtein(t.template, e.template) AS INTEGER) AS distance
            FROM expected e, t
            WHERE levenshtein(t.template, e.template) BETWEEN 1 AND {P.MAX_EDIT_DISTANCE})""") + f"""
-SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY campaign ORDER BY distance, similar_template) AS INTEGER) AS rank
-FROM c QUALIFY rank <= {P.TOP_SIMILAR}""",
+SELECT top.*, COALESCE(j.n, 0) AS n_linked_rows
+FROM (SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY campaign ORDER BY distance, similar_template) AS INTEGER) AS rank
+      FROM c QUALIFY rank <= {P.TOP_SIMILAR}) top
+LEFT JOIN (SELECT camp.template, COUNT(*) AS n FROM camp JOIN conv ON conv.session_id = camp.session_id
+           GROUP BY camp.template) j ON j.template = top.similar_template""",
     "similar_template_counts": _with() + f"""
 SELECT camp.template, COUNT(*) AS n_rows
 FROM camp JOIN conv ON conv.session_id = camp.session_id
@@ -397,3 +400,6 @@ ORACLE_SQL["stream_orphan_conversations"] = _with() + f"""
 SELECT c.session_id, c.message_id, c.text AS cta, c.publish_time FROM conv c
 WHERE c.text IN ({_in_list(c for c, m in P.CTAS if m == 'exact')})
   AND NOT EXISTS (SELECT 1 FROM camp WHERE camp.session_id = c.session_id)"""
+
+ORACLE_SQL["non_json_payloads_parser"] = _with() + """
+SELECT "timestamp", "insertId", message FROM logs WHERE message IS NOT NULL AND NOT json_valid(message)"""

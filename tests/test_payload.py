@@ -11,6 +11,8 @@ def test_non_json_and_schema_violations(spark):
     logs = _logs(spark, msgs)
     non_json = {r.message for r in payload.non_json_payloads(logs).collect()}
     assert non_json == {"Comprar", "12"}  # prefix rule, JSON scalars count as non-JSON
+    parsed = {r.message for r in payload.non_json_payloads(logs, method="parser").collect()}
+    assert parsed == {"Comprar"}  # the parser accepts the scalar 12
     v = {r.message: r.missing_fields for r in
          payload.payload_schema_violations(logs, {"produto": "string", "acao": "string"}).collect()}
     assert v["Comprar"] == "produto,acao"
