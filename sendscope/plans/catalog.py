@@ -9,13 +9,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions.params import param_frame
 from ..operators import checks, diagnosis, payload, prepare, profile, search, sessions, templates
 from ..session import prefer_rocksdb_state, scratch_path
 from ..sources.adapter import campaigns_from_events, conversations_from_driver, logs_from_events
+from ..sources.readers import read_campaigns_json, read_logs_csv
 from ..sources.staging import staged_tables
+from ..sources.writers import export_csv, export_json_lines
 from ..streaming.alerts import run_error_rate_alerts
 from ..streaming.dedup import dedup_redeliveries
 from ..streaming.orphans import orphan_conversations_live
@@ -58,6 +61,27 @@ def load_logs(spark, sf_dir):
     return _t(spark, sf_dir)[2]
 
 
+@register("roundtrip_campaigns_json")
+def roundtrip_campaigns_json(spark, sf_dir):
+    """S1+S5: the whole campaign base exported as JSON lines and read back with
+    the fixed schema (ids stay strings, timestamps keep microseconds)."""
+    path = f"{scratch_path(spark, 'campaigns_json')}/data"
+    export_json_lines(_t(spark, sf_dir)[0], path)
+    return read_campaigns_json(spark, path, multi_line=False)
+
+
+@register("roundtrip_logs_csv")
+def roundtrip_logs_csv(spark, sf_dir):
+    """S3+S5: the whole log base exported as CSV under the raw export's dotted
+    column names (JSON cells with quotes and commas) and read back."""
+    logs = _t(spark, sf_dir)[2]
+    raw = logs.select("timestamp", "insertId", F.col("resource_type").alias("resource.type"),
+                      F.col("message").alias("jsonPayload.message"))
+    path = f"{scratch_path(spark, 'logs_csv')}/data"
+    export_csv(raw, path)
+    return read_logs_csv(spark, path)
+
+
 # --- profiling ---------------------------------------------------------------
 
 @register("profile_table")

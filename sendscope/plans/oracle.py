@@ -403,3 +403,6 @@ WHERE c.text IN ({_in_list(c for c, m in P.CTAS if m == 'exact')})
 
 ORACLE_SQL["non_json_payloads_parser"] = _with() + """
 SELECT "timestamp", "insertId", message FROM logs WHERE message IS NOT NULL AND NOT json_valid(message)"""
+
+ORACLE_SQL["roundtrip_campaigns_json"] = _with() + "SELECT * FROM camp"
+ORACLE_SQL["roundtrip_logs_csv"] = _with() + "SELECT * FROM logs"

@@ -7,12 +7,15 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 
+# Accepts second or microsecond precision, with or without a zone suffix.
+JSON_TIME_PATTERN = "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][XXX]"
+
 
 def read_campaigns_json(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """Campaigns export (a JSON array per file, or JSON lines with multi_line=False)."""
     return (spark.read.schema(schemas.CAMPAIGNS)
             .option("multiLine", multi_line)
-            .option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][XXX]")
+            .option("timestampNTZFormat", JSON_TIME_PATTERN)
             .json(path))
 
 
@@ -20,11 +23,11 @@ def read_conversations_json(spark: SparkSession, path: str, multi_line: bool = T
     """Conversations export."""
     return (spark.read.schema(schemas.CONVERSATIONS)
             .option("multiLine", multi_line)
-            .option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][XXX]")
+            .option("timestampNTZFormat", JSON_TIME_PATTERN)
             .json(path))
 
 
-def read_logs_csv(spark: SparkSession, path: str) -> DataFrame:
+def read_logs_csv(spark: SparkSession, path: str, time_format: str | None = None) -> DataFrame:
     """S3: raw infrastructure-log CSV.
 
     Cells hold JSON with doubled quotes, commas and newlines, so the quote
@@ -36,6 +39,7 @@ def read_logs_csv(spark: SparkSession, path: str) -> DataFrame:
            .option("multiLine", True)
            .option("escape", '"')
            .option("mode", "PERMISSIVE")
+           .option("timestampNTZFormat", time_format or "yyyy-MM-dd HH:mm:ss[.SSSSSS]")
            .csv(path))
     return raw.select(*[F.col(f"`{c}`").alias(schemas.LOG_RENAMES.get(c, c)) for c in raw.columns])
 

@@ -29,9 +29,22 @@ def write_processed(df: DataFrame, path: str, time_col: str | None = "publish_ti
 
 
 def export_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """CSV export for spreadsheet users: quotes escaped by doubling, header kept."""
+    """CSV export for spreadsheet users: quotes escaped by doubling, header kept,
+    timestamps with microseconds so a re-read is lossless."""
     (df.write.mode(mode)
        .option("header", True)
        .option("escape", '"')
        .option("quoteAll", False)
+       .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss.SSSSSS")
        .csv(path))
+
+
+JSON_TIME_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+
+
+def export_json_lines(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """JSON-lines export with full microsecond timestamps (readable by S1/S2)."""
+    (df.write.mode(mode)
+       .option("timestampNTZFormat", JSON_TIME_FORMAT)
+       .option("ignoreNullFields", False)
+       .json(path))
