@@ -35,10 +35,16 @@ def sequence_within_groups(df: DataFrame, group_cols: list[str], order_cols: lis
     """Add ``seq`` (1-based position) and ``prev_<col>`` for order and carry columns.
 
     ``order_cols`` must give a total order within a group (add a unique id as
-    the last column) so results are deterministic on recomputation.
+    the last column) so results are deterministic on recomputation. NULLs sort
+    last, as in pandas and SQL ``ASC``: each order column is preceded by its
+    ``IS NULL`` flag, so the range partitioner, the windows and the per-slice
+    ``max`` all see one and the same order.
     """
     spark = df.sparkSession
-    keys = [F.col(c) for c in group_cols + order_cols]
+    flags = [f"_nl{i}" for i in range(len(order_cols))]
+    df = df.select("*", *[F.col(c).isNull().alias(f) for c, f in zip(order_cols, flags)])
+    eff_order = [x for pair in zip(flags, order_cols) for x in pair]
+    keys = [F.col(c) for c in group_cols + eff_order]
     ensure_checkpoint_dir(spark)
     # Without an explicit count AQE sizes the slices; coalescing merges
     # adjacent ranges, so every slice is still one contiguous key range.
@@ -47,8 +53,8 @@ def sequence_within_groups(df: DataFrame, group_cols: list[str], order_cols: lis
                 .withColumn("_slice", F.spark_partition_id())
                 .checkpoint(eager=True))
 
-    local_w = Window.partitionBy("_slice", *group_cols).orderBy(*order_cols)
-    order_struct = F.struct(*[F.col(c).alias(c) for c in [*order_cols, *carry_cols]])
+    local_w = Window.partitionBy("_slice", *group_cols).orderBy(*eff_order)
+    order_struct = F.struct(*[F.col(c).alias(c) for c in [*eff_order, *carry_cols]])
     local = (sliced
              .withColumn("_lrn", F.row_number().over(local_w))
              .withColumn("_lprev", F.lag(order_struct).over(local_w)))
@@ -73,4 +79,4 @@ def sequence_within_groups(df: DataFrame, group_cols: list[str], order_cols: lis
     if prev_prefix is not None:
         for c in [*order_cols, *carry_cols]:
             out = out.withColumn(f"{prev_prefix}{c}", prev.getField(c))
-    return out.drop("_slice", "_lrn", "_lprev", "_off", "_plast")
+    return out.drop("_slice", "_lrn", "_lprev", "_off", "_plast", *flags)

@@ -13,9 +13,10 @@ def test_sequence_matches_window_with_hot_group(spark):
         g = "hot" if i % 3 == 0 else f"g{rnd.randint(0, 200)}"  # one group holds a third of the rows
         rows.append((g, rnd.randint(0, 50), f"m{i:05d}"))
     rows.append((None, 1, "mnull"))
+    rows += [("hot", None, "n1"), ("g7", None, "n2"), ("g7", None, "n3")]  # null order keys sort last
     df = spark.createDataFrame(rows, "grp string, t int, id string")
     got = sequence_within_groups(df, ["grp"], ["t", "id"], num_slices=16)
-    w = Window.partitionBy("grp").orderBy("t", "id")
+    w = Window.partitionBy("grp").orderBy(F.col("t").asc_nulls_last(), F.col("id").asc_nulls_last())
     ref = df.withColumn("seq", F.row_number().over(w)).withColumn("prev_id", F.lag("id").over(w)) \
         .withColumn("prev_t", F.lag("t").over(w))
     a = sorted((r.id, r.seq, r.prev_id, r.prev_t) for r in got.collect())
