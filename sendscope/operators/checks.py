@@ -91,7 +91,7 @@ def check_orphan_sessions(conv: DataFrame, camp: DataFrame, ctas: Iterable | Dat
       and campaigns reduced to distinct sessions, so a hot session is one row
       on each side.
 
-    ``orphan_messages`` is the reference's COUNT(*) over conversation rows;
+    ``orphan_messages`` is the scheduled SQL's COUNT(*) over conversation rows;
     ``orphan_sessions`` counts distinct sessions.
     """
     rules = _cta_rules(ctas, max_rows)

@@ -69,7 +69,7 @@ def keyword_hits(df: DataFrame, keywords: Keywords, text_col: str = "text",
 def keyword_linkage(conv: DataFrame, camp: DataFrame, keywords: Keywords) -> DataFrame:
     """Per keyword, hits in conversations split into linked / unlinked to a campaign.
 
-    The reference's "15 coupon hits, none linked" finding as a table. Keywords
+    The "coupon hits, none linked to a campaign" finding as a table. Keywords
     without hits are reported with zeros.
     """
     kws = keyword_list(keywords)
