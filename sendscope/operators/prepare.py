@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .sequence import sequence_within_groups
+from .sequence import latest_before, sequence_within_groups
 
 # Columns the investigation discards as low-value.
 CAMPAIGN_DROP_FIRST = ["attributes", "data", "subscription_name", "channel_client_id"]
@@ -40,6 +40,23 @@ def conversations_with_campaigns(camp: DataFrame, conv: DataFrame) -> DataFrame:
         "publish_time_conversa", "message_id_conversa")
 
 
+def dispatch_for_conversation(camp: DataFrame, conv: DataFrame) -> DataFrame:
+    """One row per conversation message with the campaign dispatch that
+    preceded it: the latest dispatch of the same session at or before the
+    message (ties: highest message_id). Unlike the session join it never
+    multiplies rows, so it stays one-to-one even for a hot session.
+    """
+    c = conv.select("session_id", F.col("message_id").alias("message_id_conversa"), "text",
+                    F.col("publish_time").alias("publish_time_conversa"))
+    k = camp.select("session_id", "publish_time", "message_id", "template")
+    out = latest_before(c, k, "session_id", "publish_time_conversa", "publish_time", "message_id",
+                        ["message_id", "publish_time", "template"], prefix="campaign_")
+    return out.select("session_id", "message_id_conversa", "text", "publish_time_conversa",
+                      F.col("campaign_message_id").alias("message_id_campanha"),
+                      F.col("campaign_publish_time").alias("publish_time_campanha"),
+                      F.col("campaign_template").alias("template"))
+
+
 def latest_per_key(df: DataFrame, key: str, order_cols: list[str]) -> DataFrame:
     """The row with the greatest ``order_cols`` per ``key`` (order_cols should
     end in a unique id so ties are broken deterministically).

@@ -80,3 +80,57 @@ def sequence_within_groups(df: DataFrame, group_cols: list[str], order_cols: lis
         for c in [*order_cols, *carry_cols]:
             out = out.withColumn(f"{prev_prefix}{c}", prev.getField(c))
     return out.drop("_slice", "_lrn", "_lprev", "_off", "_plast", *flags)
+
+
+def latest_before(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str,
+                  right_tiebreak: str, right_cols: list[str], prefix: str = "right_") -> DataFrame:
+    """As-of join: each ``left`` row with the latest ``right`` row of the same
+    ``key`` whose time is at or before the left row's time (ties on time: the
+    greatest ``right_tiebreak``). Left rows without one get NULLs.
+
+    No pairs are formed. Both sides are stacked into one stream ordered by
+    (key, time, side, tiebreak) — right rows first at equal times — and cut
+    into range slices (a hot key spans several). Within a slice the last right
+    row seen so far is carried forward by a window; across slices, the last
+    right row of earlier slices of the key comes from a per-(slice, key) table
+    with at most one row per slice for a hot key. Output: left columns plus
+    ``prefix + c`` for each right column.
+    """
+    spark = left.sparkSession
+    ensure_checkpoint_dir(spark)
+    rstruct = F.struct(F.col("_t").alias("_t"), F.col("_tb").alias("_tb"),
+                       *[F.col(f"_r_{c}").alias(c) for c in right_cols])
+    lcols = left.columns
+    l_side = left.select(F.col(key).alias("_k"), F.col(left_time).alias("_t"), F.lit(1).alias("_side"),
+                         F.lit(None).cast("string").alias("_tb"),
+                         *[F.col(c).alias(f"_l_{c}") for c in lcols],
+                         *[F.lit(None).cast(right.schema[c].dataType).alias(f"_r_{c}") for c in right_cols])
+    r_side = right.select(F.col(key).alias("_k"), F.col(right_time).alias("_t"), F.lit(0).alias("_side"),
+                          F.col(right_tiebreak).cast("string").alias("_tb"),
+                          *[F.lit(None).cast(left.schema[c].dataType).alias(f"_l_{c}") for c in lcols],
+                          *[F.col(c).alias(f"_r_{c}") for c in right_cols])
+    stacked = l_side.unionByName(r_side).where(F.col("_t").isNotNull())
+    order = ["_t", "_side", "_tb"]
+    sliced = (stacked.repartitionByRange("_k", *order)
+                     .withColumn("_slice", F.spark_partition_id())
+                     .checkpoint(eager=True))
+
+    upto = Window.partitionBy("_slice", "_k").orderBy(*order) \
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    right_row = F.when(F.col("_side") == 0, rstruct)
+    local = sliced.withColumn("_lr", F.last(right_row, ignorenulls=True).over(upto))
+
+    stats = sliced.groupBy("_slice", "_k").agg(F.max(right_row).alias("_slast"))
+    before = Window.partitionBy("_k").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    stats = stats.select(F.col("_slice").alias("_s_slice"), F.col("_k").alias("_s_k"),
+                         F.last("_slast", ignorenulls=True).over(before).alias("_pr"))
+
+    cond = (F.col("_slice") == F.col("_s_slice")) & F.col("_k").eqNullSafe(F.col("_s_k"))
+    joined = local.where(F.col("_side") == 1).join(stats, cond, "inner")
+    match = F.coalesce(F.col("_lr"), F.col("_pr"))
+    out = joined.select(*[F.col(f"_l_{c}").alias(c) for c in lcols],
+                        *[match.getField(c).alias(f"{prefix}{c}") for c in right_cols])
+    # left rows with a NULL time never match; keep them with NULL right fields
+    nulls = left.where(F.col(left_time).isNull()).select(
+        *lcols, *[F.lit(None).cast(right.schema[c].dataType).alias(f"{prefix}{c}") for c in right_cols])
+    return out.unionByName(nulls)

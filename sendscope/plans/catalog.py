@@ -144,6 +144,12 @@ def conversations_with_campaigns(spark, sf_dir):
     return prepare.conversations_with_campaigns(camp, conv)
 
 
+@register("dispatch_for_conversation")
+def dispatch_for_conversation(spark, sf_dir):
+    camp, conv, _ = _t(spark, sf_dir)
+    return prepare.dispatch_for_conversation(camp, conv)
+
+
 @register("latest_per_session")
 def latest_per_session(spark, sf_dir):
     return prepare.latest_per_session(_t(spark, sf_dir)[0])

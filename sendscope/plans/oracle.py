@@ -406,3 +406,14 @@ SELECT "timestamp", "insertId", message FROM logs WHERE message IS NOT NULL AND
 
 ORACLE_SQL["roundtrip_campaigns_json"] = _with() + "SELECT * FROM camp"
 ORACLE_SQL["roundtrip_logs_csv"] = _with() + "SELECT * FROM logs"
+
+ORACLE_SQL["dispatch_for_conversation"] = _with() + """
+SELECT session_id, message_id_conversa, text, publish_time_conversa, message_id_campanha,
+       publish_time_campanha, template
+FROM (
+  SELECT c.session_id, c.message_id AS message_id_conversa, c.text, c.publish_time AS publish_time_conversa,
+         k.message_id AS message_id_campanha, k.publish_time AS publish_time_campanha, k.template,
+         ROW_NUMBER() OVER (PARTITION BY c.message_id
+                            ORDER BY k.publish_time DESC NULLS LAST, k.message_id DESC NULLS LAST) AS rn
+  FROM conv c LEFT JOIN camp k ON k.session_id = c.session_id AND k.publish_time <= c.publish_time) x
+WHERE rn = 1"""

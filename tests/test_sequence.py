@@ -26,3 +26,27 @@ def test_sequence_matches_window_with_hot_group(spark):
     slices = df.repartitionByRange(16, "grp", "t", "id").withColumn("p", F.spark_partition_id()) \
         .where(F.col("grp") == "hot").select("p").distinct().count()
     assert slices > 1
+
+
+def test_latest_before_matches_brute_force(spark):
+    from sendscope.operators.sequence import latest_before
+    rnd = random.Random(11)
+    left, right = [], []
+    for i in range(600):
+        k = "hot" if i % 3 == 0 else f"k{rnd.randint(0, 30)}"
+        left.append((k, rnd.choice([None] + list(range(40))), f"l{i:04d}"))
+    for i in range(900):
+        k = "hot" if i % 3 == 0 else f"k{rnd.randint(0, 40)}"
+        right.append((k, rnd.randint(0, 40), f"r{i:04d}"))
+    ldf = spark.createDataFrame(left, "k string, t int, lid string")
+    rdf = spark.createDataFrame(right, "k string, rt int, rid string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # force several slices
+    try:
+        got = {r.lid: r.right_rid for r in latest_before(ldf, rdf, "k", "t", "rt", "rid", ["rid"]).collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    expect = {}
+    for k, t, lid in left:
+        cands = [(rt, rid) for rk, rt, rid in right if rk == k and t is not None and rt <= t]
+        expect[lid] = max(cands)[1] if cands else None
+    assert got == expect
