@@ -54,3 +54,14 @@ def test_daily_coverage_labels_missing_side(spark):
         .select(F.col("publish_time").cast("timestamp_ntz").alias("publish_time"))
     got = {str(r.publish_date): r.missing_in for r in sessions.daily_coverage(camp, conv).collect()}
     assert got == {"2024-03-19": "conversations", "2024-03-20": None}
+
+
+@settings(max_examples=10, deadline=None)
+@given(st.lists(st.sampled_from(["a", "b", "c", "d", None]), max_size=20),
+       st.lists(st.sampled_from(["a", "c", "e", None]), max_size=20))
+def test_anti_is_rows_minus_semi(spark, conv_keys, camp_keys):
+    conv = spark.createDataFrame([(k, i) for i, k in enumerate(conv_keys)], "session_id string, i int")
+    camp = spark.createDataFrame([(k,) for k in camp_keys], "session_id string")
+    anti = {r.i for r in conv.join(camp, "session_id", "left_anti").collect()}
+    semi = {r.i for r in conv.join(camp, "session_id", "left_semi").collect()}
+    assert anti | semi == set(range(len(conv_keys))) and not anti & semi

@@ -59,3 +59,13 @@ def test_adapter_row_counts(spark):
     assert t["campaigns"].count() == 10_000
     assert t["conversations"].count() == 536
     assert t["logs"].count() == 10_000
+
+
+def test_sorted_export_is_globally_ordered(spark):
+    from sendscope.operators.prepare import sorted_for_export
+    conv = load_tables(spark, "/root/testdata/sf0.01")["conversations"]
+    parts = sorted_for_export(conv, ["session_id", "publish_time", "message_id"], 4) \
+        .select("session_id", "publish_time", "message_id", F.spark_partition_id().alias("p")).collect()
+    keys = [(r.p, r.session_id, r.publish_time, r.message_id) for r in parts]
+    # rows come out partition by partition, each sorted, partitions in key order
+    assert [k[1:] for k in keys] == sorted(k[1:] for k in keys)
