@@ -97,6 +97,11 @@ def profile_columns(spark, sf_dir):
     return profile.profile_columns(_t(spark, sf_dir)[0], "campaigns")
 
 
+@register("profile_columns_conversations")
+def profile_columns_conversations(spark, sf_dir):
+    return profile.profile_columns(_t(spark, sf_dir)[1], "conversations")
+
+
 @register("constant_columns")
 def constant_columns(spark, sf_dir):
     camp, conv, logs = _t(spark, sf_dir)

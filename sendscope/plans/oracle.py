@@ -417,3 +417,7 @@ FROM (
                             ORDER BY k.publish_time DESC NULLS LAST, k.message_id DESC NULLS LAST) AS rn
   FROM conv c LEFT JOIN camp k ON k.session_id = c.session_id AND k.publish_time <= c.publish_time) x
 WHERE rn = 1"""
+
+ORACLE_SQL["profile_columns_conversations"] = _profile_columns(
+    "conversations", "conv",
+    [(c, "timestamp_ntz" if c == "publish_time" else "string") for c in CONV_COLS])
