@@ -88,8 +88,9 @@ def check_orphan_sessions(conv: DataFrame, camp: DataFrame, ctas: Iterable | Dat
       filter that skips every other day's files;
     * exact CTAs become one hash-set ``isin``; regex CTAs one ``rlike`` each;
     * conversations are pre-aggregated per (session, CTA) before the anti join
-      and campaigns reduced to distinct sessions, so a hot session is one row
-      on each side.
+      and campaigns reduced to the distinct sessions among those (a semi join
+      AQE broadcasts when the CTA hits are few), so a hot session is one row
+      on each side and non-matching campaign ids are never shuffled.
 
     ``orphan_messages`` is the scheduled SQL's COUNT(*) over conversation rows;
     ``orphan_sessions`` counts distinct sessions.
@@ -124,7 +125,10 @@ def check_orphan_sessions(conv: DataFrame, camp: DataFrame, ctas: Iterable | Dat
                      .where(F.col("cta").isNotNull()))
     per_session = tagged.groupBy("session_id", "cta").agg(
         F.count(F.lit(1)).alias("n"), F.min("publish_time").alias("first_seen"))
-    known = camp.select("session_id").distinct()
+    # campaign sessions among the tagged ones only (semi-join reduction)
+    known = (camp.select("session_id")
+                 .join(per_session.select("session_id").distinct(), "session_id", "left_semi")
+                 .distinct())
     orphans = per_session.join(known, "session_id", "left_anti")
     return (orphans.groupBy("cta")
                    .agg(F.sum("n").cast("long").alias("orphan_messages"),

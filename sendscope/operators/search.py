@@ -29,8 +29,18 @@ def keyword_list(keywords: Keywords, max_rows: int = DEFAULT_MAX_PARAM_ROWS) ->
     return [(str(n), str(p)) for n, p in keywords]
 
 
-def _campaign_sessions(camp: DataFrame) -> DataFrame:
-    return camp.select(F.col("session_id").alias("session_campanha")).distinct()
+def campaign_sessions_among(camp: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Distinct campaign sessions that occur among ``candidates.session_id``.
+
+    Only sessions with a hit can link, so the campaign side is semi-joined
+    with the candidate sessions before its distinct: when the hits are few
+    AQE broadcasts them and the campaign scan is filtered map-side, so only
+    matching session ids are shuffled; otherwise it is an ordinary shuffle
+    join. Same result either way.
+    """
+    hit_sessions = candidates.select("session_id").where(F.col("session_id").isNotNull()).distinct()
+    return (camp.select("session_id").join(hit_sessions, "session_id", "left_semi")
+                .distinct().select(F.col("session_id").alias("session_campanha")))
 
 
 def keyword_flag(df: DataFrame, pattern: str, flag_col: str, text_col: str = "text") -> DataFrame:
@@ -43,10 +53,11 @@ def keyword_conversations(conv: DataFrame, camp: DataFrame, pattern: str, flag_c
     sessions; ``session_campanha`` is NULL when no campaign explains the session.
 
     The match filter runs at the conversations scan; the campaign side is
-    aggregated to distinct ids first, so the join cannot multiply rows.
+    reduced to the distinct sessions among the hits first, so the join cannot
+    multiply rows and only matching campaign ids are shuffled.
     """
     hits = conv.where(matches("text", pattern)).withColumn(flag_col, F.lit(FLAG_YES))
-    cam = _campaign_sessions(camp)
+    cam = campaign_sessions_among(camp, hits)
     return hits.join(cam, hits["session_id"] == cam["session_campanha"], "left")
 
 
@@ -74,7 +85,7 @@ def keyword_linkage(conv: DataFrame, camp: DataFrame, keywords: Keywords) -> Dat
     """
     kws = keyword_list(keywords)
     hits = keyword_hits(conv, kws, keep_cols=["session_id"])
-    cam = _campaign_sessions(camp)
+    cam = campaign_sessions_among(camp, hits)
     linked = hits.join(cam, hits["session_id"] == cam["session_campanha"], "left")
     agg = linked.groupBy("keyword").agg(
         F.count(F.lit(1)).alias("n_hits"),
