@@ -153,7 +153,9 @@ def template_join_counts(camp: DataFrame, conv: DataFrame, templates: Iterable[s
     are absent, as with a GROUP BY over the join.
     """
     c = _with_templates(camp, templates).groupBy("session_id", "template").agg(F.count(F.lit(1)).alias("n_c"))
-    v = conv.groupBy("session_id").agg(F.count(F.lit(1)).alias("n_v"))
+    # only sessions holding a listed template matter: reduce conversations first
+    v = (conv.join(c.select("session_id").distinct(), "session_id", "left_semi")
+             .groupBy("session_id").agg(F.count(F.lit(1)).alias("n_v")))
     return (c.join(v, "session_id", "inner")
              .groupBy("template").agg(F.sum(F.col("n_c") * F.col("n_v")).cast("long").alias("n_rows")))
 
