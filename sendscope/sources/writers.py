@@ -48,3 +48,17 @@ def export_json_lines(df: DataFrame, path: str, mode: str = "overwrite") -> None
        .option("timestampNTZFormat", JSON_TIME_FORMAT)
        .option("ignoreNullFields", False)
        .json(path))
+
+
+def write_alerts(alerts: DataFrame, path: str, run_date) -> None:
+    """Write one run of the checks into the alerts table.
+
+    Partitioned by ``run_date`` with dynamic partition overwrite: a retried or
+    re-run job replaces exactly its own day's alerts and leaves other days
+    untouched, so scheduled runs are idempotent.
+    """
+    (alerts.withColumn("run_date", F.lit(run_date).cast("date"))
+           .write.mode("overwrite")
+           .option("partitionOverwriteMode", "dynamic")
+           .partitionBy("run_date")
+           .parquet(path))

@@ -69,3 +69,15 @@ def test_sorted_export_is_globally_ordered(spark):
     keys = [(r.p, r.session_id, r.publish_time, r.message_id) for r in parts]
     # rows come out partition by partition, each sorted, partitions in key order
     assert [k[1:] for k in keys] == sorted(k[1:] for k in keys)
+
+
+def test_alert_runs_are_idempotent_per_day(spark, tmp_path):
+    from sendscope.sources import write_alerts
+    a = spark.createDataFrame([("version", "t / 1", "attention", 3, None)],
+                              "check_name string, entity string, severity string, n_rows long, first_seen timestamp_ntz")
+    out = str(tmp_path / "alerts")
+    write_alerts(a, out, "2024-03-21")
+    write_alerts(a, out, "2024-03-21")  # retry of the same day
+    write_alerts(a.unionByName(a), out, "2024-03-22")
+    got = {str(r.run_date): r["count"] for r in read_processed(spark, out).groupBy("run_date").count().collect()}
+    assert got == {"2024-03-21": 1, "2024-03-22": 2}
