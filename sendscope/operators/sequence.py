@@ -105,7 +105,9 @@ def latest_before(left: DataFrame, right: DataFrame, key: str, left_time: str, r
                          F.lit(None).cast("string").alias("_tb"),
                          *[F.col(c).alias(f"_l_{c}") for c in lcols],
                          *[F.lit(None).cast(right.schema[c].dataType).alias(f"_r_{c}") for c in right_cols])
-    r_side = right.select(F.col(key).alias("_k"), F.col(right_time).alias("_t"), F.lit(0).alias("_side"),
+    # a NULL key never equals anything (SQL semantics): such right rows cannot match
+    r_side = right.where(F.col(key).isNotNull()).select(
+                          F.col(key).alias("_k"), F.col(right_time).alias("_t"), F.lit(0).alias("_side"),
                           F.col(right_tiebreak).cast("string").alias("_tb"),
                           *[F.lit(None).cast(left.schema[c].dataType).alias(f"_l_{c}") for c in lcols],
                           *[F.col(c).alias(f"_r_{c}") for c in right_cols])

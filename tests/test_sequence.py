@@ -38,6 +38,8 @@ def test_latest_before_matches_brute_force(spark):
     for i in range(900):
         k = "hot" if i % 3 == 0 else f"k{rnd.randint(0, 40)}"
         right.append((k, rnd.randint(0, 40), f"r{i:04d}"))
+    left.append((None, 20, "lnull"))
+    right.append((None, 1, "rnull"))  # NULL keys never match
     ldf = spark.createDataFrame(left, "k string, t int, lid string")
     rdf = spark.createDataFrame(right, "k string, rt int, rid string")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # force several slices
@@ -47,6 +49,7 @@ def test_latest_before_matches_brute_force(spark):
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
     expect = {}
     for k, t, lid in left:
-        cands = [(rt, rid) for rk, rt, rid in right if rk == k and t is not None and rt <= t]
+        cands = [(rt, rid) for rk, rt, rid in right
+                 if k is not None and rk == k and t is not None and rt <= t]
         expect[lid] = max(cands)[1] if cands else None
     assert got == expect
