@@ -48,7 +48,11 @@ def dispatch_for_conversation(camp: DataFrame, conv: DataFrame) -> DataFrame:
     """
     c = conv.select("session_id", F.col("message_id").alias("message_id_conversa"), "text",
                     F.col("publish_time").alias("publish_time_conversa"))
-    k = camp.select("session_id", "publish_time", "message_id", "template")
+    # only dispatches of sessions that have conversations can be linked
+    # (semi-join reduction; AQE broadcasts the conversation sessions when few)
+    k = (camp.select("session_id", "publish_time", "message_id", "template")
+             .join(c.select("session_id").where(F.col("session_id").isNotNull()).distinct(),
+                   "session_id", "left_semi"))
     out = latest_before(c, k, "session_id", "publish_time_conversa", "publish_time", "message_id",
                         ["message_id", "publish_time", "template"], prefix="campaign_")
     return out.select("session_id", "message_id_conversa", "text", "publish_time_conversa",
