@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 # The deserialisation error signature and the payload that follows it.
 ERROR_SIGNATURE = "cannot be deserialized"
-PAYLOAD_AFTER_SIGNATURE = r"cannot be deserialized: (.*)$"
+PAYLOAD_AFTER_SIGNATURE = r"(?s)cannot be deserialized: (.*)"
 JSON_START = r"^\s*[{\[]"
 
 
@@ -20,7 +20,8 @@ def is_deserialization_error(message: Column | str) -> Column:
 
 
 def error_payload(message: Column | str) -> Column:
-    """Offending payload quoted by a deserialisation error ('' when absent)."""
+    """Offending payload quoted by a deserialisation error, newlines included
+    ('' when absent)."""
     return F.regexp_extract(_c(message), PAYLOAD_AFTER_SIGNATURE, 1)
 
 

@@ -301,7 +301,7 @@ SELECT 'orphan_sessions', cta, 'critical', orphan_messages, first_seen FROM c3
 UNION ALL
 SELECT 'error_rate', 'cannot be deserialized', 'critical', n_errors, window_start FROM c4""",
     "error_payloads": _with() + """
-SELECT regexp_extract(message, 'cannot be deserialized: (.*)$', 1) AS payload, COUNT(*) AS n_errors,
+SELECT regexp_extract(message, '(?s)cannot be deserialized: (.*)', 1) AS payload, COUNT(*) AS n_errors,
        MIN("timestamp") AS first_seen, MAX("timestamp") AS last_seen
 FROM logs WHERE message LIKE '%cannot be deserialized%' GROUP BY 1""",
     "non_json_payloads": _with() + r"""

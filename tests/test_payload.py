@@ -49,3 +49,9 @@ def test_contains_join_matches_literal_path(spark):
     brute = {c: sum(1 for m in msgs if m is not None and c in m)
              for c in ["Buy now", "Talk to an agent", "ab", "Lu", "zz", "now Buy n"]}
     assert {c: v[0] for c, v in joined.items()} == brute
+
+
+def test_error_payload_keeps_multi_line_text(spark):
+    logs = _logs(spark, ["x cannot be deserialized: Comprar\nsegunda linha", "x cannot be deserialized: Lu\n"])
+    got = sorted(r.payload for r in payload.error_payloads(logs).collect())
+    assert got == ["Comprar\nsegunda linha", "Lu\n"]
