@@ -11,7 +11,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The suffix pattern and its date layout (day before month).
-SUFFIX_PATTERN = r"(\d{4})$"
+# \z is the end of the text, like RE2's $ (Java's $ also matches before a final newline)
+SUFFIX_PATTERN = r"(\d{4})\z"
 SUFFIX_LAYOUT = "yyyyddMM"
 
 

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 # The deserialisation error signature and the payload that follows it.
 ERROR_SIGNATURE = "cannot be deserialized"
 PAYLOAD_AFTER_SIGNATURE = r"(?s)cannot be deserialized: (.*)"
-JSON_START = r"^\s*[{\[]"
+# JSON's own whitespace (\s would also take a vertical tab in Java, not in RE2)
+JSON_START = r"^[ \t\n\r]*[{\[]"
 
 
 def _c(col: Column | str) -> Column:

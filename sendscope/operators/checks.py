@@ -19,7 +19,7 @@ from ..functions.regex import matches
 
 # Version prefix, severities and the orphan threshold of the proposal.
 VERSION_PREFIX = "sendtype-"
-STRICT_VERSION = r"^sendtype-\d{3}$"
+STRICT_VERSION = r"^sendtype-\d{3}\z"
 ATTENTION = "attention"
 CRITICAL = "critical"
 DEFAULT_ORPHAN_THRESHOLD = 10

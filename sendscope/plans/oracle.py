@@ -305,7 +305,7 @@ SELECT regexp_extract(message, '(?s)cannot be deserialized: (.*)', 1) AS payload
        MIN("timestamp") AS first_seen, MAX("timestamp") AS last_seen
 FROM logs WHERE message LIKE '%cannot be deserialized%' GROUP BY 1""",
     "non_json_payloads": _with() + r"""
-SELECT "timestamp", "insertId", message FROM logs WHERE NOT regexp_matches(message, '^\s*[{\[]')""",
+SELECT "timestamp", "insertId", message FROM logs WHERE NOT regexp_matches(message, '^[ \t\n\r]*[{\[]')""",
     "payload_schema_violations": _with() + """
 SELECT "timestamp", "insertId", message, 'k' AS missing_fields FROM logs
 WHERE TRY_CAST(CASE WHEN json_valid(message) THEN json_extract_string(message, '$.k') END AS INTEGER) IS NULL""",

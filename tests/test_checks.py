@@ -20,6 +20,7 @@ def test_template_date_suffixes(spark):
         ("s5", "x_2902", "sendtype-835", "2024-02-29 09:00:00"),  # leap day, 2024
         ("s6", "x_2902", "sendtype-835", "2023-03-01 09:00:00"),  # 29 Feb 2023 does not exist
         ("s7", None, None, "2024-03-19 09:00:00"),
+        ("s8", "x_1003\n", "sendtype-835", "2024-03-19 09:00:00"),  # no suffix at the very end
     ])
     out = {r.session_id: (r.issue, r.suffix_date) for r in checks.check_template_date(camp).collect()}
     assert out == {"s2": ("date_mismatch", dt.date(2024, 3, 10)), "s4": ("invalid_suffix", None),

@@ -55,3 +55,8 @@ def test_error_payload_keeps_multi_line_text(spark):
     logs = _logs(spark, ["x cannot be deserialized: Comprar\nsegunda linha", "x cannot be deserialized: Lu\n"])
     got = sorted(r.payload for r in payload.error_payloads(logs).collect())
     assert got == ["Comprar\nsegunda linha", "Lu\n"]
+
+
+def test_json_prefix_uses_json_whitespace(spark):
+    logs = _logs(spark, [' \n{"k": 1}', '\x0b{"k": 1}'])
+    assert [r.message for r in payload.non_json_payloads(logs).collect()] == ['\x0b{"k": 1}']
