@@ -27,10 +27,51 @@ def unicode_case(pattern: str) -> str:
     return f"(?{m.group(1)}u)" + pattern[m.end():]
 
 
+# Word boundaries on ASCII word characters, as in RE2. Java's own \b also
+# counts accented letters as word characters, so "éthe" has no boundary
+# before "t" in Java but has one in RE2. Java's \w is ASCII unless (?U).
+_ASCII_B = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
+_ASCII_NOT_B = r"(?:(?<=\w)(?=\w)|(?<!\w)(?!\w))"
+
+
+def ascii_word_boundaries(pattern: str) -> str:
+    r"""Rewrite ``\b`` / ``\B`` outside character classes and ``\Q…\E``
+    quotes into ASCII word-boundary lookarounds."""
+    out, i, depth, n = [], 0, 0, len(pattern)
+    while i < n:
+        ch = pattern[i]
+        if ch == "\\" and i + 1 < n:
+            nxt = pattern[i + 1]
+            if nxt == "Q":
+                end = pattern.find("\\E", i + 2)
+                end = n if end < 0 else end + 2
+                out.append(pattern[i:end])
+                i = end
+                continue
+            if depth == 0 and nxt in "bB":
+                out.append(_ASCII_B if nxt == "b" else _ASCII_NOT_B)
+            else:
+                out.append(pattern[i:i + 2])
+            i += 2
+            continue
+        if ch == "[":
+            depth += 1
+        elif ch == "]" and depth > 0:
+            depth -= 1
+        out.append(ch)
+        i += 1
+    return "".join(out)
+
+
+def java_pattern(pattern: str) -> str:
+    """A Java regex that searches like the same pattern in RE2 (DuckDB)."""
+    return unicode_case(ascii_word_boundaries(pattern))
+
+
 def matches(col: Column | str, pattern: str) -> Column:
     """Null-safe regex search: a null text never matches (falls to 'no')."""
     c = F.col(col) if isinstance(col, str) else col
-    return F.coalesce(c.rlike(unicode_case(pattern)), F.lit(False))
+    return F.coalesce(c.rlike(java_pattern(pattern)), F.lit(False))
 
 
 def flag(col: Column | str, pattern: str) -> Column:

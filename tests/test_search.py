@@ -1,4 +1,4 @@
-from sendscope.functions.regex import FLAG_NO, FLAG_YES, unicode_case
+from sendscope.functions.regex import FLAG_NO, FLAG_YES, matches, unicode_case
 from sendscope.operators import search
 
 
@@ -52,3 +52,19 @@ def test_keyword_logs(spark):
     logs = spark.createDataFrame([("cannot be deserialized: Comprar Fone X9",), ("ok",), (None,)],
                                  "message string")
     assert search.keyword_logs(logs, r"(?i)fone\s+x9", "fone").count() == 1
+
+
+def test_word_boundaries_match_re2(spark):
+    import duckdb
+
+    from sendscope.functions.regex import ascii_word_boundaries
+    texts = ["éthe of", "xthe of", "the of", "_the of", "1the of", "été the of", "çthe  of", "of the", None]
+    patterns = [r"(?i)\bthe\s+of", r"\Bhe", r"[tx]he\b", r"\Q\b\E|of\b"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    con = duckdb.connect()
+    for p in patterns:
+        got = [r.m for r in df.select(matches("t", p).alias("m")).collect()]
+        want = [bool(con.execute("SELECT regexp_matches(?, ?)", [t, p]).fetchone()[0]) if t is not None else False
+                for t in texts]
+        assert got == want, p
+    assert ascii_word_boundaries(r"[\b]") == r"[\b]"
