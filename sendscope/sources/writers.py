@@ -50,15 +50,17 @@ def export_json_lines(df: DataFrame, path: str, mode: str = "overwrite") -> None
        .json(path))
 
 
-def write_alerts(alerts: DataFrame, path: str, run_date) -> None:
+def write_alerts(alerts: DataFrame, path: str, run_date, run_id: str = "checks") -> None:
     """Write one run of the checks into the alerts table.
 
-    Partitioned by ``run_date`` with dynamic partition overwrite: a retried or
-    re-run job replaces exactly its own day's alerts and leaves other days
-    untouched, so scheduled runs are idempotent.
+    The table is partitioned by (``run_date``, ``run_id``) and written with
+    dynamic partition overwrite: a retried or re-run job replaces exactly its
+    own partition and leaves other days and other writers (streams) untouched,
+    so scheduled runs are idempotent.
     """
     (alerts.withColumn("run_date", F.lit(run_date).cast("date"))
+           .withColumn("run_id", F.lit(run_id))
            .write.mode("overwrite")
            .option("partitionOverwriteMode", "dynamic")
-           .partitionBy("run_date")
+           .partitionBy("run_date", "run_id")
            .parquet(path))

@@ -88,3 +88,47 @@ def run_error_alert_sweep(logs_stream: DataFrame, sink_path: str, checkpoint: st
          .trigger(availableNow=True).start())
     q.awaitTermination()
     return q
+
+
+ALERT_COLUMNS = ["check_name", "entity", "severity", "n_rows", "first_seen"]
+
+
+def alerts_batch_writer(table_path: str, name: str):
+    """``foreachBatch`` function appending a micro-batch of alerts to the
+    alerts table (same layout as ``sources.write_alerts``).
+
+    Each batch goes to partitions (run_date = date of the alert, run_id =
+    ``<name>-<batchId>``) with dynamic overwrite, so a batch that Spark replays
+    after a failure replaces its own rows instead of duplicating them.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        (batch.select(*ALERT_COLUMNS)
+              .withColumn("run_date", F.to_date("first_seen"))
+              .withColumn("run_id", F.lit(f"{name}-{batch_id}"))
+              .write.mode("overwrite")
+              .option("partitionOverwriteMode", "dynamic")
+              .partitionBy("run_date", "run_id")
+              .parquet(table_path))
+    return write
+
+
+def stream_alerts_to_table(alerts_stream: DataFrame, table_path: str, checkpoint: str, name: str,
+                           available_now: bool = True, processing_time: str | None = None):
+    """Route a streaming alerts DataFrame (``error_rate_stream`` renamed to the
+    alert columns, or ``error_alert_stream``) into the shared alerts table."""
+    writer = (alerts_stream.writeStream.outputMode("append")
+              .foreachBatch(alerts_batch_writer(table_path, name))
+              .option("checkpointLocation", checkpoint))
+    writer = writer.trigger(availableNow=True) if available_now else \
+        writer.trigger(processingTime=processing_time or "1 minute")
+    q = writer.start()
+    if available_now:
+        q.awaitTermination()
+    return q
+
+
+def error_rate_alerts(rate: DataFrame, signature: str = ERROR_SIGNATURE) -> DataFrame:
+    """T1 output in the alerts table's columns (critical, one row per window)."""
+    return rate.select(F.lit("error_rate").alias("check_name"), F.lit(signature).alias("entity"),
+                       F.lit("critical").alias("severity"), F.col("n_errors").alias("n_rows"),
+                       F.col("window_start").alias("first_seen"))

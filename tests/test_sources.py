@@ -1,3 +1,4 @@
+import datetime as dt
 import json
 
 from pyspark.sql import functions as F
@@ -81,3 +82,14 @@ def test_alert_runs_are_idempotent_per_day(spark, tmp_path):
     write_alerts(a.unionByName(a), out, "2024-03-22")
     got = {str(r.run_date): r["count"] for r in read_processed(spark, out).groupBy("run_date").count().collect()}
     assert got == {"2024-03-21": 1, "2024-03-22": 2}
+    # a stream writing into the same table leaves the batch partitions alone
+    from sendscope.streaming import alerts_batch_writer
+    write = alerts_batch_writer(out, "errors")
+    s = spark.createDataFrame([("error_rate", "x", "critical", 4, dt.datetime(2024, 3, 21, 10))],
+                              "check_name string, entity string, severity string, n_rows long, "
+                              "first_seen timestamp_ntz")
+    write(s, 7)
+    write(s, 7)  # the same micro-batch replayed after a failure
+    got = {(str(r.run_date), r.run_id): r["count"]
+           for r in read_processed(spark, out).groupBy("run_date", "run_id").count().collect()}
+    assert got == {("2024-03-21", "checks"): 1, ("2024-03-22", "checks"): 2, ("2024-03-21", "errors-7"): 1}

@@ -117,3 +117,18 @@ def test_orphan_conversations_live(spark, tmp_path):
          .trigger(availableNow=True).start())
     q.awaitTermination()
     assert sorted(r.message_id for r in spark.sql("SELECT * FROM live_orphans").collect()) == ["c2", "c4"]
+
+
+def test_stream_alerts_into_the_alerts_table(spark, tmp_path):
+    from sendscope.streaming import error_rate_alerts, stream_alerts_to_table
+    src = str(tmp_path / "src")
+    b1 = [(_t("2024-03-20 10:01:00"), "a", "gce_instance", ERR), (_t("2024-03-20 10:20:00"), "b", "gce_instance", ERR)]
+    b2 = [(_t("2024-03-20 12:30:00"), "f", "gce_instance", ERR)]
+    b3 = [(_t("2024-03-20 12:31:00"), "h", "gce_instance", "fine")]
+    _write_batches(spark, src, [b1, b2, b3], LOG_SCHEMA)
+    table, ck = str(tmp_path / "alerts"), str(tmp_path / "ck")
+    stream_alerts_to_table(error_rate_alerts(error_rate_stream(_stream(spark, src, LOG_SCHEMA), 1)),
+                           table, ck, "errors")
+    rows = spark.read.parquet(table).collect()
+    assert [(r.check_name, r.n_rows, str(r.first_seen)) for r in rows] == [("error_rate", 2, "2024-03-20 10:00:00")]
+    assert rows[0].run_id.startswith("errors-")
