@@ -98,3 +98,18 @@ def test_large_cta_table_uses_equi_join(spark):
     regex = spark.createDataFrame([(f"c{i}", "regex") for i in range(5)], "cta string, match string")
     with pytest.raises(ValueError):
         checks.check_orphan_sessions(conv, camp, regex, "2024-03-21", 0, max_rows=3)
+
+
+def test_daily_checks_job_is_idempotent(spark, tmp_path):
+    from sendscope.plans.monitoring import run_daily_checks
+    from sendscope.sources.adapter import load_tables
+    t = load_tables(spark, "/root/testdata/sf0.01")
+    path = str(tmp_path / "alerts")
+    first = run_daily_checks(t["campaigns"], t["conversations"], t["logs"], ["Buy now", "Talk to an agent"],
+                             "2024-01-21", path, orphan_threshold=5, error_threshold=2)
+    n = first.count()
+    again = run_daily_checks(t["campaigns"], t["conversations"], t["logs"], ["Buy now", "Talk to an agent"],
+                             "2024-01-21", path, orphan_threshold=5, error_threshold=2)
+    assert again.count() == n > 0
+    kinds = {r.check_name for r in again.collect()}
+    assert {"orphan_sessions", "error_rate", "version"} <= kinds
