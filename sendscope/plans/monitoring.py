@@ -31,7 +31,7 @@ def run_daily_checks(camp: DataFrame, conv: DataFrame, logs: DataFrame, ctas, as
         ts = F.col(col)
         out = df.where((ts >= F.lit(dt.datetime.combine(day_start, dt.time()))) &
                        (ts < F.lit(dt.datetime.combine(day_end, dt.time()))))
-        if "publish_date" in df.columns and col == "publish_time":
+        if "publish_date" in df.columns:  # staged tables: date derived from this column
             out = out.where(F.col("publish_date") == F.lit(day_start))
         return out
 
