@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..functions.params import param_frame
 from ..operators import checks, diagnosis, payload, prepare, profile, search, sessions, templates
-from ..session import prefer_rocksdb_state, scratch_path
+from ..session import ensure_checkpoint_dir, prefer_rocksdb_state, scratch_path
 from ..sources.adapter import campaigns_from_events, conversations_from_driver, logs_from_events
 from ..sources.readers import read_campaigns_json, read_logs_csv
-from ..sources.staging import staged_tables
+from ..sources.staging import path_exists, stage_key, staged_tables
 from ..sources.writers import export_csv, export_json_lines
 from ..streaming.alerts import run_error_rate_alerts
 from ..streaming.dedup import dedup_redeliveries
@@ -61,12 +61,21 @@ def load_logs(spark, sf_dir):
     return _t(spark, sf_dir)[2]
 
 
+def _export_once(spark, sf_dir, name, write) -> str:
+    """Export path keyed by the inputs' signature; written only when missing
+    (an interrupted export has no _SUCCESS marker and is redone)."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/sendscope/exports/{stage_key(spark, sf_dir)}/{name}"
+    if not path_exists(spark, f"{path}/_SUCCESS"):
+        write(path)
+    return path
+
+
 @register("roundtrip_campaigns_json")
 def roundtrip_campaigns_json(spark, sf_dir):
     """S1+S5: the whole campaign base exported as JSON lines and read back with
     the fixed schema (ids stay strings, timestamps keep microseconds)."""
-    path = f"{scratch_path(spark, 'campaigns_json')}/data"
-    export_json_lines(_t(spark, sf_dir)[0], path)
+    camp = _t(spark, sf_dir)[0]
+    path = _export_once(spark, sf_dir, "campaigns_json", lambda p: export_json_lines(camp, p))
     return read_campaigns_json(spark, path, multi_line=False)
 
 
@@ -77,8 +86,7 @@ def roundtrip_logs_csv(spark, sf_dir):
     logs = _t(spark, sf_dir)[2]
     raw = logs.select("timestamp", "insertId", F.col("resource_type").alias("resource.type"),
                       F.col("message").alias("jsonPayload.message"))
-    path = f"{scratch_path(spark, 'logs_csv')}/data"
-    export_csv(raw, path)
+    path = _export_once(spark, sf_dir, "logs_csv", lambda p: export_csv(raw, p))
     return read_logs_csv(spark, path)
 
 

@@ -49,7 +49,7 @@ def _fs_info(spark: SparkSession, path: str) -> str:
     return f"{path}:{st.getLen()}:{st.getModificationTime()}"
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def path_exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
@@ -97,7 +97,7 @@ def _stage(spark: SparkSession, sf_dir: str, key: str) -> dict[str, DataFrame]:
     tables = {}
     for name, (time_col, sort_cols) in _LAYOUT.items():
         path = f"{base}/{name}"
-        if not _exists(spark, f"{path}/_SUCCESS"):
+        if not path_exists(spark, f"{path}/_SUCCESS"):
             raw = raw or load_tables(spark, sf_dir)
             _write(raw[name], path, time_col, sort_cols)
         tables[name] = spark.read.schema(_SCHEMAS[name]).parquet(path)
