@@ -105,6 +105,13 @@ def profile_columns(spark, sf_dir):
     return profile.profile_columns(_t(spark, sf_dir)[0], "campaigns")
 
 
+@register("profile_columns_at_scale")
+def profile_columns_at_scale(spark, sf_dir):
+    """P9 in its at-scale mode (HyperLogLog distinct counts, no Expand); the
+    approximate count is left out here so the exact parts stay checkable."""
+    return profile.profile_columns(_t(spark, sf_dir)[0], "campaigns", exact=False).drop("n_distinct")
+
+
 @register("profile_columns_conversations")
 def profile_columns_conversations(spark, sf_dir):
     return profile.profile_columns(_t(spark, sf_dir)[1], "conversations")

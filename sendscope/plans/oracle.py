@@ -421,3 +421,7 @@ WHERE rn = 1"""
 ORACLE_SQL["profile_columns_conversations"] = _profile_columns(
     "conversations", "conv",
     [(c, "timestamp_ntz" if c == "publish_time" else "string") for c in CONV_COLS])
+
+ORACLE_SQL["profile_columns_at_scale"] = (
+    "SELECT table_name, ordinal, column_name, data_type, n_rows, non_null, verdict FROM ("
+    + _profile_columns() + ") p")
