@@ -19,6 +19,9 @@ shuffle, so two independent range exchanges could cut the data differently;
 the tagged rows are therefore checkpointed once (reliable checkpoint in the
 shared ``spark.checkpoint.dir``) and both steps read that single copy. This
 also cuts the lineage: a lost executor recomputes from the checkpoint.
+
+The same slicing gives :func:`latest_before`, an as-of join that carries the
+latest right-side row forward instead of numbering rows.
 """
 
 from __future__ import annotations
