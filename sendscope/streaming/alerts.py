@@ -113,10 +113,16 @@ def alerts_batch_writer(table_path: str, name: str):
 
 
 def stream_alerts_to_table(alerts_stream: DataFrame, table_path: str, checkpoint: str, name: str,
-                           available_now: bool = True, processing_time: str | None = None):
+                           available_now: bool = True, processing_time: str | None = None,
+                           output_mode: str = "append"):
     """Route a streaming alerts DataFrame (``error_rate_stream`` renamed to the
-    alert columns, or ``error_alert_stream``) into the shared alerts table."""
-    writer = (alerts_stream.writeStream.outputMode("append")
+    alert columns, or ``error_alert_stream``) into the shared alerts table.
+
+    ``output_mode="update"`` gives early alerts for windowed counts: a window
+    is reported in the micro-batch where its count crosses the threshold (and
+    again whenever it grows), without waiting for the watermark to close it.
+    """
+    writer = (alerts_stream.writeStream.outputMode(output_mode)
               .foreachBatch(alerts_batch_writer(table_path, name))
               .option("checkpointLocation", checkpoint))
     writer = writer.trigger(availableNow=True) if available_now else \

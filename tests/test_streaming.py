@@ -132,3 +132,15 @@ def test_stream_alerts_into_the_alerts_table(spark, tmp_path):
     rows = spark.read.parquet(table).collect()
     assert [(r.check_name, r.n_rows, str(r.first_seen)) for r in rows] == [("error_rate", 2, "2024-03-20 10:00:00")]
     assert rows[0].run_id.startswith("errors-")
+
+
+def test_early_alerts_in_update_mode(spark, tmp_path):
+    from sendscope.streaming import error_rate_alerts, stream_alerts_to_table
+    src = str(tmp_path / "src")
+    b1 = [(_t("2024-03-20 10:01:00"), "a", "gce_instance", ERR), (_t("2024-03-20 10:20:00"), "b", "gce_instance", ERR)]
+    _write_batches(spark, src, [b1], LOG_SCHEMA)  # the 10:00 window is still open afterwards
+    table = str(tmp_path / "alerts")
+    stream_alerts_to_table(error_rate_alerts(error_rate_stream(_stream(spark, src, LOG_SCHEMA), 1)),
+                           table, str(tmp_path / "ck"), "early", output_mode="update")
+    rows = spark.read.parquet(table).collect()
+    assert [(str(r.first_seen), r.n_rows) for r in rows] == [("2024-03-20 10:00:00", 2)]
