@@ -60,3 +60,19 @@ def test_error_payload_keeps_multi_line_text(spark):
 def test_json_prefix_uses_json_whitespace(spark):
     logs = _logs(spark, [' \n{"k": 1}', '\x0b{"k": 1}'])
     assert [r.message for r in payload.non_json_payloads(logs).collect()] == ['\x0b{"k": 1}']
+
+
+from hypothesis import given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+
+@settings(max_examples=15, deadline=None)
+@given(st.lists(st.text(alphabet="abc ", max_size=14), min_size=1, max_size=12),
+       st.lists(st.text(alphabet="abc", min_size=1, max_size=6), min_size=1, max_size=5, unique=True))
+def test_contains_join_property(spark, texts, patterns):
+    # small alphabet → many overlaps and repeated grams; short patterns → q and stride at their limits
+    tdf = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    pdf = spark.createDataFrame([(p,) for p in patterns], "p string")
+    got = sorted((r.i, r.p) for r in payload.contains_join(tdf, pdf, "t", "p").collect())
+    want = sorted((i, p) for i, t in enumerate(texts) for p in patterns if p in t)
+    assert got == want
