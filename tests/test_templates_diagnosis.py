@@ -104,3 +104,32 @@ def test_template_list_as_table(spark):
     a = {r.template: r.n_rows for r in templates.template_join_counts(camp, conv, tbl).collect()}
     b = {r.template: r.n_rows for r in templates.template_join_counts(camp, conv, ["crm_promo_1003", "crm_promo_1303"]).collect()}
     assert a == b == {"crm_promo_1003": 1, "crm_promo_1303": 1}
+
+
+from hypothesis import given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+
+def _lev(a, b):
+    prev = list(range(len(b) + 1))
+    for i, ca in enumerate(a, 1):
+        cur = [i]
+        for j, cb in enumerate(b, 1):
+            cur.append(min(prev[j] + 1, cur[j - 1] + 1, prev[j - 1] + (ca != cb)))
+        prev = cur
+    return prev[-1]
+
+
+@settings(max_examples=12, deadline=None)
+@given(st.lists(st.text(alphabet="ab_1", min_size=1, max_size=9), min_size=1, max_size=15, unique=True),
+       st.lists(st.text(alphabet="ab_1", min_size=1, max_size=9), min_size=1, max_size=4, unique=True),
+       st.integers(min_value=1, max_value=3))
+def test_segment_blocking_property(spark, base_names, expected_names, k):
+    camp = spark.createDataFrame([(t,) for t in base_names], "template string")
+    exp = spark.createDataFrame([(f"c{i}", t, "x", dt.date(2024, 1, 1), 1) for i, t in enumerate(expected_names)],
+                                schemas.EXPECTED_CAMPAIGNS)
+    got = sorted((r.campaign, r.similar_template, r.distance)
+                 for r in templates.template_candidates(exp, camp, k, max_rows=0).collect())
+    want = sorted((f"c{i}", t, _lev(e, t)) for i, e in enumerate(expected_names) for t in base_names
+                  if 1 <= _lev(e, t) <= k)
+    assert got == want
