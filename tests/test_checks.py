@@ -113,3 +113,27 @@ def test_daily_checks_job_is_idempotent(spark, tmp_path):
     assert again.count() == n > 0
     kinds = {r.check_name for r in again.collect()}
     assert {"orphan_sessions", "error_rate", "version"} <= kinds
+
+
+from hypothesis import given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+
+@settings(max_examples=10, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 9999), st.dates(dt.date(2023, 1, 1), dt.date(2025, 12, 31))),
+                min_size=1, max_size=30))
+def test_template_date_property(spark, cases):
+    rows = [(f"s{i}", f"crm_x_{n:04d}", f"{d.isoformat()} 12:00:00") for i, (n, d) in enumerate(cases)]
+    camp = _camp(spark, [(s, t, "sendtype-800", ts) for s, t, ts in rows])
+    got = {r.session_id: (r.issue, r.suffix_date) for r in checks.check_template_date(camp).collect()}
+    want = {}
+    for i, (n, d) in enumerate(cases):
+        try:
+            parsed = dt.datetime.strptime(f"{d.year}{n:04d}", "%Y%d%m").date()
+        except ValueError:
+            parsed = None
+        if parsed is None:
+            want[f"s{i}"] = ("invalid_suffix", None)
+        elif parsed != d:
+            want[f"s{i}"] = ("date_mismatch", parsed)
+    assert got == want
