@@ -68,3 +68,20 @@ def test_word_boundaries_match_re2(spark):
                 for t in texts]
         assert got == want, p
     assert ascii_word_boundaries(r"[\b]") == r"[\b]"
+
+
+from hypothesis import given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+
+@settings(max_examples=10, deadline=None)
+@given(st.lists(st.text(alphabet="thoféÉ_1 T", max_size=12), min_size=1, max_size=20))
+def test_word_boundary_property_against_re2(spark, texts):
+    import duckdb
+    patterns = [r"(?i)\bthe\b", r"\Bhe", r"(?i)\bé", r"of\b", r"(?i)t\Bh"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    con = duckdb.connect()
+    for p in patterns:
+        got = [r.m for r in df.select(matches("t", p).alias("m")).collect()]
+        want = [bool(con.execute("SELECT regexp_matches(?, ?)", [t, p]).fetchone()[0]) for t in texts]
+        assert got == want, (p, [t for t, g, w in zip(texts, got, want) if g != w])
