@@ -16,6 +16,8 @@ def test_sequence_matches_window_with_hot_group(spark):
     rows += [("hot", None, "n1"), ("g7", None, "n2"), ("g7", None, "n3")]  # null order keys sort last
     df = spark.createDataFrame(rows, "grp string, t int, id string")
     got = sequence_within_groups(df, ["grp"], ["t", "id"], num_slices=16)
+    plain = sequence_within_groups(df, ["grp"], ["t", "id"], mode="window")
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, plain.collect()), key=repr)
     w = Window.partitionBy("grp").orderBy(F.col("t").asc_nulls_last(), F.col("id").asc_nulls_last())
     ref = df.withColumn("seq", F.row_number().over(w)).withColumn("prev_id", F.lag("id").over(w)) \
         .withColumn("prev_t", F.lag("t").over(w))
@@ -44,12 +46,25 @@ def test_latest_before_matches_brute_force(spark):
     rdf = spark.createDataFrame(right, "k string, rt int, rid string")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # force several slices
     try:
-        got = {r.lid: r.right_rid for r in latest_before(ldf, rdf, "k", "t", "rt", "rid", ["rid"]).collect()}
+        results = {mode: {r.lid: r.right_rid for r in
+                          latest_before(ldf, rdf, "k", "t", "rt", "rid", ["rid"], mode=mode).collect()}
+                   for mode in ("sliced", "window", "auto")}
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    got = results["sliced"]
+    assert results["window"] == got and results["auto"] == got
     expect = {}
     for k, t, lid in left:
         cands = [(rt, rid) for rk, rt, rid in right
                  if k is not None and rk == k and t is not None and rt <= t]
         expect[lid] = max(cands)[1] if cands else None
     assert got == expect
+
+
+def test_hot_group_detection(spark):
+    from sendscope.operators.sequence import has_hot_group
+    rows = [("hot" if i % 3 == 0 else f"g{i}", i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "grp string, i int")
+    assert has_hot_group(df, ["grp"], floor_rows=0)
+    assert not has_hot_group(df, ["grp"])  # below the absolute floor
+    assert not has_hot_group(df.where("grp <> 'hot'"), ["grp"], floor_rows=0)
