@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..functions.params import DEFAULT_MAX_PARAM_ROWS, bounded_rows, param_frame
 from ..functions.regex import FLAG_YES, flag, matches
+from ..session import ensure_checkpoint_dir
 
 Keywords = Iterable[tuple[str, str]] | DataFrame
 
@@ -52,12 +53,14 @@ def keyword_conversations(conv: DataFrame, camp: DataFrame, pattern: str, flag_c
     """Conversations whose text matches, left-joined to the DISTINCT campaign
     sessions; ``session_campanha`` is NULL when no campaign explains the session.
 
-    The match filter runs at the conversations scan; the campaign side is
-    reduced to the distinct sessions among the hits first, so the join cannot
-    multiply rows and only matching campaign ids are shuffled.
+    The match filter runs at the conversations scan, once: the hit rows carry
+    their text, so reducing the campaign side by the hit sessions first would
+    mean a second regex pass over every text. The campaign side is instead
+    aggregated to distinct ids (map-side partial distinct), so the join cannot
+    multiply rows and a hot session is one id.
     """
     hits = conv.where(matches("text", pattern)).withColumn(flag_col, F.lit(FLAG_YES))
-    cam = campaign_sessions_among(camp, hits)
+    cam = camp.select(F.col("session_id").alias("session_campanha")).distinct()
     return hits.join(cam, hits["session_id"] == cam["session_campanha"], "left")
 
 
@@ -84,14 +87,21 @@ def keyword_linkage(conv: DataFrame, camp: DataFrame, keywords: Keywords) -> Dat
     without hits are reported with zeros.
     """
     kws = keyword_list(keywords)
-    hits = keyword_hits(conv, kws, keep_cols=["session_id"])
-    cam = campaign_sessions_among(camp, hits)
-    linked = hits.join(cam, hits["session_id"] == cam["session_campanha"], "left")
+    # Pre-aggregated per (keyword, session) — a hot session is one row per
+    # keyword — and checkpointed (reliable, in spark.checkpoint.dir): both uses
+    # below read this small table, so the regex runs once over the texts.
+    ensure_checkpoint_dir(conv.sparkSession)
+    per = (keyword_hits(conv, kws, keep_cols=["session_id"])
+           .groupBy("keyword", "session_id").agg(F.count(F.lit(1)).alias("_n"))
+           .checkpoint(eager=True))
+    cam = campaign_sessions_among(camp, per)
+    linked = per.join(cam, per["session_id"] == cam["session_campanha"], "left")
+    is_linked = F.col("session_campanha").isNotNull()
     agg = linked.groupBy("keyword").agg(
-        F.count(F.lit(1)).alias("n_hits"),
-        F.count("session_campanha").alias("n_linked"),
-        F.count_if(F.col("session_campanha").isNull()).alias("n_unlinked"),
-        F.count_distinct("session_id").alias("n_sessions"))
+        F.sum("_n").alias("n_hits"),
+        F.sum(F.when(is_linked, F.col("_n"))).alias("n_linked"),
+        F.sum(F.when(~is_linked, F.col("_n"))).alias("n_unlinked"),
+        F.count("session_id").alias("n_sessions"))
     names = param_frame(conv.sparkSession, [(n, p) for n, p in kws], schemas.KEYWORDS) \
         .select(F.col("name").alias("keyword"))
     return (F.broadcast(names).join(agg, "keyword", "left")
