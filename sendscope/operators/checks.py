@@ -16,6 +16,7 @@ from ..functions.dates import ddmm_suffix, suffix_date
 from ..functions.params import DEFAULT_MAX_PARAM_ROWS, bounded_rows
 from ..functions.payload import ERROR_SIGNATURE
 from ..functions.regex import matches
+from ..session import ensure_checkpoint_dir
 
 # Version prefix, severities and the orphan threshold of the proposal.
 VERSION_PREFIX = "sendtype-"
@@ -77,23 +78,16 @@ def _cta_rules(ctas, max_rows: int) -> tuple[list[str], list[str]] | None:
     return exact, regex
 
 
-def check_orphan_sessions(conv: DataFrame, camp: DataFrame, ctas: Iterable | DataFrame, as_of,
-                          threshold: int = DEFAULT_ORPHAN_THRESHOLD,
-                          max_rows: int = DEFAULT_MAX_PARAM_ROWS) -> DataFrame:
-    """Conversations of the day before ``as_of`` carrying a known CTA whose
-    session has no campaign record, per CTA, above ``threshold`` messages.
-
-    * the day filter is a half-open range on the raw timestamp (row-group
-      skipping) plus, on a ``publish_date``-partitioned table, a partition
-      filter that skips every other day's files;
-    * exact CTAs become one hash-set ``isin``; regex CTAs one ``rlike`` each;
-    * conversations are pre-aggregated per (session, CTA) before the anti join
-      and campaigns reduced to the distinct sessions among those (a semi join
-      AQE broadcasts when the CTA hits are few), so a hot session is one row
-      on each side and non-matching campaign ids are never shuffled.
+def cta_messages_on_day(conv: DataFrame, ctas: Iterable | DataFrame, as_of,
+                        max_rows: int = DEFAULT_MAX_PARAM_ROWS) -> DataFrame | None:
+    """Conversation messages of the day before ``as_of`` that carry a known
+    CTA: ``(session_id, publish_time, cta)``; None when no CTA is given.
 
-    ``orphan_messages`` is the scheduled SQL's COUNT(*) over conversation rows;
-    ``orphan_sessions`` counts distinct sessions.
+    The day filter is a half-open range on the raw timestamp (row-group
+    skipping) plus, on a ``publish_date``-partitioned table, a partition filter
+    that skips every other day's files. Exact CTAs become one hash-set
+    ``isin`` and regex CTAs one ``rlike`` each; above the bound exact CTAs are
+    matched by a shuffle equi-join on the text.
     """
     rules = _cta_rules(ctas, max_rows)
     day_end = _date(as_of)
@@ -104,28 +98,50 @@ def check_orphan_sessions(conv: DataFrame, camp: DataFrame, ctas: Iterable | Dat
     if "publish_date" in conv.columns:  # date-partitioned table: prune directories
         day = day.where(F.col("publish_date") == F.lit(day_start))
     if rules is None:
-        # Large CTA table: exact CTAs by a shuffle equi-join on the text;
-        # regex CTAs cannot be keyed, so they must stay within the bound.
+        # regex CTAs cannot be keyed, so they must stay within the bound
         table = ctas.select("cta", "match")
         if table.where(F.col("match") != "exact").limit(1).count():
             raise ValueError(f"more than {max_rows} CTAs including regex ones; split the regex CTAs out")
         exact_tbl = table.where(F.col("match") == "exact").select("cta").distinct()
-        tagged = day.select("session_id", "publish_time", "text") \
+        return day.select("session_id", "publish_time", "text") \
             .join(exact_tbl, F.col("text") == F.col("cta"), "inner").drop("text")
-    else:
-        exact, regex = rules
-        labels = []
-        if exact:
-            labels.append(F.when(F.col("text").isin(exact), F.col("text")))
-        labels += [F.when(matches("text", p), F.lit(p)) for p in regex]
-        if not labels:
-            return conv.sparkSession.createDataFrame(
-                [], "cta string, orphan_messages long, orphan_sessions long, first_seen timestamp_ntz")
-        tagged = (day.select("session_id", "publish_time", F.explode(F.array(*labels)).alias("cta"))
-                     .where(F.col("cta").isNotNull()))
+    exact, regex = rules
+    labels = []
+    if exact:
+        labels.append(F.when(F.col("text").isin(exact), F.col("text")))
+    labels += [F.when(matches("text", p), F.lit(p)) for p in regex]
+    if not labels:
+        return None
+    return (day.select("session_id", "publish_time", F.explode(F.array(*labels)).alias("cta"))
+               .where(F.col("cta").isNotNull()))
+
+
+def check_orphan_sessions(conv: DataFrame, camp: DataFrame, ctas: Iterable | DataFrame, as_of,
+                          threshold: int = DEFAULT_ORPHAN_THRESHOLD,
+                          max_rows: int = DEFAULT_MAX_PARAM_ROWS) -> DataFrame:
+    """Conversations of the day before ``as_of`` carrying a known CTA whose
+    session has no campaign record, per CTA, above ``threshold`` messages.
+
+    * the day's CTA messages come from :func:`cta_messages_on_day` (partition
+      and row-group pruning, one hash-set test for exact CTAs);
+    * they are pre-aggregated per (session, CTA) and that small table is
+      checkpointed, so the day's conversations are scanned once although two
+      steps read it;
+    * campaigns are reduced to the distinct sessions among those (a semi join
+      AQE broadcasts when the CTA hits are few) before the anti join, so a
+      hot session is one row on each side and non-matching campaign ids are
+      never shuffled.
+
+    ``orphan_messages`` is the scheduled SQL's COUNT(*) over conversation rows;
+    ``orphan_sessions`` counts distinct sessions.
+    """
+    tagged = cta_messages_on_day(conv, ctas, as_of, max_rows)
+    if tagged is None:
+        return conv.sparkSession.createDataFrame(
+            [], "cta string, orphan_messages long, orphan_sessions long, first_seen timestamp_ntz")
+    ensure_checkpoint_dir(conv.sparkSession)
     per_session = tagged.groupBy("session_id", "cta").agg(
-        F.count(F.lit(1)).alias("n"), F.min("publish_time").alias("first_seen"))
-    # campaign sessions among the tagged ones only (semi-join reduction)
+        F.count(F.lit(1)).alias("n"), F.min("publish_time").alias("first_seen")).checkpoint(eager=True)
     known = (camp.select("session_id")
                  .join(per_session.select("session_id").distinct(), "session_id", "left_semi")
                  .distinct())
