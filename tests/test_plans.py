@@ -2,6 +2,7 @@
 no cartesian products, no nested-loop joins, no Python evaluation."""
 
 import __spark_entry__ as E
+from sendscope.plans import ORACLE_SQL, QUERIES
 
 FORBIDDEN = ["CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython",
              "FlatMapGroupsInPandas", "MapInPandas"]
@@ -9,7 +10,7 @@ FORBIDDEN = ["CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "
 
 def test_no_forbidden_operators_in_plans(spark):
     bad = {}
-    for name, fn in E.queries().items():
+    for name, fn in QUERIES.items():
         if name.startswith("stream_"):
             continue  # streaming queries are checked by their own tests
         plan = fn(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
@@ -27,9 +28,9 @@ def test_filters_reach_the_scan(spark):
     # the orphan check's scan (run once, into its checkpoint) prunes by date
     plan = cta_messages_on_day(conv, P.CTAS, P.AS_OF)._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(publish_date" in plan
-    plan = E.queries()["check_orphan_sessions"](spark, "/root/testdata/sf0.001") \
+    plan = QUERIES["check_orphan_sessions"](spark, "/root/testdata/sf0.001") \
         ._jdf.queryExecution().executedPlan().toString()
     assert "LeftAnti" in plan
-    plan = E.queries()["keyword_conversations"](spark, "/root/testdata/sf0.001") \
+    plan = QUERIES["keyword_conversations"](spark, "/root/testdata/sf0.001") \
         ._jdf.queryExecution().executedPlan().toString()
     assert "RLIKE" in plan and "DataFilters: [coalesce(RLIKE" in plan
