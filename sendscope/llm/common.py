@@ -35,7 +35,8 @@ def fold(doc_id: Column, n: int) -> Column:
 
 def mix(h: np.ndarray) -> np.ndarray:
     """Finalise 64-bit hashes (splitmix64), in a new array."""
-    h = (h ^ (h >> U(30))) * U(0xBF58476D1CE4E5B9)
+    h = h ^ (h >> U(30))
+    h *= U(0xBF58476D1CE4E5B9)
     h ^= h >> U(27)
     h *= U(0x94D049BB133111EB)
     h ^= h >> U(31)

@@ -147,17 +147,19 @@ class Names:
 
     @classmethod
     def of(cls, names: np.ndarray) -> Names:
-        order = np.argsort(names, kind="stable")
+        order = np.argsort(names)
         ranked = names[order]
         new = np.ones(len(names), bool)
         new[1:] = ranked[1:] != ranked[:-1]
-        first = order[new]  # the stable order puts the first entry of a name first
-        place = np.argsort(first, kind="stable")
-        number = np.empty(len(first), np.int64)
-        number[place] = np.arange(len(first))
+        begin = np.flatnonzero(new)
+        least = np.minimum.reduceat(order, begin) if len(begin) else begin
+        is_first = np.zeros(len(names), bool)
+        is_first[least] = True
+        number = (np.cumsum(is_first) - 1)[least]
         entry = np.empty(len(names), np.int64)
-        entry[order] = number[np.cumsum(new) - 1]
-        return cls(names[first[place]], first[place], entry)
+        entry[order] = np.repeat(number, np.diff(np.append(begin, len(names))))
+        first = np.flatnonzero(is_first)
+        return cls(names[first], first, entry)
 
 
 def _small(x: np.ndarray) -> bytes:

@@ -37,20 +37,30 @@ LENGTH = 100
 MODULUS, COVER = 57, (0, 1, 3, 13, 32, 36, 43, 52)
 #: Lengths of names; the first is at most LENGTH - MODULUS + 1.
 SHORT, LONG = 36, 324
+#: Bytes of text that are named at once, so that the arrays stay in the processor's cache.
+SLICE = 1 << 17
 #: Bytes of a name sent beside its group's bits: less where a false hit only costs time.
 WIDTH_SHORT, WIDTH = 4, 7
 
-_IN_COVER = np.zeros(MODULUS, bool)
-_IN_COVER[list(COVER)] = True
 _K = [U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 
 def _triple(names: np.ndarray, at: np.ndarray | None, steps: tuple[int, int, int]) -> np.ndarray:
     """Names of three names each: at the given positions, or at all where the last one fits."""
-    if at is None:
-        n = max(len(names) - steps[2], 0)
-        return mix(sum((names[s: s + n] * k for s, k in zip(steps, _K)), np.zeros(n, np.uint64)))
-    return mix(sum((names[at + s] * k for s, k in zip(steps, _K)), np.zeros(len(at), np.uint64)))
+    n = max(len(names) - steps[2], 0)
+    h = None
+    for step, k in zip(steps, _K):
+        part = (names[step: step + n] if at is None else names[at + step]) * k
+        h = part if h is None else np.add(h, part, out=h)
+    return mix(h)
+
+
+def _joined(names: list[np.ndarray]) -> np.ndarray:
+    """Names of three names that stand side by side."""
+    h = names[0] * _K[0]
+    for part, k in zip(names[1:], _K[1:]):
+        h += part * k
+    return mix(h)
 
 
 def _names12(buf: np.ndarray) -> np.ndarray:
@@ -61,8 +71,10 @@ def _names12(buf: np.ndarray) -> np.ndarray:
     return _triple(quads, None, (0, 4, 8))
 
 
-def _names36(buf: np.ndarray) -> np.ndarray:
-    return _triple(_names12(buf), None, (0, 12, 24))
+def _counters(sizes: np.ndarray) -> np.ndarray:
+    """0, 1, ... up to each size, one after the other."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - sizes, sizes)
 
 
 class _Text:
@@ -70,22 +82,23 @@ class _Text:
 
     def __init__(self, chunk: first.Chunk):
         self.chunk = chunk
-        self.at = np.zeros(0, np.int64)
         size = np.diff(chunk.off)
-        found, names = [], []
-        for i, j in chunk.doc_slices(1 << 20):
+        self.rows = np.repeat(np.arange(len(size), dtype=np.int32), size)  # of every byte
+        # samples of one text: the cover, repeated as often as SHORT bytes fit
+        fit = np.maximum(size - SHORT + 1, 0)
+        periods = -(-fit // MODULUS)
+        base = np.repeat(chunk.off[:-1], periods) + MODULUS * _counters(periods)
+        at = (base[:, None] + np.array(COVER)).ravel()
+        self.at = at[at <= np.repeat(chunk.off[1:] - SHORT, periods * len(COVER))]
+        names = [np.zeros(0, np.uint64)]
+        for i, j in chunk.doc_slices(SLICE):
             lo, hi = chunk.off[i], chunk.off[j]
-            n12 = _names12(chunk.buf[lo:hi])
-            place = np.arange(lo, hi) - np.repeat(chunk.off[i:j], size[i:j])
-            left = np.repeat(chunk.off[i + 1: j + 1], size[i:j]) - np.arange(lo, hi)
-            at = np.flatnonzero(_IN_COVER[place % MODULUS] & (left >= SHORT))
-            found.append(at + lo)
-            names.append(_triple(n12, at, (0, 12, 24)))
-        self.at = np.concatenate([self.at, *found])
-        self.short = Names.of(np.concatenate([np.zeros(0, np.uint64), *names]))
+            here = self.at[np.searchsorted(self.at, lo): np.searchsorted(self.at, hi)] - lo
+            names.append(_triple(_names12(chunk.buf[lo:hi]), here, (0, 12, 24)))
+        self.short = Names.of(np.concatenate(names))
 
     def row(self, at: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.chunk.off, at, side="right") - 1
+        return self.rows[at]
 
     def hits(self, answer: pa.Scalar, number: int, bits: int) -> np.ndarray:
         """Samples whose short prefix occurs again, here or in another chunk."""
@@ -118,44 +131,46 @@ def _long(text: _Text, hits: np.ndarray) -> tuple[np.ndarray, Names]:
     """Hits that reach LONG bytes, and their long names."""
     chunk, found, names = text.chunk, [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
     hits = hits[chunk.off[text.row(hits) + 1] - hits >= LONG]
-    for i, j in chunk.doc_slices(1 << 20):
+    for i, j in chunk.doc_slices(SLICE):
         lo, hi = chunk.off[i], chunk.off[j]
         at = hits[np.searchsorted(hits, lo): np.searchsorted(hits, hi)] - lo
         if len(at):
-            n36 = _names36(chunk.buf[lo:hi])
-            n108 = [_triple(n36, at + s, (0, 36, 72)) for s in (0, 108, 216)]
+            n12 = _names12(chunk.buf[lo:hi])
+            n36 = [_triple(n12, at + s, (0, 12, 24)) for s in range(0, LONG, SHORT)]
+            n108 = [_joined(n36[k: k + 3]) for k in (0, 3, 6)]
             found.append(at + lo)
-            names.append(mix(n108[0] * _K[0] + n108[1] * _K[1] + n108[2] * _K[2]))
+            names.append(_joined(n108))
     return np.concatenate(found), Names.of(np.concatenate(names))
 
 
 def _spread(size: int, starts: np.ndarray, length: int) -> np.ndarray:
     """Whether each place is in [start, start + length) of any start."""
-    edge = np.zeros(size + 1, np.int32)
-    np.add.at(edge, np.clip(starts, 0, size), 1)
-    np.subtract.at(edge, np.minimum(starts + length, size), 1)
+    return _inside(size, starts, np.minimum(starts + length, size))
+
+
+def _inside(size: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Whether each place is in any of the ranges."""
+    edge = np.bincount(starts, minlength=size + 1) - np.bincount(ends, minlength=size + 1)
     return np.cumsum(edge[:-1]) > 0
 
 
-def _candidates(text: _Text, hits: np.ndarray, settled: np.ndarray) -> tuple[np.ndarray, Names]:
-    """Windows that hold a hit's short prefix and aren't settled, and their names."""
+def _candidates(text: _Text, hits: np.ndarray, settled_at: np.ndarray) -> tuple[np.ndarray, Names]:
+    """Windows that hold a hit's short prefix and aren't inside a long name of
+    ``settled_at``, and their names."""
     chunk, found, names = text.chunk, [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    settled = _spread(len(chunk.buf), settled_at, LONG - LENGTH + 1)
     back = LENGTH - SHORT
-    for i, j in chunk.doc_slices(1 << 20):
+    for i, j in chunk.doc_slices(SLICE):
         lo, hi = chunk.off[i], chunk.off[j]
         at = hits[np.searchsorted(hits, lo): np.searchsorted(hits, hi)] - lo
         if not len(at):
             continue
-        size = np.diff(chunk.off[i: j + 1])
-        left = np.repeat(chunk.off[i + 1: j + 1] - lo, size) - np.arange(hi - lo)
         begin = np.maximum(at - back, chunk.off[text.row(at + lo)] - lo)
-        edge = np.zeros(hi - lo + 1, np.int32)
-        np.add.at(edge, begin, 1)
-        np.subtract.at(edge, at + 1, 1)
-        windows = np.flatnonzero((np.cumsum(edge[:-1]) > 0) & (left >= LENGTH) & ~settled[lo:hi])
-        n36 = _names36(chunk.buf[lo:hi])
+        windows = np.flatnonzero(_inside(hi - lo, begin, at + 1) & ~settled[lo:hi])
+        windows = windows[windows <= chunk.off[text.row(windows + lo) + 1] - lo - LENGTH]
+        n12 = _names12(chunk.buf[lo:hi])
         found.append(windows + lo)
-        names.append(_triple(n36, windows, (0, SHORT, LENGTH - SHORT)))
+        names.append(_joined([_triple(n12, windows + s, (0, 12, 24)) for s in (0, SHORT, LENGTH - SHORT)]))
     return np.concatenate(found), Names.of(np.concatenate(names))
 
 
@@ -180,26 +195,26 @@ def removal(docs: DataFrame, with_bytes: bool = False) -> DataFrame:
         at, names = _long(text, text.hits(batch.column("answer_0")[k], number, bits))
         return names, chunk.ids[text.row(at[names.first])]
 
-    def settled_windows(batch: pa.RecordBatch, k: int, number: int, text: _Text) -> tuple[np.ndarray, np.ndarray]:
+    def settled_at(batch: pa.RecordBatch, k: int, number: int, text: _Text) -> tuple[np.ndarray, np.ndarray]:
         hits = text.hits(batch.column("answer_0")[k], number, bits)
         at, names = _long(text, hits)
         later = text.later(at, names, first.read_answer(batch.column("answer_1")[k], number, names, bits))
-        return hits, _spread(len(text.chunk.buf), at[later], LONG - LENGTH + 1)
+        return hits, at[later]
 
     def rest(batch: pa.RecordBatch, k: int, number: int, chunk: first.Chunk):
         text = _Text(chunk)
-        at, names = _candidates(text, *settled_windows(batch, k, number, text))
+        at, names = _candidates(text, *settled_at(batch, k, number, text))
         return names, chunk.ids[text.row(at[names.first])]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k, number, chunk in first.unpack(batch):
                 text = _Text(chunk)
-                hits, settled = settled_windows(batch, k, number, text)
+                hits, settled = settled_at(batch, k, number, text)
                 at, names = _candidates(text, hits, settled)
                 later = text.later(at, names, first.read_answer(batch.column("answer_2")[k], number, names, bits))
-                starts = np.concatenate([np.flatnonzero(settled), at[later]])
-                yield _results(chunk, _spread(len(chunk.buf), starts, LENGTH), with_bytes)
+                gone = _spread(len(chunk.buf), settled, LONG) | _spread(len(chunk.buf), at[later], LENGTH)
+                yield _results(chunk, gone, with_bytes)
 
     again = checkpoint(first.answers(first.ask(chunks, short, bits, WIDTH_SHORT), WIDTH_SHORT, "again"))
     long_later = checkpoint(first.answers(first.ask(first.with_answers(chunks, again), long, bits, WIDTH), WIDTH, "later"))
