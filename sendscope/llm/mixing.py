@@ -70,8 +70,9 @@ def rate(steps: list[np.ndarray], max_rate: float) -> Column:
 def fit_steps(members: DataFrame, targets: dict[str, float] = TARGETS, max_rate: float = 1.0) -> list[np.ndarray]:
     """The gradient steps that lead to the rates of ``members`` (see ``rate``).
 
-    The expected total is the largest one that no domain's tokens rule out at
-    ``max_rate``. The gradient of the squared distance to the targets is scaled
+    The domain with the largest target gives all its tokens at ``max_rate``,
+    which sets the total; a domain that lacks tokens for its share gives all it
+    has. The gradient of the squared distance to the targets is scaled
     by the inverse Gram matrix of the posteriors (one aggregate), so few steps
     do; each step is one aggregate of as many sums as there are domains.
     An empty table or one without tokens keeps rate min(1, ``max_rate``).
@@ -83,8 +84,8 @@ def fit_steps(members: DataFrame, targets: dict[str, float] = TARGETS, max_rate:
     have = np.array([gram[d] or 0.0 for d in DOMAINS])
     if have.sum() <= 0:
         return []
-    wanted = share > 0
-    goal = share * float(np.min(have[wanted] * max_rate / share[wanted]))
+    main = int(share.argmax())
+    goal = np.minimum(share * (have[main] * max_rate / share[main]), have * max_rate)
     matrix = np.array([[gram[f"{a}_{b}"] for b in DOMAINS] for a in DOMAINS])
     inverse = np.linalg.pinv(matrix + 1e-9 * np.trace(matrix) * np.eye(len(DOMAINS)))
     steps: list[np.ndarray] = []

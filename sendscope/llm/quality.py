@@ -125,7 +125,7 @@ def fit_forest(x: np.ndarray, y: np.ndarray, constraints: list[int], trees: int
     """Logistic gradient boosting on binned features. A split on a constrained
     feature must order its children's values, and their subtrees stay on their
     side of the middle, so every tree is monotonic in that feature."""
-    edges = [np.unique(np.quantile(c, np.linspace(0, 1, bins + 1)[1:-1], method="lower")) for c in x.T]
+    edges = [np.unique(np.quantile(c, np.linspace(0, 1, bins + 1)[1:-1], method="lower")) if len(x) else x[:, 0] for c in x.T]
     binned = np.stack([np.searchsorted(e, c, side="left") for e, c in zip(edges, x.T)], 1)
     share = np.clip(y.mean(), 1e-3, 1 - 1e-3) if len(y) else 0.5
     base = float(np.log(share / (1 - share)))
