@@ -63,9 +63,40 @@ def ascii_word_boundaries(pattern: str) -> str:
     return "".join(out)
 
 
+_CLASSES = {"s": r"[\t\n\f\r ]", "S": r"[^\t\n\f\r ]"}
+
+
+def re2_classes(pattern: str) -> str:
+    r"""Give ``\s``, ``\S`` and ``$`` RE2's meaning: Java's ``\s`` also takes a
+    vertical tab, and its ``$`` also matches before a final line break (so it
+    becomes ``\z``, unless a ``(?m)`` flag makes it the end of a line).
+    Quotes stay as they are, classes nest in classes."""
+    multiline = re.search(r"\(\?[a-z]*m", pattern) is not None
+    out, i, depth = [], 0, 0
+    while i < len(pattern):
+        two = pattern[i:i + 2]
+        if two == "\\Q":
+            end = pattern.find("\\E", i + 2)
+            end = len(pattern) if end < 0 else end + 2
+            out.append(pattern[i:end])
+            i = end
+            continue
+        if two[0] == "\\":
+            out.append(_CLASSES.get(two[1:], two))
+            i += 2
+            continue
+        if two[0] == "$" and not depth and not multiline:
+            out.append(r"\z")
+        else:
+            depth += {"[": 1, "]": -1 if depth else 0}.get(two[0], 0)
+            out.append(two[0])
+        i += 1
+    return "".join(out)
+
+
 def java_pattern(pattern: str) -> str:
     """A Java regex that searches like the same pattern in RE2 (DuckDB)."""
-    return unicode_case(ascii_word_boundaries(pattern))
+    return unicode_case(ascii_word_boundaries(re2_classes(pattern)))
 
 
 def matches(col: Column | str, pattern: str) -> Column:

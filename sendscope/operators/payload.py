@@ -53,11 +53,12 @@ def error_payloads(logs: DataFrame, message_col: str = "message") -> DataFrame:
 
 def cta_list(ctas: Iterable[str] | DataFrame, col: str = "cta",
              max_rows: int = DEFAULT_MAX_PARAM_ROWS) -> list[str] | None:
-    """Distinct CTAs as literals, or None when a CTA table exceeds ``max_rows``."""
+    """Distinct CTAs as literals, or None when a CTA table exceeds ``max_rows``.
+    Null and empty CTAs are none."""
     if isinstance(ctas, DataFrame):
-        rows = bounded_rows(ctas.select(col).where(F.col(col).isNotNull()).distinct(), max_rows)
+        rows = bounded_rows(ctas.select(col).where(F.col(col) != "").distinct(), max_rows)
         return None if rows is None else sorted(r[0] for r in rows)
-    return sorted({str(c) for c in ctas if c is not None})
+    return sorted({str(c) for c in ctas if c})
 
 
 def contains_join(texts: DataFrame, patterns: DataFrame, text_col: str, pattern_col: str,
@@ -75,6 +76,7 @@ def contains_join(texts: DataFrame, patterns: DataFrame, text_col: str, pattern_
     row ids, no distinct, no self-join. Output: the text rows plus
     ``pattern_col``.
     """
+    patterns = patterns.where(F.col(pattern_col) != "")
     lmin = patterns.agg(F.min(F.length(pattern_col)).alias("m")).collect()[0].m
     cols = texts.columns
     if lmin is None:
@@ -117,7 +119,7 @@ def cta_log_evidence(ctas: Iterable[str] | DataFrame, logs: DataFrame,
                     .where(F.col("cta").isNotNull()))
         base = F.broadcast(spark.createDataFrame([(c,) for c in names], "cta string"))
     else:
-        table = ctas.select(F.col("cta")).where(F.col("cta").isNotNull()).distinct()
+        table = ctas.select(F.col("cta")).where(F.col("cta") != "").distinct()
         hits = contains_join(logs.select("timestamp", message_col), table, message_col, "cta") \
             .select("timestamp", is_deserialization_error(message_col).alias("_err"), "cta")
         base = table

@@ -40,7 +40,7 @@ def template_candidates(expected: DataFrame, camp: DataFrame, max_distance: int
     """
     k = int(max_distance)
     exp = expected.select("campaign", F.col("template").alias("expected_template")) \
-        .where(F.col("expected_template").isNotNull())
+        .where(F.col("expected_template").isNotNull()).distinct()
     base = distinct_templates(camp)
     if is_bounded(expected, max_rows):
         bands = exp.withColumn("_len", F.explode(F.sequence(F.length("expected_template") - k,

@@ -19,8 +19,8 @@ from ..sources.adapter import campaigns_from_events, conversations_from_driver,
 from ..sources.readers import read_campaigns_json, read_logs_csv
 from ..sources.staging import path_exists, stage_key, staged_tables
 from ..sources.writers import export_csv, export_json_lines
-from ..streaming.alerts import run_error_rate_alerts
-from ..streaming.dedup import dedup_redeliveries
+from ..streaming.alerts import error_windows, sweep_error_counts
+from ..streaming.dedup import first_deliveries, sweep_deliveries
 from ..streaming.orphans import orphan_conversations_live
 from . import params as P
 
@@ -420,12 +420,12 @@ def keyword_hits_documents(spark, sf_dir):
 # --- streaming ---------------------------------------------------------------
 
 def _driver_stream(spark, sf_dir, table):
+    """A table as a stream, be it one file or a folder of part files."""
     prefer_rocksdb_state(spark)
-    ref = spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
-    return (spark.readStream.schema(ref.schema)
-            .option("pathGlobFilter", f"{table}.parquet")
-            .option("maxFilesPerTrigger", 1)
-            .parquet(sf_dir))
+    path = f"{sf_dir.rstrip('/')}/{table}.parquet"
+    ref = spark.read.parquet(path)
+    # a pattern: the stream source takes a file by it as well as a folder
+    return spark.readStream.schema(ref.schema).option("maxFilesPerTrigger", 1).parquet(path[:-1] + "[t]")
 
 
 def _event_stream(spark, sf_dir):
@@ -434,28 +434,22 @@ def _event_stream(spark, sf_dir):
 
 @register("stream_error_rate")
 def stream_error_rate(spark, sf_dir):
-    """T1 end to end: the events file is replayed as a stream (availableNow),
-    hourly error windows are appended to a Parquet alerts table in the shared
-    checkpoint folder once closed, and the table is returned."""
-    stream = _event_stream(spark, sf_dir)
+    """T1 end to end: the events are replayed as a stream (availableNow), the
+    error counts of each micro-batch go to a table in the shared checkpoint
+    folder, and the windows above the threshold are returned."""
     base = scratch_path(spark, "stream_error_rate")
-    run_error_rate_alerts(logs_from_events(stream), P.ERROR_RATE_THRESHOLD,
-                          sink_path=f"{base}/alerts", checkpoint=f"{base}/_checkpoint")
-    return spark.read.parquet(f"{base}/alerts").select("window_start", "window_end", "n_errors")
+    sweep_error_counts(logs_from_events(_event_stream(spark, sf_dir)), f"{base}/counts", f"{base}/_checkpoint")
+    return error_windows(spark, f"{base}/counts", P.ERROR_RATE_THRESHOLD)
 
 
 @register("stream_dedup_campaigns")
 def stream_dedup_campaigns(spark, sf_dir):
-    """T4 end to end: campaign dispatches replayed as a stream, re-deliveries of
-    a message_id within the watermark dropped, survivors appended to Parquet."""
+    """T4 end to end: campaign dispatches replayed as a stream, each message_id's
+    first delivery returned."""
     base = scratch_path(spark, "stream_dedup_campaigns")
-    q = (dedup_redeliveries(campaigns_from_events(_event_stream(spark, sf_dir))).writeStream
-         .format("parquet").outputMode("append")
-         .option("path", f"{base}/out").option("checkpointLocation", f"{base}/_checkpoint")
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
-    cols = [f.name for f in schemas.CAMPAIGNS.fields]
-    return spark.read.parquet(f"{base}/out").select(*cols)
+    stream = campaigns_from_events(_event_stream(spark, sf_dir)).select(*schemas.CAMPAIGNS.fieldNames())
+    sweep_deliveries(stream, f"{base}/deliveries", f"{base}/_checkpoint")
+    return first_deliveries(spark, f"{base}/deliveries", schemas.CAMPAIGNS)
 
 
 @register("stream_orphan_conversations")

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import checks
-from ..sources.writers import write_alerts
+from ..sources.writers import read_alerts, write_alerts
 
 
 def run_daily_checks(camp: DataFrame, conv: DataFrame, logs: DataFrame, ctas, as_of, alerts_path: str,
@@ -42,5 +42,5 @@ def run_daily_checks(camp: DataFrame, conv: DataFrame, logs: DataFrame, ctas, as
         orphans=checks.check_orphan_sessions(conv, camp, ctas, day_end, orphan_threshold),
         error_rate=checks.error_rate_hourly(on_day(logs, "timestamp"), error_threshold))
     write_alerts(alerts, alerts_path, day_end)
-    return (camp.sparkSession.read.parquet(alerts_path)
+    return (read_alerts(camp.sparkSession, alerts_path)
                 .where((F.col("run_date") == F.lit(day_end)) & (F.col("run_id") == "checks")))

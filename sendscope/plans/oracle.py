@@ -97,6 +97,14 @@ def _constant_columns(tables=None, with_bases: bool = True) -> str:
     return (_with() if with_bases else "") + "\nUNION ALL\n".join(parts)
 
 
+def _repeat_share(view: str, key: str) -> str:
+    """How many keys occur more than once, of all, from one count per key."""
+    return f"""
+SELECT COUNT(*) FILTER (WHERE times > 1) AS n_duplicated, COUNT(*) AS n_sessions,
+       CAST(ROUND(100.0 * COUNT(*) FILTER (WHERE times > 1) / NULLIF(COUNT(*), 0), 2) AS DOUBLE) AS pct_duplicated
+FROM (SELECT {key}, COUNT(*) AS times FROM {view} WHERE {key} IS NOT NULL GROUP BY {key}) per_key"""
+
+
 def _keyword_union(cols: str) -> str:
     return "\nUNION ALL\n".join(
         f"SELECT {cols}, {_q(n)} AS keyword FROM conv WHERE regexp_matches(text, {_q(p)})"
@@ -124,21 +132,18 @@ WHERE suffix_ddmm <> '' AND (suffix_date IS NULL OR suffix_date <> reference_dat
 
 CHECK_VERSION = """
 SELECT template, version, COUNT(*) AS n_dispatches, MIN(publish_time) AS first_dispatch
-FROM camp
-WHERE version NOT LIKE 'sendtype-%' OR version IS NULL
-GROUP BY template, version
-ORDER BY first_dispatch DESC"""
+FROM camp GROUP BY ALL
+HAVING NOT COALESCE(starts_with(version, 'sendtype-'), false)"""
 
 CHECK_ORPHANS = f"""
-SELECT c.text AS cta, COUNT(*) AS orphan_messages, COUNT(DISTINCT c.session_id) AS orphan_sessions,
-       MIN(c.publish_time) AS first_seen
-FROM conv c
-LEFT JOIN camp ON c.session_id = camp.session_id
-WHERE c.text IN ({_in_list(c for c, m in P.CTAS if m == 'exact')})
-  AND camp.session_id IS NULL
-  AND CAST(c.publish_time AS DATE) = DATE '{P.AS_OF.isoformat()}' - 1
-GROUP BY c.text
-HAVING COUNT(*) > {P.ORPHAN_THRESHOLD}"""
+SELECT text AS cta, COUNT(*) AS orphan_messages, COUNT(DISTINCT session_id) AS orphan_sessions,
+       MIN(publish_time) AS first_seen
+FROM conv
+WHERE list_contains([{_in_list(c for c, m in P.CTAS if m == 'exact')}], text)
+  AND date_diff('day', CAST(publish_time AS DATE), DATE '{P.AS_OF.isoformat()}') = 1
+  AND NOT EXISTS (FROM camp WHERE camp.session_id = conv.session_id)
+GROUP BY ALL
+HAVING orphan_messages > {P.ORPHAN_THRESHOLD}"""
 
 ERROR_RATE = f"""
 SELECT date_trunc('hour', "timestamp") AS window_start,
@@ -170,10 +175,12 @@ SELECT DISTINCT 'conversations', CAST(publish_time AS DATE) FROM conv""",
     "distinct_templates": _with() + "SELECT DISTINCT CAST(template AS VARCHAR) AS template FROM camp ORDER BY 1",
     "clean_campaigns": _with() + "SELECT session_id, message_id, template, publish_time FROM camp",
     "clean_conversations": _with() + "SELECT session_id, message_id, text, publish_time FROM conv",
-    "conversations_with_campaigns": _with() + """
-SELECT camp.session_id, camp.publish_time AS publish_time_campanha, camp.message_id AS message_id_campanha,
-       camp.template, con.text, con.publish_time AS publish_time_conversa, con.message_id AS message_id_conversa
-FROM camp JOIN conv con ON con.session_id = camp.session_id""",
+    # output names: fixed values of the export
+    "conversations_with_campaigns": _with("sent AS (SELECT session_id, template, struct_pack(t := publish_time, m := message_id) AS d FROM camp)",
+                                          "said AS (SELECT session_id, text, struct_pack(t := publish_time, m := message_id) AS d FROM conv)") + """
+SELECT session_id, sent.d.t AS publish_time_campanha, sent.d.m AS message_id_campanha, template, text,
+       said.d.t AS publish_time_conversa, said.d.m AS message_id_conversa
+FROM sent JOIN said USING (session_id)""",
     "latest_per_session": _with() + """
 SELECT * FROM camp
 QUALIFY ROW_NUMBER() OVER (PARTITION BY session_id ORDER BY publish_time DESC, message_id DESC) = 1""",
@@ -194,45 +201,27 @@ WHERE prev_message_id IS NOT NULL""",
 SELECT session_id, message_id, text, publish_time,
        CASE WHEN regexp_matches(text, {CONV_SQL_PATTERN}) THEN 'sim' ELSE 'não' END AS {P.CONVERSATION_FLAG}
 FROM conv""",
-    "keyword_conversations": _with("cam AS (SELECT DISTINCT session_id AS session_campanha FROM camp)") + f"""
-SELECT con.session_id, con.message_id, con.text, con.publish_time, 'sim' AS {P.CONVERSATION_FLAG},
-       cam.session_campanha
-FROM conv con LEFT JOIN cam ON cam.session_campanha = con.session_id
-WHERE regexp_matches(con.text, {CONV_SQL_PATTERN})""",
+    "keyword_conversations": _with() + f"""
+SELECT session_id, message_id, text, publish_time, 'sim' AS {P.CONVERSATION_FLAG},
+       CASE WHEN EXISTS (FROM camp WHERE camp.session_id = conv.session_id) THEN session_id END AS session_campanha
+FROM conv WHERE regexp_matches(text, {CONV_SQL_PATTERN})""",
     "keyword_logs": _with() + f"""
 SELECT *, 'sim' AS {P.LOG_FLAG} FROM logs WHERE regexp_matches(message, {LOG_SQL_PATTERN})""",
     "keyword_hits_multi": _with() + _keyword_union("session_id, message_id"),
     "keyword_linkage": _with(
-        f"hits AS ({_keyword_union('session_id')})",
-        "cam AS (SELECT DISTINCT session_id AS session_campanha FROM camp)",
-        "kw AS (SELECT * FROM (VALUES " + ", ".join(f"({_q(n)})" for n, _ in P.KEYWORDS) + ") v(keyword))",
-        """agg AS (SELECT keyword, COUNT(*) AS n_hits, COUNT(session_campanha) AS n_linked,
-                  COUNT(*) FILTER (WHERE session_campanha IS NULL) AS n_unlinked,
-                  COUNT(DISTINCT session_id) AS n_sessions
-           FROM hits LEFT JOIN cam ON cam.session_campanha = hits.session_id GROUP BY keyword)""") + """
-SELECT kw.keyword, COALESCE(n_hits, 0) AS n_hits, COALESCE(n_linked, 0) AS n_linked,
-       COALESCE(n_unlinked, 0) AS n_unlinked, COALESCE(n_sessions, 0) AS n_sessions
-FROM kw LEFT JOIN agg ON agg.keyword = kw.keyword""",
+        f"found AS ({_keyword_union('session_id, EXISTS (FROM camp WHERE camp.session_id = conv.session_id) AS linked')})",
+        "asked AS (SELECT unnest([" + _in_list(n for n, _ in P.KEYWORDS) + "]) AS keyword)") + """
+SELECT asked.keyword, COUNT(found.linked) AS n_hits, COUNT(*) FILTER (WHERE linked) AS n_linked,
+       COUNT(*) FILTER (WHERE NOT linked) AS n_unlinked, COUNT(DISTINCT session_id) AS n_sessions
+FROM asked LEFT JOIN found USING (keyword) GROUP BY asked.keyword""",
     "session_messages": _with() + """
 SELECT session_id, COUNT(DISTINCT message_id) AS n_messages FROM camp GROUP BY session_id
 HAVING COUNT(DISTINCT message_id) > 1 ORDER BY n_messages DESC""",
     "session_messages_conv": _with() + """
 SELECT session_id, COUNT(DISTINCT message_id) AS n_messages FROM conv GROUP BY session_id
 HAVING COUNT(DISTINCT message_id) > 1 ORDER BY n_messages DESC""",
-    "session_duplicate_share": _with(
-        "total AS (SELECT COUNT(DISTINCT session_id) AS n_sessions FROM camp)",
-        """dup AS (SELECT COUNT(DISTINCT session_id) AS n_duplicated
-                FROM (SELECT session_id FROM camp GROUP BY session_id HAVING COUNT(*) > 1) d)""") + """
-SELECT dup.n_duplicated, total.n_sessions,
-       CAST(ROUND(dup.n_duplicated * 100.0 / NULLIF(total.n_sessions, 0), 2) AS DOUBLE) AS pct_duplicated
-FROM total, dup""",
-    "session_duplicate_share_conv": _with(
-        "total AS (SELECT COUNT(DISTINCT session_id) AS n_sessions FROM conv)",
-        """dup AS (SELECT COUNT(DISTINCT session_id) AS n_duplicated
-                FROM (SELECT session_id FROM conv GROUP BY session_id HAVING COUNT(*) > 1) d)""") + """
-SELECT dup.n_duplicated, total.n_sessions,
-       CAST(ROUND(dup.n_duplicated * 100.0 / NULLIF(total.n_sessions, 0), 2) AS DOUBLE) AS pct_duplicated
-FROM total, dup""",
+    "session_duplicate_share": _with() + _repeat_share("camp", "session_id"),
+    "session_duplicate_share_conv": _with() + _repeat_share("conv", "session_id"),
     "top_sessions": _with() + f"""
 SELECT session_id, COUNT(DISTINCT message_id) AS n_messages FROM camp GROUP BY session_id
 HAVING COUNT(DISTINCT message_id) > 1 ORDER BY n_messages DESC, session_id LIMIT {P.TOP_SESSIONS}""",
@@ -354,8 +343,7 @@ FROM x""",
         """w AS (SELECT date_trunc('hour', "timestamp") AS window_start, COUNT(*) AS n_errors
              FROM err GROUP BY 1)""") + f"""
 SELECT window_start, window_start + INTERVAL 1 HOUR AS window_end, n_errors FROM w
-WHERE window_start + INTERVAL 1 HOUR <= (SELECT MAX("timestamp") FROM err) - INTERVAL 10 MINUTE
-  AND n_errors > {P.ERROR_RATE_THRESHOLD}""",
+WHERE n_errors > {P.ERROR_RATE_THRESHOLD}""",
 }
 
 ORDERS_COLS = [("o_orderkey", "bigint"), ("o_custkey", "bigint"), ("o_orderstatus", "string"),
@@ -369,13 +357,7 @@ ORACLE_SQL.update({
     "orders_per_customer": """
 SELECT o_custkey, COUNT(DISTINCT o_orderkey) AS n_messages FROM orders GROUP BY o_custkey
 HAVING COUNT(DISTINCT o_orderkey) > 1""",
-    "user_duplicate_share_events": """
-WITH total AS (SELECT COUNT(DISTINCT user_id) AS n_sessions FROM events),
-dup AS (SELECT COUNT(DISTINCT user_id) AS n_duplicated
-        FROM (SELECT user_id FROM events GROUP BY user_id HAVING COUNT(*) > 1) d)
-SELECT dup.n_duplicated, total.n_sessions,
-       CAST(ROUND(dup.n_duplicated * 100.0 / NULLIF(total.n_sessions, 0), 2) AS DOUBLE) AS pct_duplicated
-FROM total, dup""",
+    "user_duplicate_share_events": _repeat_share("events", "user_id"),
     "join_fanout_orders_lineitem": """
 WITH l AS (SELECT o_orderkey AS k, COUNT(*) AS n_left FROM orders WHERE o_orderkey IS NOT NULL GROUP BY 1),
 r AS (SELECT l_orderkey AS k, COUNT(*) AS n_right FROM lineitem WHERE l_orderkey IS NOT NULL GROUP BY 1)

@@ -47,12 +47,14 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this setting names a shared file system (HDFS, S3, ...). Only
-    when it is unset (local tests) do we fall back to a scratch folder.
+    On a cluster this setting names a shared file system (HDFS, S3, ...) and
+    must be set. Only a local master falls back to a scratch folder.
     """
     path = spark.conf.get("spark.checkpoint.dir", None) or \
         spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = os.path.join(os.environ.get("TMPDIR", "/tmp"), "sendscope-checkpoints")
         spark.conf.set("spark.checkpoint.dir", path)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
@@ -85,7 +87,7 @@ def scale_conf(shuffle_bytes: int, target_partition_bytes: int = 256 << 20) -> d
     this library is of a proven-small parameter table or a runtime-measured
     side chosen by AQE.
     """
-    n = int(min(50_000, max(200, shuffle_bytes // target_partition_bytes)))
+    n = int(max(200, -(-shuffle_bytes // target_partition_bytes)))
     mb = max(64, target_partition_bytes >> 20)
     return {
         "spark.sql.shuffle.partitions": str(n),

@@ -7,14 +7,16 @@ the shared folder named by ``spark.checkpoint.dir``; later queries read those
 files, so date filters prune partitions, session lookups skip row groups, and
 no query re-evaluates the derivation expressions.
 
-The stage key hashes the input paths, sizes and modification times, so changed
-inputs are re-staged. A stage is complete only when every table has its
+The stage key hashes the paths, sizes and modification times of all input files
+and the code that derives the bases, so a change of either is staged anew. A stage is complete only when every table has its
 ``_SUCCESS`` marker; an interrupted write is simply redone.
 """
 
 from __future__ import annotations
 
 import hashlib
+import inspect
+import sys
 import threading
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,10 +25,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, StructField, StructType
 
 from .. import schemas
+from . import adapter
 from ..session import ensure_checkpoint_dir
 from .adapter import load_tables
 
-STAGE_VERSION = "2"
 _LAYOUT = {
     "campaigns": ("publish_time", ["session_id", "publish_time", "message_id"]),
     "conversations": ("publish_time", ["session_id", "publish_time", "message_id"]),
@@ -45,8 +47,11 @@ def _fs_info(spark: SparkSession, path: str) -> str:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    st = fs.getFileStatus(p)
-    return f"{path}:{st.getLen()}:{st.getModificationTime()}"
+    files, found = fs.listFiles(p, True), []
+    while files.hasNext():
+        st = files.next()
+        found.append(f"{st.getPath()}:{st.getLen()}:{st.getModificationTime()}")
+    return "|".join(sorted(found))
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -57,7 +62,8 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 
 def stage_key(spark: SparkSession, sf_dir: str) -> str:
     sig = "|".join(_fs_info(spark, f"{sf_dir.rstrip('/')}/{t}.parquet") for t in _INPUTS)
-    return hashlib.sha1(f"{STAGE_VERSION}|{sig}".encode()).hexdigest()[:16]
+    code = "".join(inspect.getsource(m) for m in (adapter, sys.modules[__name__]))
+    return hashlib.sha1(f"{code}|{sig}".encode()).hexdigest()[:16]
 
 
 def _write(df: DataFrame, path: str, time_col: str, sort_cols: list[str]) -> None:

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def write_processed(df: DataFrame, path: str, time_col: str | None = "publish_time",
@@ -53,14 +54,21 @@ def export_json_lines(df: DataFrame, path: str, mode: str = "overwrite") -> None
 def write_alerts(alerts: DataFrame, path: str, run_date, run_id: str = "checks") -> None:
     """Write one run of the checks into the alerts table.
 
-    The table is partitioned by (``run_date``, ``run_id``) and written with
-    dynamic partition overwrite: a retried or re-run job replaces exactly its
-    own partition and leaves other days and other writers (streams) untouched,
-    so scheduled runs are idempotent.
+    The table is partitioned by (``run_date``, ``run_id``). A run overwrites the
+    folder of its own partition and leaves other days and other writers
+    (streams) untouched, so scheduled runs are idempotent; a run that finds
+    nothing clears what an earlier one left. Read it with :func:`read_alerts`.
     """
-    (alerts.withColumn("run_date", F.lit(run_date).cast("date"))
-           .withColumn("run_id", F.lit(run_id))
-           .write.mode("overwrite")
-           .option("partitionOverwriteMode", "dynamic")
-           .partitionBy("run_date", "run_id")
-           .parquet(path))
+    alerts.select(*ALERTS.fieldNames()).write.mode("overwrite").parquet(
+        f"{path.rstrip('/')}/run_date={run_date}/run_id={run_id}")
+
+
+#: Columns of the alerts table; the partition columns come after them.
+ALERTS = (StructType().add("check_name", "string").add("entity", "string").add("severity", "string")
+          .add("n_rows", "long").add("first_seen", "timestamp_ntz"))
+
+
+def read_alerts(spark: SparkSession, path: str) -> DataFrame:
+    """The alerts table with run_date and run_id, empty if no run found any."""
+    schema = StructType(list(ALERTS.fields)).add("run_date", "date").add("run_id", "string")
+    return spark.read.schema(schema).parquet(path)

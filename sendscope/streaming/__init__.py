@@ -1,9 +1,11 @@
-from .alerts import (alerts_batch_writer, error_alert_stream, error_rate_alerts, error_rate_stream,
+from .alerts import (error_windows, sweep_error_counts,
+                     alerts_batch_writer, error_alert_stream, error_rate_alerts, error_rate_stream,
                      event_time, run_error_alert_sweep, run_error_rate_alerts, stream_alerts_to_table,
                      wall_clock)
-from .dedup import dedup_redeliveries
+from .dedup import dedup_redeliveries, first_deliveries, sweep_deliveries
 from .orphans import orphan_conversations_live, orphan_conversations_stream
 
-__all__ = ["alerts_batch_writer", "error_rate_alerts", "stream_alerts_to_table","error_alert_stream", "error_rate_stream", "event_time", "run_error_rate_alerts",
+__all__ = ["error_windows", "sweep_error_counts", "first_deliveries", "sweep_deliveries",
+           "alerts_batch_writer", "error_rate_alerts", "stream_alerts_to_table","error_alert_stream", "error_rate_stream", "event_time", "run_error_rate_alerts",
            "run_error_alert_sweep", "wall_clock", "dedup_redeliveries", "orphan_conversations_live",
            "orphan_conversations_stream"]

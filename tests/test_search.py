@@ -1,3 +1,5 @@
+import pytest
+
 from sendscope.functions.regex import FLAG_NO, FLAG_YES, matches, unicode_case
 from sendscope.operators import search
 
@@ -85,3 +87,15 @@ def test_word_boundary_property_against_re2(spark, texts):
         got = [r.m for r in df.select(matches("t", p).alias("m")).collect()]
         want = [bool(con.execute("SELECT regexp_matches(?, ?)", [t, p]).fetchone()[0]) for t in texts]
         assert got == want, (p, [t for t, g, w in zip(texts, got, want) if g != w])
+
+
+@pytest.mark.parametrize("pattern", [r"foo$", r"(?i)galaxy\s+s26", r"a\Sb", r"[\s,]+x", r"[^\S]y", r"\Qa$\E", r"[$]z", r"\$z"])
+def test_classes_search_like_re2(spark, pattern):
+    import duckdb
+    texts = ["foo", "foo\n", "foo\nbar", "galaxy s26", "Galaxy\x0bS26", "galaxy\t\nS26", "galaxy\u00a0s26", "a\x0bb", "a b", "a\u00a0b",
+             " x", "\x0bx", ",x", " y", "\x0by", "a$", "$z", "a\n"]
+    con = duckdb.connect()
+    want = [con.execute("SELECT regexp_matches(?, ?)", [t, pattern]).fetchone()[0] for t in texts]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = [r[0] for r in df.orderBy("i").select(matches("t", pattern)).collect()]
+    assert got == want

@@ -93,3 +93,17 @@ def test_alert_runs_are_idempotent_per_day(spark, tmp_path):
     got = {(str(r.run_date), r.run_id): r["count"]
            for r in read_processed(spark, out).groupBy("run_date", "run_id").count().collect()}
     assert got == {("2024-03-21", "checks"): 1, ("2024-03-22", "checks"): 2, ("2024-03-21", "errors-7"): 1}
+
+
+def test_a_run_without_alerts_clears_its_partition(spark, tmp_path):
+    from sendscope.sources import read_alerts, write_alerts
+    from sendscope.sources.writers import ALERTS
+    out = str(tmp_path / "alerts")
+    none = spark.createDataFrame([], ALERTS)
+    write_alerts(none, out, "2024-03-20")
+    assert read_alerts(spark, out).collect() == []
+    one = spark.createDataFrame([("version", "x", "attention", 1, None)], ALERTS)
+    for day in ("2024-03-20", "2024-03-21"):
+        write_alerts(one, out, day)
+    write_alerts(none, out, "2024-03-20")
+    assert [str(r.run_date) for r in read_alerts(spark, out).collect()] == ["2024-03-21"]
