@@ -44,8 +44,10 @@ def test_stages_on_odd_tables(spark):
             (3, "some words here", "en", "s", 15), (4, "x" * 100000, "de", "s", 100000)]
     for data in (rows, []):
         docs = spark.createDataFrame(data, schema)
-        for _, stage in P.STAGES:
-            assert stage(spark, docs, SF).count() >= (1 if data else 0)
+        for name, stage in P.STAGES:
+            n = stage(spark, docs, SF).count()
+            assert n >= 1 or name == "mixing" or not data  # the mix may leave none of so few
+            assert n == 0 or data
 
 
 def test_run(spark):
