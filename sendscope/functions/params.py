@@ -1,27 +1,34 @@
 """Parameter tables (expected campaigns, CTAs, keywords).
 
 These are configuration, not data: a handful of rows. Operators turn them into
-literal expressions (``isin`` → hash set, one ``rlike`` per pattern) after a
-bounded read, so the big table is scanned once and never joined against them.
-The bound is proven with ``limit(n + 1)`` — a job that reads at most n+1 rows.
+literal expressions (``isin`` → hash set, one ``rlike`` per pattern) a block at
+a time, so the big table is scanned once and never joined against them; a list
+longer than a block takes another scan. A side is broadcast only when
+``limit(n + 1)``, a job that reads at most n+1 rows, proves its bound.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import islice
+
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql.types import StructType
 
 DEFAULT_MAX_PARAM_ROWS = 10_000
 
+#: Literals tried in one scan; a longer list takes a scan a block.
+DEFAULT_BLOCK = 1000
 
-_KNOWN_ROWS = "_sendscope_known_rows"
-_LOCAL_ROWS = "_sendscope_local_rows"
 
+def blocks(df: DataFrame, size: int = DEFAULT_BLOCK) -> Iterator[list[Row]]:
+    """The rows of a parameter table, however many, in blocks of at most ``size``."""
+    rows = df.toLocalIterator()
+    while some := list(islice(rows, size)):
+        yield some
 
-def bounded_rows(df: DataFrame, max_rows: int = DEFAULT_MAX_PARAM_ROWS) -> list[Row] | None:
-    """Rows of ``df`` if it holds at most ``max_rows`` rows, else None."""
-    rows = df.limit(max_rows + 1).collect()
-    return rows if len(rows) <= max_rows else None
+
+_KNOWN_ROWS = "_sendscope_known_rows"
 
 
 def is_bounded(df: DataFrame, max_rows: int = DEFAULT_MAX_PARAM_ROWS) -> bool:
@@ -43,10 +50,5 @@ def param_frame(spark: SparkSession, rows, schema: StructType) -> DataFrame:
     rows = list(rows)
     df = spark.createDataFrame(rows, schema)
     setattr(df, _KNOWN_ROWS, len(rows))
-    setattr(df, _LOCAL_ROWS, [Row(**dict(zip(schema.names, r))) for r in rows])
     return df
 
-
-def local_rows(df: DataFrame) -> list[Row] | None:
-    """The driver-side rows a parameter table was built from, if any."""
-    return getattr(df, _LOCAL_ROWS, None)

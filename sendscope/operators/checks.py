@@ -8,12 +8,13 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Iterable
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.dates import ddmm_suffix, suffix_date
-from ..functions.params import DEFAULT_MAX_PARAM_ROWS, bounded_rows
+from ..functions.params import DEFAULT_BLOCK, blocks
 from ..functions.payload import ERROR_SIGNATURE
 from ..functions.regex import matches
 from ..session import ensure_checkpoint_dir
@@ -51,7 +52,7 @@ def check_template_date(camp: DataFrame, as_of=None) -> DataFrame:
 
 def check_version(camp: DataFrame, strict: bool = False) -> DataFrame:
     """Dispatches whose ``version`` is outside ``sendtype-…`` (or NULL),
-    grouped by (template, version), latest first dispatch first.
+    grouped by (template, version); :func:`latest_first` sorts them for a report.
 
     ``strict=True`` requires exactly three digits, as the prose describes.
     """
@@ -60,36 +61,34 @@ def check_version(camp: DataFrame, strict: bool = False) -> DataFrame:
     irregular = v.isNull() | ~ok
     return (camp.where(irregular)
                 .groupBy("template", "version")
-                .agg(F.count(F.lit(1)).alias("n_dispatches"), F.min("publish_time").alias("first_dispatch"))
-                .orderBy(F.col("first_dispatch").desc(), "template", F.col("version").asc_nulls_first()))
+                .agg(F.count(F.lit(1)).alias("n_dispatches"), F.min("publish_time").alias("first_dispatch")))
 
 
-def _cta_rules(ctas, max_rows: int) -> tuple[list[str], list[str]] | None:
-    """(exact, regex) CTA literals, or None when the CTA table is too large."""
-    if isinstance(ctas, DataFrame):
-        rows = bounded_rows(ctas.select("cta", "match"), max_rows)
-        if rows is None:
-            return None
-        pairs = [(r.cta, r.match) for r in rows]
-    else:
-        pairs = [(c, "exact") if isinstance(c, str) else tuple(c) for c in ctas]
-    exact = sorted({c for c, m in pairs if m == "exact"})
-    regex = sorted({c for c, m in pairs if m == "regex"})
-    return exact, regex
+def latest_first(version: DataFrame) -> DataFrame:
+    """C2's report order: latest first dispatch first."""
+    return version.orderBy(F.col("first_dispatch").desc(), "template", F.col("version").asc_nulls_first())
+
+
+def _cta_table(spark: SparkSession, ctas: Iterable | DataFrame) -> DataFrame:
+    """Distinct ``(cta, match)`` rows without NULL CTAs; a plain string is an exact CTA."""
+    if not isinstance(ctas, DataFrame):
+        ctas = spark.createDataFrame([(c, "exact") if isinstance(c, str) else tuple(c) for c in ctas],
+                                     "cta string, match string")
+    return ctas.select("cta", "match").where(F.col("cta").isNotNull()).distinct()
 
 
 def cta_messages_on_day(conv: DataFrame, ctas: Iterable | DataFrame, as_of,
-                        max_rows: int = DEFAULT_MAX_PARAM_ROWS) -> DataFrame | None:
+                        block: int = DEFAULT_BLOCK) -> DataFrame:
     """Conversation messages of the day before ``as_of`` that carry a known
-    CTA: ``(session_id, publish_time, cta)``; None when no CTA is given.
+    CTA: ``(session_id, publish_time, cta)``, once for each CTA of a message.
 
     The day filter is a half-open range on the raw timestamp (row-group
     skipping) plus, on a ``publish_date``-partitioned table, a partition filter
     that skips every other day's files. Exact CTAs become one hash-set
-    ``isin`` and regex CTAs one ``rlike`` each; above the bound exact CTAs are
-    matched by a shuffle equi-join on the text.
+    ``isin`` and regex CTAs one ``rlike`` each; a list of more than ``block``
+    CTAs, exact and regex alike, takes one scan of the day a block. Another
+    ``match`` than exact or regex is an error.
     """
-    rules = _cta_rules(ctas, max_rows)
     day_end = _date(as_of)
     day_start = day_end - dt.timedelta(days=1)
     ts = F.col("publish_time")
@@ -97,28 +96,24 @@ def cta_messages_on_day(conv: DataFrame, ctas: Iterable | DataFrame, as_of,
                      (ts < F.lit(dt.datetime.combine(day_end, dt.time()))))
     if "publish_date" in conv.columns:  # date-partitioned table: prune directories
         day = day.where(F.col("publish_date") == F.lit(day_start))
-    if rules is None:
-        # regex CTAs cannot be keyed, so they must stay within the bound
-        table = ctas.select("cta", "match")
-        if table.where(F.col("match") != "exact").limit(1).count():
-            raise ValueError(f"more than {max_rows} CTAs including regex ones; split the regex CTAs out")
-        exact_tbl = table.where(F.col("match") == "exact").select("cta").distinct()
-        return day.select("session_id", "publish_time", "text") \
-            .join(exact_tbl, F.col("text") == F.col("cta"), "inner").drop("text")
-    exact, regex = rules
-    labels = []
-    if exact:
-        labels.append(F.when(F.col("text").isin(exact), F.col("text")))
-    labels += [F.when(matches("text", p), F.lit(p)) for p in regex]
-    if not labels:
-        return None
-    return (day.select("session_id", "publish_time", F.explode(F.array(*labels)).alias("cta"))
-               .where(F.col("cta").isNotNull()))
+    found = []
+    for some in blocks(_cta_table(conv.sparkSession, ctas).orderBy("cta", "match"), block):
+        unknown = {r.match for r in some} - {"exact", "regex"}
+        if unknown:
+            raise ValueError(f"a CTA matches exact or regex, not {sorted(map(str, unknown))}")
+        exact = [r.cta for r in some if r.match == "exact"]
+        labels = [F.when(F.col("text").isin(exact), F.col("text"))] if exact else []
+        labels += [F.when(matches("text", r.cta), F.lit(r.cta)) for r in some if r.match == "regex"]
+        found.append(day.select("session_id", "publish_time", F.explode(F.array(*labels)).alias("cta"))
+                        .where(F.col("cta").isNotNull()))
+    if not found:
+        return day.select("session_id", "publish_time", F.col("text").alias("cta")).where(F.lit(False))
+    return reduce(DataFrame.unionByName, found)
 
 
 def check_orphan_sessions(conv: DataFrame, camp: DataFrame, ctas: Iterable | DataFrame, as_of,
                           threshold: int = DEFAULT_ORPHAN_THRESHOLD,
-                          max_rows: int = DEFAULT_MAX_PARAM_ROWS) -> DataFrame:
+                          block: int = DEFAULT_BLOCK) -> DataFrame:
     """Conversations of the day before ``as_of`` carrying a known CTA whose
     session has no campaign record, per CTA, above ``threshold`` messages.
 
@@ -135,10 +130,7 @@ def check_orphan_sessions(conv: DataFrame, camp: DataFrame, ctas: Iterable | Dat
     ``orphan_messages`` is the scheduled SQL's COUNT(*) over conversation rows;
     ``orphan_sessions`` counts distinct sessions.
     """
-    tagged = cta_messages_on_day(conv, ctas, as_of, max_rows)
-    if tagged is None:
-        return conv.sparkSession.createDataFrame(
-            [], "cta string, orphan_messages long, orphan_sessions long, first_seen timestamp_ntz")
+    tagged = cta_messages_on_day(conv, ctas, as_of, block)
     ensure_checkpoint_dir(conv.sparkSession)
     per_session = tagged.groupBy("session_id", "cta").agg(
         F.count(F.lit(1)).alias("n"), F.min("publish_time").alias("first_seen")).checkpoint(eager=True)

@@ -2,23 +2,44 @@
 
 For every reported campaign it gathers, in parallel Spark jobs over the whole
 bases: does the template exist, are there near-miss names, does the CTA show
-up in the logs (and inside deserialisation errors), and do the conversations
-cover the dispatch date. Hypotheses may hold together; none is forced.
+up in the logs (and inside deserialisation errors), was the template
+dispatched on its date, are the sessions with the CTA linked to a campaign, and
+do the conversations cover the dispatch date. Hypotheses may hold together; none is forced.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.params import DEFAULT_MAX_PARAM_ROWS, is_bounded, local_rows
-from .payload import cta_log_evidence
+from ..functions.params import DEFAULT_MAX_PARAM_ROWS, is_bounded
+from ..session import ensure_checkpoint_dir
+from .payload import cta_contained, cta_log_evidence, cta_table
+from .search import campaign_sessions_among
 from .templates import distinct_templates, template_candidates
 
 # Hypothesis labels, in reporting order.
 HYPOTHESES = ["wrong_name", "not_registered", "payload_error", "api_failure_possible", "incomplete_data"]
 
 
+def cta_session_links(ctas: Iterable[str] | DataFrame, conv: DataFrame, camp: DataFrame) -> DataFrame:
+    """J6 for CTAs: sessions with a message that contains the CTA, split into
+    those a campaign explains (``n_cta_linked``) and the others.
+
+    The texts are scanned once: one row per (session, CTA) is checkpointed,
+    the campaigns are reduced to those sessions.
+    """
+    ensure_checkpoint_dir(conv.sparkSession)
+    per = (cta_contained(conv, "text", cta_table(conv.sparkSession, ctas), "session_id")
+           .where(F.col("session_id").isNotNull()).distinct().checkpoint(eager=True))
+    cam = campaign_sessions_among(camp, per)
+    linked = F.col("session_campanha").isNotNull()
+    return (per.join(cam, F.col("session_id") == F.col("session_campanha"), "left")
+               .groupBy("cta").agg(F.count_if(linked).alias("n_cta_linked"), F.count_if(~linked).alias("n_cta_unlinked")))
+
+
 def campaign_diagnosis(expected: DataFrame, camp: DataFrame, conv: DataFrame, logs: DataFrame,
                        max_distance: int = 4, max_rows: int = DEFAULT_MAX_PARAM_ROWS) -> DataFrame:
     small = is_bounded(expected, max_rows)
@@ -35,24 +56,26 @@ def campaign_diagnosis(expected: DataFrame, camp: DataFrame, conv: DataFrame, lo
         F.min_by(F.col("similar_template"), F.struct("distance", "similar_template")).alias("best_similar"),
         F.min("distance").alias("best_distance"))
 
-    given = local_rows(expected)
-    ctas = [r.cta for r in given] if given is not None else expected.select("cta")
-    evidence = cta_log_evidence(ctas, logs, max_rows=max_rows).select("cta", "n_log_hits", "n_error_hits")
-
-    # conversations on each dispatch date; literal dates (a local parameter
-    # table) prune date partitions of a publish_date-partitioned table
-    day = F.col("publish_date") if "publish_date" in conv.columns else F.to_date("publish_time")
-    if given is not None:
-        dates = sorted({r.dispatch_date for r in given if r.dispatch_date is not None})
-        on_dates = conv.where(day.isin(dates)).select(day.alias("dispatch_date"))
-    else:
-        on_dates = conv.join(exp.select("dispatch_date").distinct(), day == F.col("dispatch_date"), "inner") \
-            .select("dispatch_date")
-    conv_days = on_dates.groupBy("dispatch_date").agg(F.count(F.lit(1)).alias("n_conversations_on_date"))
+    evidence = cta_log_evidence(expected.select("cta"), logs).select("cta", "n_log_hits", "n_error_hits")
+    links = cta_session_links(expected.select("cta"), conv, camp)
+
+    # dispatches and conversations on each dispatch date; literal dates prune
+    # the folders of a publish_date-partitioned table
+    dates = [r.dispatch_date for r in expected.select("dispatch_date").distinct().dropna().toLocalIterator()]
+
+    def on_dates(df: DataFrame) -> DataFrame:
+        day = F.col("publish_date") if "publish_date" in df.columns else F.to_date("publish_time")
+        return df.withColumn("dispatch_date", day).where(day.isin(dates))
+
+    conv_days = on_dates(conv).groupBy("dispatch_date").agg(F.count(F.lit(1)).alias("n_conversations_on_date"))
+    sent = (on_dates(camp).groupBy("template", "dispatch_date")
+            .agg(F.count(F.lit(1)).alias("n_dispatched_on_date")))
 
     d = (exp.join(exists, "template", "left")
             .join(similar, "campaign", "left")
             .join(F.broadcast(evidence) if small else evidence, "cta", "left")
+            .join(links, "cta", "left")
+            .join(sent, ["template", "dispatch_date"], "left")
             .join(conv_days, "dispatch_date", "left")
             .select("campaign", "template", "cta", "dispatch_date", "send_type",
                     F.coalesce("template_exists", F.lit(False)).alias("template_exists"),
@@ -60,7 +83,9 @@ def campaign_diagnosis(expected: DataFrame, camp: DataFrame, conv: DataFrame, lo
                     "best_similar", "best_distance",
                     F.coalesce("n_log_hits", F.lit(0)).cast("long").alias("n_log_hits"),
                     F.coalesce("n_error_hits", F.lit(0)).cast("long").alias("n_error_hits"),
-                    F.coalesce("n_conversations_on_date", F.lit(0)).cast("long").alias("n_conversations_on_date")))
+                    *[F.coalesce(c, F.lit(0)).cast("long").alias(c)
+                      for c in ("n_cta_linked", "n_cta_unlinked", "n_dispatched_on_date", "n_conversations_on_date")],
+                    F.col("n_dispatched_on_date").isNotNull().alias("dispatched")))
 
     wrong_name = ~F.col("template_exists") & (F.col("n_similar") > 0)
     rules = {

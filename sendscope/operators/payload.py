@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.params import DEFAULT_MAX_PARAM_ROWS, bounded_rows
+from ..functions.params import DEFAULT_BLOCK, blocks
 from ..functions.payload import error_payload, is_deserialization_error, looks_like_json
 
 
@@ -51,14 +52,25 @@ def error_payloads(logs: DataFrame, message_col: str = "message") -> DataFrame:
                     F.max("timestamp").alias("last_seen")))
 
 
-def cta_list(ctas: Iterable[str] | DataFrame, col: str = "cta",
-             max_rows: int = DEFAULT_MAX_PARAM_ROWS) -> list[str] | None:
-    """Distinct CTAs as literals, or None when a CTA table exceeds ``max_rows``.
-    Null and empty CTAs are none."""
-    if isinstance(ctas, DataFrame):
-        rows = bounded_rows(ctas.select(col).where(F.col(col) != "").distinct(), max_rows)
-        return None if rows is None else sorted(r[0] for r in rows)
-    return sorted({str(c) for c in ctas if c})
+def cta_table(spark: SparkSession, ctas: Iterable[str] | DataFrame) -> DataFrame:
+    """Distinct CTAs of a list or a table with a column ``cta``. Null and empty CTAs are none."""
+    if not isinstance(ctas, DataFrame):
+        ctas = spark.createDataFrame([(c,) for c in ctas], "cta string")
+    return ctas.select("cta").where(F.col("cta") != "").distinct()
+
+
+def cta_contained(df: DataFrame, text: str, ctas: DataFrame, *keep: Column | str,
+                  block: int = DEFAULT_BLOCK) -> DataFrame:
+    """The columns ``keep`` and ``cta`` for every (row, CTA contained in its
+    text), case-sensitive: literal ``contains`` tests in one scan for each
+    block of CTAs."""
+    parts = []
+    for some in blocks(ctas.orderBy("cta"), block):
+        hit = F.array(*[F.when(F.col(text).contains(F.lit(r.cta)), F.lit(r.cta)) for r in some])
+        parts.append(df.select(*keep, F.explode(hit).alias("cta")).where(F.col("cta").isNotNull()))
+    if not parts:
+        return df.select(*keep, F.lit("").alias("cta")).where(F.lit(False))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def contains_join(texts: DataFrame, patterns: DataFrame, text_col: str, pattern_col: str,
@@ -98,34 +110,19 @@ def contains_join(texts: DataFrame, patterns: DataFrame, text_col: str, pattern_
 
 
 def cta_log_evidence(ctas: Iterable[str] | DataFrame, logs: DataFrame,
-                     message_col: str = "message", max_rows: int = DEFAULT_MAX_PARAM_ROWS) -> DataFrame:
+                     message_col: str = "message", block: int = DEFAULT_BLOCK) -> DataFrame:
     """Per CTA, log lines containing it (exact, case-sensitive substring),
     how many of them are deserialisation errors, and when it was first seen.
 
-    A CTA list within ``max_rows`` becomes literal ``contains`` tests in one
-    scan of the logs. A larger CTA table is matched with :func:`contains_join`
-    (exact, no broadcast, no nested loop). CTAs without evidence get zeros.
+    CTAs become literal ``contains`` tests in one scan of the logs (one scan a
+    block of a long list). CTAs without evidence get zeros.
     """
-    names = cta_list(ctas, max_rows=max_rows)
-    spark = logs.sparkSession
-    msg = F.col(message_col)
-    if names is not None:
-        if not names:
-            return spark.createDataFrame(
-                [], "cta string, n_log_hits long, n_error_hits long, first_seen timestamp_ntz")
-        hit = F.array(*[F.when(msg.contains(F.lit(c)), F.lit(c)) for c in names])
-        hits = (logs.select("timestamp", is_deserialization_error(message_col).alias("_err"),
-                            F.explode(hit).alias("cta"))
-                    .where(F.col("cta").isNotNull()))
-        base = F.broadcast(spark.createDataFrame([(c,) for c in names], "cta string"))
-    else:
-        table = ctas.select(F.col("cta")).where(F.col("cta") != "").distinct()
-        hits = contains_join(logs.select("timestamp", message_col), table, message_col, "cta") \
-            .select("timestamp", is_deserialization_error(message_col).alias("_err"), "cta")
-        base = table
+    table = cta_table(logs.sparkSession, ctas)
+    hits = cta_contained(logs, message_col, table, "timestamp",
+                         is_deserialization_error(message_col).alias("_err"), block=block)
     agg = hits.groupBy("cta").agg(F.count(F.lit(1)).alias("n_log_hits"),
                                  F.count_if("_err").alias("n_error_hits"),
                                  F.min("timestamp").alias("first_seen"))
-    return (base.join(agg, "cta", "left")
-                .select("cta", F.coalesce("n_log_hits", F.lit(0)).alias("n_log_hits"),
-                        F.coalesce("n_error_hits", F.lit(0)).alias("n_error_hits"), "first_seen"))
+    return (table.join(agg, "cta", "left")
+                 .select("cta", F.coalesce("n_log_hits", F.lit(0)).alias("n_log_hits"),
+                         F.coalesce("n_error_hits", F.lit(0)).alias("n_error_hits"), "first_seen"))

@@ -3,7 +3,7 @@ ordered reads and samples (R1–R3, J3, W1–W3, O2–O4)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .sequence import latest_before, sequence_within_groups
@@ -65,15 +65,12 @@ def latest_per_key(df: DataFrame, key: str, order_cols: list[str]) -> DataFrame:
     """The row with the greatest ``order_cols`` per ``key`` (order_cols should
     end in a unique id so ties are broken deterministically).
 
-    ``max(struct(order..., rest...))`` is an ordinary aggregate: it combines
-    map-side, so a hot key collapses to one row per task before the shuffle —
-    no window sort of the whole group.
+    ``row_number() = 1`` gets a partial group limit before the exchange, so a
+    task sends one row a key and a hot key is never gathered whole. NULLs in
+    ``order_cols`` come last.
     """
-    rest = [c for c in df.columns if c != key and c not in order_cols]
-    best = F.max(F.struct(*order_cols, *rest)).alias("_best")
-    return (df.groupBy(key).agg(best)
-              .select(key, *[F.col(f"_best.{c}").alias(c) for c in [*order_cols, *rest]])
-              .select(*df.columns))
+    w = Window.partitionBy(key).orderBy(*[F.col(c).desc_nulls_last() for c in order_cols])
+    return df.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") == 1).drop("_rank")
 
 
 def latest_per_session(camp: DataFrame) -> DataFrame:

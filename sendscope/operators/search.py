@@ -2,32 +2,31 @@
 
 Patterns are literals compiled once per task. Several patterns are evaluated
 in one scan (one ``rlike`` per pattern inside a single projection), never one
-scan per pattern.
+scan per pattern; very long lists take one scan a block of patterns.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
-from ..functions.params import DEFAULT_MAX_PARAM_ROWS, bounded_rows, param_frame
+from ..functions.params import DEFAULT_BLOCK, blocks
 from ..functions.regex import FLAG_YES, flag, matches
 from ..session import ensure_checkpoint_dir
 
 Keywords = Iterable[tuple[str, str]] | DataFrame
 
 
-def keyword_list(keywords: Keywords, max_rows: int = DEFAULT_MAX_PARAM_ROWS) -> list[tuple[str, str]]:
-    """(name, pattern) pairs from a list or a small keyword table."""
-    if isinstance(keywords, DataFrame):
-        rows = bounded_rows(keywords.select("name", "pattern"), max_rows)
-        if rows is None:
-            raise ValueError(f"keyword table exceeds {max_rows} patterns; split it into batches")
-        return [(r.name, r.pattern) for r in rows]
-    return [(str(n), str(p)) for n, p in keywords]
+def keyword_table(spark: SparkSession, keywords: Keywords) -> DataFrame:
+    """Distinct (name, pattern) rows of a list or a keyword table; rows
+    without a name or a pattern are none."""
+    if not isinstance(keywords, DataFrame):
+        keywords = spark.createDataFrame([(str(n), str(p)) for n, p in keywords], schemas.KEYWORDS)
+    return keywords.select("name", "pattern").dropna().distinct()
 
 
 def campaign_sessions_among(camp: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -70,14 +69,19 @@ def keyword_logs(logs: DataFrame, pattern: str, flag_col: str, message_col: str
 
 
 def keyword_hits(df: DataFrame, keywords: Keywords, text_col: str = "text",
-                 keep_cols: list[str] | None = None) -> DataFrame:
-    """one scan for all patterns; one output row per (row, matching keyword)."""
-    kws = keyword_list(keywords)
+                 keep_cols: list[str] | None = None, block: int = DEFAULT_BLOCK) -> DataFrame:
+    """one output row per (row, matching keyword). All patterns share one
+    scan of the texts; more than ``block`` of them take a scan a block."""
     keep = keep_cols if keep_cols is not None else [c for c in df.columns if c != text_col]
-    # explode + not-null filter stays in whole-stage codegen (array_compact
-    # is a lambda function evaluated outside it).
-    hit_names = F.array(*[F.when(matches(text_col, p), F.lit(n)) for n, p in kws])
-    return df.select(*keep, F.explode(hit_names).alias("keyword")).where(F.col("keyword").isNotNull())
+    parts = []
+    for some in blocks(keyword_table(df.sparkSession, keywords).orderBy("name", "pattern"), block):
+        # explode + not-null filter stays in whole-stage codegen (array_compact
+        # is a lambda function evaluated outside it).
+        names = F.array(*[F.when(matches(text_col, k.pattern), F.lit(k.name)) for k in some])
+        parts.append(df.select(*keep, F.explode(names).alias("keyword")).where(F.col("keyword").isNotNull()))
+    if not parts:
+        return df.select(*keep, F.lit("").alias("keyword")).where(F.lit(False))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def keyword_linkage(conv: DataFrame, camp: DataFrame, keywords: Keywords) -> DataFrame:
@@ -86,7 +90,7 @@ def keyword_linkage(conv: DataFrame, camp: DataFrame, keywords: Keywords) -> Dat
     The "coupon hits, none linked to a campaign" finding as a table. Keywords
     without hits are reported with zeros.
     """
-    kws = keyword_list(keywords)
+    kws = keyword_table(conv.sparkSession, keywords)
     # Pre-aggregated per (keyword, session) — a hot session is one row per
     # keyword — and checkpointed (reliable, in spark.checkpoint.dir): both uses
     # below read this small table, so the regex runs once over the texts.
@@ -102,8 +106,7 @@ def keyword_linkage(conv: DataFrame, camp: DataFrame, keywords: Keywords) -> Dat
         F.sum(F.when(is_linked, F.col("_n"))).alias("n_linked"),
         F.sum(F.when(~is_linked, F.col("_n"))).alias("n_unlinked"),
         F.count("session_id").alias("n_sessions"))
-    names = param_frame(conv.sparkSession, [(n, p) for n, p in kws], schemas.KEYWORDS) \
-        .select(F.col("name").alias("keyword"))
-    return (F.broadcast(names).join(agg, "keyword", "left")
+    names = kws.select(F.col("name").alias("keyword")).distinct()
+    return (names.join(agg, "keyword", "left")
               .select("keyword", *[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
                                    for c in ["n_hits", "n_linked", "n_unlinked", "n_sessions"]]))

@@ -32,41 +32,16 @@ from pyspark.sql import functions as F
 from ..session import ensure_checkpoint_dir
 
 
-HOT_FACTOR = 2.0
-HOT_FLOOR_ROWS = 50_000
-
-
-def has_hot_group(df: DataFrame, group_cols: list[str], factor: float | None = None,
-                  floor_rows: int | None = None) -> bool:
-    """Does any group hold more rows than one task should?
-
-    One aggregate job (partial counts per group, then a global max/sum; a
-    single row reaches the driver). A group is hot when it exceeds ``factor``
-    times an average shuffle partition's share of the rows, and at least
-    ``floor_rows`` rows.
-    """
-    factor = HOT_FACTOR if factor is None else factor
-    floor_rows = HOT_FLOOR_ROWS if floor_rows is None else floor_rows
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    s = (df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_n"))
-           .agg(F.max("_n").alias("mx"), F.sum("_n").alias("tot")).collect()[0])
-    if not s.tot:
-        return False
-    return s.mx > max(floor_rows, factor * s.tot / max(1, parts))
-
-
-def _use_slices(df: DataFrame, group_cols: list[str], mode: str, num_slices: int | None) -> bool:
-    if mode not in ("auto", "sliced", "window"):
-        raise ValueError(f"mode must be auto, sliced or window, not {mode!r}")
-    if mode == "sliced" or num_slices:
-        return True
-    return mode == "auto" and has_hot_group(df, group_cols)
+def _use_slices(mode: str, num_slices: int | None) -> bool:
+    if mode not in ("sliced", "window"):
+        raise ValueError(f"mode must be sliced or window, not {mode!r}")
+    return mode == "sliced" or bool(num_slices)
 
 
 def sequence_within_groups(df: DataFrame, group_cols: list[str], order_cols: list[str],
                            seq_col: str = "seq", prev_prefix: str | None = "prev_",
                            num_slices: int | None = None, carry_cols: list[str] = (),
-                           mode: str = "auto") -> DataFrame:
+                           mode: str = "sliced") -> DataFrame:
     """Add ``seq`` (1-based position) and ``prev_<col>`` for order and carry columns.
 
     ``order_cols`` must give a total order within a group (add a unique id as
@@ -75,12 +50,12 @@ def sequence_within_groups(df: DataFrame, group_cols: list[str], order_cols: lis
     ``IS NULL`` flag, so the range partitioner, the windows and the per-slice
     ``max`` all see one and the same order.
 
-    ``mode="auto"`` slices only when :func:`has_hot_group` finds a group too
-    large for one task; otherwise a plain window gives the same result more
-    cheaply. ``"sliced"`` (or ``num_slices``) and ``"window"`` force a path.
+    No group's size changes the path: rows are always sliced. A caller who
+    knows that every group fits into one task may ask for ``mode="window"``,
+    a plain window with the same result.
     """
     spark = df.sparkSession
-    sliced_path = _use_slices(df, group_cols, mode, num_slices)
+    sliced_path = _use_slices(mode, num_slices)
     flags = [f"_nl{i}" for i in range(len(order_cols))]
     df = df.select("*", *[F.col(c).isNull().alias(f) for c, f in zip(order_cols, flags)])
     eff_order = [x for pair in zip(flags, order_cols) for x in pair]
@@ -131,7 +106,7 @@ def sequence_within_groups(df: DataFrame, group_cols: list[str], order_cols: lis
 
 def latest_before(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str,
                   right_tiebreak: str, right_cols: list[str], prefix: str = "right_",
-                  mode: str = "auto") -> DataFrame:
+                  mode: str = "sliced") -> DataFrame:
     """As-of join: each ``left`` row with the latest ``right`` row of the same
     ``key`` whose time is at or before the left row's time (ties on time: the
     greatest ``right_tiebreak``). Left rows without one get NULLs.
@@ -143,7 +118,7 @@ def latest_before(left: DataFrame, right: DataFrame, key: str, left_time: str, r
     right row of earlier slices of the key comes from a per-(slice, key) table
     with at most one row per slice for a hot key. Output: left columns plus
     ``prefix + c`` for each right column. ``mode`` as in
-    :func:`sequence_within_groups` (slices only when a key is hot).
+    :func:`sequence_within_groups`.
     """
     spark = left.sparkSession
     rstruct = F.struct(F.col("_t").alias("_t"), F.col("_tb").alias("_tb"),
@@ -165,7 +140,7 @@ def latest_before(left: DataFrame, right: DataFrame, key: str, left_time: str, r
     # NULL left times never match; such rows are added back at the end
     nulls = left.where(F.col(left_time).isNull()).select(
         *lcols, *[F.lit(None).cast(right.schema[c].dataType).alias(f"{prefix}{c}") for c in right_cols])
-    if not _use_slices(stacked, ["_k"], mode, None):
+    if not _use_slices(mode, None):
         upto_all = Window.partitionBy("_k").orderBy(*order) \
             .rowsBetween(Window.unboundedPreceding, Window.currentRow)
         m = F.last(right_row, ignorenulls=True).over(upto_all)

@@ -18,8 +18,8 @@ from ..session import ensure_checkpoint_dir, prefer_rocksdb_state, scratch_path
 from ..sources.adapter import campaigns_from_events, conversations_from_driver, logs_from_events
 from ..sources.readers import read_campaigns_json, read_logs_csv
 from ..sources.staging import path_exists, stage_key, staged_tables
-from ..sources.writers import export_csv, export_json_lines
-from ..streaming.alerts import error_windows, sweep_error_counts
+from ..sources.writers import export_csv, export_json_lines, read_alerts, write_alerts
+from ..streaming.alerts import error_windows, run_error_alert_sweep, sweep_error_counts
 from ..streaming.dedup import first_deliveries, sweep_deliveries
 from ..streaming.orphans import orphan_conversations_live
 from . import params as P
@@ -311,7 +311,26 @@ def check_template_date(spark, sf_dir):
 
 @register("check_version")
 def check_version(spark, sf_dir):
-    return checks.check_version(_t(spark, sf_dir)[0])
+    return checks.latest_first(checks.check_version(_t(spark, sf_dir)[0]))
+
+
+@register("check_template_date_as_of")
+def check_template_date_as_of(spark, sf_dir):
+    """C1 in its scheduled form: suffixes against one literal date."""
+    return checks.check_template_date(_t(spark, sf_dir)[0], P.AS_OF)
+
+
+@register("check_version_strict")
+def check_version_strict(spark, sf_dir):
+    """C2 as the prose has it: exactly three digits."""
+    return checks.check_version(_t(spark, sf_dir)[0], strict=True)
+
+
+@register("check_orphan_sessions_regex")
+def check_orphan_sessions_regex(spark, sf_dir):
+    """C3 with regex CTAs beside exact ones."""
+    camp, conv, _ = _t(spark, sf_dir, keep_date=True)
+    return checks.check_orphan_sessions(conv, camp, P.CTAS_MIXED, P.AS_OF, 0)
 
 
 @register("check_orphan_sessions")
@@ -335,6 +354,16 @@ def alerts(spark, sf_dir):
         error_rate=checks.error_rate_hourly(logs, P.ERROR_RATE_THRESHOLD))
 
 
+@register("alerts_table")
+def alerts_table(spark, sf_dir):
+    """S7+C5: the alerts written to the table, the run repeated, and read back."""
+    path = scratch_path(spark, "alerts_table")
+    found = alerts(spark, sf_dir)
+    for _ in range(2):
+        write_alerts(found, path, P.AS_OF.isoformat())
+    return read_alerts(spark, path)
+
+
 # --- payload triage ----------------------------------------------------------
 
 @register("error_payloads")
@@ -387,7 +416,8 @@ def profile_columns_orders(spark, sf_dir):
 
 @register("constant_columns_lineitem")
 def constant_columns_lineitem(spark, sf_dir):
-    return profile.constant_columns(_driver(spark, sf_dir, "lineitem"), "lineitem")
+    tagged = _driver(spark, sf_dir, "lineitem").select("*", F.lit("tpch").alias("origin"))
+    return profile.constant_columns(tagged, "lineitem")
 
 
 @register("orders_per_customer")
@@ -442,6 +472,16 @@ def stream_error_rate(spark, sf_dir):
     return error_windows(spark, f"{base}/counts", P.ERROR_RATE_THRESHOLD)
 
 
+@register("stream_error_events")
+def stream_error_events(spark, sf_dir):
+    """T2 as a periodic sweep (T3): each error line becomes an alert row; a
+    second sweep finds nothing new and adds nothing."""
+    base = scratch_path(spark, "stream_error_events")
+    for _ in range(2):
+        run_error_alert_sweep(logs_from_events(_event_stream(spark, sf_dir)), f"{base}/alerts", f"{base}/_checkpoint")
+    return spark.read.parquet(f"{base}/alerts")
+
+
 @register("stream_dedup_campaigns")
 def stream_dedup_campaigns(spark, sf_dir):
     """T4 end to end: campaign dispatches replayed as a stream, each message_id's

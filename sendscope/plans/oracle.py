@@ -279,6 +279,29 @@ WHERE camp.template IN ({_in_list(P.SIMILAR_LIST)})""",
     "check_version": _with() + CHECK_VERSION,
     "check_orphan_sessions": _with() + CHECK_ORPHANS,
     "error_rate_hourly": _with() + ERROR_RATE,
+    "check_template_date_as_of": _with() + f"""
+SELECT session_id, template, CAST(publish_time AS DATE) AS dispatch_date, right(template, 4) AS suffix_ddmm,
+       CAST(try_strptime('{P.AS_OF.year}' || right(template, 4), '%Y%d%m') AS DATE) AS suffix_date,
+       DATE '{P.AS_OF}' AS reference_date,
+       CASE WHEN suffix_date IS NULL THEN 'invalid_suffix' ELSE 'date_mismatch' END AS issue
+FROM camp
+WHERE regexp_matches(template, '[0-9]{{4}}$') AND suffix_date IS DISTINCT FROM reference_date""",
+    "check_version_strict": _with() + """
+SELECT template, version, COUNT(*) AS n_dispatches, MIN(publish_time) AS first_dispatch
+FROM camp GROUP BY ALL
+HAVING NOT COALESCE(regexp_full_match(version, 'sendtype-[0-9]{3}'), false)""",
+    "check_orphan_sessions_regex": _with(
+        "cta AS (SELECT * FROM (VALUES " + ", ".join(f"({_q(c)}, {_q(m)})" for c, m in P.CTAS_MIXED) + ") v(cta, how))") + f"""
+SELECT cta, COUNT(*) AS orphan_messages, COUNT(DISTINCT session_id) AS orphan_sessions, MIN(publish_time) AS first_seen
+FROM conv, cta
+WHERE CASE how WHEN 'exact' THEN text = cta ELSE regexp_matches(text, cta) END
+  AND date_diff('day', CAST(publish_time AS DATE), DATE '{P.AS_OF}') = 1
+  AND session_id NOT IN (SELECT session_id FROM camp WHERE session_id IS NOT NULL)
+GROUP BY cta""",
+    "stream_error_events": _with() + """
+SELECT 'error_event' AS check_name, 'cannot be deserialized' AS entity, 'critical' AS severity,
+       CAST(1 AS BIGINT) AS n_rows, "timestamp" AS first_seen, "insertId", message
+FROM logs WHERE resource_type = 'gce_instance' AND contains(message, 'cannot be deserialized')""",
     "alerts": _with(f"c1 AS ({CHECK_TEMPLATE_DATE})", f"c2 AS ({CHECK_VERSION})",
                     f"c3 AS ({CHECK_ORPHANS})", f"c4 AS ({ERROR_RATE})") + """
 SELECT 'template_date' AS check_name, template AS entity, 'attention' AS severity, COUNT(*) AS n_rows,
@@ -318,17 +341,26 @@ GROUP BY c.cta""",
                      COUNT(l.message) FILTER (WHERE contains(l.message, 'cannot be deserialized')) AS n_error_hits
               FROM (SELECT DISTINCT cta FROM expected) e LEFT JOIN logs l ON contains(l.message, e.cta)
               GROUP BY e.cta)""",
+        """links AS (SELECT e.cta, COUNT(DISTINCT session_id) FILTER (WHERE EXISTS (FROM camp WHERE camp.session_id = conv.session_id)) AS linked,
+                      COUNT(DISTINCT session_id) AS both_kinds
+               FROM (SELECT DISTINCT cta FROM expected) e JOIN conv ON contains(conv.text, e.cta) GROUP BY e.cta)""",
+        "sent AS (SELECT template, CAST(publish_time AS DATE) AS d, COUNT(*) AS n FROM camp GROUP BY ALL)",
         "cd AS (SELECT CAST(publish_time AS DATE) AS d, COUNT(*) AS n FROM conv GROUP BY 1)",
         """x AS (SELECT e.campaign, e.template, e.cta, e.dispatch_date, e.send_type,
                     EXISTS (SELECT 1 FROM t WHERE t.template = e.template) AS template_exists,
                     COALESCE(sim.n_similar, 0) AS n_similar, best.best_similar,
                     CAST(sim.best_distance AS INTEGER) AS best_distance,
                     COALESCE(evid.n_log_hits, 0) AS n_log_hits, COALESCE(evid.n_error_hits, 0) AS n_error_hits,
+                    COALESCE(links.linked, 0) AS n_cta_linked,
+                    COALESCE(links.both_kinds - links.linked, 0) AS n_cta_unlinked,
+                    COALESCE(sent.n, 0) AS n_dispatched_on_date, sent.n IS NOT NULL AS dispatched,
                     COALESCE(cd.n, 0) AS n_conversations_on_date
              FROM expected e
              LEFT JOIN sim ON sim.campaign = e.campaign
              LEFT JOIN best ON best.campaign = e.campaign
              LEFT JOIN evid ON evid.cta = e.cta
+             LEFT JOIN links ON links.cta = e.cta
+             LEFT JOIN sent ON sent.template = e.template AND sent.d = e.dispatch_date
              LEFT JOIN cd ON cd.d = e.dispatch_date)""") + """
 SELECT *, concat_ws(',',
          CASE WHEN NOT template_exists AND n_similar > 0 THEN 'wrong_name' END,
@@ -353,7 +385,8 @@ LINEITEM_COLS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quan
 
 ORACLE_SQL.update({
     "profile_columns_orders": _profile_columns("orders", "orders", ORDERS_COLS, with_bases=False),
-    "constant_columns_lineitem": _constant_columns([("lineitem", "lineitem", LINEITEM_COLS)], with_bases=False),
+    "constant_columns_lineitem": _constant_columns(
+        [("lineitem", "(SELECT *, 'tpch' AS origin FROM lineitem) tagged", [*LINEITEM_COLS, "origin"])], with_bases=False),
     "orders_per_customer": """
 SELECT o_custkey, COUNT(DISTINCT o_orderkey) AS n_messages FROM orders GROUP BY o_custkey
 HAVING COUNT(DISTINCT o_orderkey) > 1""",
@@ -407,3 +440,6 @@ ORACLE_SQL["profile_columns_conversations"] = _profile_columns(
 ORACLE_SQL["profile_columns_at_scale"] = (
     "SELECT table_name, ordinal, column_name, data_type, n_rows, non_null, verdict FROM ("
     + _profile_columns() + ") p")
+
+ORACLE_SQL["alerts_table"] = f"""
+SELECT *, DATE '{P.AS_OF}' AS run_date, 'checks' AS run_id FROM ({ORACLE_SQL["alerts"]}) found"""

@@ -9,6 +9,7 @@ EXPECTED = [
     ("healthy", "crm_click_2001", "Learn more", dt.date(2024, 1, 20), 840),
 ]
 CTAS = [("Buy now", "exact"), ("Talk to an agent", "exact")]
+CTAS_MIXED = [("Buy now", "exact"), (r"(?i)^talk\s+to", "regex"), (r"(?i)\bthe\s+of", "regex"), ("(?i)now$", "regex")]
 KEYWORDS = [
     ("buy_now", r"(?i)buy\s+now"),
     ("agent", r"(?i)talk\s+to\s+an\s+agent"),

@@ -36,7 +36,7 @@ def test_version_check_default_and_strict(spark):
     assert loose == {"1", "v2", None, "SENDTYPE-1"}  # M11: LIKE is case-sensitive, NULL kept
     strict = {r.version for r in checks.check_version(camp, strict=True).collect()}
     assert strict == loose | {"sendtype-abc"}  # D2
-    first = checks.check_version(camp).collect()[0]
+    first = checks.latest_first(checks.check_version(camp)).collect()[0]
     assert first.version == "SENDTYPE-1"  # latest first dispatch first
 
 
@@ -86,18 +86,21 @@ def test_error_rate_and_alerts(spark):
     assert al[0].severity == "critical" and al[0].n_rows == 3
 
 
-def test_large_cta_table_uses_equi_join(spark):
+@pytest.mark.parametrize("match", ["exact", "regex"])
+def test_cta_blocks_do_not_change_the_result(spark, match):
     conv = _conv(spark, [("o1", "c1", "2024-03-20 10:00:00"), ("o2", "c1", "2024-03-20 11:00:00"),
-                         ("o3", "c4", "2024-03-20 10:00:00"), ("k1", "c2", "2024-03-20 10:00:00")])
+                         ("o3", "c4", "2024-03-20 10:00:00"), ("k1", "c2", "2024-03-20 10:00:00"),
+                         ("o4", "", "2024-03-20 10:00:00"), ("o5", None, "2024-03-20 10:00:00")])
     camp = spark.createDataFrame([("k1",)], "session_id string")
-    ctas = spark.createDataFrame([(f"c{i}", "exact") for i in range(5)], "cta string, match string")
-    small = checks.check_orphan_sessions(conv, camp, ctas, "2024-03-21", 0)
-    large = checks.check_orphan_sessions(conv, camp, ctas, "2024-03-21", 0, max_rows=3)
-    assert sorted(small.collect()) == sorted(large.collect())
-    assert {r.cta: r.orphan_messages for r in large.collect()} == {"c1": 2, "c4": 1}
-    regex = spark.createDataFrame([(f"c{i}", "regex") for i in range(5)], "cta string, match string")
+    rows = [(f"c{i}", match) for i in range(5)] + [("c1", match), (None, match)]
+    ctas = spark.createDataFrame(rows, "cta string, match string")
+    one = checks.check_orphan_sessions(conv, camp, ctas, "2024-03-21", 0)
+    many = checks.check_orphan_sessions(conv, camp, ctas, "2024-03-21", 0, block=2)
+    assert sorted(one.collect()) == sorted(many.collect())
+    assert {r.cta: r.orphan_messages for r in many.collect()} == {"c1": 2, "c4": 1}
+    assert checks.check_orphan_sessions(conv, camp, ctas.limit(0), "2024-03-21", 0).collect() == []
     with pytest.raises(ValueError):
-        checks.check_orphan_sessions(conv, camp, regex, "2024-03-21", 0, max_rows=3)
+        checks.check_orphan_sessions(conv, camp, [("c1", "prefix")], "2024-03-21", 0)
 
 
 def test_daily_checks_job_is_idempotent(spark, tmp_path):

