@@ -16,14 +16,9 @@ DIMS = 1 << BITS
 
 
 class Ftrl:
-    """Per-coordinate learning rates and L1 sparsity; the last weight is the bias.
+    """Per-coordinate learning rates and L1 sparsity; the last weight is the bias."""
 
-    The defaults (and the number of epochs below) had the least log loss in
-    four-fold cross-validation within op5's learning rows of sf0.1; no held-out
-    label took part.
-    """
-
-    def __init__(self, alpha: float = 2.0, beta: float = 1.0, l1: float = 8.0, l2: float = 1.0):
+    def __init__(self, alpha: float = 1.0, beta: float = 1.0, l1: float = 8.0, l2: float = 1.0):
         self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
         self.z, self.n = np.zeros(DIMS + 1), np.zeros(DIMS + 1)
 
@@ -52,7 +47,7 @@ class Ftrl:
 
 
 def fit_labels(docs: DataFrame, labels: DataFrame, label: str, learn: Column, features, per_class: int,
-               epochs: int = 4) -> tuple[np.ndarray, np.ndarray]:
+               epochs: int = 12, alpha: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
     """Fit on a bounded sample of the labelled documents where ``learn`` (on
     the label's doc_id) holds: about ``per_class`` of each class.
 
@@ -79,7 +74,7 @@ def fit_labels(docs: DataFrame, labels: DataFrame, label: str, learn: Column, fe
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [(np.frombuffer(x, np.int32), y) for batch in batches
                 for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist())]
-        places, values = Ftrl().fit(rows, epochs) if rows else (np.zeros(0, np.int64), np.zeros(0))
+        places, values = Ftrl(alpha).fit(rows, epochs) if rows else (np.zeros(0, np.int64), np.zeros(0))
         yield pa.RecordBatch.from_arrays([pa.array(places, pa.int64()), pa.array(values, pa.float64())], ["place", "w"])
 
     described = (docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))

@@ -13,6 +13,10 @@ from .sparse import BITS, fit_labels, joined, score_texts
 #: Labelled documents of each class that the weights are fitted on, at most about.
 PER_CLASS = 4000
 
+#: Learning rate and epochs with the least log loss in four-fold cross-validation
+#: within the learning rows of sf0.1; no held-out label took part.
+ALPHA, EPOCHS = 2.0, 4
+
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _PUNCTUATION = np.zeros(256, bool)
@@ -45,7 +49,7 @@ def gram_features(buf: np.ndarray, off: np.ndarray, with_counts: bool = False):
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int = PER_CLASS):
     """Sparse weights learned from ``labels.toxic`` where ``learn`` holds."""
-    return fit_labels(docs, labels, "toxic", learn, gram_features, per_class)
+    return fit_labels(docs, labels, "toxic", learn, gram_features, per_class, EPOCHS, ALPHA)
 
 
 def score(docs: DataFrame, model) -> DataFrame:
