@@ -66,28 +66,45 @@ def _segments(length: Column, k: int, i: int) -> tuple[Column, Column]:
     return start.cast("int"), seg_len.cast("int")
 
 
+def _deletions(names: DataFrame, col: str, k: int) -> DataFrame:
+    """``names`` with ``_v``: every string left when at most ``k`` characters of
+    ``col`` are deleted. Each round deletes one character at or behind the last
+    place, or stops."""
+    stop = 1 << 30
+    rows = names.withColumn("_v", F.col(col)).withColumn("_at", F.lit(0))
+    for _ in range(k):
+        places = F.when(F.col("_at") < F.length("_v"),
+                        F.concat(F.array(F.lit(-1)), F.sequence(F.col("_at"), F.length("_v") - 1))).otherwise(F.array(F.lit(-1)))
+        rows = (rows.withColumn("_p", F.explode(places))
+                .withColumn("_v", F.when(F.col("_p") < 0, F.col("_v"))
+                            .otherwise(F.concat(F.substring("_v", 1, F.col("_p")), F.substring("_v", F.col("_p") + 2, F.length("_v")))))
+                .withColumn("_at", F.when(F.col("_p") < 0, F.lit(stop)).otherwise(F.col("_p"))).drop("_p"))
+    return rows.select(*names.columns, "_v").distinct()
+
+
 def _segment_candidates(exp: DataFrame, base: DataFrame, k: int) -> DataFrame:
     """Exact candidate pairs by partition-based blocking (pigeonhole).
 
-    Split each expected name of length L ≥ k+1 into k+1 segments. If a
-    template is within k edits, at least one segment occurs in it unchanged,
+    Split each expected name of length L ≥ 2(k+1) into k+1 segments of two or
+    more characters. If a template is within k edits, at least one segment occurs in it unchanged,
     starting within ±k of the segment's own start. So: expected names emit
     (L, i, segment i); templates emit, for each admissible L and i, their
     substrings at those ±k positions; equi-join on (L, i, substring); then
-    the caller verifies the distance. Names shorter than k+1 cannot be
-    blocked this way and use the length equi-join (such names are few).
+    the caller verifies the distance. Shorter names meet the templates with
+    which they share a string after at most k deletions on either side
+    (:func:`_deletions`), which holds for every pair within k edits.
     """
     seg_rows = []
     for i in range(k + 1):
         st, ln = _segments(F.length("expected_template"), k, i)
         seg_rows.append(F.struct(F.lit(i).alias("i"), F.substring("expected_template", st + 1, ln).alias("s")))
-    long_exp = exp.where(F.length("expected_template") >= k + 1)
+    long_exp = exp.where(F.length("expected_template") >= 2 * (k + 1))
     e_keys = (long_exp.select("campaign", "expected_template",
                               F.length("expected_template").alias("_L"), F.inline(F.array(*seg_rows)))
                       .select("campaign", "expected_template", "_L", F.col("i").alias("_i"), F.col("s").alias("_s")))
 
     t = base.withColumn("_lt", F.length("template"))
-    t = t.withColumn("_L", F.explode(F.sequence(F.greatest(F.col("_lt") - k, F.lit(k + 1)),
+    t = t.withColumn("_L", F.explode(F.sequence(F.greatest(F.col("_lt") - k, F.lit(2 * (k + 1))),
                                                 F.col("_lt") + k)))
     t = t.where(F.col("_L") <= F.col("_lt") + k)
     t = t.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(k))))
@@ -104,11 +121,10 @@ def _segment_candidates(exp: DataFrame, base: DataFrame, k: int) -> DataFrame:
     blocked = e_keys.join(t_keys, ["_L", "_i", "_s"], "inner") \
         .select("campaign", "expected_template", "template").distinct()
 
-    short_exp = exp.where(F.length("expected_template") < k + 1)
-    bands = short_exp.withColumn("_len", F.explode(F.sequence(F.length("expected_template") - k,
-                                                              F.length("expected_template") + k)))
-    short_pairs = base.withColumn("_len", F.length("template")).join(bands, "_len", "inner") \
-        .select("campaign", "expected_template", "template")
+    # names too short for segments of two characters
+    e_short = _deletions(exp.where(F.length("expected_template") < 2 * (k + 1)), "expected_template", k)
+    t_short = _deletions(base.where(F.length("template") < 2 * (k + 1) + k), "template", k)
+    short_pairs = e_short.join(t_short, "_v").select("campaign", "expected_template", "template").distinct()
     return blocked.unionByName(short_pairs)
 
 

@@ -21,7 +21,7 @@ from ..sources.staging import path_exists, stage_key, staged_tables
 from ..sources.writers import export_csv, export_json_lines, read_alerts, write_alerts
 from ..streaming.alerts import error_windows, run_error_alert_sweep, sweep_error_counts
 from ..streaming.dedup import first_deliveries, sweep_deliveries
-from ..streaming.orphans import orphan_conversations_live
+from ..streaming.orphans import swept_orphans, sweep_orphan_conversations
 from . import params as P
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -494,14 +494,10 @@ def stream_dedup_campaigns(spark, sf_dir):
 
 @register("stream_orphan_conversations")
 def stream_orphan_conversations(spark, sf_dir):
-    """T5 end to end (C3 live): conversations replayed as a stream; each message
-    with a known CTA whose session has no campaign is appended to Parquet."""
-    camp = _t(spark, sf_dir)[0]
+    """T5 end to end (C3 live): conversations replayed as a stream; the messages
+    with a known CTA whose session has no campaign are returned."""
     conv = conversations_from_driver(_driver_stream(spark, sf_dir, "conversations"))
     base = scratch_path(spark, "stream_orphan_conversations")
-    q = (orphan_conversations_live(conv, camp, [c for c, m in P.CTAS if m == "exact"]).writeStream
-         .format("parquet").outputMode("append")
-         .option("path", f"{base}/out").option("checkpointLocation", f"{base}/_checkpoint")
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
-    return spark.read.parquet(f"{base}/out").select("session_id", "message_id", "cta", "publish_time")
+    sweep_orphan_conversations(conv, lambda: _t(spark, sf_dir)[0], [c for c, m in P.CTAS if m == "exact"],
+                               base, f"{base}/_checkpoint")
+    return swept_orphans(spark, base)

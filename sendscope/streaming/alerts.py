@@ -118,18 +118,22 @@ def run_error_alert_sweep(logs_stream: DataFrame, sink_path: str, checkpoint: st
 ALERT_COLUMNS = ["check_name", "entity", "severity", "n_rows", "first_seen"]
 
 
-def alerts_batch_writer(table_path: str, name: str):
+def alerts_batch_writer(table_path: str, name: str, by_alert: bool = False):
     """``foreachBatch`` function appending a micro-batch of alerts to the
     alerts table (same layout as ``sources.write_alerts``).
 
     Each batch goes to partitions (run_date = date of the alert, run_id =
     ``<name>-<batchId>``) with dynamic overwrite, so a batch that Spark replays
-    after a failure replaces its own rows instead of duplicating them.
+    after a failure replaces its own rows instead of duplicating them. With
+    ``by_alert`` the run_id names the alert (check, entity, first_seen) instead
+    of the batch, so a window that is reported again replaces its earlier row.
     """
+    alert = F.concat(F.lit(f"{name}-"), F.hex(F.xxhash64("check_name", "entity", "first_seen")))
+
     def write(batch: DataFrame, batch_id: int) -> None:
         (batch.select(*ALERT_COLUMNS)
               .withColumn("run_date", F.to_date("first_seen"))
-              .withColumn("run_id", F.lit(f"{name}-{batch_id}"))
+              .withColumn("run_id", alert if by_alert else F.lit(f"{name}-{batch_id}"))
               .write.mode("overwrite")
               .option("partitionOverwriteMode", "dynamic")
               .partitionBy("run_date", "run_id")
@@ -144,11 +148,11 @@ def stream_alerts_to_table(alerts_stream: DataFrame, table_path: str, checkpoint
     alert columns, or ``error_alert_stream``) into the shared alerts table.
 
     ``output_mode="update"`` gives early alerts for windowed counts: a window
-    is reported in the micro-batch where its count crosses the threshold (and
-    again whenever it grows), without waiting for the watermark to close it.
+    is reported in the micro-batch where its count crosses the threshold,
+    without waiting for the watermark to close it; when it grows, its row is replaced.
     """
     writer = (alerts_stream.writeStream.outputMode(output_mode)
-              .foreachBatch(alerts_batch_writer(table_path, name))
+              .foreachBatch(alerts_batch_writer(table_path, name, by_alert=output_mode == "update"))
               .option("checkpointLocation", checkpoint))
     writer = writer.trigger(availableNow=True) if available_now else \
         writer.trigger(processingTime=processing_time or "1 minute")

@@ -7,9 +7,12 @@ before it (campaign dispatch precedes the conversation it opens).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.search import campaign_sessions_among
 from .alerts import event_time, wall_clock
 
 
@@ -44,3 +47,32 @@ def orphan_conversations_live(conv_stream: DataFrame, camp: DataFrame, ctas: lis
     hits = conv_stream.where(F.col("text").isin(sorted(set(ctas))))
     return hits.join(known, "session_id", "left_anti").select(
         "session_id", "message_id", F.col("text").alias("cta"), "publish_time")
+
+
+ORPHANS = "session_id string, message_id string, cta string, publish_time timestamp_ntz"
+
+
+def sweep_orphan_conversations(conv_stream: DataFrame, campaigns: Callable[[], DataFrame], ctas: list[str],
+                               path: str, checkpoint: str) -> None:
+    """C3 live as a sweep: each micro-batch writes its CTA messages, reduces the
+    campaigns, read anew so that late ones count, to their sessions and writes
+    the messages that no campaign explains. A replayed batch overwrites its own folders.
+    """
+    known = sorted(set(ctas))
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        (batch.where(F.col("text").isin(known)).select("session_id", "message_id", F.col("text").alias("cta"), "publish_time")
+              .write.mode("overwrite").parquet(f"{path}/hits/batch={batch_id}"))
+        hits = batch.sparkSession.read.schema(ORPHANS).parquet(f"{path}/hits/batch={batch_id}")
+        cam = campaign_sessions_among(campaigns(), hits)
+        (hits.join(cam, hits.session_id == cam.session_campanha, "left_anti")
+             .write.mode("overwrite").parquet(f"{path}/orphans/batch={batch_id}"))
+
+    (conv_stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+     .trigger(availableNow=True).start().awaitTermination())
+
+
+def swept_orphans(spark: SparkSession, path: str) -> DataFrame:
+    """All orphan messages that the sweeps have written."""
+    rows = spark.read.schema(ORPHANS).parquet(f"{path}/orphans")
+    return rows.select("session_id", "message_id", "cta", "publish_time")

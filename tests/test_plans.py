@@ -34,3 +34,9 @@ def test_filters_reach_the_scan(spark):
     plan = QUERIES["keyword_conversations"](spark, "/root/testdata/sf0.001") \
         ._jdf.queryExecution().executedPlan().toString()
     assert "RLIKE" in plan and "DataFilters: [coalesce(RLIKE" in plan
+
+
+def test_profiles_neither_sort_nor_expand(spark):
+    for name in ("constant_columns", "constant_columns_lineitem", "profile_columns", "profile_columns_orders"):
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "SortAggregate" not in plan and "Expand" not in plan, name

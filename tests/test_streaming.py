@@ -172,3 +172,33 @@ def test_replays_of_shuffled_files_lose_nothing(spark, tmp_path):
     assert want and sorted((str(r.window_start), r.n_errors) for r in got) == sorted((str(r.window_start), r.n_errors) for r in want)
     assert QUERIES["stream_orphan_conversations"](spark, str(tmp_path)).count() == \
         QUERIES["stream_orphan_conversations"](spark, "/root/testdata/sf0.001").count()
+
+
+def test_growing_window_keeps_one_row_in_update_mode(spark, tmp_path):
+    from sendscope.streaming import error_rate_alerts, stream_alerts_to_table
+    src, table = str(tmp_path / "src"), str(tmp_path / "alerts")
+    rows = [(_t(f"2024-03-20 10:0{i}:00"), str(i), "gce_instance", ERR) for i in range(4)]
+    _write_batches(spark, src, [rows[:2], rows[2:]], LOG_SCHEMA)
+    stream_alerts_to_table(error_rate_alerts(error_rate_stream(_stream(spark, src, LOG_SCHEMA), 1)),
+                           table, str(tmp_path / "ck"), "early", output_mode="update")
+    assert [r.n_rows for r in spark.read.parquet(table).collect()] == [4]
+
+
+def test_orphan_sweep_sees_campaigns_that_come_later(spark, tmp_path):
+    from sendscope.streaming import swept_orphans, sweep_orphan_conversations
+    schema = "session_id string, message_id string, text string, publish_time timestamp_ntz"
+    src, out, ck = (str(tmp_path / x) for x in ("conv", "out", "ck"))
+    camps = [("s1",), ("s1",)]
+
+    def sweep():
+        sweep_orphan_conversations(_stream(spark, src, schema), lambda: spark.createDataFrame(camps, "session_id string"),
+                                   ["Buy now"], out, ck)
+
+    _write_batches(spark, src, [[("s1", "c1", "Buy now", _t("2024-03-20 10:00:00")), (None, "c0", "Buy now", None),
+                                 ("s9", "c2", "Buy now", _t("2024-03-20 10:05:00")), ("s9", "c3", "hello", None)]], schema)
+    sweep()
+    assert sorted(r.message_id for r in swept_orphans(spark, out).collect()) == ["c0", "c2"]
+    camps.append(("s8",))
+    spark.createDataFrame([("s8", "c4", "Buy now", _t("2024-03-20 11:00:00"))], schema).coalesce(1).write.parquet(f"{src}/later")
+    sweep()
+    assert sorted(r.message_id for r in swept_orphans(spark, out).collect()) == ["c0", "c2"]
