@@ -30,8 +30,9 @@ from .common import NULL_ID, U, slices, text_bytes
 
 #: Bytes of text in a chunk (a longer text is a chunk of its own).
 CHUNK_BYTES = 3 << 20
-#: Bytes of text per group of names, and the bounds of the number of groups.
-GROUP_BYTES, GROUPS = 1 << 21, (16, 4096)
+#: Bytes of text per group of names, and the number of groups from which on
+#: groups grow instead, up to GROUP_MOST bytes; beyond that their number grows.
+GROUP_BYTES, GROUPS, GROUP_MOST = 1 << 21, (16, 4096), 1 << 26
 #: Bucket keys that a writing task deals its chunks to.
 KEYS = 8
 
@@ -130,7 +131,8 @@ def unpack(batch: pa.RecordBatch) -> Iterator[tuple[int, int, Chunk]]:
 def group_bits(chunks: DataFrame) -> int:
     """The number of groups (a power of two, as its exponent) for a store."""
     size = chunks.agg(F.sum("n_bytes")).first()[0] or 0
-    return int(np.clip(size // GROUP_BYTES, *GROUPS) - 1).bit_length()
+    groups = max(int(np.clip(size // GROUP_BYTES, *GROUPS)), -(-size // GROUP_MOST))
+    return (groups - 1).bit_length()
 
 
 @dataclass
@@ -173,21 +175,26 @@ def _unsmall(x: bytes) -> np.ndarray:
     return np.frombuffer(x, f"<u{x[0]}", offset=1)
 
 
+def _by_group(values: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The names' groups, and an order by group that keeps the names' order within each."""
+    group = (values >> U(64 - bits)).astype(np.uint16 if bits <= 16 else np.uint32)
+    return group, np.argsort(group, kind="stable")
+
+
 _REQUEST = "grp int, key long, chunk long, names binary, docs binary, counts binary"
 
 
 def requests(key: int, chunk: int, names: Names, owner: np.ndarray | None, bits: int, width: int) -> pa.RecordBatch:
     """One row per group that the chunk has names of: ``width`` bytes of each
     name beyond the group's bits and, run by run, the ids of the ``owner`` documents."""
-    group = (names.values >> U(64 - bits)).astype(np.int64)
-    order = np.argsort(group.astype(np.uint16), kind="stable")
+    group, order = _by_group(names.values, bits)
+    ranked = group[order]
     rest = np.ascontiguousarray((names.values[order] << U(bits))[:, None].view(np.uint8).reshape(-1, 8)[:, 8 - width:])
-    cuts = np.searchsorted(group[order], np.arange((1 << bits) + 1))
+    cuts = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1], [True]])) if len(ranked) else np.zeros(1, np.int64)
     owners = owner[order] if owner is not None else None
     out: list[list] = [[], [], [], []]
-    for g in np.flatnonzero(np.diff(cuts)):
-        a, b = cuts[g], cuts[g + 1]
-        out[0].append(int(g))
+    for a, b in zip(cuts, cuts[1:]):
+        out[0].append(int(ranked[a]))
         out[1].append(rest[a:b].tobytes())
         if owners is not None:
             mine = owners[a:b]
@@ -259,7 +266,7 @@ def read_answer(cell: pa.Scalar, chunk: int, names: Names, bits: int) -> np.ndar
     of, group, count, data = cell.values.flatten()  # all answers to the chunk's key
     mine = np.flatnonzero(of.to_numpy(zero_copy_only=False) == chunk)
     groups, n = (x.to_numpy(zero_copy_only=False)[mine] for x in (group, count))
-    order = np.argsort((names.values >> U(64 - bits)).astype(np.uint16), kind="stable")
+    _, order = _by_group(names.values, bits)
     at = 0
     for k in np.argsort(groups):
         got = np.unpackbits(np.frombuffer(data[int(mine[k])].as_buffer(), np.uint8), count=int(n[k]))

@@ -189,6 +189,14 @@ def test_substring_dedup_keeps_columns(docs):
             assert by_id[i]["n_chars"] == len(by_id[i]["text"])
 
 
+def test_more_groups_than_names(docs, monkeypatch):
+    from sendscope.llm import first
+    monkeypatch.setattr(first, "GROUP_MOST", 4)
+    assert first.group_bits(first.store(docs)) > 16
+    got = [tuple(r) for r in substring.removal(docs).collect()]
+    assert _sorted(got) == _sorted(_brute_words(ROWS, 50))
+
+
 def test_window_counts(docs):
     rows = [(i, t) for i, t, *_ in ROWS if i is not None and len(WORD.findall(_text(t))) >= 50]
     n = sum(len(WORD.findall(t)) - 49 for _, t in rows)
