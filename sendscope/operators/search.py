@@ -7,10 +7,10 @@ scan per pattern; very long lists take one scan a block of patterns.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
@@ -25,10 +25,26 @@ def keyword_table(spark: SparkSession, keywords: Keywords) -> DataFrame:
     """Distinct (name, pattern) rows of a list or a keyword table; rows
     without a name or a pattern are none."""
     if not isinstance(keywords, DataFrame):
-        keywords = spark.createDataFrame([(str(n), str(p)) for n, p in keywords], schemas.KEYWORDS)
+        keywords = spark.createDataFrame(_listed(keywords), schemas.KEYWORDS)
     return keywords.select("name", "pattern").dropna().distinct()
 
 
+def _listed(keywords: Iterable[tuple[str, str]]) -> list[tuple[str, str]]:
+    """The distinct (name, pattern) pairs of a list, in order."""
+    return sorted({(str(n), str(p)) for n, p in keywords if n is not None and p is not None})
+
+
+def keyword_blocks(spark: SparkSession, keywords: Keywords, block: int) -> Iterator[list[Row]]:
+    """The keywords, however many, in blocks. A list is on the driver already
+    and needs no job; a table is read in its order."""
+    if isinstance(keywords, DataFrame):
+        yield from blocks(keyword_table(spark, keywords).orderBy("name", "pattern"), block)
+        return
+    rows = [Row(name=n, pattern=p) for n, p in _listed(keywords)]
+    for k in range(0, len(rows), block):
+        yield rows[k: k + block]
+
+
 def campaign_sessions_among(camp: DataFrame, candidates: DataFrame) -> DataFrame:
     """Distinct campaign sessions that occur among ``candidates.session_id``.
 
@@ -74,7 +90,7 @@ def keyword_hits(df: DataFrame, keywords: Keywords, text_col: str = "text",
     scan of the texts; more than ``block`` of them take a scan a block."""
     keep = keep_cols if keep_cols is not None else [c for c in df.columns if c != text_col]
     parts = []
-    for some in blocks(keyword_table(df.sparkSession, keywords).orderBy("name", "pattern"), block):
+    for some in keyword_blocks(df.sparkSession, keywords, block):
         # explode + not-null filter stays in whole-stage codegen (array_compact
         # is a lambda function evaluated outside it).
         names = F.array(*[F.when(matches(text_col, k.pattern), F.lit(k.name)) for k in some])
@@ -90,12 +106,13 @@ def keyword_linkage(conv: DataFrame, camp: DataFrame, keywords: Keywords) -> Dat
     The "coupon hits, none linked to a campaign" finding as a table. Keywords
     without hits are reported with zeros.
     """
+    keywords = keywords if isinstance(keywords, DataFrame) else _listed(keywords)  # read twice
     kws = keyword_table(conv.sparkSession, keywords)
     # Pre-aggregated per (keyword, session) — a hot session is one row per
     # keyword — and checkpointed (reliable, in spark.checkpoint.dir): both uses
     # below read this small table, so the regex runs once over the texts.
     ensure_checkpoint_dir(conv.sparkSession)
-    per = (keyword_hits(conv, kws, keep_cols=["session_id"])
+    per = (keyword_hits(conv, keywords, keep_cols=["session_id"])
            .groupBy("keyword", "session_id").agg(F.count(F.lit(1)).alias("_n"))
            .checkpoint(eager=True))
     cam = campaign_sessions_among(camp, per)

@@ -99,3 +99,15 @@ def test_classes_search_like_re2(spark, pattern):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
     got = [r[0] for r in df.orderBy("i").select(matches("t", pattern)).collect()]
     assert got == want
+
+
+def test_keyword_lists_and_tables_are_one(spark):
+    df = spark.createDataFrame([(1, "buy now"), (2, "talk"), (3, None)], "id int, text string")
+    pairs = [("b", "buy"), ("b", "buy"), ("t", "talk"), (None, "buy"), ("n", None)]
+    table = spark.createDataFrame(pairs, "name string, pattern string")
+    got = [sorted(map(tuple, search.keyword_hits(df, k, block=b).collect())) for k in (pairs, table) for b in (1, 10)]
+    assert got == [[(1, "b"), (2, "t")]] * 4
+    links = [sorted(map(tuple, search.keyword_linkage(df.withColumn("session_id", df.id.cast("string")),
+                                                      spark.createDataFrame([("1",)], "session_id string"), k).collect()))
+             for k in (iter(pairs), table)]
+    assert links[0] == links[1] == [("b", 1, 1, 0, 1), ("t", 1, 0, 1, 1)]
