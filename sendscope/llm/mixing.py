@@ -2,14 +2,18 @@
 
 A classifier learned from the ``labels`` table gives each document posteriors
 over domains (``toxic``, ``low`` and ``high`` quality). Projected-gradient
-least squares then fits a rate for every document, between 0 and ``max_rate``,
-so that the expected tokens of the domains meet the target weights. The rates
-are never gathered: a step only needs the domains' totals, and a document's
-rate follows from its posteriors and the list of past steps.
+least squares then fits a rate for every document, between 0 and ``max_rate``:
+of all rates at which the domains' expected tokens meet the target weights,
+those nearest to keeping every document once. The rates are never gathered: a
+step only needs sums over the documents, and a document's rate follows from
+its posteriors and one multiplier a domain.
 """
 
 from __future__ import annotations
 
+import logging
+from dataclasses import dataclass
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,8 +26,10 @@ DOMAINS = ("high", "low", "toxic")
 TARGETS = {"high": 0.92, "low": 0.06, "toxic": 0.02}
 #: Labelled documents of each class that a classifier is fitted on, at most about.
 PER_CLASS = 2500
-#: Gradient steps at most, and the relative distance to the targets that ends them.
-STEPS, CLOSE = 12, 1e-3
+#: Aggregates at most, and the distance of the shares to the targets that ends them.
+STEPS, CLOSE = 60, 1e-4
+
+_log = logging.getLogger(__name__)
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -57,51 +63,105 @@ def posteriors(docs: DataFrame, models: dict, carry: list[str]) -> DataFrame:
                     ((1 - F.col("_toxic")) * (1 - F.col("_good"))).alias("p_low"), F.col("_toxic").alias("p_toxic")))
 
 
-def rate(steps: list[np.ndarray], max_rate: float) -> Column:
-    """A document's rate after ``steps``: each moves it along its posteriors
-    and the projection puts it back between 0 and ``max_rate``."""
-    rate: Column = F.lit(min(1.0, max_rate))
-    for step in steps:
-        move = sum((F.col(f"p_{d}") * float(s) for d, s in zip(DOMAINS, step)), F.lit(0.0))
-        rate = F.least(F.lit(float(max_rate)), F.greatest(F.lit(0.0), rate + move))
-    return rate
+@dataclass
+class Fit:
+    """A multiplier for each domain (see ``rate``), the expected shares of the
+    mix beside their targets, and the part of all tokens that the mix keeps."""
+
+    weights: np.ndarray
+    shares: np.ndarray
+    targets: np.ndarray
+    kept: float
+
+    @property
+    def met(self) -> bool:
+        return bool(np.abs(self.shares - self.targets).max() <= CLOSE)
+
+
+def _unbounded(weights: np.ndarray, max_rate: float) -> Column:
+    return sum((F.col(f"p_{d}") * float(w) for d, w in zip(DOMAINS, weights)), F.lit(min(1.0, float(max_rate))))
+
+
+def rate(weights: np.ndarray, max_rate: float) -> Column:
+    """A document's rate: moved from min(1, ``max_rate``) along its posteriors
+    and projected between 0 and ``max_rate``."""
+    return F.least(F.lit(float(max_rate)), F.greatest(F.lit(0.0), _unbounded(weights, max_rate)))
+
+
+def _measure(members: DataFrame, weights: np.ndarray, max_rate: float) -> tuple[float, np.ndarray, np.ndarray]:
+    """In one aggregate: the function that ``fit_rates`` brings down, the
+    domains' expected tokens, and the Gram matrix of documents between the bounds."""
+    top, t = float(max_rate), F.col("n_tokens").cast("double")
+    x, r = _unbounded(weights, max_rate), rate(weights, max_rate)
+    free = F.when((x > 0) & (x <= top), t).otherwise(0.0)
+    got = members.agg(
+        F.sum(t * F.when(x > top, top * x - top * top / 2).otherwise(r * r / 2)).alias("cost"),
+        *(F.sum(t * F.col(f"p_{d}") * r).alias(d) for d in DOMAINS),
+        *(F.sum(free * F.col(f"p_{a}") * F.col(f"p_{b}")).alias(f"{a}_{b}") for a in DOMAINS for b in DOMAINS)).first()
+    return (got["cost"] or 0.0, np.array([got[d] or 0.0 for d in DOMAINS]),
+            np.array([[got[f"{a}_{b}"] or 0.0 for b in DOMAINS] for a in DOMAINS]))
+
 
+def fit_rates(members: DataFrame, targets: dict[str, float] = TARGETS, max_rate: float = 1.0) -> Fit:
+    """The least-squares rates of ``members`` whose expected shares are ``targets``.
 
-def fit_steps(members: DataFrame, targets: dict[str, float] = TARGETS, max_rate: float = 1.0) -> list[np.ndarray]:
-    """The gradient steps that lead to the rates of ``members`` (see ``rate``).
+    They have the least sum of n_tokens * (rate - min(1, ``max_rate``))**2 of all
+    rates between 0 and ``max_rate`` that meet the targets, so a scarce domain
+    scales the others down. They follow from one multiplier a domain: gradient
+    steps, projected on the plane where the total is free and scaled by the Gram
+    matrix of the documents between the bounds, each shortened until it
+    descends, go on until every share is within CLOSE of its target. A step is
+    one aggregate. The achieved shares are logged beside the targets.
 
-    The domain with the largest target gives all its tokens at ``max_rate``,
-    which sets the total; a domain that lacks tokens for its share gives all it
-    has. The gradient of the squared distance to the targets is scaled
-    by the inverse Gram matrix of the posteriors (one aggregate), so few steps
-    do; each step is one aggregate of as many sums as there are domains.
-    An empty table or one without tokens keeps rate min(1, ``max_rate``).
+    Where no rates but 0 meet the targets (a domain that no document belongs
+    to, or posteriors that are all alike), nothing is dropped: all rates are
+    min(1, ``max_rate``), with a warning. So they are, without one, for an
+    empty table and one without tokens.
     """
     share = np.array([targets[d] for d in DOMAINS]) / sum(targets.values())
-    t = F.col("n_tokens").cast("double")
-    gram = members.agg(*(F.sum(t * F.col(f"p_{a}") * F.col(f"p_{b}")).alias(f"{a}_{b}") for a in DOMAINS for b in DOMAINS),
-                       *(F.sum(t * F.col(f"p_{a}")).alias(a) for a in DOMAINS)).first()
-    have = np.array([gram[d] or 0.0 for d in DOMAINS])
+    plane = np.linalg.svd(share[None])[2][1:]  # directions at right angles to the targets
+    nothing = np.zeros(len(DOMAINS))
+    weights = nothing
+    cost, total, gram = first, have, whole = _measure(members, weights, max_rate)
     if have.sum() <= 0:
-        return []
-    main = int(share.argmax())
-    goal = np.minimum(share * (have[main] * max_rate / share[main]), have * max_rate)
-    matrix = np.array([[gram[f"{a}_{b}"] for b in DOMAINS] for a in DOMAINS])
-    inverse = np.linalg.pinv(matrix + 1e-9 * np.trace(matrix) * np.eye(len(DOMAINS)))
-    steps: list[np.ndarray] = []
-    total = have * min(1.0, max_rate)
-    while len(steps) < STEPS and np.abs(total - goal).max() > CLOSE * goal.sum():
-        steps.append(np.clip(inverse @ (goal - total), -2, 2))
-        got = members.agg(*(F.sum(t * F.col(f"p_{d}") * rate(steps, max_rate)).alias(d) for d in DOMAINS)).first()
-        total = np.array([got[d] for d in DOMAINS])
-    return steps
-
-
-def _copies(members: DataFrame, steps: list[np.ndarray], max_rate: float) -> DataFrame:
+        return Fit(nothing, share, share, 1.0)
+    taken = 1
+
+    def off() -> float:
+        return np.abs(total / total.sum() - share).max()
+
+    while off() > CLOSE and taken < STEPS:
+        slope = plane @ total
+        step = -np.linalg.solve(plane @ gram @ plane.T + 1e-9 * np.trace(whole) * np.eye(len(plane)), slope)
+        size, down = 1.0, False
+        while not down and taken < STEPS:
+            tried = weights + size * step @ plane
+            found = _measure(members, tried, max_rate)
+            taken += 1
+            down = found[0] <= cost * (1 + 1e-12) + 1e-4 * size * (slope @ step)
+            size /= 4
+        if down:
+            weights, (cost, total, gram) = tried, found
+        if cost <= 1e-9 * first or total.sum() <= 0:  # only rates of 0 meet the targets
+            break
+    kept = min(1.0, max_rate) * total.sum() / have.sum()
+    if total.sum() > 0 and off() <= CLOSE:
+        fit = Fit(weights, total / total.sum(), share, kept)
+    else:
+        fit = Fit(nothing, have / have.sum(), share, min(1.0, max_rate))
+    told = ", ".join(f"{d} {a:.4f} (target {b:.4f})" for d, a, b in zip(DOMAINS, fit.shares, fit.targets))
+    if fit.met:
+        _log.info("mix: %s, keeping %.4f of all tokens", told, fit.kept)
+    else:
+        _log.warning("no rates meet the targets of the mix, all documents stay: %s", told)
+    return fit
+
+
+def _copies(members: DataFrame, weights: np.ndarray, max_rate: float) -> DataFrame:
     """``members`` with rate and copies: the rate rounded up or down at random,
     by a hash of the id alone, so that its expected value is the rate."""
     dice = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.lit("mix")), F.lit(1 << 30)) / float(1 << 30)
-    return (members.withColumn("rate", rate(steps, max_rate))
+    return (members.withColumn("rate", rate(weights, max_rate))
             .withColumn("copies", (F.floor("rate") + (dice < F.col("rate") - F.floor("rate")).cast("int")).cast("long")))
 
 
@@ -114,7 +174,7 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS,
     """
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     members = checkpoint(posteriors(rows, fit(docs, labels), ["doc_id"]))
-    return _copies(members, fit_steps(members, targets, max_rate), max_rate)
+    return _copies(members, fit_rates(members, targets, max_rate).weights, max_rate)
 
 
 def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
@@ -123,6 +183,6 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGET
     pass that keeps them, so they are neither joined nor exchanged."""
     models = fit(docs, labels)
     members = checkpoint(posteriors(docs.select("doc_id", "text"), models, ["doc_id"]))
-    steps = fit_steps(members, targets)
-    kept = _copies(posteriors(docs, models, docs.columns), steps, 1.0).where("copies > 0")
+    weights = fit_rates(members, targets).weights
+    kept = _copies(posteriors(docs, models, docs.columns), weights, 1.0).where("copies > 0")
     return kept.select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -465,6 +465,38 @@ def test_mixing_meets_targets(spark):
     assert abs(got.copies.sum() - got.rate.sum()) < 0.02 * len(got)
 
 
+@pytest.mark.parametrize("soft", [0.0, 0.06])
+@pytest.mark.parametrize("have", [(0.97, 0.02, 0.01), (0.9, 0.001, 0.099), (0.2, 0.4, 0.4), (0.99, 0.009, 0.001)])
+def test_mixing_of_short_domains(spark, docs, monkeypatch, have, soft):
+    """Whichever domain is scarce, the others come down to it; no share stays as it was."""
+    r, rows = random.Random(7), []
+    for i in range(4000):
+        domain = r.choices(range(3), have)[0] if i > 3 else i % 3
+        p = [r.uniform(0, soft / 2) * r.choice([0, 0, 1]) for _ in range(3)]
+        p[domain] += 1 - sum(p)
+        rows.append((i, r.randint(20, 200), *p))
+    members = spark.createDataFrame(rows, "doc_id long, n_tokens long, p_high double, p_low double, p_toxic double")
+    monkeypatch.setattr(mixing, "fit", lambda *_: {})
+    monkeypatch.setattr(mixing, "posteriors", lambda *_: members)
+    got = mixing.mix(docs, docs).toPandas()
+    tokens_of = {d: (got[f"p_{d}"] * got.rate * got.n_tokens).sum() for d in mixing.DOMAINS}
+    total = sum(tokens_of.values())
+    for d in mixing.DOMAINS:
+        assert abs(tokens_of[d] / total - mixing.TARGETS[d]) < 0.001, (d, tokens_of)
+    assert (got.rate >= 0).all() and (got.rate <= 1).all()
+    if not soft:  # then the scarcest domain gives all it has
+        had = {d: (got[f"p_{d}"] * got.n_tokens).sum() for d in mixing.DOMAINS}
+        assert total > 0.99 * min(had[d] / mixing.TARGETS[d] for d in mixing.DOMAINS)
+
+
+def test_mixing_without_a_domain(spark, caplog):
+    members = spark.createDataFrame([(i, 10, float(i % 5 > 0), float(i % 5 == 0), 0.0) for i in range(50)],
+                                    "doc_id long, n_tokens long, p_high double, p_low double, p_toxic double")
+    found = mixing.fit_rates(members)
+    assert not found.met and not found.weights.any() and found.kept == 1
+    assert "toxic 0.0000 (target 0.0200)" in caplog.text
+
+
 def test_mixing_of_odd_tables(spark, docs, empty):
     labels = spark.createDataFrame([(0, 1, 1), (1, 1, 0), (2, 0, 0)], "doc_id long, quality int, toxic int")
     assert mixing.mix(docs, labels).count() == len(ROWS)
