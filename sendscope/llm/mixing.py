@@ -184,5 +184,7 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGET
     models = fit(docs, labels)
     members = checkpoint(posteriors(docs.select("doc_id", "text"), models, ["doc_id"]))
     weights = fit_rates(members, targets).weights
-    kept = _copies(posteriors(docs, models, docs.columns), weights, 1.0).where("copies > 0")
-    return kept.select(*(F.col(f"`{c}`") for c in docs.columns))
+    # the row travels as one struct, so that no column of it meets one of the mix's own
+    plain = docs.select("doc_id", "text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    kept = _copies(posteriors(plain, models, ["doc_id", "row"]), weights, 1.0).where("copies > 0")
+    return kept.select("row.*")

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import bounded_sample, parts
 
@@ -106,7 +107,6 @@ def score_texts(docs: DataFrame, models: dict[str, tuple[np.ndarray, np.ndarray]
     n_words. The sparse weights travel with the function (at most DIMS + 1
     numbers a model)."""
     names = list(models)
-    kinds = dict(docs.dtypes)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = [dense(models[c]) for c in names]
@@ -122,8 +122,10 @@ def score_texts(docs: DataFrame, models: dict[str, tuple[np.ndarray, np.ndarray]
                 [*(batch.column(c) for c in carry), *(pa.array(x, pa.float64()) for x in found), pa.array(n_words, pa.int64())],
                 [*carry, *names, "n_words"])
 
-    return docs.mapInArrow(score, ", ".join([*(f"`{c}` {kinds[c]}" for c in carry), *(f"{c} double" for c in names),
-                                             "n_words long"]))
+    schema = T.StructType([docs.schema[c] for c in carry])
+    for c in names:
+        schema.add(c, "double")
+    return docs.mapInArrow(score, schema.add("n_words", "long"))
 
 
 def joined(rows: Iterable[np.ndarray], places: Iterable[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:

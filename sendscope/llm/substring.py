@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import first
 from .common import NULL_ID, checkpoint, segment_hashes, windows, words
@@ -65,10 +66,10 @@ def removal(docs: DataFrame, window: int = WINDOW, carry: list[str] | None = Non
     bits = first.group_bits(chunks)
     asked = first.ask(chunks, _name(window), bits, WIDTH)
     known = checkpoint(first.answers(asked, WIDTH, "later"))
-    kinds = dict(docs.dtypes)
-    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string"
+    schema = (T.StructType().add("doc_id", "long").add("n_words", "long").add("n_removed", "long")
+              .add("kept_sha256", "string"))
     if carry is not None:
-        schema += ", text string" + "".join(f", `{c}` {kinds[c]}" for c in carry)
+        schema = T.StructType([*schema.add("text", "string"), *(docs.schema[c] for c in carry)])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -129,11 +130,14 @@ def deduplicated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """``docs`` with its own columns, repeated windows cut out of ``text``, and
     n_chars (if there is such a column) of the new text. A text that loses all
     its words stays as an empty one."""
-    names = docs.columns
-    kept = removal(docs, window, [c for c in names if c not in ("doc_id", "text")])
-    if "n_chars" in names:
-        kept = kept.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return kept.select(*(F.col(f"`{c}`") for c in names))
+    # the other columns travel as one struct, so that none meets one of ``removal``'s own
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    row = [F.struct(*(F.col(f"`{c}`") for c in others)).alias("row")] if others else []
+    kept = removal(docs.select("doc_id", "text", *row), window, ["row"] if others else [])
+    of = {c: F.col("row").getField(c) for c in others}
+    if "n_chars" in of:
+        of["n_chars"] = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(of["n_chars"])
+    return kept.select(*(of[c].alias(c) if c in of else F.col(c) for c in docs.columns))
 
 
 def window_counts(docs: DataFrame, window: int = WINDOW) -> DataFrame:

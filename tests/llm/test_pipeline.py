@@ -2,6 +2,8 @@
 
 import zlib
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as P
 
 SF = "/root/testdata/sf0.001"
@@ -50,5 +52,24 @@ def test_stages_on_odd_tables(spark):
             assert n == 0 or data
 
 
+def test_stages_keep_columns_named_like_their_own(spark, tmp_path):
+    """Names of the stages' own columns, of both letter cases, keep the table's values."""
+    names = ["n_words", "n_removed", "kept_sha256", "n_tokens", "rate", "copies", "_toxic", "_good", "p_high", "p_low", "p_toxic",
+             "row", "Key", "chunk", "others", "marked_id", "y", "h", "lang_pred", "score"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    docs = docs.select("*", *(F.concat(F.lit(f"{c} "), "doc_id").alias(c) for c in names))
+    columns = docs.columns
+    for name, stage in P.STAGES:
+        docs.write.parquet(str(tmp_path / name))
+        docs = stage(spark, spark.read.parquet(str(tmp_path / name)), SF)
+        if name == "packing":
+            break
+        assert docs.columns == columns, name
+        rows = docs.collect()
+        assert len(rows) > 100, name
+        assert all(r[c] == f"{c} {r['doc_id']}" for r in rows for c in names), name
+    assert docs.count() > 100
+
+
 def test_run(spark):
     assert P.run(spark, SF).count() > 150
