@@ -70,17 +70,20 @@ def fingerprints_of(buf: np.ndarray, off: np.ndarray, shingle: int = SHINGLE) ->
     return out
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id and fingerprint (long, the bits as a signed number) of every whole text."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, carry: list[str] | None = None) -> DataFrame:
+    """doc_id and fingerprint (long, the bits as a signed number) of every whole
+    text, and the columns ``carry`` (longs)."""
+    names = ["doc_id", *(carry or [])]
+
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, buf, off in parts(batch.column("text"), SLICE_BYTES):
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(i, j - i), pa.array(fingerprints_of(buf, off, shingle).view(np.int64))],
-                    ["doc_id", "fp"])
+                    [*(batch.column(c).slice(i, j - i) for c in names), pa.array(fingerprints_of(buf, off, shingle).view(np.int64))],
+                    [*names, "fp"])
 
-    return (docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-            .mapInArrow(compute, "doc_id long, fp long"))
+    return (docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *(carry or []))
+            .mapInArrow(compute, ", ".join(f"{c} long" for c in [*names, "fp"])))
 
 
 def planes(values: np.ndarray) -> np.ndarray:
@@ -203,6 +206,15 @@ def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFr
             .mapInArrow(compare, "a long, b long"))
 
 
+def _rooted(marked: DataFrame, radius: int) -> DataFrame:
+    """fp, first (the smallest doc_id with it) and root (the same for all
+    fingerprints of a component) of every distinct fingerprint."""
+    distinct = checkpoint(marked.groupBy("fp").agg(F.min(F.coalesce("doc_id", F.lit(NULL_ID))).alias("first")))
+    edges = links(distinct.select("fp"), radius).distinct()
+    roots = components(edges, distinct.sparkSession)  # node, root: only for linked fingerprints
+    return distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id of every document.
 
@@ -213,10 +225,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     no rows.
     """
     marked = checkpoint(fingerprints(docs, shingle))
-    distinct = checkpoint(marked.groupBy("fp").agg(F.min(F.coalesce("doc_id", F.lit(NULL_ID))).alias("first")))
-    edges = links(distinct.select("fp"), radius).distinct()
-    roots = components(edges, distinct.sparkSession)  # node, root: only for linked fingerprints
-    rooted = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    rooted = _rooted(marked, radius)
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     by_fp = rooted.join(least, "root").select("fp", F.nullif("component_id", F.lit(NULL_ID)).alias("component_id"))
     return (marked.join(by_fp, "fp")
@@ -225,11 +234,16 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
 
 
 def one_of_each(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """``docs`` with one document of each component: the one with the smallest
-    id. An id stands for one document, so of rows that repeat an id one stays;
-    rows without an id can't be named and all stay."""
+    """``docs`` with exactly one row of each component: the one with the
+    smallest id, null ids last, and of those that share it the one with the
+    smallest hash of the text. Rows that share an id are apart unless their
+    texts are near each other; which of several with one id and one text stays
+    is left open."""
     names = docs.columns
-    found = near_duplicates(docs, shingle, radius)
-    stay = found.where("doc_id = component_id").select("doc_id").distinct()
-    with_id = docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return with_id.unionByName(docs.where("doc_id is null")).select(*(F.col(f"`{c}`") for c in names))
+    key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("_id"), F.xxhash64(F.col("text").cast("string")).alias("_hash")]
+    marked = checkpoint(fingerprints(docs.select("doc_id", "text", key[1]), shingle, ["_hash"]))
+    rows = marked.select("fp", F.coalesce("doc_id", F.lit(NULL_ID)).alias("_id"), "_hash").distinct()
+    least = (rows.join(_rooted(marked, radius).select("fp", "root"), "fp")
+             .groupBy("root").agg(F.min(F.struct("_id", "_hash")).alias("least")).select("least.*"))
+    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), *key)
+    return keyed.join(least, ["_id", "_hash"], "left_semi").dropDuplicates(["_id", "_hash"]).select("row.*")

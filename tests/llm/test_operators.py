@@ -282,6 +282,18 @@ def test_simhash(docs, empty):
     assert sorted(r["doc_id"] for r in stay.where("doc_id is not null").collect()) == sorted({i for i, _, c in want if i == c and i is not None})
 
 
+def test_one_row_of_each_component(spark):
+    """Rows that share an id but no text are apart, and rows without an id are compared too."""
+    r, words = random.Random(11), _vocabulary(2)
+    a, b, c, d = (" ".join(r.choice(words) for _ in range(120)) for _ in range(4))
+    rows = [(3, a), (7, a), (7, b), (None, b), (None, c), (None, c), (None, d), (9, d), (9, d), (4, None), (None, "")]
+    for seed in range(3):
+        r.shuffle(rows)
+        got = simhash.one_of_each(spark.createDataFrame(rows, "doc_id int, text string").repartition(3))
+        assert got.dtypes == [("doc_id", "int"), ("text", "string")]
+        assert _sorted(map(tuple, got.collect())) == _sorted([(3, a), (7, b), (None, c), (9, d), (4, None)])
+
+
 def test_crowded_meeting_place(spark):
     """More near fingerprints than a tile holds: no link is lost."""
     r = random.Random(9)
