@@ -60,4 +60,47 @@ SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(n_removed AS BIGI
 FROM kept
 """
 
-ORACLE_SQL = {"op2_suffix_dedup": _STRINGS_OF_BYTES, "op10_substring_dedup": _WINDOWS_OF_WORDS}
+_PHRASES = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), w AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM pieces
+), grams AS (
+  SELECT lang, size, unnest(list_transform(range(1, len(words) - size + 2), lambda i: array_to_string(words[i : i + size - 1], ' '))) AS phrase
+  FROM w, (SELECT unnest([1, 2, 3]) AS size) AS sizes
+), f AS MATERIALIZED (
+  SELECT lang, size, phrase, CAST(count(*) AS HUGEINT) AS a FROM grams GROUP BY ALL
+), total AS (
+  SELECT lang, sum(a) AS n FROM f WHERE size = 1 GROUP BY lang
+), candidate AS MATERIALIZED (
+  SELECT lang, size, phrase, a, string_split(phrase, ' ') AS v FROM f WHERE size > 1 AND a >= 10
+), sides AS (
+  SELECT lang, phrase, a, 1 AS k, v[1] AS first_part, array_to_string(v[2 : size], ' ') AS rest FROM candidate
+  UNION ALL
+  SELECT lang, phrase, a, 2 AS k, array_to_string(v[1 : 2], ' ') AS first_part, v[3] AS rest FROM candidate WHERE size = 3
+), with_left AS MATERIALIZED (
+  SELECT c.*, l.a AS l FROM sides c JOIN f l ON l.lang = c.lang AND l.phrase = c.first_part
+), cut AS MATERIALIZED (
+  SELECT c.lang, c.phrase, c.a, c.k, c.l, r.a AS r, 1000000 * c.a * c.a // (c.l * r.a) AS score
+  FROM with_left c JOIN f r ON r.lang = c.lang AND r.phrase = c.rest
+), lowest AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS place FROM cut
+), longer AS (
+  SELECT lang, array_to_string(v[1 : 2], ' ') AS phrase, a FROM candidate WHERE size = 3
+  UNION ALL
+  SELECT lang, array_to_string(v[2 : 3], ' ') AS phrase, a FROM candidate WHERE size = 3
+), gone AS (
+  SELECT DISTINCT c.lang, c.phrase FROM candidate c JOIN longer o ON o.lang = c.lang AND o.phrase = c.phrase
+  WHERE c.size = 2 AND 100 * o.a >= 50 * c.a
+), ranked AS (
+  SELECT s.*, row_number() OVER (PARTITION BY s.lang ORDER BY score DESC, a DESC, s.phrase) AS rank
+  FROM lowest s ANTI JOIN gone g ON g.lang = s.lang AND g.phrase = s.phrase WHERE place = 1
+)
+SELECT lang, rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r,
+       CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM ranked JOIN total USING (lang) WHERE rank <= 2000
+"""
+
+ORACLE_SQL = {"op12_phrases": _PHRASES, "op2_suffix_dedup": _STRINGS_OF_BYTES, "op10_substring_dedup": _WINDOWS_OF_WORDS}

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, minhash, mixing, packing, quality, simhash, substring, suffix_dedup, tokens, toxicity
+from . import (language, minhash, mixing, packing, periodic, phrases, quality, simhash, substring, suffix_dedup, tokens,
+               toxicity)
 from .common import fold
 from .oracles import ORACLE_SQL  # noqa: F401
 
@@ -64,6 +67,27 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.removal(_table(spark, sf_dir, "documents"))
 
 
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_table(spark, sf_dir, "documents"))
+
+
+def _with_period(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """The contract's words: a tenth of the documents (by crc32 of the id)
+    repeat a stretch up to their end. A null id has none."""
+    h = zlib.crc32(str(doc_id).encode()) if doc_id is not None else 1
+    n, g = len(words), h // 10
+    if h % 10 or not n:
+        return words
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + (words[a: a + p] * (-(-(n - a) // p)))[: n - a]
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digest(periodic.run_table(_table(spark, sf_dir, "documents"), _with_period))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_language_id, op2_suffix_dedup, op3_packing, op4_quality_rules, op5_toxicity, op6_token_counts,
-    op7_simhash_dedup, op8_mixing, op9_fingerprints, op10_substring_dedup)}
+    op7_simhash_dedup, op8_mixing, op9_fingerprints, op10_substring_dedup,
+    op12_phrases, op13_periodic_runs)}
