@@ -7,7 +7,7 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (language, minhash, mixing, packing, periodic, phrases, quality, simhash, substring, suffix_dedup, tokens,
+from . import (extraction, language, minhash, mixing, packing, periodic, phrases, quality, simhash, substring, suffix_dedup, tokens,
                toxicity)
 from .common import fold
 from .oracles import ORACLE_SQL  # noqa: F401
@@ -67,6 +67,12 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.removal(_table(spark, sf_dir, "documents"))
 
 
+def op11_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    found = extraction.extract(pages, extraction.fit(pages))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(_table(spark, sf_dir, "documents"))
 
@@ -90,4 +96,4 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_language_id, op2_suffix_dedup, op3_packing, op4_quality_rules, op5_toxicity, op6_token_counts,
     op7_simhash_dedup, op8_mixing, op9_fingerprints, op10_substring_dedup,
-    op12_phrases, op13_periodic_runs)}
+    op11_html_extraction, op12_phrases, op13_periodic_runs)}
