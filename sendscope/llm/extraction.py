@@ -29,8 +29,11 @@ from .dom import RUN, Page, statistics
 from .quality import Forest, fit_forest
 
 #: Distinct pages that the trees learn from, characters used of each, layouts
-#: made of each, and nodes learned from in all, at most.
-SAMPLE_PAGES, SAMPLE_CHARS, LAYOUTS, SAMPLE_NODES = 200, 30_000, 4, 30_000
+#: made of each, and nodes learned from of a page and in all, at most.
+SAMPLE_PAGES, SAMPLE_CHARS, LAYOUTS, PAGE_NODES, SAMPLE_NODES = 200, 30_000, 4, 60, 40_000
+#: Log odds in favour of keeping a node, beside what the trees say: a lost
+#: block of the main text weighs more than a block too many.
+LEANING = 1.0
 #: Marks the main text's runs in a layout (a private code point).
 _MARK = ""
 
@@ -122,7 +125,8 @@ class _Layout:
     def _page(self, main: list[str]) -> str:
         r = self.r
         main = main[: r.choice([1, 2, 4, 8, 30, 200])]
-        kinds = list(PARTS)
+        if r.random() < 0.04:  # a very long page
+            main = [r.choice(main) for _ in range(r.choice([300, 800]))]
         blocks = [self._block(t) for t in main]
         if r.random() < 0.7 and main:
             title = f"<h1>{_MARK}{' '.join(main[0].replace('&', '').replace('<', '').split()[:8])}</h1>"
@@ -140,10 +144,10 @@ class _Layout:
             k = r.randint(0, len(beside))
             wrap = r.choice(["div", "div", "section", "main", "form"] if r.random() < 0.3 else ["div", "main"])
             body = f"<{wrap}{_attributes(r, WRAPPER_NAMES + CONTENT_NAMES[:6], self.named)}>{''.join([*beside[:k], body, *beside[k:]])}</{wrap}>"
-        top = [self.part(k) for k in ("notice", "header", "menu", "advert", "form") if r.random() < 0.45]
-        end = [self.part(k) for k in ("comments", "sidebar", "menu", "advert", "footer", "notice", "form") if r.random() < 0.4]
+        much, more = r.choice([0, 0.3, 0.6]), r.choice([0, 0.3, 0.6])
+        top = [self.part(k) for k in ("notice", "header", "menu", "advert", "form") if r.random() < much]
+        end = [self.part(k) for k in ("comments", "sidebar", "menu", "advert", "footer", "notice", "form") if r.random() < more]
         r.shuffle(top)
-        del kinds
         return f"<html><head><title>x</title></head><body>{''.join(top)}{body}{''.join(end)}"
 
 
@@ -186,7 +190,7 @@ class Extractor:
 
     def texts(self, pages: list[Page]) -> list[str]:
         p = np.clip(self.forest.probability(self.features(pages)), 1e-6, 1 - 1e-6)
-        odds = np.log(p / (1 - p)).tolist()
+        odds = (np.log(p / (1 - p)) + LEANING).tolist()
         out, at = [], 0
         for page in pages:
             keep = decode(page.parent, odds[at: at + len(page.tags)])
@@ -236,14 +240,14 @@ def train(sources: list[str]) -> Extractor | None:
         return {name: float(np.log((b + 3) / (a + 3))) for name, (a, b) in sorted(seen.items()) if a + b >= 3}
 
     model = Extractor(fit_forest(np.zeros((0, 1)), np.zeros(0), [0]), weights(lambda p: [(t,) for t in p.tags]), weights(lambda p: p.tokens))
-    x, y = [], []
+    x, y, r = [], [], np.random.default_rng(7)
     for page, known in learned:
-        x.append(model.features([page]))
-        y.append(known)
+        some = r.permutation(len(known))[: PAGE_NODES]  # a long page counts as a usual one
+        x.append(model.features([page])[some])
+        y.append(known[some])
     x, y = np.concatenate(x), np.concatenate(y).astype(np.float64)
-    if len(y) > SAMPLE_NODES:
-        some = np.random.default_rng(7).choice(len(y), SAMPLE_NODES, replace=False)
-        x, y = x[some], y[some]
+    some = r.permutation(len(y))[: SAMPLE_NODES]
+    x, y = x[some], y[some]
     model.forest = fit_forest(x, y, [0] * x.shape[1], trees=60, depth=5, rate=0.25, bins=32)
     return model
 
