@@ -21,7 +21,7 @@ from ..sources.staging import path_exists, stage_key, staged_tables
 from ..sources.writers import export_csv, export_json_lines, read_alerts, write_alerts
 from ..streaming.alerts import error_windows, run_error_alert_sweep, sweep_error_counts
 from ..streaming.dedup import first_deliveries, sweep_deliveries
-from ..streaming.orphans import swept_orphans, sweep_orphan_conversations
+from ..streaming.orphans import sweep_orphan_changes, swept_orphans, sweep_orphan_conversations
 from . import params as P
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -501,3 +501,26 @@ def stream_orphan_conversations(spark, sf_dir):
     sweep_orphan_conversations(conv, lambda: _t(spark, sf_dir)[0], [c for c, m in P.CTAS if m == "exact"],
                                base, f"{base}/_checkpoint")
     return swept_orphans(spark, base)
+
+
+@register("stream_orphan_changes")
+def stream_orphan_changes(spark, sf_dir):
+    """T5 with withdrawals: all conversations are swept first, from several
+    files dealt at random, then the campaigns come in the same way and withdraw
+    the orphans that they explain. Every CTA message with its state at the end."""
+    camp, conv, _ = _t(spark, sf_dir)
+    prefer_rocksdb_state(spark)
+    base = scratch_path(spark, "stream_orphan_changes")
+    camp.limit(0).write.parquet(f"{base}/campaigns")
+    conv.repartition(2).write.parquet(f"{base}/conversations")
+
+    def source(table):
+        return spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1)
+
+    def sweep():
+        return sweep_orphan_changes(source(conv).parquet(f"{base}/conversations"), source(camp).parquet(f"{base}/campaigns"),
+                                    [c for c, m in P.CTAS if m == "exact"], f"{base}/state", f"{base}/_checkpoint")
+
+    sweep()
+    camp.repartition(2).write.mode("append").parquet(f"{base}/campaigns")
+    return sweep().messages()

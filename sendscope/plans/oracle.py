@@ -443,3 +443,9 @@ ORACLE_SQL["profile_columns_at_scale"] = (
 
 ORACLE_SQL["alerts_table"] = f"""
 SELECT *, DATE '{P.AS_OF}' AS run_date, 'checks' AS run_id FROM ({ORACLE_SQL["alerts"]}) found"""
+
+ORACLE_SQL["stream_orphan_changes"] = _with() + f"""
+SELECT c.session_id, c.message_id, c.text AS cta, c.publish_time,
+       CASE WHEN c.session_id IN (SELECT session_id FROM camp WHERE session_id IS NOT NULL)
+            THEN 'withdrawn' ELSE 'orphan' END AS state
+FROM conv c WHERE c.text IN ({_in_list(c for c, m in P.CTAS if m == 'exact')})"""
