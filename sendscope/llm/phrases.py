@@ -30,13 +30,15 @@ from .common import U, checkpoint, mix, segment_hashes, slices, text_bytes
 #: Occurrences that make a phrase frequent, in the language's whole corpus.
 SUPPORT = 10
 #: Shards: the local support is about SUPPORT / SHARDS in each.
-SHARDS = 4
+SHARDS = 3
 #: Words of a phrase.
 SHORTEST, LONGEST = 2, 3
 #: A phrase gives way to a longer one with this share (in hundredths) of its count.
 ABSORBED = 50
 #: Bytes of text counted together in a task, and bits of the union's bitmap.
-CHUNK_BYTES, BITMAP_BITS = 8 << 20, 26
+CHUNK_BYTES, BITMAP_BITS = 4 << 20, 26
+#: Bytes of text per group of hashes, and bounds of the groups' number as a power of two.
+GROUP_BYTES, GROUP_BITS = 16 << 20, (4, 20)
 UNDETERMINED = "und"
 
 # A-Z in lower case; characters that end a piece become a line feed, tabs a
@@ -48,6 +50,18 @@ _FOLD[9] = 32
 _TABLE = _FOLD.tobytes()
 
 
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where each distinct key occurs (once), its occurrences, and each key's number."""
+    order = np.argsort(keys)
+    ranked = keys[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = ranked[1:] != ranked[:-1]
+    begin = np.flatnonzero(new)
+    number = np.empty(len(keys), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return order[begin], np.diff(np.append(begin, len(keys))), number
+
+
 class Chunk:
     """The words of some texts as numbers, each with its language and piece."""
 
@@ -55,49 +69,40 @@ class Chunk:
         numbers: defaultdict[bytes, int] = defaultdict(count().__next__)
         self.langs = sorted(set(langs))
         code = {v: k for k, v in enumerate(self.langs)}
-        words, pieces, lang, piece = [], [], [], 0
-        for text, name in zip(texts, langs):
-            buf = text.translate(_TABLE)
-            found = buf.split()
-            at = np.frombuffer(buf, np.uint8)
-            gap = (at == 32) | (at == 10)
-            starts = np.flatnonzero(~gap & np.concatenate([[True], gap[:-1]])) if len(at) else np.zeros(0, np.int64)
-            breaks = np.cumsum(at == 10)
-            words.append(np.fromiter(map(numbers.__getitem__, found), np.int64, len(found)))
-            pieces.append(breaks[starts] + piece)
-            lang.append(np.full(len(found), code[name], np.int64))
-            piece += int(breaks[-1]) + 1 if len(at) else 1
-        self.words, self.pieces, self.lang = (np.concatenate([*v, np.zeros(0, np.int64)]) for v in (words, pieces, lang))
+        buf = b"\n".join([*texts, b""]).translate(_TABLE)
+        found = buf.split()
+        at = np.frombuffer(buf, np.uint8)
+        gap = (at == 32) | (at == 10)
+        starts = np.flatnonzero(~gap & np.concatenate([[True], gap[:-1]]))
+        text_ends = np.cumsum([len(t) + 1 for t in texts])
+        self.pieces = np.cumsum(at == 10, dtype=np.int32)[starts]
+        self.words = np.fromiter(map(numbers.__getitem__, found), np.int64, len(found))
+        self.lang = np.array([code[v] for v in langs], np.int64)[np.searchsorted(text_ends, starts, side="right")]
         self.vocabulary = list(numbers)
 
     def phrases(self) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
         """For each length from 1: where each distinct phrase (of one language)
-        first occurs, its language and its occurrences."""
-        n = len(self.words)
-        same = np.ones(n, bool)
-        name = self.words + self.lang * max(len(self.vocabulary), 1)
+        occurs, its language and its occurrences."""
+        at, name, width = np.arange(len(self.words)), self.words + self.lang * len(self.vocabulary), max(len(self.vocabulary), 1)
         for size in range(1, LONGEST + 1):
-            if size > 1:
-                # pairs of a phrase's number and the word after it
-                same = same[: max(n - size + 1, 0)] & (self.pieces[: max(n - size + 1, 0)] == self.pieces[size - 1:])
-                name = name[: len(same)] * max(len(self.vocabulary), 1) + self.words[size - 1:]
-            at = np.flatnonzero(same)
-            _, first, number, counts = np.unique(name[at], return_index=True, return_inverse=True, return_counts=True)
-            name = np.zeros(len(same), np.int64)
-            name[at] = number
+            if size > 1:  # a shorter phrase's number and the word after it
+                inside = at + size - 1 < len(self.words)
+                at, name = at[inside], name[inside]
+                inside = self.pieces[at] == self.pieces[at + size - 1]
+                at, name = at[inside], name[inside] * width + self.words[at[inside] + size - 1]
+            first, counts, name = _distinct(name)
             yield size, at[first], self.lang[at[first]], counts
 
     def hashes(self) -> np.ndarray:
-        data = b"".join(self.vocabulary)
+        data = np.frombuffer(b"".join(self.vocabulary), np.uint8)
         ends = np.cumsum([len(w) for w in self.vocabulary], dtype=np.int64)
-        return segment_hashes(np.frombuffer(data, np.uint8), ends - np.diff(ends, prepend=0), ends) if len(ends) else np.zeros(0, np.uint64)
+        return segment_hashes(data, ends - np.diff(ends, prepend=0), ends) if len(ends) else np.zeros(0, np.uint64)
 
     def hashed(self, hashes: np.ndarray, first: np.ndarray, size: int, lang: np.ndarray) -> np.ndarray:
         """64-bit hashes of phrases with their languages."""
         base = np.frombuffer("\0".join([*self.langs, ""]).encode(), np.uint8)
         ends = np.flatnonzero(base == 0)
-        starts = np.concatenate([[0], ends[:-1] + 1]) if len(ends) else ends
-        h = segment_hashes(base, starts, ends)[lang] if len(ends) else np.zeros(0, np.uint64)
+        h = segment_hashes(base, np.concatenate([[0], ends[:-1] + 1]), ends)[lang]
         for k in range(size):
             h = mix(h * U(0x9E3779B97F4A7C15) + hashes[self.words[first + k]])
         return h
@@ -110,7 +115,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[Chunk]:
     for batch in batches:
         buf, off = text_bytes(batch.column("text"))
         names = pc.fill_null(batch.column("lang"), UNDETERMINED).to_pylist()
-        for i, j in slices(off, CHUNK_BYTES):
+        for i, j in slices(off, CHUNK_BYTES // 4):
             size = int(off[j] - off[i])
             if texts and held + size > CHUNK_BYTES:
                 yield Chunk(texts, langs)
@@ -126,63 +131,78 @@ def _plain(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("lang").cast("string"), F.col("text").cast("string"))
 
 
-def mine(docs: DataFrame, support: int = SUPPORT, shards: int = SHARDS) -> DataFrame:
-    """Hashes ``h`` (language and words) of the locally frequent phrases, once
-    for each shard that finds them so.
+def mine(docs: DataFrame, support: int = SUPPORT, shards: int = SHARDS, bits: int = BITMAP_BITS) -> np.ndarray:
+    """The union of the locally frequent phrases: a bitmap of 2**bits bits, set
+    at the top bits of their hashes.
 
     A shard is every ``shards``-th input partition, so a local support of
     ``support / shards`` (rounded up) in each is reached by every phrase that
-    reaches ``support`` in all, however unequal the shards are.
+    reaches ``support`` in all, however unequal the shards are. Chunks send each
+    distinct phrase once, packed by the top bits of the hashes; a group of
+    these counts its share of all shards and gives its part of the bitmap. The
+    number of groups grows with the text.
     """
+    size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+    top = int(np.clip((size // GROUP_BYTES).bit_length(), *GROUP_BITS))
+
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = TaskContext.get().partitionId() % shards
         for chunk in _chunks(batches):
             hashes = chunk.hashes()
-            for size, first, lang, counts in chunk.phrases():
-                if size >= SHORTEST:
-                    h = chunk.hashed(hashes, first, size, lang).view(np.int64)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(h), shard, np.int32)), pa.array(h), pa.array(counts.astype(np.int64))], ["shard", "h", "c"])
-
-    return (_plain(docs).mapInArrow(local, "shard int, h long, c long")
-            .groupBy("shard", "h").agg(F.sum("c").alias("c"))
-            .where(F.col("c") >= -(-support // shards)).select("h"))
-
-
-def bitmap(hashes: DataFrame, bits: int = BITMAP_BITS) -> np.ndarray:
-    """2**bits bits, set at the top bits of each hash: at most 2**bits / 8 bytes
-    (in rows of 64 bits) reach the driver, whatever the number of hashes."""
-    at = F.shiftrightunsigned("h", 64 - bits)
-    words = (hashes.select(F.shiftright(at, 6).alias("w"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(h, {64 - bits}) & 63 as int))").alias("b"))
-             .groupBy("w").agg(F.bit_or("b").alias("b")))
-    out = np.zeros(1 << (bits - 6), np.int64)
-    got = words.toArrow()
-    out[got.column("w").to_numpy()] = got.column("b").to_numpy()
-    return out.view(np.uint64)
-
-
-def count_all(docs: DataFrame, marked: np.ndarray) -> DataFrame:
-    """lang, size, phrase and f (its exact count) of every single word and of
-    every longer phrase whose hash the bitmap holds."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(marked.tobytes())
-    shift = U(64 - (len(marked).bit_length() + 5))
+            found = [(chunk.hashed(hashes, first, size, lang), counts) for size, first, lang, counts in chunk.phrases()]
+            h, c = (np.concatenate(v) for v in zip(*found))
+            order = np.argsort(h)
+            h, c = h[order], c[order]
+            cuts = np.searchsorted(h >> U(64 - top), np.arange((1 << top) + 1).astype(np.uint64))
+            some = np.flatnonzero(cuts[1:] > cuts[:-1])
+            packed = [[v[cuts[g]: cuts[g + 1]].tobytes() for g in some.tolist()] for v in (h.astype("<u8"), c.astype("<u4"))]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(some.astype(np.int32)), pa.array(np.full(len(some), shard, np.int32)),
+                 *(pa.array(v, pa.binary()) for v in packed)], ["grp", "shard", "hashes", "counts"])
+
+    def frequent(table: pa.Table) -> pa.Table:
+        group, of = table.column("grp")[0].as_py(), table.column("shard").to_numpy()
+        part = np.zeros(1 << (bits - top), bool)
+        for shard in np.unique(of):
+            mine = table.filter(pa.array(of == shard))
+            h = np.frombuffer(b"".join(mine.column("hashes").to_pylist()), "<u8")
+            c = np.frombuffer(b"".join(mine.column("counts").to_pylist()), "<u4")
+            order = np.argsort(h)
+            h = h[order]
+            begin = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+            often = h[begin][np.add.reduceat(c[order].astype(np.int64), begin) >= -(-support // shards)]
+            part[((often << U(top)) >> U(64 - bits + top)).astype(np.int64)] = True
+        return pa.table({"grp": pa.array([group], pa.int32()), "part": pa.array([np.packbits(part, bitorder="little").tobytes()], pa.binary())})
+
+    sent = _plain(docs).mapInArrow(local, "grp int, shard int, hashes binary, counts binary")
+    parts = sent.groupBy("grp").applyInArrow(frequent, "grp int, part binary").toArrow()
+    out = np.zeros((1 << top, 1 << (bits - top - 3)), np.uint8)
+    for g, part in zip(parts.column("grp").to_pylist(), parts.column("part").to_pylist()):
+        out[g] = np.frombuffer(part, np.uint8)
+    return out.ravel()
+
+
+def count_all(docs: DataFrame, union: np.ndarray, bits: int = BITMAP_BITS) -> DataFrame:
+    """lang, size, phrase and f (its exact count) of every phrase (single words
+    too) whose hash the bitmap holds; as size 0 all words of a language."""
+    shared = docs.sparkSession.sparkContext.broadcast(union.tobytes())
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.frombuffer(shared.value, np.uint64)
+        held = np.frombuffer(shared.value, np.uint8)
+
+        def rows(chunk: Chunk, size: int, phrases: list[str], lang: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(
+                [pa.array(chunk.langs, pa.string()).take(pa.array(lang)), pa.array(np.full(len(lang), size, np.int32)),
+                 pa.array(phrases, pa.string()), pa.array(counts.astype(np.int64))], ["lang", "size", "phrase", "c"])
+
         for chunk in _chunks(batches):
             hashes = chunk.hashes()
-            names = pa.array(chunk.langs, pa.string())
+            yield rows(chunk, 0, [""] * len(chunk.langs), np.arange(len(chunk.langs)), np.bincount(chunk.lang, minlength=len(chunk.langs)))
             for size, first, lang, counts in chunk.phrases():
-                if size > 1:
-                    bit = chunk.hashed(hashes, first, size, lang) >> shift
-                    hit = np.flatnonzero(held[(bit >> U(6)).astype(np.int64)] >> (bit & U(63)) & U(1))
-                    first, lang, counts = first[hit], lang[hit], counts[hit]
-                words = [[chunk.vocabulary[w] for w in chunk.words[first + k].tolist()] for k in range(size)]
-                phrases = [b" ".join(w).decode("utf-8") for w in zip(*words)]
-                yield pa.RecordBatch.from_arrays(
-                    [names.take(pa.array(lang)), pa.array(np.full(len(first), size, np.int32)),
-                     pa.array(phrases, pa.string()), pa.array(counts.astype(np.int64))], ["lang", "size", "phrase", "c"])
+                bit = (chunk.hashed(hashes, first, size, lang) >> U(64 - bits)).astype(np.int64)
+                hit = np.flatnonzero(held[bit >> 3] >> (bit & 7) & 1)
+                words = [[chunk.vocabulary[w] for w in chunk.words[first[hit] + k].tolist()] for k in range(size)]
+                yield rows(chunk, size, [b" ".join(w).decode("utf-8") for w in zip(*words)], lang[hit], counts[hit])
 
     return (_plain(docs).mapInArrow(exact, "lang string, size int, phrase string, c long")
             .groupBy("lang", "size", "phrase").agg(F.sum("c").alias("f")))
@@ -192,12 +212,11 @@ def score(counts: DataFrame, support: int = SUPPORT, absorbed: int = ABSORBED) -
     """The frequent phrases of two words or more with their lowest-scoring cut:
     lang, phrase, a, l, r, n and score; phrases that a longer one absorbs are
     left out. Products are decimals of 38 digits, so no step overflows."""
-    words = counts.where("size = 1").select("lang", F.col("phrase").alias("part"), F.col("f").alias("part_f"))
-    frequent = counts.where((F.col("size") > 1) & (F.col("f") >= support))
-    n = words.groupBy("lang").agg(F.sum("part_f").alias("n"))
+    n = counts.where("size = 0").select("lang", F.col("f").alias("n"))
     # every part of a frequent phrase is as frequent, so its count is at hand
-    parts = words.where(F.col("part_f") >= support).unionByName(
-        frequent.select("lang", F.col("phrase").alias("part"), F.col("f").alias("part_f")))
+    parts = (counts.where((F.col("size") > 0) & (F.col("f") >= support))
+             .select("lang", F.col("phrase").alias("part"), F.col("f").alias("part_f")))
+    frequent = counts.where((F.col("size") >= SHORTEST) & (F.col("f") >= support))
     split = frequent.select("lang", "phrase", F.col("f").alias("a"), "size", F.split("phrase", " ").alias("w"))
     sides = (split.select("*", F.explode(F.sequence(F.lit(1), F.col("size") - 1)).alias("k"))
              .select("lang", "phrase", "a", "size", "k",
@@ -251,6 +270,5 @@ def collocations(docs: DataFrame, support: int = SUPPORT, limit: int = 2000, sha
     frequent phrase gives no rows, as does an empty table. Ties go to the larger
     count, then to the phrase that comes first in the order of UTF-8 bytes.
     """
-    marked = bitmap(mine(docs, support, shards))
-    counts = checkpoint(count_all(docs, marked))
+    counts = checkpoint(count_all(docs, mine(docs, support, shards)).where((F.col("size") == 0) | (F.col("f") >= support)))
     return best(score(counts, support), limit)
