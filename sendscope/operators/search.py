@@ -1,8 +1,8 @@
 """Keyword evidence search.
 
-Patterns are literals compiled once per task. Several patterns are evaluated
-in one scan (one ``rlike`` per pattern inside a single projection), never one
-scan per pattern; very long lists take one scan a block of patterns.
+Several patterns are evaluated in one scan, never one scan per pattern: a short
+list as one test at the scan, a long one through a shared prefilter of the
+literals that its patterns require.
 """
 
 from __future__ import annotations
@@ -10,12 +10,13 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 from functools import reduce
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
-from ..functions.params import DEFAULT_BLOCK, blocks
-from ..functions.regex import FLAG_YES, flag, matches
+from ..functions.literals import choose_keys, further_literals, with_grams
+from ..functions.params import DEFAULT_BLOCK, DEFAULT_MAX_PARAM_ROWS, blocks
+from ..functions.regex import FLAG_YES, flag, java_pattern, matches
 from ..session import ensure_checkpoint_dir
 
 Keywords = Iterable[tuple[str, str]] | DataFrame
@@ -84,22 +85,57 @@ def keyword_logs(logs: DataFrame, pattern: str, flag_col: str, message_col: str
     return logs.where(matches(message_col, pattern)).withColumn(flag_col, F.lit(FLAG_YES))
 
 
+#: Patterns from which on the shared prefilter by literals pays.
+MANY_PATTERNS = 64
+
+
 def keyword_hits(df: DataFrame, keywords: Keywords, text_col: str = "text",
                  keep_cols: list[str] | None = None, block: int = DEFAULT_BLOCK) -> DataFrame:
-    """one output row per (row, matching keyword). All patterns share one
-    scan of the texts; more than ``block`` of them take a scan a block."""
+    """one output row per (row, matching keyword), in one scan of the texts.
+
+    A short list is one test of all patterns at the scan (only rows that hold
+    one go on) and a flag for each. Of a long one (``MANY_PATTERNS`` or more),
+    each pattern with a required literal of three characters or more is tried only on
+    the rows that hold it (:mod:`~sendscope.functions.literals`): the rows'
+    grams meet the patterns' keys in a join with the table of keys. That table
+    is as long as the list; beyond ``block`` of the patterns that have no such
+    literal, these take another scan a block.
+    """
     keep = keep_cols if keep_cols is not None else [c for c in df.columns if c != text_col]
-    parts = []
-    for some in keyword_blocks(df.sparkSession, keywords, block):
-        # explode + not-null filter stays in whole-stage codegen (array_compact
-        # is a lambda function evaluated outside it).
-        names = F.array(*[F.when(matches(text_col, k.pattern), F.lit(k.name)) for k in some])
-        parts.append(df.select(*keep, F.explode(names).alias("keyword")).where(F.col("keyword").isNotNull()))
+    listed = [k for some in keyword_blocks(df.sparkSession, keywords, block) for k in some]
+    keys = choose_keys([k.pattern for k in listed]) if len(listed) >= MANY_PATTERNS else [None] * len(listed)
+    keyed = [(k.name, k.pattern, g) for k, g in zip(listed, keys) if g is not None]
+    plain = [k for k, g in zip(listed, keys) if g is None]
+    parts = [_flagged(df, plain[i: i + block], text_col, keep) for i in range(0, len(plain), block)]
+    if keyed:
+        parts.append(_prefiltered(df, keyed, text_col, keep))
     if not parts:
         return df.select(*keep, F.lit("").alias("keyword")).where(F.lit(False))
     return reduce(DataFrame.unionByName, parts)
 
 
+def _flagged(df: DataFrame, some: list[Row], text_col: str, keep: list[str]) -> DataFrame:
+    tests = [matches(text_col, k.pattern) for k in some]
+    names = F.array(*[F.when(t, F.lit(k.name)) for k, t in zip(some, tests)])
+    # explode + not-null filter stays in whole-stage codegen (array_compact
+    # is a lambda function evaluated outside it).
+    return (df.where(reduce(Column.__or__, tests)).select(*keep, F.explode(names).alias("keyword"))
+              .where(F.col("keyword").isNotNull()))
+
+
+def _prefiltered(df: DataFrame, keyed: list[tuple[str, str, str]], text_col: str, keep: list[str]) -> DataFrame:
+    table = df.sparkSession.createDataFrame([(n, java_pattern(p), g, further_literals(p, g)) for n, p, g in keyed],
+                                            "_name string, _pattern string, _gram string, _needs array<string>")
+    # patterns of one key travel together: a row meets a key at most once
+    by_key = table.groupBy("_gram").agg(F.sort_array(F.collect_list(F.struct("_pattern", "_name", "_needs"))).alias("_some"))
+    rows = df.select(*[F.col(f"`{c}`").alias(f"_keep{i}") for i, c in enumerate(keep)], F.col(text_col).alias("_text"))
+    held = F.filter("_some", lambda k: F.forall(k["_needs"], lambda need: F.contains(F.col("_fold"), need)))
+    met = (with_grams(rows, "_text", sorted({len(g) for _, _, g in keyed}), "_gram", "_fold")
+           .join(F.broadcast(by_key) if len(keyed) <= DEFAULT_MAX_PARAM_ROWS else by_key, "_gram")
+           .select("*", F.explode(held).alias("_one")).where("_text RLIKE _one._pattern"))
+    return met.select(*[F.col(f"_keep{i}").alias(c) for i, c in enumerate(keep)], F.col("_one._name").alias("keyword"))
+
+
 def keyword_linkage(conv: DataFrame, camp: DataFrame, keywords: Keywords) -> DataFrame:
     """Per keyword, hits in conversations split into linked / unlinked to a campaign.
 

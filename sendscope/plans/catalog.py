@@ -216,6 +216,13 @@ def keyword_hits_multi(spark, sf_dir):
     return search.keyword_hits(conv, P.KEYWORDS, keep_cols=["session_id", "message_id"])
 
 
+@register("keyword_hits_many")
+def keyword_hits_many(spark, sf_dir):
+    """F4 with 5,000 patterns in one scan, by the literals that they require."""
+    conv = _t(spark, sf_dir)[1]
+    return search.keyword_hits(conv, P.MANY_KEYWORDS, keep_cols=["session_id", "message_id"])
+
+
 @register("keyword_linkage")
 def keyword_linkage(spark, sf_dir):
     camp, conv, _ = _t(spark, sf_dir)

@@ -449,3 +449,9 @@ SELECT c.session_id, c.message_id, c.text AS cta, c.publish_time,
        CASE WHEN c.session_id IN (SELECT session_id FROM camp WHERE session_id IS NOT NULL)
             THEN 'withdrawn' ELSE 'orphan' END AS state
 FROM conv c WHERE c.text IN ({_in_list(c for c, m in P.CTAS if m == 'exact')})"""
+
+ORACLE_SQL["keyword_hits_many"] = _with() + f"""
+SELECT c.session_id, c.message_id, h.head || '_' || t.tail AS keyword
+FROM conv c, (SELECT unnest([{_in_list(P.HEADS)}]) AS head) h, (SELECT unnest([{_in_list(P.TAILS)}]) AS tail) t
+WHERE contains(lower(c.text), h.head) AND contains(lower(c.text), t.tail)
+  AND regexp_matches(c.text, '(?i)\\b' || h.head || '\\w*\\s+' || t.tail)"""

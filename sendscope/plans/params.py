@@ -36,3 +36,10 @@ DOCUMENT_KEYWORDS = [
     ("the_of", r"(?i)the\s+of"),
     ("four_digits", r"[0-9]{4}"),
 ]
+
+# A long keyword list by rule: a word that begins with three syllables before
+# one that begins with a fourth (10 x 10 x 10 x 5 patterns).
+SYLLABLES = ["th", "he", "in", "er", "an", "re", "on", "at", "en", "nd"]
+HEADS = [a + b + c for a in SYLLABLES for b in SYLLABLES for c in SYLLABLES]
+TAILS = SYLLABLES[::2]
+MANY_KEYWORDS = [(f"{a}_{b}", rf"(?i)\b{a}\w*\s+{b}") for a in HEADS for b in TAILS]

@@ -1,5 +1,7 @@
 import pytest
+from hypothesis import given, settings, strategies as st
 
+from sendscope.functions.literals import required_literals
 from sendscope.functions.regex import FLAG_NO, FLAG_YES, matches, unicode_case
 from sendscope.operators import search
 
@@ -111,3 +113,41 @@ def test_keyword_lists_and_tables_are_one(spark):
                                                       spark.createDataFrame([("1",)], "session_id string"), k).collect()))
              for k in (iter(pairs), table)]
     assert links[0] == links[1] == [("b", 1, 1, 0, 1), ("t", 1, 0, 1, 1)]
+
+
+PIECES = ["buy", "Now", r"\s+", r"\b", "[ab]", "(?:x|y)", "c{2,3}", "s?", "kin", r"\d*", ".", "(q|r)+", "ing$", "é", "ſ"]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from(PIECES), min_size=1, max_size=4), st.booleans(),
+       st.lists(st.sampled_from(["buy", "now", " ", "a", "x", "cc", "s", "kin", "KİN", "\u212ain", "ſ", "BUYNOW", "7", "qr", "ing", "é"]), max_size=8))
+def test_required_literals_are_in_every_match(pieces, fold, words):
+    import re
+    pattern, text = ("(?i)" if fold else "") + "".join(pieces), "".join(words)
+    found = re.search(pattern, text)
+    plain = text.translate({0x130: "i", 0x131: "i", 0x17F: "s", 0x212A: "k"}).lower()
+    assert not found or all(lit in plain for lit in required_literals(pattern))
+
+
+def test_unknown_regexes_require_nothing():
+    assert [required_literals(p) for p in (r"\p{L}abc", "a|bcd", "(?x)a b c", "(abc)?", "[abc]{3}")] == [[]] * 5
+    assert required_literals(r"\Qa.b(\E.*xyz\z") == ["a.b(", "xyz"]
+
+
+def test_prefiltered_hits_equal_flagged_hits(spark, monkeypatch):
+    from sendscope.operators import search
+    texts = ["Buy now", "BUY  NOW\tthe coupon", "talk to an agent", None, "", "ab", "éthe of", "KİNd", "\u212aind ſale", "1234", "the the of"] * 2
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "id int, text string, _gram string")
+    words = ["buy", "now", "the", "of", "agent", "kin", "sale", "coupon", "ind"]
+    patterns = [(f"{a}{b}", rf"(?i)\b{a}\w*\s+{b}") for a in words for b in words]
+    patterns += [(a, f"(?i){a}") for a in words] + [("digits", "[0-9]{4}"), ("same", "(?i)buy"), ("two", "ab"), ("case", "Buy")]
+    many = search.keyword_hits(df, patterns, keep_cols=["id", "_gram"])
+    monkeypatch.setattr(search, "MANY_PATTERNS", 10**9)
+    few = search.keyword_hits(df, patterns, keep_cols=["id", "_gram"])
+    got = sorted(map(tuple, many.collect()))
+    assert got == sorted(map(tuple, few.collect())) and len(got) > 20
+    plan = many._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan
+    table = spark.createDataFrame(patterns, "name string, pattern string")
+    monkeypatch.setattr(search, "MANY_PATTERNS", 64)
+    assert sorted(map(tuple, search.keyword_hits(df, table, keep_cols=["id", "_gram"]).collect())) == got
