@@ -17,7 +17,6 @@ from ..functions.dates import ddmm_suffix, suffix_date
 from ..functions.params import DEFAULT_BLOCK, blocks
 from ..functions.payload import ERROR_SIGNATURE
 from ..functions.regex import matches
-from ..session import ensure_checkpoint_dir
 
 # Version prefix, severities and the orphan threshold of the proposal.
 VERSION_PREFIX = "sendtype-"
@@ -119,25 +118,18 @@ def check_orphan_sessions(conv: DataFrame, camp: DataFrame, ctas: Iterable | Dat
 
     * the day's CTA messages come from :func:`cta_messages_on_day` (partition
       and row-group pruning, one hash-set test for exact CTAs);
-    * they are pre-aggregated per (session, CTA) and that small table is
-      checkpointed, so the day's conversations are scanned once although two
-      steps read it;
-    * campaigns are reduced to the distinct sessions among those (a semi join
-      AQE broadcasts when the CTA hits are few) before the anti join, so a
-      hot session is one row on each side and non-matching campaign ids are
-      never shuffled.
+    * they are pre-aggregated per (session, CTA) and the campaigns to their
+      distinct sessions, both before the exchange, so a hot session is one row
+      a task on each side of the anti join; it reads nothing but the session
+      ids of the campaigns.
 
     ``orphan_messages`` is the scheduled SQL's COUNT(*) over conversation rows;
     ``orphan_sessions`` counts distinct sessions.
     """
     tagged = cta_messages_on_day(conv, ctas, as_of, block)
-    ensure_checkpoint_dir(conv.sparkSession)
     per_session = tagged.groupBy("session_id", "cta").agg(
-        F.count(F.lit(1)).alias("n"), F.min("publish_time").alias("first_seen")).checkpoint(eager=True)
-    known = (camp.select("session_id")
-                 .join(per_session.select("session_id").distinct(), "session_id", "left_semi")
-                 .distinct())
-    orphans = per_session.join(known, "session_id", "left_anti")
+        F.count(F.lit(1)).alias("n"), F.min("publish_time").alias("first_seen"))
+    orphans = per_session.join(camp.select("session_id").distinct(), "session_id", "left_anti")
     return (orphans.groupBy("cta")
                    .agg(F.sum("n").cast("long").alias("orphan_messages"),
                         F.count(F.lit(1)).alias("orphan_sessions"),

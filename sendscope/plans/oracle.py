@@ -7,6 +7,8 @@ statement per pattern), over the driver's pre-registered views.
 
 from __future__ import annotations
 
+import datetime as dt
+
 from . import params as P
 
 # Logical bases derived from the driver views (same mapping as sources/adapter.py).
@@ -139,10 +141,10 @@ CHECK_ORPHANS = f"""
 SELECT text AS cta, COUNT(*) AS orphan_messages, COUNT(DISTINCT session_id) AS orphan_sessions,
        MIN(publish_time) AS first_seen
 FROM conv
-WHERE list_contains([{_in_list(c for c, m in P.CTAS if m == 'exact')}], text)
-  AND date_diff('day', CAST(publish_time AS DATE), DATE '{P.AS_OF.isoformat()}') = 1
-  AND NOT EXISTS (FROM camp WHERE camp.session_id = conv.session_id)
-GROUP BY ALL
+WHERE text IN ({_in_list(c for c, m in P.CTAS if m == 'exact')})
+  AND CAST(publish_time AS DATE) = DATE '{P.AS_OF - dt.timedelta(days=1)}'
+  AND NOT EXISTS (SELECT 1 FROM camp WHERE camp.session_id = conv.session_id)
+GROUP BY text
 HAVING orphan_messages > {P.ORPHAN_THRESHOLD}"""
 
 ERROR_RATE = f"""
@@ -176,11 +178,10 @@ SELECT DISTINCT 'conversations', CAST(publish_time AS DATE) FROM conv""",
     "clean_campaigns": _with() + "SELECT session_id, message_id, template, publish_time FROM camp",
     "clean_conversations": _with() + "SELECT session_id, message_id, text, publish_time FROM conv",
     # output names: fixed values of the export
-    "conversations_with_campaigns": _with("sent AS (SELECT session_id, template, struct_pack(t := publish_time, m := message_id) AS d FROM camp)",
-                                          "said AS (SELECT session_id, text, struct_pack(t := publish_time, m := message_id) AS d FROM conv)") + """
-SELECT session_id, sent.d.t AS publish_time_campanha, sent.d.m AS message_id_campanha, template, text,
-       said.d.t AS publish_time_conversa, said.d.m AS message_id_conversa
-FROM sent JOIN said USING (session_id)""",
+    "conversations_with_campaigns": _with() + """
+SELECT camp.session_id, camp.publish_time AS publish_time_campanha, camp.message_id AS message_id_campanha, template, text,
+       conv.publish_time AS publish_time_conversa, conv.message_id AS message_id_conversa
+FROM camp JOIN conv ON camp.session_id = conv.session_id""",
     "latest_per_session": _with() + """
 SELECT * FROM camp
 QUALIFY ROW_NUMBER() OVER (PARTITION BY session_id ORDER BY publish_time DESC, message_id DESC) = 1""",
@@ -295,7 +296,7 @@ HAVING NOT COALESCE(regexp_full_match(version, 'sendtype-[0-9]{3}'), false)""",
 SELECT cta, COUNT(*) AS orphan_messages, COUNT(DISTINCT session_id) AS orphan_sessions, MIN(publish_time) AS first_seen
 FROM conv, cta
 WHERE CASE how WHEN 'exact' THEN text = cta ELSE regexp_matches(text, cta) END
-  AND date_diff('day', CAST(publish_time AS DATE), DATE '{P.AS_OF}') = 1
+  AND CAST(publish_time AS DATE) = DATE '{P.AS_OF - dt.timedelta(days=1)}'
   AND session_id NOT IN (SELECT session_id FROM camp WHERE session_id IS NOT NULL)
 GROUP BY cta""",
     "stream_error_events": _with() + """
