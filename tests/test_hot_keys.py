@@ -63,7 +63,9 @@ def test_hot_session_exists_and_spans_slices(hot):
     assert slices > 1
 
 
-def test_sequence_and_gaps_on_hot_session(hot):
+def test_sequence_and_gaps_on_hot_session(hot, monkeypatch):
+    from sendscope.operators import sequence
+    monkeypatch.setattr(sequence, "CELL_ROWS", 50)
     t, paths = hot
     cols, expect = _duck(paths, """
         SELECT session_id, message_id, ROW_NUMBER() OVER (PARTITION BY session_id ORDER BY publish_time, message_id) AS seq
@@ -95,7 +97,9 @@ def test_counts_and_latest_on_hot_session(hot):
     assert _rows(got, cols) == _rows(expect, cols)
 
 
-def test_as_of_link_on_hot_session(hot):
+def test_as_of_link_on_hot_session(hot, monkeypatch):
+    from sendscope.operators import sequence
+    monkeypatch.setattr(sequence, "CELL_ROWS", 50)
     t, paths = hot
     cols, expect = _duck(paths, """
         SELECT message_id_conversa, message_id_campanha FROM (

@@ -3,6 +3,7 @@ import random
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from sendscope.operators import sequence
 from sendscope.operators.sequence import sequence_within_groups
 
 
@@ -24,13 +25,26 @@ def test_sequence_matches_window_with_hot_group(spark):
     a = sorted((r.id, r.seq, r.prev_id, r.prev_t) for r in got.collect())
     b = sorted((r.id, r.seq, r.prev_id, r.prev_t) for r in ref.collect())
     assert a == b
-    # the hot group is cut into several slices (no single task holds it)
-    slices = df.repartitionByRange(16, "grp", "t", "id").withColumn("p", F.spark_partition_id()) \
-        .where(F.col("grp") == "hot").select("p").distinct().count()
-    assert slices > 1
+    # the hot group is dealt to several tasks, and every row is exchanged once
+    order = F.struct("t", "id")
+    cuts = sequence._cut_points(df, ["grp"], order, 16)
+    per = sequence._with_cells(df, ["grp"], order, cuts).groupBy("grp", "_cell").count().collect()
+    assert len([r for r in per if r.grp == "hot"]) > 10 and max(r["count"] for r in per if r.grp == "hot") < 300
+    fresh = sequence_within_groups(df, ["grp"], ["t", "id"], num_slices=16)
+    plan = fresh._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("row_number() windowspec") == 1, plan
 
 
-def test_latest_before_matches_brute_force(spark):
+def test_a_hot_group_of_equal_keys_and_clashing_names(spark):
+    rows = [("hot", 1, i % 7, "x") for i in range(900)] + [(f"g{i}", 1, i, "y") for i in range(100)]
+    df = spark.createDataFrame(rows, "grp string, t int, id int, n string")
+    got = sequence_within_groups(df, ["grp"], ["t", "id"], num_slices=8, carry_cols=["n"])
+    per = got.groupBy("grp").agg(F.count("*").alias("n"), F.countDistinct("seq").alias("d"), F.max("seq").alias("m")).collect()
+    assert all(r.n == r.d == r.m for r in per)
+    assert sequence_within_groups(df.limit(0), ["grp"], ["t", "id"], num_slices=8).collect() == []
+
+
+def test_latest_before_matches_brute_force(spark, monkeypatch):
     from sendscope.operators.sequence import latest_before
     rnd = random.Random(11)
     left, right = [], []
@@ -44,13 +58,10 @@ def test_latest_before_matches_brute_force(spark):
     right.append((None, 1, "rnull"))  # NULL keys never match
     ldf = spark.createDataFrame(left, "k string, t int, lid string")
     rdf = spark.createDataFrame(right, "k string, rt int, rid string")
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # force several slices
-    try:
-        results = {mode: {r.lid: r.right_rid for r in
-                          latest_before(ldf, rdf, "k", "t", "rt", "rid", ["rid"], mode=mode).collect()}
-                   for mode in ("sliced", "window")}
-    finally:
-        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    monkeypatch.setattr(sequence, "CELL_ROWS", 20)  # force several cells
+    results = {mode: {r.lid: r.right_rid for r in
+                      latest_before(ldf, rdf, "k", "t", "rt", "rid", ["rid"], mode=mode).collect()}
+               for mode in ("sliced", "window")}
     got = results["sliced"]
     assert results["window"] == got
     expect = {}
