@@ -88,15 +88,15 @@ def folded(text: Column) -> Column:
     return F.lower(F.translate(text, "\u0130\u0131\u017f\u212a", "iisk"))
 
 
-def with_grams(rows: DataFrame, text: str, sizes: list[int], gram: str, fold: str) -> DataFrame:
-    """The folded text, and a row for each of its distinct grams of the given
-    sizes (none of a shorter or null one). The characters are a column of their
-    own, so that no gram folds the text again."""
-    chars = rows.where(F.length(text) >= KEY).withColumn(fold, folded(F.col(text))).withColumn("_chars", F.split(fold, ""))
-    starts = F.sequence(F.lit(0), F.greatest(F.size("_chars") - KEY, F.lit(0)))
+def with_grams(rows: DataFrame, text: str, sizes: list[int], gram: str) -> DataFrame:
+    """A row for each distinct gram of the given sizes in the text (none of a
+    shorter or null one). The characters are a column of their own, so that no
+    gram splits the text again."""
+    chars = rows.where(F.length(text) >= min(sizes)).withColumn("_chars", F.split(text, ""))
+    starts = F.sequence(F.lit(0), F.size("_chars") - min(sizes))
 
     def of(n: int) -> Column:
         return F.transform(starts, lambda i: F.array_join(F.slice(F.col("_chars"), i + 1, n), ""))
 
     every = [of(n) for n in sizes]
-    return chars.select(*rows.columns, fold, F.explode(F.array_distinct(F.concat(*every))).alias(gram))
+    return chars.select(*rows.columns, F.explode(F.array_distinct(F.concat(*every))).alias(gram))

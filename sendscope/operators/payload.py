@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.params import DEFAULT_BLOCK, blocks
+from ..functions.literals import with_grams
+from ..functions.params import DEFAULT_BLOCK, is_bounded
 from ..functions.payload import error_payload, is_deserialization_error, looks_like_json
+from ..session import ensure_checkpoint_dir
 
 
 def non_json_payloads(logs: DataFrame, message_col: str = "message", method: str = "prefix") -> DataFrame:
@@ -62,51 +63,73 @@ def cta_table(spark: SparkSession, ctas: Iterable[str] | DataFrame) -> DataFrame
 def cta_contained(df: DataFrame, text: str, ctas: DataFrame, *keep: Column | str,
                   block: int = DEFAULT_BLOCK) -> DataFrame:
     """The columns ``keep`` and ``cta`` for every (row, CTA contained in its
-    text), case-sensitive: literal ``contains`` tests in one scan for each
-    block of CTAs."""
-    parts = []
-    for some in blocks(ctas.orderBy("cta"), block):
-        hit = F.array(*[F.when(F.col(text).contains(F.lit(r.cta)), F.lit(r.cta)) for r in some])
-        parts.append(df.select(*keep, F.explode(hit).alias("cta")).where(F.col("cta").isNotNull()))
-    if not parts:
+    text), case-sensitive, in one scan of the texts: literal ``contains`` tests
+    for up to ``block`` CTAs, a join by each CTA's rarest gram
+    (:func:`contains_join`) for more."""
+    some = ctas.orderBy("cta").limit(block + 1).collect()
+    if not some:
         return df.select(*keep, F.lit("").alias("cta")).where(F.lit(False))
-    return reduce(DataFrame.unionByName, parts)
+    if len(some) <= block:
+        hit = F.array(*[F.when(F.col(text).contains(F.lit(r.cta)), F.lit(r.cta)) for r in some])
+        return df.select(*keep, F.explode(hit).alias("cta")).where(F.col("cta").isNotNull())
+    kept = df.select(F.col(text).alias("_searched"), F.struct(*keep).alias("_row"))
+    return contains_join(kept, ctas, "_searched", "cta").select("_row.*", "cta")
+
+
+#: Characters of a pattern's key, at most, and the share of texts (one in ...)
+#: whose grams are counted to choose the keys.
+KEY_CHARS, COUNTED = 6, 16
+
+
+def pattern_keys(texts: DataFrame, patterns: DataFrame, text_col: str, pattern_col: str) -> DataFrame:
+    """``_pat`` and ``_gram``: each distinct pattern with the gram of its own
+    that is the rarest in the texts, so that a gram in every text keys nothing.
 
+    Frequencies come from a hashed share of the texts, joined with the
+    patterns' grams only; they decide how fast the patterns are found, not
+    which. Ties: the gram that fewer patterns hold, then the first in order.
+    """
+    pats = patterns.select(F.col(pattern_col).alias("_pat")).where(F.col("_pat") != "").distinct()
+    sizes = _key_sizes(pats)
+    held = with_grams(pats, "_pat", sizes, "_gram").where(
+        F.length("_gram") == F.least(F.length("_pat"), F.lit(KEY_CHARS)))
+    shared = held.groupBy("_gram").agg(F.count(F.lit(1)).alias("_shared"))
+    counted = with_grams(texts.select(F.col(text_col).alias("_text")).where(F.pmod(F.xxhash64("_text"), F.lit(COUNTED)) == 0),
+                         "_text", sizes, "_gram")
+    seen = counted.join(shared, "_gram", "left_semi").groupBy("_gram").agg(F.count(F.lit(1)).alias("_seen"))
+    ranked = held.join(shared.join(seen, "_gram", "left"), "_gram")
+    return (ranked.groupBy("_pat").agg(F.min_by("_gram", F.struct(F.coalesce("_seen", F.lit(0)), "_shared", "_gram")).alias("_gram")))
+
+
+def _key_sizes(pats: DataFrame) -> list[int]:
+    sizes = pats.select(F.least(F.length("_pat"), F.lit(KEY_CHARS)).alias("n")).distinct().collect()  # at most KEY_CHARS numbers
+    return sorted(r.n for r in sizes)
 
-def contains_join(texts: DataFrame, patterns: DataFrame, text_col: str, pattern_col: str,
-                  q: int | None = None) -> DataFrame:
+
+def contains_join(texts: DataFrame, patterns: DataFrame, text_col: str, pattern_col: str) -> DataFrame:
     """Exact ``contains(text, pattern)`` pairs for a pattern table of any size.
 
-    Anchored q-gram equi-join instead of a nested-loop join: with every
-    pattern at least L_min long, q ≤ L_min and stride s = L_min − q + 1, an
-    occurrence of a pattern starting at i covers exactly one text position
-    p ∈ [i, i+s) that is a multiple of s, at offset o = p − i < s inside the
-    pattern. Texts are exploded into their q-grams at stride s, patterns into
-    their q-grams at offsets 0…s−1, and the two are equi-joined on the gram.
-    A candidate is kept only if its implied start is the *first* occurrence
-    (``instr``), so each (text row, pattern) pair survives exactly once — no
-    row ids, no distinct, no self-join. Output: the text rows plus
+    Every pattern has one key, its rarest gram (:func:`pattern_keys`). A text's
+    distinct grams meet the keys in an equi-join and each pair that meets is
+    verified, so a (text row, pattern) pair comes up once, without row ids or a
+    distinct. Null and empty patterns are none. Output: the text rows plus
     ``pattern_col``.
     """
-    patterns = patterns.where(F.col(pattern_col) != "")
-    lmin = patterns.agg(F.min(F.length(pattern_col)).alias("m")).collect()[0].m
-    cols = texts.columns
-    if lmin is None:
+    pats = patterns.select(F.col(pattern_col).alias("_pat")).where(F.col("_pat") != "")
+    sizes = _key_sizes(pats)
+    if not sizes:
         return texts.withColumn(pattern_col, F.lit(None).cast("string")).where(F.lit(False))
-    qq = max(1, min(q or 4, lmin))
-    stride = lmin - qq + 1
-    txt = F.col(text_col)
-    grams = (texts.where(F.length(txt) >= qq)
-                  .select(*cols, F.explode(F.sequence(F.lit(0), F.length(txt) - qq, F.lit(stride))).alias("_p"))
-                  .withColumn("_g", F.substring(txt, F.col("_p") + 1, qq)))
-    pat = F.col(pattern_col)
-    anchors = (patterns.select(pat.alias("_pat")).where(F.col("_pat").isNotNull()).distinct()
-               .select("_pat", F.explode(F.sequence(F.lit(0), F.least(F.lit(stride - 1),
-                                                                      F.length("_pat") - qq))).alias("_o"))
-               .withColumn("_g", F.substring("_pat", F.col("_o") + 1, qq)))
-    cand = grams.join(anchors, "_g", "inner")
-    first = F.instr(txt, F.col("_pat")) == F.col("_p") - F.col("_o") + 1
-    return cand.where(first).select(*cols, F.col("_pat").alias(pattern_col))
+    ensure_checkpoint_dir(texts.sparkSession)
+    keys = pattern_keys(texts, patterns, text_col, pattern_col).checkpoint(eager=True)
+    rows = texts.select(F.struct(*[F.col(f"`{c}`") for c in texts.columns]).alias("_all"), F.col(text_col).alias("_text"))
+    # texts only meet patterns through the keys; those are as many as the patterns
+    met = with_grams(rows, "_text", sizes, "_gram").join(
+        F.broadcast(keys) if is_bounded(keys, KEYS_BROADCAST) else keys, "_gram")
+    return met.where(F.contains("_text", "_pat")).select("_all.*", F.col("_pat").alias(pattern_col))
+
+
+#: Patterns whose keys are broadcast; more of them are joined by an exchange.
+KEYS_BROADCAST = 200_000
 
 
 def cta_log_evidence(ctas: Iterable[str] | DataFrame, logs: DataFrame,
@@ -114,8 +137,8 @@ def cta_log_evidence(ctas: Iterable[str] | DataFrame, logs: DataFrame,
     """Per CTA, log lines containing it (exact, case-sensitive substring),
     how many of them are deserialisation errors, and when it was first seen.
 
-    CTAs become literal ``contains`` tests in one scan of the logs (one scan a
-    block of a long list). CTAs without evidence get zeros.
+    One scan of the logs, whatever the number of CTAs (:func:`cta_contained`).
+    CTAs without evidence get zeros.
     """
     table = cta_table(logs.sparkSession, ctas)
     hits = cta_contained(logs, message_col, table, "timestamp",

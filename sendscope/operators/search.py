@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
-from ..functions.literals import choose_keys, further_literals, with_grams
+from ..functions.literals import choose_keys, folded, further_literals, with_grams
 from ..functions.params import DEFAULT_BLOCK, DEFAULT_MAX_PARAM_ROWS, blocks
 from ..functions.regex import FLAG_YES, flag, java_pattern, matches
 from ..session import ensure_checkpoint_dir
@@ -128,9 +128,10 @@ def _prefiltered(df: DataFrame, keyed: list[tuple[str, str, str]], text_col: str
                                             "_name string, _pattern string, _gram string, _needs array<string>")
     # patterns of one key travel together: a row meets a key at most once
     by_key = table.groupBy("_gram").agg(F.sort_array(F.collect_list(F.struct("_pattern", "_name", "_needs"))).alias("_some"))
-    rows = df.select(*[F.col(f"`{c}`").alias(f"_keep{i}") for i, c in enumerate(keep)], F.col(text_col).alias("_text"))
+    rows = df.select(*[F.col(f"`{c}`").alias(f"_keep{i}") for i, c in enumerate(keep)], F.col(text_col).alias("_text"),
+                     folded(F.col(text_col)).alias("_fold"))
     held = F.filter("_some", lambda k: F.forall(k["_needs"], lambda need: F.contains(F.col("_fold"), need)))
-    met = (with_grams(rows, "_text", sorted({len(g) for _, _, g in keyed}), "_gram", "_fold")
+    met = (with_grams(rows, "_fold", sorted({len(g) for _, _, g in keyed}), "_gram")
            .join(F.broadcast(by_key) if len(keyed) <= DEFAULT_MAX_PARAM_ROWS else by_key, "_gram")
            .select("*", F.explode(held).alias("_one")).where("_text RLIKE _one._pattern"))
     return met.select(*[F.col(f"_keep{i}").alias(c) for i, c in enumerate(keep)], F.col("_one._name").alias("keyword"))

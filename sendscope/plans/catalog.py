@@ -398,6 +398,12 @@ def cta_log_evidence(spark, sf_dir):
     return payload.cta_log_evidence([e[2] for e in P.EXPECTED], _t(spark, sf_dir)[2])
 
 
+@register("cta_log_evidence_many")
+def cta_log_evidence_many(spark, sf_dir):
+    """J9 with 20,000 CTAs in one scan, by their rarest grams."""
+    return payload.cta_log_evidence(P.MANY_CTAS, _t(spark, sf_dir)[2])
+
+
 # --- diagnosis (flagship) ----------------------------------------------------
 
 @register("campaign_diagnosis")

@@ -456,3 +456,11 @@ SELECT c.session_id, c.message_id, h.head || '_' || t.tail AS keyword
 FROM conv c, (SELECT unnest([{_in_list(P.HEADS)}]) AS head) h, (SELECT unnest([{_in_list(P.TAILS)}]) AS tail) t
 WHERE contains(lower(c.text), h.head) AND contains(lower(c.text), t.tail)
   AND regexp_matches(c.text, '(?i)\\b' || h.head || '\\w*\\s+' || t.tail)"""
+
+ORACLE_SQL["cta_log_evidence_many"] = _with(
+    "lines AS (SELECT message, COUNT(*) AS n, MIN(timestamp) AS first_seen FROM logs GROUP BY message)",
+    f"""c AS (SELECT '"k": ' || CAST(i AS VARCHAR) AS cta FROM range({len(P.MANY_CTAS)}) r(i))""") + """
+SELECT c.cta, CAST(COALESCE(SUM(n), 0) AS BIGINT) AS n_log_hits,
+       CAST(COALESCE(SUM(CASE WHEN contains(message, 'cannot be deserialized') THEN n END), 0) AS BIGINT) AS n_error_hits,
+       MIN(first_seen) AS first_seen
+FROM c LEFT JOIN lines ON contains(message, c.cta) GROUP BY c.cta"""

@@ -43,3 +43,6 @@ SYLLABLES = ["th", "he", "in", "er", "an", "re", "on", "at", "en", "nd"]
 HEADS = [a + b + c for a in SYLLABLES for b in SYLLABLES for c in SYLLABLES]
 TAILS = SYLLABLES[::2]
 MANY_KEYWORDS = [(f"{a}_{b}", rf"(?i)\b{a}\w*\s+{b}") for a in HEADS for b in TAILS]
+
+# A long CTA list by rule; most lines of the logs hold its common beginning.
+MANY_CTAS = [f'"k": {i}' for i in range(20_000)]

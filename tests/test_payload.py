@@ -78,3 +78,21 @@ def test_contains_join_property(spark, texts, patterns):
     got = sorted((r.i, r.p) for r in payload.contains_join(tdf, pdf, "t", "p").collect())
     want = sorted((i, p) for i, t in enumerate(texts) for p in patterns if p in t)
     assert got == want
+
+
+def test_a_gram_in_every_line_keys_nothing(spark):
+    lines = spark.createDataFrame([(f'{{"key": {i % 300}, "x": 1}}',) for i in range(3000)], "message string")
+    ctas = spark.createDataFrame([(f'"key": {i}',) for i in range(0, 900, 7)] + [('"x": 1',), ("",), (None,)], "cta string")
+    keys = {r["_pat"]: r["_gram"] for r in payload.pattern_keys(lines, ctas, "message", "cta").collect()}
+    every = {'"key":', 'key": ', '"x": 1'}
+    assert len(keys) == len(range(0, 900, 7)) + 1
+    assert not any(g in every for p, g in keys.items() if p != '"x": 1' and len(p) > 8)
+    got = {(r.message, r.cta): r["count"] for r in
+           payload.contains_join(lines, ctas, "message", "cta").groupBy("message", "cta").count().collect()}
+    texts = [f'{{"key": {i % 300}, "x": 1}}' for i in range(3000)]
+    want = {}
+    for t in texts:
+        for p in keys:
+            if p in t:
+                want[t, p] = want.get((t, p), 0) + 1
+    assert got == want
