@@ -24,6 +24,9 @@ from .sparse import BITS, fit_labels, score_texts
 DOMAINS = ("high", "low", "toxic")
 #: Target shares of the domains' expected tokens.
 TARGETS = {"high": 0.92, "low": 0.06, "toxic": 0.02}
+#: Times that a document is taken, at most: documents of a scarce domain are
+#: repeated before those of the others are dropped.
+MAX_RATE = 8.0
 #: Labelled documents of each class that a classifier is fitted on, at most about.
 PER_CLASS = 2500
 #: Aggregates at most, and the distance of the shares to the targets that ends them.
@@ -102,7 +105,7 @@ def _measure(members: DataFrame, weights: np.ndarray, max_rate: float) -> tuple[
             np.array([[got[f"{a}_{b}"] or 0.0 for b in DOMAINS] for a in DOMAINS]))
 
 
-def fit_rates(members: DataFrame, targets: dict[str, float] = TARGETS, max_rate: float = 1.0) -> Fit:
+def fit_rates(members: DataFrame, targets: dict[str, float] = TARGETS, max_rate: float = MAX_RATE) -> Fit:
     """The least-squares rates of ``members`` whose expected shares are ``targets``.
 
     They have the least sum of n_tokens * (rate - min(1, ``max_rate``))**2 of all
@@ -157,34 +160,53 @@ def fit_rates(members: DataFrame, targets: dict[str, float] = TARGETS, max_rate:
     return fit
 
 
-def _copies(members: DataFrame, weights: np.ndarray, max_rate: float) -> DataFrame:
-    """``members`` with rate and copies: the rate rounded up or down at random,
-    by a hash of the id alone, so that its expected value is the rate."""
-    dice = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.lit("mix")), F.lit(1 << 30)) / float(1 << 30)
-    return (members.withColumn("rate", rate(weights, max_rate))
+def anchor(weights: np.ndarray, targets: dict[str, float] = TARGETS) -> float:
+    """What to multiply rates by so that a document wholly of the domain with
+    the largest target is taken once. Shares don't change by it."""
+    main = max(range(len(DOMAINS)), key=lambda k: targets[DOMAINS[k]])
+    return 1 / (1 + float(weights[main])) if weights[main] > -1 else 1.0
+
+
+def _copies(members: DataFrame, weights: np.ndarray, max_rate: float, scale: float = 1.0) -> DataFrame:
+    """``members`` (with ``row_no``, a number of each row) with rate and copies:
+    the rate rounded up or down at random, so that its expected value is the
+    rate. Each row has dice of its own, also among rows of one id and text."""
+    dice = F.pmod(F.xxhash64("doc_id", "row_no", F.lit("mix")), F.lit(1 << 30)) / float(1 << 30)
+    return (members.withColumn("rate", rate(weights, max_rate) * scale)
             .withColumn("copies", (F.floor("rate") + (dice < F.col("rate") - F.floor("rate")).cast("int")).cast("long")))
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, max_rate: float = 1.0) -> DataFrame:
-    """doc_id, n_tokens, posteriors, rate and copies of every document.
+def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, max_rate: float = MAX_RATE) -> DataFrame:
+    """doc_id, n_tokens, posteriors, rate and copies of every document; and, the
+    same in all rows, the target and the achieved (expected) share of each
+    domain, and whether the targets are ``met``.
 
     Null and empty texts have no tokens and the posteriors of the bias;
-    repeated rows count each; an empty table gives no rows; without labels all
-    posteriors are those of a bias of 0.
+    repeated rows count and are dealt each by itself, as are rows without an id;
+    an empty table gives no rows; without labels all posteriors are those of a
+    bias of 0. Rows are dealt by their number in the input's partitions, so the
+    same input, read the same way, is dealt the same way.
     """
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    members = checkpoint(posteriors(rows, fit(docs, labels), ["doc_id"]))
-    return _copies(members, fit_rates(members, targets, max_rate).weights, max_rate)
-
-
-def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
-    """The rows of ``docs`` (with doc_id and text) that the mix keeps, each at
-    most once, with all their columns. The texts are described again in the
-    pass that keeps them, so they are neither joined nor exchanged."""
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.monotonically_increasing_id().alias("row_no"))
+    members = checkpoint(posteriors(rows, fit(docs, labels), ["doc_id", "row_no"]))
+    fitted = fit_rates(members, targets, max_rate)
+    told = [F.lit(float(v)).alias(f"{name}_{d}") for name, values in (("target", fitted.targets), ("achieved", fitted.shares))
+            for d, v in zip(DOMAINS, values)]
+    return _copies(members, fitted.weights, max_rate).drop("row_no").select("*", *told, F.lit(fitted.met).alias("met"))
+
+
+def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, max_rate: float = MAX_RATE) -> DataFrame:
+    """The rows of ``docs`` (with doc_id and text) as often as the mix takes
+    them, with all their columns: not at all, once, or more where a domain is
+    scarce; those wholly of the domain with the largest target once. Null and repeated ids are dealt row by row; a null or empty text has
+    no tokens and stays at the rate of its posteriors. The texts are described
+    again in the pass that deals them, so they are neither joined nor exchanged."""
     models = fit(docs, labels)
     members = checkpoint(posteriors(docs.select("doc_id", "text"), models, ["doc_id"]))
-    weights = fit_rates(members, targets).weights
+    weights = fit_rates(members, targets, max_rate).weights
+    scale = anchor(weights, targets)
     # the row travels as one struct, so that no column of it meets one of the mix's own
-    plain = docs.select("doc_id", "text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
-    kept = _copies(posteriors(plain, models, ["doc_id", "row"]), weights, 1.0).where("copies > 0")
-    return kept.select("row.*")
+    plain = docs.select("doc_id", "text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"),
+                        F.monotonically_increasing_id().alias("row_no"))
+    dealt = _copies(posteriors(plain, models, ["doc_id", "row", "row_no"]), weights, max_rate, scale).where("copies > 0")
+    return dealt.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
