@@ -242,8 +242,9 @@ def one_of_each(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -
     names = docs.columns
     key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("_id"), F.xxhash64(F.col("text").cast("string")).alias("_hash")]
     marked = checkpoint(fingerprints(docs.select("doc_id", "text", key[1]), shingle, ["_hash"]))
-    rows = marked.select("fp", F.coalesce("doc_id", F.lit(NULL_ID)).alias("_id"), "_hash").distinct()
+    # one row a fingerprint before it meets its component: a group of copies is one row
+    rows = marked.groupBy("fp").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(NULL_ID)).alias("_id"), "_hash")).alias("least"))
     least = (rows.join(_rooted(marked, radius).select("fp", "root"), "fp")
-             .groupBy("root").agg(F.min(F.struct("_id", "_hash")).alias("least")).select("least.*"))
+             .groupBy("root").agg(F.min("least").alias("least")).select("least.*"))
     keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), *key)
     return keyed.join(least, ["_id", "_hash"], "left_semi").dropDuplicates(["_id", "_hash"]).select("row.*")
