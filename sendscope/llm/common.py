@@ -138,18 +138,38 @@ def row_sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return total[bounds[1:]] - total[bounds[:-1]]
 
 
+#: Labels whose rows are sampled each at a rate of its own; the rows of rarer ones share a rate.
+LABELS = 1000
+
+
 def bounded_sample(rows: DataFrame, key: Column, label: str, per_label: int) -> DataFrame:
     """About ``per_label`` rows of each label, chosen by a hash of the key.
 
     The rate of each label comes from its exact count, so the sample's size
-    follows the parameter, not the table. Labels are a small set (their number
-    is checked).
+    follows the parameter, not the table. Of more than LABELS labels, the rarer
+    ones are sampled together, as one label.
     """
-    counts = rows.where(F.col(label).isNotNull()).groupBy(label).count().limit(1001).collect()
-    if len(counts) > 1000:
-        raise ValueError(f"{label} has over 1000 values; it is no label")
+    counts = rows.where(F.col(label).isNotNull()).groupBy(label).count()
+    some = counts.orderBy(F.desc("count"), label).limit(LABELS).collect()
     position = F.pmod(F.xxhash64(key), F.lit(1 << 32))
+
+    def below(n: int) -> Column:
+        return position < F.lit(int((1 << 32) * min(1.0, per_label / n)))
+
     keep = F.lit(False)
-    for value, n in counts:
-        keep = keep | ((F.col(label) == F.lit(value)) & (position < F.lit(int((1 << 32) * min(1.0, per_label / n)))))
+    for value, n in some:
+        keep = keep | ((F.col(label) == F.lit(value)) & below(n))
+    if len(some) == LABELS:
+        rest = (counts.agg(F.sum("count")).first()[0] or 0) - sum(n for _, n in some)
+        if rest:
+            keep = keep | (F.col(label).isNotNull() & ~F.col(label).isin([v for v, _ in some]) & below(rest))
     return rows.where(keep)
+
+
+def one_row_each(rows: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """One row for each value of ``key``: the one with the smallest hash of the
+    text. It is chosen before the rows are exchanged, so a key on a third of all
+    rows is one row a task."""
+    names = [c for c in rows.columns if c != key]
+    least = F.min_by(F.struct(*names), F.xxhash64(*names))
+    return rows.groupBy(key).agg(least.alias("_row")).select(key, "_row.*")

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, parts
+from .common import bounded_sample, one_row_each, parts
 
 DIMS = 1 << 12
 #: Rows of each language that the classifier is fitted on, at most about.
@@ -144,7 +144,8 @@ def fit(docs: DataFrame, learn: Column, per_language: int = PER_LANGUAGE) -> Hie
     rows = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
     n = rows.select("lang").distinct().limit(1001).count()
     sample = bounded_sample(rows, F.col("doc_id"), "lang", min(per_language, max(4, SAMPLE_ROWS // max(n, 1))))
-    got = sample.select("lang", "text").mapInArrow(features, "lang string, x binary").collect()
+    # an id that repeats counts once, so the rows that reach the driver are bounded too
+    got = one_row_each(sample, "doc_id").select("lang", "text").mapInArrow(features, "lang string, x binary").collect()
     got = sorted((r["lang"], bytes(r["x"])) for r in got)
     if not got:
         return None

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, parts, row_sums, segment_hashes, windows, words
+from .common import bounded_sample, one_row_each, parts, row_sums, segment_hashes, windows, words
 
 #: Labelled documents of each class that the trees are fitted on, at most about.
 PER_CLASS = 6000
@@ -203,7 +203,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Fores
     marked = (labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1))
               .groupBy(F.col("doc_id").alias("marked_id")).agg(F.min("quality").cast("int").alias("y")))
     sample = F.broadcast(bounded_sample(marked, F.col("marked_id"), "y", per_class))
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text")).join(sample, F.col("doc_id") == F.col("marked_id"))
+    rows = one_row_each(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+                        .join(sample, F.col("doc_id") == F.col("marked_id")).select("doc_id", "text"), "doc_id")
     got = sorted((r["y"], tuple(r["x"])) for r in
                  statistics(rows).join(sample, F.col("doc_id") == F.col("marked_id")).select("y", "x").collect())
     x = np.array([v for _, v in got], np.float64).reshape(len(got), len(CONSTRAINTS))

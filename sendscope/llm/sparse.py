@@ -10,10 +10,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_sample, parts
+from .common import bounded_sample, one_row_each, parts
 
 BITS = 18
 DIMS = 1 << BITS
+#: Characters of a sampled text that are learned from, at most.
+SAMPLE_CHARS = 200_000
 
 
 class Ftrl:
@@ -52,7 +54,8 @@ def fit_labels(docs: DataFrame, labels: DataFrame, label: str, learn: Column, fe
     """Fit on a bounded sample of the labelled documents where ``learn`` (on
     the label's doc_id) holds: about ``per_class`` of each class.
 
-    The sample's ids are broadcast (their number is bounded by ``per_class``);
+    The sample's ids are broadcast (their number is bounded by ``per_class``),
+    an id that repeats counts once, and of a very long text SAMPLE_CHARS count;
     the sampled texts are described in parallel and learned in the order of a
     hash in one task, as stochastic steps need; texts never reach the driver.
     A document labelled twice counts as 1 if any label says so.
@@ -78,9 +81,9 @@ def fit_labels(docs: DataFrame, labels: DataFrame, label: str, learn: Column, fe
         places, values = Ftrl(alpha).fit(rows, epochs) if rows else (np.zeros(0, np.int64), np.zeros(0))
         yield pa.RecordBatch.from_arrays([pa.array(places, pa.int64()), pa.array(values, pa.float64())], ["place", "w"])
 
-    described = (docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-                 .join(F.broadcast(sample), F.col("doc_id") == F.col("marked_id"))
-                 .select(F.xxhash64("doc_id", "text").alias("h"), "y", "text")
+    sampled = (docs.select(F.col("doc_id").cast("long"), F.substring(F.col("text").cast("string"), 1, SAMPLE_CHARS).alias("text"))
+               .join(F.broadcast(sample), F.col("doc_id") == F.col("marked_id")).select("doc_id", "text", "y"))
+    described = (one_row_each(sampled, "doc_id").select(F.xxhash64("doc_id", "text").alias("h"), "y", "text")
                  .mapInArrow(describe, "h long, y int, x binary"))
     got = described.repartition(1).sortWithinPartitions("h", "y").mapInArrow(train, "place long, w double").collect()
     got = sorted((r["place"], r["w"]) for r in got)
