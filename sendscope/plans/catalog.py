@@ -16,9 +16,10 @@ from ..functions.params import param_frame
 from ..operators import checks, diagnosis, payload, prepare, profile, search, sessions, templates
 from ..session import ensure_checkpoint_dir, prefer_rocksdb_state, scratch_path
 from ..sources.adapter import campaigns_from_events, conversations_from_driver, logs_from_events
-from ..sources.readers import read_campaigns_json, read_logs_csv
+from ..sources.readers import (read_campaigns_array, read_campaigns_json, read_conversations_array, read_logs_csv,
+                               read_logs_csv_split)
 from ..sources.staging import path_exists, stage_key, staged_tables
-from ..sources.writers import export_csv, export_json_lines, read_alerts, write_alerts
+from ..sources.writers import export_csv, export_json_array, export_json_lines, read_alerts, write_alerts
 from ..streaming.alerts import error_windows, run_error_alert_sweep, sweep_error_counts
 from ..streaming.dedup import first_deliveries, sweep_deliveries
 from ..streaming.orphans import sweep_orphan_changes, swept_orphans, sweep_orphan_conversations
@@ -90,6 +91,34 @@ def roundtrip_logs_csv(spark, sf_dir):
     return read_logs_csv(spark, path)
 
 
+@register("roundtrip_campaigns_array")
+def roundtrip_campaigns_array(spark, sf_dir):
+    """S1 in the form of one JSON array a file, each file read by many tasks."""
+    path = scratch_path(spark, "campaigns_array")
+    export_json_array(_t(spark, sf_dir)[0], path, 2)
+    return read_campaigns_array(spark, path)
+
+
+@register("roundtrip_conversations_array")
+def roundtrip_conversations_array(spark, sf_dir):
+    """S2 in the form of one JSON array."""
+    path = scratch_path(spark, "conversations_array")
+    export_json_array(_t(spark, sf_dir)[1], path)
+    return read_conversations_array(spark, path)
+
+
+@register("roundtrip_logs_csv_split")
+def roundtrip_logs_csv_split(spark, sf_dir):
+    """S3 with records that span lines, each file read by many tasks; every
+    hundredth message gets a line feed and quotes that the reader must keep."""
+    logs = _t(spark, sf_dir)[2]
+    more = F.when(F.col("insertId").endswith("00"), F.concat("message", F.lit('\n"quoted", '), "message")).otherwise(F.col("message"))
+    raw = logs.select("timestamp", "insertId", F.col("resource_type").alias("resource.type"), more.alias("jsonPayload.message"))
+    path = scratch_path(spark, "logs_csv_split")
+    export_csv(raw, path)
+    return read_logs_csv_split(spark, path)
+
+
 # --- profiling ---------------------------------------------------------------
 
 @register("profile_table")

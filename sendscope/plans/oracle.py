@@ -464,3 +464,9 @@ SELECT c.cta, CAST(COALESCE(SUM(n), 0) AS BIGINT) AS n_log_hits,
        CAST(COALESCE(SUM(CASE WHEN contains(message, 'cannot be deserialized') THEN n END), 0) AS BIGINT) AS n_error_hits,
        MIN(first_seen) AS first_seen
 FROM c LEFT JOIN lines ON contains(message, c.cta) GROUP BY c.cta"""
+
+ORACLE_SQL["roundtrip_campaigns_array"] = _with() + "SELECT * FROM camp"
+ORACLE_SQL["roundtrip_conversations_array"] = _with() + "SELECT * FROM conv"
+ORACLE_SQL["roundtrip_logs_csv_split"] = _with() + """
+SELECT * REPLACE (CASE WHEN "insertId" LIKE '%00' THEN message || chr(10) || '"quoted", ' || message ELSE message END AS message)
+FROM logs"""

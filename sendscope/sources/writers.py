@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -51,6 +51,17 @@ def export_json_lines(df: DataFrame, path: str, mode: str = "overwrite") -> None
        .json(path))
 
 
+def export_json_array(df: DataFrame, path: str, files: int = 1, mode: str = "overwrite") -> None:
+    """``files`` files of one JSON array each, in folders ``k=0``, ``k=1``, ..."""
+    cells = F.to_json(F.struct(*(F.col(f"`{c}`") for c in df.columns)),
+                      {"timestampNTZFormat": JSON_TIME_FORMAT, "ignoreNullFields": "false"})
+    rows = df.select(cells.alias("value")).withColumn("h", F.xxhash64("value")).withColumn("k", F.pmod("h", F.lit(files)))
+    order = Window.partitionBy("k").orderBy("h")
+    before = F.when(F.row_number().over(order) == 1, F.lit("[")).otherwise(F.lit(","))
+    after = F.when(F.lead("h").over(order).isNull(), F.lit("]")).otherwise(F.lit(""))
+    rows.select("k", F.concat(before, "value", after).alias("value")).write.mode(mode).partitionBy("k").text(path)
+
+
 def write_alerts(alerts: DataFrame, path: str, run_date, run_id: str = "checks") -> None:
     """Write one run of the checks into the alerts table.
 

@@ -107,3 +107,62 @@ def test_a_run_without_alerts_clears_its_partition(spark, tmp_path):
         write_alerts(one, out, day)
     write_alerts(none, out, "2024-03-20")
     assert [str(r.run_date) for r in read_alerts(spark, out).collect()] == ["2024-03-21"]
+
+
+def _odd_objects(seed, n):
+    import random
+    r = random.Random(seed)
+    texts = ['a "q" \\\\ }{', "}]},{", 'x\\', "line\nfeed", "é}", "", None, '{"k": 1}', '"', "[1,{2}]", '\\"}']
+    return [{"session_id": f"s{i}", "message_id": r.choice(texts), "template": r.choice(texts), "attributes": r.choice(texts) or "" * r.randint(0, 50),
+             "data": {"deep": [{"x": "}"}]} if i % 7 == 0 else r.choice(texts), "publish_time": "2024-03-20T10:00:00.123456"} for i in range(n)]
+
+
+def test_array_files_in_small_ranges_equal_the_whole_file_reader(spark, tmp_path):
+    import json
+
+    from sendscope.sources.readers import read_campaigns_array, read_campaigns_json
+    base = tmp_path / "a"
+    base.mkdir()
+    for i, (n, indent) in enumerate([(60, None), (40, 2), (1, 4), (0, None), (25, None)]):
+        (base / f"f{i}.json").write_text(json.dumps(_odd_objects(i, n), indent=indent, ensure_ascii=i % 2 == 0), encoding="utf-8")
+    keys = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = [spark.conf.get(k) for k in keys]
+    try:
+        for size in ("97", "1000", "10000000"):  # ranges of a few bytes: records span several
+            for k in keys:
+                spark.conf.set(k, size)
+            got = read_campaigns_array(spark, str(base))
+            want = read_campaigns_json(spark, str(base))
+            cols = [c for c in want.columns if c != "data"]
+            rows = sorted(map(repr, got.select(cols).collect()))
+            assert rows == sorted(map(repr, want.select(cols).collect())) and len(rows) == 126
+            if size == "97":
+                assert spark.read.option("lineSep", "}").text(str(base)).rdd.getNumPartitions() > 20
+    finally:
+        for k, v in zip(keys, before):
+            spark.conf.set(k, v)
+
+
+def test_csv_in_small_ranges_equals_the_whole_file_reader(spark, tmp_path):
+    import csv
+
+    from sendscope.sources.readers import read_logs_csv, read_logs_csv_split
+    base = tmp_path / "c"
+    base.mkdir()
+    cells = ['a,b', 'say "hi"', "two\nlines", '"', "\n\n", "é", '{"k": 1}', "x" * 300, '","']
+    for i in range(3):
+        with open(base / f"f{i}.csv", "w", newline="", encoding="utf-8") as f:
+            out = csv.writer(f, lineterminator="\n")
+            out.writerow(["timestamp", "insertId", "resource.type", "jsonPayload.message"])
+            out.writerows([f"2024-03-20 10:00:{k % 60:02d}.000001", f"l{i}-{k}", "gce_instance", cells[k % len(cells)]] for k in range(50 * i))
+    keys = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = [spark.conf.get(k) for k in keys]
+    try:
+        for size in ("61", "5000"):
+            for k in keys:
+                spark.conf.set(k, size)
+            got = sorted(map(repr, read_logs_csv_split(spark, str(base)).collect()))
+            assert got == sorted(map(repr, read_logs_csv(spark, str(base)).collect())) and len(got) == 150
+    finally:
+        for k, v in zip(keys, before):
+            spark.conf.set(k, v)
