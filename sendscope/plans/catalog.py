@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions.params import param_frame
-from ..operators import checks, diagnosis, payload, prepare, profile, search, sessions, templates
+from ..operators import checks, diagnosis, payload, prepare, profile, search, sessions, sketches, templates
 from ..session import ensure_checkpoint_dir, prefer_rocksdb_state, scratch_path
 from ..sources.adapter import campaigns_from_events, conversations_from_driver, logs_from_events
 from ..sources.readers import (read_campaigns_array, read_campaigns_json, read_conversations_array, read_logs_csv,
@@ -141,6 +141,23 @@ def profile_columns_at_scale(spark, sf_dir):
     return profile.profile_columns(_t(spark, sf_dir)[0], "campaigns", exact=False).drop("n_distinct")
 
 
+@register("distinct_counts_period")
+def distinct_counts_period(spark, sf_dir):
+    """P4 from stored daily sketches: the exact distinct counts of a period, and
+    whether the merged sketches' estimate is within its stated bound of them."""
+    camp = _t(spark, sf_dir)[0]
+    path = scratch_path(spark, "sketches")
+    sketches.write_sketches(camp, "publish_time", path)
+    first, last = P.PERIOD
+    estimated = sketches.distinct_counts(sketches.read_sketches(spark, path), first, last)
+    day = F.to_date("publish_time")
+    exact = profile.column_stats(camp.where((day >= F.lit(first)) & (day <= F.lit(last))))
+    off = F.abs(F.col("e.n_distinct") - F.col("x.n_distinct"))
+    return (estimated.alias("e").join(exact.alias("x"), "column_name")
+            .select("column_name", "e.n_rows", "e.non_null", "x.n_distinct",
+                    (off <= sketches.ERROR_BOUND * F.col("x.n_distinct")).alias("within_bound")))
+
+
 @register("profile_columns_conversations")
 def profile_columns_conversations(spark, sf_dir):
     return profile.profile_columns(_t(spark, sf_dir)[1], "conversations")

@@ -470,3 +470,8 @@ ORACLE_SQL["roundtrip_conversations_array"] = _with() + "SELECT * FROM conv"
 ORACLE_SQL["roundtrip_logs_csv_split"] = _with() + """
 SELECT * REPLACE (CASE WHEN "insertId" LIKE '%00' THEN message || chr(10) || '"quoted", ' || message ELSE message END AS message)
 FROM logs"""
+
+ORACLE_SQL["distinct_counts_period"] = _with(
+    f"p AS (SELECT * FROM camp WHERE CAST(publish_time AS DATE) BETWEEN DATE '{P.PERIOD[0]}' AND DATE '{P.PERIOD[1]}')") + "\nUNION ALL\n".join(
+    f"SELECT '{c}' AS column_name, COUNT(*) AS n_rows, COUNT({c}) AS non_null, COUNT(DISTINCT {c}) AS n_distinct, true AS within_bound FROM p"
+    for c, _ in CAMP_COLS)
