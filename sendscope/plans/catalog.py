@@ -18,6 +18,7 @@ from ..session import ensure_checkpoint_dir, prefer_rocksdb_state, scratch_path
 from ..sources.adapter import campaigns_from_events, conversations_from_driver, logs_from_events
 from ..sources.readers import (read_campaigns_array, read_campaigns_json, read_conversations_array, read_logs_csv,
                                read_logs_csv_split)
+from ..sources import sorted_export
 from ..sources.staging import path_exists, stage_key, staged_tables
 from ..sources.writers import export_csv, export_json_array, export_json_lines, read_alerts, write_alerts
 from ..streaming.alerts import error_windows, run_error_alert_sweep, sweep_error_counts
@@ -231,6 +232,15 @@ def session_repeat_gaps(spark, sf_dir):
     return prepare.session_repeat_gaps(_t(spark, sf_dir)[0])
 
 
+@register("sorted_export_positions")
+def sorted_export_positions(spark, sf_dir):
+    """O2: the sorted export of the conversations, each row's place in it told
+    by the manifest."""
+    path = scratch_path(spark, "sorted_export")
+    sorted_export.write_sorted(_t(spark, sf_dir)[1], path, ["session_id", "publish_time", "message_id"])
+    return sorted_export.with_positions(spark, path).select("session_id", "publish_time", "message_id", "position")
+
+
 @register("logs_sample")
 def logs_sample(spark, sf_dir):
     return prepare.logs_sample(_t(spark, sf_dir)[2], P.LOGS_SAMPLE_ROWS)

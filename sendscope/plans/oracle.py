@@ -475,3 +475,6 @@ ORACLE_SQL["distinct_counts_period"] = _with(
     f"p AS (SELECT * FROM camp WHERE CAST(publish_time AS DATE) BETWEEN DATE '{P.PERIOD[0]}' AND DATE '{P.PERIOD[1]}')") + "\nUNION ALL\n".join(
     f"SELECT '{c}' AS column_name, COUNT(*) AS n_rows, COUNT({c}) AS non_null, COUNT(DISTINCT {c}) AS n_distinct, true AS within_bound FROM p"
     for c, _ in CAMP_COLS)
+
+ORACLE_SQL["sorted_export_positions"] = _with() + """
+SELECT session_id, publish_time, message_id, ROW_NUMBER() OVER (ORDER BY session_id, publish_time, message_id) AS position FROM conv"""

@@ -166,3 +166,27 @@ def test_csv_in_small_ranges_equals_the_whole_file_reader(spark, tmp_path):
     finally:
         for k, v in zip(keys, before):
             spark.conf.set(k, v)
+
+
+def test_sorted_export_lookups_open_few_files(spark, tmp_path):
+    from sendscope.sources import sorted_export
+    path = str(tmp_path / "export")
+    df = spark.range(5000).select(F.when(F.col("id") % 100 > 0, F.concat(F.lit("s"), F.col("id") % 700)).alias("session_id"),
+                                  F.col("id").cast("string").alias("message_id"))
+    df = df.unionByName(spark.range(2000).select(F.lit("hot").alias("session_id"), F.col("id").cast("string").alias("message_id")))
+    sorted_export.write_sorted(df, path, ["session_id", "message_id"], 8)
+    manifest = sorted_export.read_manifest(spark, path).collect()
+    assert len(manifest) > 5 and sum(r.n_rows for r in manifest) == 7000
+    assert all(a.last_key <= b.first_key or a.last_key.session_id is None for a, b in zip(manifest, manifest[1:]))
+    for s in ("s5", "s699", "hot", "none"):
+        got = sorted_export.lookup(spark, path, s)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, df.where(F.col("session_id") == s).collect()))
+        if s.startswith("s"):
+            assert len(got.inputFiles()) <= 2
+    order = sorted(map(tuple, df.collect()), key=lambda r: (r[0] is not None, r[0] or "", r[1]))
+    rows = sorted_export.rows_between(spark, path, 1234, 1300).collect()
+    assert [(r.session_id, r.message_id) for r in rows] == order[1233:1300] and [r.position for r in rows] == list(range(1234, 1301))
+    assert sorted_export.rows_between(spark, path, 9000, 9100).collect() == []
+    assert sorted((r.position, r.message_id) for r in sorted_export.with_positions(spark, path).collect()) == [(i + 1, r[1]) for i, r in enumerate(order)]
+    sorted_export.write_sorted(df.limit(0), path + "0", ["session_id"], 2)
+    assert sorted_export.lookup(spark, path + "0", "s1").collect() == []
