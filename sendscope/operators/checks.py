@@ -49,17 +49,18 @@ def check_template_date(camp: DataFrame, as_of=None) -> DataFrame:
         "issue", F.when(F.col("suffix_date").isNull(), F.lit("invalid_suffix")).otherwise(F.lit("date_mismatch")))
 
 
-def check_version(camp: DataFrame, strict: bool = False) -> DataFrame:
+def check_version(camp: DataFrame, strict: bool = False, by: Iterable[str] = ()) -> DataFrame:
     """Dispatches whose ``version`` is outside ``sendtype-…`` (or NULL),
     grouped by (template, version); :func:`latest_first` sorts them for a report.
 
-    ``strict=True`` requires exactly three digits, as the prose describes.
+    ``strict=True`` requires exactly three digits, as the prose describes; ``by``
+    names further columns to group by.
     """
     v = F.col("version")
     ok = v.rlike(STRICT_VERSION) if strict else v.startswith(VERSION_PREFIX)
     irregular = v.isNull() | ~ok
     return (camp.where(irregular)
-                .groupBy("template", "version")
+                .groupBy("template", "version", *by)
                 .agg(F.count(F.lit(1)).alias("n_dispatches"), F.min("publish_time").alias("first_dispatch")))
 
 
@@ -95,6 +96,14 @@ def cta_messages_on_day(conv: DataFrame, ctas: Iterable | DataFrame, as_of,
                      (ts < F.lit(dt.datetime.combine(day_end, dt.time()))))
     if "publish_date" in conv.columns:  # date-partitioned table: prune directories
         day = day.where(F.col("publish_date") == F.lit(day_start))
+    return cta_messages(day, ctas, block=block)
+
+
+def cta_messages(conv: DataFrame, ctas: Iterable | DataFrame, keep: Iterable[str] = (),
+                 block: int = DEFAULT_BLOCK) -> DataFrame:
+    """Conversation messages that carry a known CTA: ``(session_id,
+    publish_time, cta)`` and the columns ``keep``, once for each CTA of a message."""
+    keep = ["session_id", "publish_time", *keep]
     found = []
     for some in blocks(_cta_table(conv.sparkSession, ctas).orderBy("cta", "match"), block):
         unknown = {r.match for r in some} - {"exact", "regex"}
@@ -103,10 +112,9 @@ def cta_messages_on_day(conv: DataFrame, ctas: Iterable | DataFrame, as_of,
         exact = [r.cta for r in some if r.match == "exact"]
         labels = [F.when(F.col("text").isin(exact), F.col("text"))] if exact else []
         labels += [F.when(matches("text", r.cta), F.lit(r.cta)) for r in some if r.match == "regex"]
-        found.append(day.select("session_id", "publish_time", F.explode(F.array(*labels)).alias("cta"))
-                        .where(F.col("cta").isNotNull()))
+        found.append(conv.select(*keep, F.explode(F.array(*labels)).alias("cta")).where(F.col("cta").isNotNull()))
     if not found:
-        return day.select("session_id", "publish_time", F.col("text").alias("cta")).where(F.lit(False))
+        return conv.select(*keep, F.col("text").alias("cta")).where(F.lit(False))
     return reduce(DataFrame.unionByName, found)
 
 

@@ -6,6 +6,7 @@ Each query derives the logical bases from the driver tables of ``sf_dir``
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions.params import param_frame
-from ..operators import checks, diagnosis, payload, prepare, profile, search, sessions, sketches, templates
+from ..operators import checks, daily, diagnosis, payload, prepare, profile, search, sessions, sketches, templates
 from ..session import ensure_checkpoint_dir, prefer_rocksdb_state, scratch_path
 from ..sources.adapter import campaigns_from_events, conversations_from_driver, logs_from_events
 from ..sources.readers import (read_campaigns_array, read_campaigns_json, read_conversations_array, read_logs_csv,
@@ -23,6 +24,7 @@ from ..sources.staging import path_exists, stage_key, staged_tables
 from ..sources.writers import export_csv, export_json_array, export_json_lines, read_alerts, write_alerts
 from ..streaming.alerts import error_windows, run_error_alert_sweep, sweep_error_counts
 from ..streaming.dedup import first_deliveries, sweep_deliveries
+from ..streaming import late
 from ..streaming.orphans import sweep_orphan_changes, swept_orphans, sweep_orphan_conversations
 from . import params as P
 
@@ -402,6 +404,29 @@ def check_orphan_sessions(spark, sf_dir):
     return checks.check_orphan_sessions(conv, camp, P.CTAS, P.AS_OF, P.ORPHAN_THRESHOLD)
 
 
+def _stored_checks(spark, sf_dir) -> str:
+    """All days but the last stored at once, the last by a run of its own, twice."""
+    camp, conv, _ = _t(spark, sf_dir, keep_date=True)
+    path = scratch_path(spark, "daily")
+    first, last = camp.agg(F.min("publish_date"), F.max("publish_date")).first()
+    daily.store_days(camp, conv, P.CTAS, path, first, last - dt.timedelta(days=1))
+    for _ in range(2):
+        daily.store_days(camp, conv, P.CTAS, path, last)
+    return path
+
+
+@register("check_version_daily")
+def check_version_daily(spark, sf_dir):
+    """C2 merged from stored daily partial results."""
+    return daily.merged_versions(spark, _stored_checks(spark, sf_dir))
+
+
+@register("check_orphan_sessions_daily")
+def check_orphan_sessions_daily(spark, sf_dir):
+    """C3 merged from stored daily partial results."""
+    return daily.merged_orphans(spark, _stored_checks(spark, sf_dir), P.AS_OF, P.ORPHAN_THRESHOLD)
+
+
 @register("error_rate_hourly")
 def error_rate_hourly(spark, sf_dir):
     return checks.error_rate_hourly(_t(spark, sf_dir)[2], P.ERROR_RATE_THRESHOLD)
@@ -551,6 +576,20 @@ def stream_error_events(spark, sf_dir):
     return spark.read.parquet(f"{base}/alerts")
 
 
+@register("stream_late_rows")
+def stream_late_rows(spark, sf_dir):
+    """S6 as a live feed: the later half of the logs comes first, then the rest,
+    whose rows behind the watermark are kept aside. Every row, and whether it was late."""
+    logs = _t(spark, sf_dir)[2].select(*schemas.LOGS.fieldNames())
+    base = scratch_path(spark, "stream_late_rows")
+    split = late.LateSplit(spark, f"{base}/split", schemas.LOGS, "timestamp", P.LATE_AFTER)
+    for part in (F.col("timestamp") >= F.lit(P.LATE_CUT), F.col("timestamp") < F.lit(P.LATE_CUT)):
+        logs.where(part).repartition(2).write.mode("append").parquet(f"{base}/logs")
+        split.sweep(late.read_log_stream(spark, f"{base}/logs"), f"{base}/_checkpoint")
+    tables = [t.select("insertId", "timestamp", F.lit(was).alias("late")) for t, was in ((split.kept(), False), (split.late(), True))]
+    return tables[0].unionByName(tables[1])
+
+
 @register("stream_dedup_campaigns")
 def stream_dedup_campaigns(spark, sf_dir):
     """T4 end to end: campaign dispatches replayed as a stream, each message_id's

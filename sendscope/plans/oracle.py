@@ -478,3 +478,12 @@ ORACLE_SQL["distinct_counts_period"] = _with(
 
 ORACLE_SQL["sorted_export_positions"] = _with() + """
 SELECT session_id, publish_time, message_id, ROW_NUMBER() OVER (ORDER BY session_id, publish_time, message_id) AS position FROM conv"""
+
+for _name in ("check_version", "check_orphan_sessions"):
+    ORACLE_SQL[f"{_name}_daily"] = ORACLE_SQL[_name]
+
+# the watermark lies behind the latest row, so of the second half all rows are late but those of its last hour, if any
+ORACLE_SQL["stream_late_rows"] = _with() + f"""
+SELECT "insertId", "timestamp", "timestamp" < TIMESTAMP '{P.LATE_CUT}'
+       AND "timestamp" < (SELECT max("timestamp") FROM logs) - INTERVAL 1 HOUR AS late
+FROM logs"""

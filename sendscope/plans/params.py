@@ -23,6 +23,7 @@ SIMILAR_LIST = ["crm_error_0101", "crm_error_2312", "crm_error_at"]
 REQUIRED_FIELDS = {"k": "int"}
 AS_OF = dt.date(2024, 1, 21)
 PERIOD = (dt.date(2024, 1, 5), dt.date(2024, 1, 18))
+LATE_CUT, LATE_AFTER = dt.datetime(2024, 1, 16), "1 hour"
 ORPHAN_THRESHOLD = 5
 ERROR_RATE_THRESHOLD = 2
 MAX_EDIT_DISTANCE = 4

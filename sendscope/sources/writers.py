@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..session import ensure_checkpoint_dir
+
 
 def write_processed(df: DataFrame, path: str, time_col: str | None = "publish_time",
                     sort_cols: list[str] | None = None, mode: str = "overwrite") -> None:
@@ -79,7 +81,37 @@ ALERTS = (StructType().add("check_name", "string").add("entity", "string").add("
           .add("n_rows", "long").add("first_seen", "timestamp_ntz"))
 
 
+_VERSION = r"^(.*)~([0-9]{12})$"
+
+
+def version_run_id(name: str, version: int) -> str:
+    """The run_id of rows that replace earlier versions of the same alerts."""
+    return f"{name}~{version:012d}"
+
+
 def read_alerts(spark: SparkSession, path: str) -> DataFrame:
-    """The alerts table with run_date and run_id, empty if no run found any."""
+    """The alerts table with run_date and run_id, empty if no run found any.
+
+    Of a stream that reports its alerts anew as they grow, the latest version of
+    each alert counts.
+    """
     schema = StructType(list(ALERTS.fields)).add("run_date", "date").add("run_id", "string")
-    return spark.read.schema(schema).parquet(path)
+    rows = spark.read.schema(schema).parquet(path)
+    stream = F.regexp_extract("run_id", _VERSION, 1)
+    key = ["run_date", "check_name", "entity", "first_seen"]
+    latest = (rows.where(stream != "").groupBy(*key, stream.alias("_stream"))
+              .agg(F.max_by(F.struct("severity", "n_rows", "run_id"), "run_id").alias("_last")).select(*key, "_last.*"))
+    return rows.where(stream == "").unionByName(latest.select(*rows.columns))
+
+
+def compact_alerts(spark: SparkSession, path: str, name: str, run_date, version: int) -> None:
+    """Write the latest versions that the stream ``name`` has of a day's alerts
+    as one folder, of ``version`` (not below any that is there). Earlier folders
+    then say nothing new and may be removed."""
+    ensure_checkpoint_dir(spark)
+    run_id = version_run_id(name, version)
+    rows = read_alerts(spark, path).where((F.col("run_date") == F.lit(run_date)) & F.col("run_id").startswith(f"{name}~"))
+    target = f"{path.rstrip('/')}/run_date={run_date}/run_id={run_id}"
+    # read in full before the folder, which may hold some of the rows, is replaced
+    kept = rows.select(*ALERTS.fieldNames()).checkpoint(eager=True)
+    kept.coalesce(1).write.mode("overwrite").parquet(target)

@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.writers import version_run_id
 from ..functions.payload import ERROR_SIGNATURE
 
 
@@ -125,15 +126,15 @@ def alerts_batch_writer(table_path: str, name: str, by_alert: bool = False):
     Each batch goes to partitions (run_date = date of the alert, run_id =
     ``<name>-<batchId>``) with dynamic overwrite, so a batch that Spark replays
     after a failure replaces its own rows instead of duplicating them. With
-    ``by_alert`` the run_id names the alert (check, entity, first_seen) instead
-    of the batch, so a window that is reported again replaces its earlier row.
+    ``by_alert`` the rows are versions: an alert (check, entity, first_seen) that
+    is reported again counts from then on in place of its earlier rows, which
+    ``sources.read_alerts`` leaves out. Files are as many as batches and dates,
+    not as alerts.
     """
-    alert = F.concat(F.lit(f"{name}-"), F.hex(F.xxhash64("check_name", "entity", "first_seen")))
-
     def write(batch: DataFrame, batch_id: int) -> None:
         (batch.select(*ALERT_COLUMNS)
               .withColumn("run_date", F.to_date("first_seen"))
-              .withColumn("run_id", alert if by_alert else F.lit(f"{name}-{batch_id}"))
+              .withColumn("run_id", F.lit(version_run_id(name, batch_id) if by_alert else f"{name}-{batch_id}"))
               .write.mode("overwrite")
               .option("partitionOverwriteMode", "dynamic")
               .partitionBy("run_date", "run_id")

@@ -3,6 +3,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from sendscope.operators import checks
+from sendscope.sources import read_alerts
 from sendscope.streaming import (dedup_redeliveries, error_rate_stream, orphan_conversations_stream,
                                  run_error_alert_sweep, run_error_rate_alerts)
 
@@ -142,7 +143,7 @@ def test_early_alerts_in_update_mode(spark, tmp_path):
     table = str(tmp_path / "alerts")
     stream_alerts_to_table(error_rate_alerts(error_rate_stream(_stream(spark, src, LOG_SCHEMA), 1)),
                            table, str(tmp_path / "ck"), "early", output_mode="update")
-    rows = spark.read.parquet(table).collect()
+    rows = read_alerts(spark, table).collect()
     assert [(str(r.first_seen), r.n_rows) for r in rows] == [("2024-03-20 10:00:00", 2)]
 
 
@@ -181,7 +182,7 @@ def test_growing_window_keeps_one_row_in_update_mode(spark, tmp_path):
     _write_batches(spark, src, [rows[:2], rows[2:]], LOG_SCHEMA)
     stream_alerts_to_table(error_rate_alerts(error_rate_stream(_stream(spark, src, LOG_SCHEMA), 1)),
                            table, str(tmp_path / "ck"), "early", output_mode="update")
-    assert [r.n_rows for r in spark.read.parquet(table).collect()] == [4]
+    assert [r.n_rows for r in read_alerts(spark, table).collect()] == [4]
 
 
 def test_orphan_sweep_sees_campaigns_that_come_later(spark, tmp_path):
@@ -273,3 +274,46 @@ def test_a_replayed_batch_changes_nothing(spark, tmp_path):
     # only the buckets of the batch's sessions are read
     plan = state._read("sessions", "session_id string", 9, [1])._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters" in plan and "bucket" in plan
+
+
+def test_many_growing_windows_stay_in_few_files(spark, tmp_path):
+    from sendscope.sources.writers import compact_alerts
+    from sendscope.streaming import alerts_batch_writer
+    table = str(tmp_path / "alerts")
+    write = alerts_batch_writer(table, "grow", by_alert=True)
+    for version in (0, 1, 2, 2):  # the last batch is replayed
+        write(spark.range(10000).where(F.col("id") % (version + 1) == 0).select(
+            F.lit("error_rate").alias("check_name"), F.concat(F.lit("w"), "id").alias("entity"), F.lit("critical").alias("severity"),
+            (F.col("id") + version).alias("n_rows"), F.lit(_t("2024-03-20 10:00:00")).alias("first_seen")), version)
+    write_other = alerts_batch_writer(table, "plain")
+    write_other(read_alerts(spark, table).limit(1), 0)
+
+    def now():
+        rows = read_alerts(spark, table).where("run_id not like 'plain%'").collect()
+        return sorted((int(r.entity[1:]), r.n_rows) for r in rows)
+
+    want = [(i, i + (2 if i % 3 == 0 else 1 if i % 2 == 0 else 0)) for i in range(10000)]
+    assert now() == want
+    assert len(spark.read.parquet(table).inputFiles()) < 60
+    compact_alerts(spark, table, "grow", "2024-03-20", 2)
+    compact_alerts(spark, table, "grow", "2024-03-20", 2)
+    assert now() == want
+    folder = spark.read.parquet(f"{table}/run_date=2024-03-20/run_id=grow~000000000002")
+    assert folder.count() == 10000 and len(folder.inputFiles()) == 1
+    assert read_alerts(spark, table).where("run_id = 'plain-0'").count() == 1
+
+
+def test_kept_and_late_rows_add_up(spark, tmp_path):
+    from sendscope.streaming.late import LateSplit
+    schema = spark.createDataFrame([], "timestamp timestamp_ntz, id int").schema
+    split = LateSplit(spark, str(tmp_path / "split"), schema, "timestamp", "1 hour")
+    batches = [[(_t("2024-03-20 10:00:00"), 1), (_t("2024-03-20 08:00:00"), 2), (None, 3)],
+               [(_t("2024-03-20 08:59:59"), 4), (_t("2024-03-20 09:00:00"), 5), (_t("2024-03-20 12:00:00"), 6)], [],
+               [(_t("2024-03-20 10:59:00"), 7), (_t("2024-03-20 11:00:00"), 8)]]
+    for i, rows in enumerate(batches):
+        for _ in range(2):  # each batch is replayed
+            split.apply(spark.createDataFrame(rows, schema), i)
+    assert sorted(r.id for r in split.kept().collect()) == [1, 2, 5, 6, 8]
+    assert sorted(r.id for r in split.late().collect()) == [3, 4, 7]
+    counts = {r.batch: (r.n_kept, r.n_late) for r in split.counts().collect()}
+    assert counts == {0: (2, 1), 1: (2, 1), 2: (0, 0), 3: (1, 1)}
