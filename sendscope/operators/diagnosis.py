@@ -50,8 +50,8 @@ def campaign_diagnosis(expected: DataFrame, camp: DataFrame, conv: DataFrame, lo
               .join(exp.select("template").distinct(), "template", "left_semi")
               .select("template", F.lit(True).alias("template_exists")))
 
-    cand = template_candidates(expected, camp, max_distance, max_rows)
-    similar = cand.groupBy("campaign").agg(
+    cand = template_candidates(expected, camp, max_distance)
+    similar = cand.groupBy("campaign", F.col("expected_template").alias("template")).agg(
         F.count(F.lit(1)).alias("n_similar"),
         F.min_by(F.col("similar_template"), F.struct("distance", "similar_template")).alias("best_similar"),
         F.min("distance").alias("best_distance"))
@@ -72,7 +72,7 @@ def campaign_diagnosis(expected: DataFrame, camp: DataFrame, conv: DataFrame, lo
             .agg(F.count(F.lit(1)).alias("n_dispatched_on_date")))
 
     d = (exp.join(exists, "template", "left")
-            .join(similar, "campaign", "left")
+            .join(similar, ["campaign", "template"], "left")
             .join(F.broadcast(evidence) if small else evidence, "cta", "left")
             .join(links, "cta", "left")
             .join(sent, ["template", "dispatch_date"], "left")

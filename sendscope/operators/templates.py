@@ -7,65 +7,35 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.params import DEFAULT_MAX_PARAM_ROWS, is_bounded
 from .prepare import conversations_with_campaigns
 
 
-def _maybe_broadcast(df: DataFrame, bounded: bool) -> DataFrame:
-    """Broadcast hint only for a side whose size was proven small."""
-    return F.broadcast(df) if bounded else df
-
-
 def distinct_templates(camp: DataFrame) -> DataFrame:
     return camp.where(F.col("template").isNotNull()).select("template").distinct()
 
 
-def missing_templates(expected: DataFrame, camp: DataFrame,
-                      max_rows: int = DEFAULT_MAX_PARAM_ROWS) -> DataFrame:
+def missing_templates(expected: DataFrame, camp: DataFrame) -> DataFrame:
     """Reported campaigns whose template never appears in the campaign base."""
-    exp = _maybe_broadcast(expected.select("campaign", "template"), is_bounded(expected, max_rows))
+    exp = expected.select("campaign", "template")
     return exp.join(distinct_templates(camp), "template", "left_anti").select("campaign", "template")
 
 
-def template_candidates(expected: DataFrame, camp: DataFrame, max_distance: int = 4,
-                        max_rows: int = DEFAULT_MAX_PARAM_ROWS) -> DataFrame:
-    """All (expected, base template) pairs within ``max_distance`` edits, self excluded.
-
-    A proven-small expected list uses length bands: distance ≤ k implies the
-    lengths differ by ≤ k, so each expected name is expanded to its 2k+1
-    admissible lengths, broadcast, and equi-joined with the DISTINCT base
-    templates on length. A larger expected table uses :func:`_segment_candidates`,
-    which never pairs names that merely share a length. ``levenshtein(a, b, k)``
-    stops early once k is exceeded.
-    """
+def template_candidates(expected: DataFrame, camp: DataFrame, max_distance: int = 4) -> DataFrame:
+    """All (expected, base template) pairs within ``max_distance`` edits, self
+    excluded, for lists of any length (:func:`_segment_candidates`).
+    ``levenshtein(a, b, k)`` stops early once k is exceeded."""
     k = int(max_distance)
     exp = expected.select("campaign", F.col("template").alias("expected_template")) \
         .where(F.col("expected_template").isNotNull()).distinct()
-    base = distinct_templates(camp)
-    if is_bounded(expected, max_rows):
-        bands = exp.withColumn("_len", F.explode(F.sequence(F.length("expected_template") - k,
-                                                            F.length("expected_template") + k)))
-        pairs = base.withColumn("_len", F.length("template")).join(F.broadcast(bands), "_len", "inner")
-    else:
-        pairs = _segment_candidates(exp, base, k)
+    pairs = _segment_candidates(exp.select("expected_template").distinct(), distinct_templates(camp), k)
     d = F.levenshtein(F.col("template"), F.col("expected_template"), k)
     return (pairs.withColumn("distance", d)
                  .where((F.col("distance") >= 1) & (F.col("distance") <= k))
+                 .join(exp, "expected_template")
                  .select("campaign", "expected_template", F.col("template").alias("similar_template"),
                          "distance"))
 
 
-def _segments(length: Column, k: int, i: int) -> tuple[Column, Column]:
-    """Start (0-based) and length of segment ``i`` of an even split of a
-    string of ``length`` into k+1 parts (the first parts are the shorter)."""
-    parts = k + 1
-    short = F.floor(length / parts)
-    n_short = parts - (length % parts)
-    start = F.when(F.lit(i) < n_short, short * i).otherwise(short * n_short + (short + 1) * (F.lit(i) - n_short))
-    seg_len = F.when(F.lit(i) < n_short, short).otherwise(short + 1)
-    return start.cast("int"), seg_len.cast("int")
-
-
 def _deletions(names: DataFrame, col: str, k: int) -> DataFrame:
     """``names`` with ``_v``: every string left when at most ``k`` characters of
     ``col`` are deleted. Each round deletes one character at or behind the last
@@ -82,55 +52,75 @@ def _deletions(names: DataFrame, col: str, k: int) -> DataFrame:
     return rows.select(*names.columns, "_v").distinct()
 
 
+#: Characters of a segment, at most.
+SEGMENT_CHARS = 8
+
+
+def _grams(names: DataFrame, col: str, most: int) -> DataFrame:
+    """``names`` with ``_w``, ``_p`` and ``_s``: every substring of 2 to ``most``
+    characters, its length and where it begins (from 0)."""
+    return (names.withColumn("_w", F.explode(F.sequence(F.lit(2), F.lit(most))))
+            .where(F.col("_w") <= F.length(col))
+            .withColumn("_p", F.explode(F.sequence(F.lit(0), F.length(col) - F.col("_w"))))
+            .withColumn("_s", F.substring(F.col(col), F.col("_p") + 1, F.col("_w"))))
+
+
+def _cut_points(exp: DataFrame, base: DataFrame, k: int) -> DataFrame:
+    """``expected_template``, ``_w`` and ``_p``: for each name of 2(k+1) characters
+    or more its k+1 segments, side by side and of ``_w`` characters each, where
+    templates hold them least often.
+
+    Every length from 2 on and every place of the first segment is weighed by
+    how many templates hold its segments, so a beginning or end that all names
+    share is left out of the segments as far as the rest has room for them.
+    Ties: the longer segments, then the first place.
+    """
+    grams = _grams(exp.where(F.length("expected_template") >= 2 * (k + 1)), "expected_template", SEGMENT_CHARS)
+    grams = grams.where(F.col("_w") * (k + 1) <= F.length("expected_template"))
+    held = (_grams(base, "template", SEGMENT_CHARS).select("_s", "template").distinct()
+            .join(grams.select("_s").distinct(), "_s", "left_semi")
+            .groupBy("_s").agg(F.count(F.lit(1)).alias("_n")))
+    weighed = (grams.join(held, "_s", "left").groupBy("expected_template", "_w")
+               .agg(F.sort_array(F.collect_list(F.struct("_p", F.coalesce("_n", F.lit(0)).alias("n")))).alias("_f")))
+    # the array holds a place for each of the name's grams of this length, in order
+    firsts = F.sequence(F.lit(0), F.size("_f") - 1 - F.col("_w") * k)
+    costs = F.transform(firsts, lambda o: F.struct(
+        sum((F.get(F.col("_f"), o + F.col("_w") * i)["n"] for i in range(1, k + 1)), F.get(F.col("_f"), o)["n"]).alias("cost"),
+        (-F.col("_w")).alias("w"), o.alias("o")))
+    best = (weighed.select("expected_template", F.array_min(costs).alias("_b"))
+            .groupBy("expected_template").agg(F.min("_b").alias("_b")))
+    return best.select("expected_template", (-F.col("_b.w")).alias("_w"),
+                       F.explode(F.transform(F.sequence(F.lit(0), F.lit(k)), lambda i: F.col("_b.o") - F.col("_b.w") * i)).alias("_p"))
+
+
 def _segment_candidates(exp: DataFrame, base: DataFrame, k: int) -> DataFrame:
     """Exact candidate pairs by partition-based blocking (pigeonhole).
 
-    Split each expected name of length L ≥ 2(k+1) into k+1 segments of two or
-    more characters. If a template is within k edits, at least one segment occurs in it unchanged,
-    starting within ±k of the segment's own start. So: expected names emit
-    (L, i, segment i); templates emit, for each admissible L and i, their
-    substrings at those ±k positions; equi-join on (L, i, substring); then
-    the caller verifies the distance. Shorter names meet the templates with
-    which they share a string after at most k deletions on either side
-    (:func:`_deletions`), which holds for every pair within k edits.
+    k edits change at most k of k+1 disjoint segments of a name, so a template
+    within k edits holds one of them unchanged, beginning within k places of
+    where it begins in the name. Names meet templates by (segment, place); the
+    caller verifies the distance. :func:`_cut_points` chooses the segments.
+    Shorter names meet the templates with which they share a string after at
+    most k deletions on either side (:func:`_deletions`), which holds for every
+    pair within k edits.
     """
-    seg_rows = []
-    for i in range(k + 1):
-        st, ln = _segments(F.length("expected_template"), k, i)
-        seg_rows.append(F.struct(F.lit(i).alias("i"), F.substring("expected_template", st + 1, ln).alias("s")))
-    long_exp = exp.where(F.length("expected_template") >= 2 * (k + 1))
-    e_keys = (long_exp.select("campaign", "expected_template",
-                              F.length("expected_template").alias("_L"), F.inline(F.array(*seg_rows)))
-                      .select("campaign", "expected_template", "_L", F.col("i").alias("_i"), F.col("s").alias("_s")))
-
-    t = base.withColumn("_lt", F.length("template"))
-    t = t.withColumn("_L", F.explode(F.sequence(F.greatest(F.col("_lt") - k, F.lit(2 * (k + 1))),
-                                                F.col("_lt") + k)))
-    t = t.where(F.col("_L") <= F.col("_lt") + k)
-    t = t.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(k))))
-    starts = {}
-    for i in range(k + 1):
-        starts[i] = _segments(F.col("_L"), k, i)
-    st = F.coalesce(*[F.when(F.col("_i") == i, starts[i][0]) for i in range(k + 1)])
-    ln = F.coalesce(*[F.when(F.col("_i") == i, starts[i][1]) for i in range(k + 1)])
-    t = t.withColumn("_st", st).withColumn("_ln", ln)
-    t = t.withColumn("_x", F.explode(F.sequence(F.greatest(F.col("_st") - k, F.lit(0)),
-                                                F.least(F.col("_st") + k, F.col("_lt") - F.col("_ln")))))
-    t_keys = t.where(F.col("_x") <= F.col("_lt") - F.col("_ln")) \
-        .select("template", "_L", "_i", F.substring("template", F.col("_x") + 1, F.col("_ln")).alias("_s"))
-    blocked = e_keys.join(t_keys, ["_L", "_i", "_s"], "inner") \
-        .select("campaign", "expected_template", "template").distinct()
+    cuts = _cut_points(exp, base, k)
+    e_keys = (cuts.withColumn("_s", F.substring(F.col("expected_template"), F.col("_p") + 1, F.col("_w")))
+              .withColumn("_p", F.explode(F.sequence(F.greatest(F.col("_p") - k, F.lit(0)), F.col("_p") + k))))
+    t_keys = _grams(base, "template", SEGMENT_CHARS)
+    near = F.abs(F.length("template") - F.length("expected_template")) <= k
+    blocked = e_keys.join(t_keys, ["_w", "_p", "_s"]).where(near).select("expected_template", "template").distinct()
 
     # names too short for segments of two characters
     e_short = _deletions(exp.where(F.length("expected_template") < 2 * (k + 1)), "expected_template", k)
     t_short = _deletions(base.where(F.length("template") < 2 * (k + 1) + k), "template", k)
-    short_pairs = e_short.join(t_short, "_v").select("campaign", "expected_template", "template").distinct()
+    short_pairs = e_short.join(t_short, "_v").select("expected_template", "template").distinct()
     return blocked.unionByName(short_pairs)
 
 
 def similar_templates(expected: DataFrame, camp: DataFrame, max_distance: int = 4,
                       top_k: int = 3, conv: DataFrame | None = None) -> DataFrame:
-    """For each reported template, the ``top_k`` nearest base templates
+    """For each reported template of a campaign, the ``top_k`` nearest base templates
     by (edit distance, name); with ``conv``, also ``n_linked_rows`` — how many
     rows each neighbour contributes to campaigns ⋈ conversations (0 = the
     name never reaches a conversation).
@@ -139,7 +129,7 @@ def similar_templates(expected: DataFrame, camp: DataFrame, max_distance: int =
     the shuffle, so no task receives more than k rows per group per map task.
     """
     cand = template_candidates(expected, camp, max_distance)
-    w = Window.partitionBy("campaign").orderBy("distance", "similar_template")
+    w = Window.partitionBy("campaign", "expected_template").orderBy("distance", "similar_template")
     top = cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_k)
     if conv is None:
         return top
@@ -150,8 +140,7 @@ def similar_templates(expected: DataFrame, camp: DataFrame, max_distance: int =
                        F.coalesce("n_rows", F.lit(0)).cast("long").alias("n_linked_rows")))
 
 
-def _with_templates(camp: DataFrame, templates: Iterable[str] | DataFrame,
-                    max_rows: int = DEFAULT_MAX_PARAM_ROWS) -> DataFrame:
+def _with_templates(camp: DataFrame, templates: Iterable[str] | DataFrame) -> DataFrame:
     """Campaign rows whose template is listed: a literal hash set for a list,
     a semi join against the distinct listed names for a table (AQE broadcasts
     it when its measured size is small)."""

@@ -355,6 +355,13 @@ def similar_templates(spark, sf_dir):
     return templates.similar_templates(_expected(spark), camp, P.MAX_EDIT_DISTANCE, P.TOP_SIMILAR, conv)
 
 
+@register("similar_templates_many")
+def similar_templates_many(spark, sf_dir):
+    """C7 with 20,000 expected names that share their beginning: the nearest of each."""
+    names = spark.createDataFrame([(n, n) for n in P.MANY_NAMES], "campaign string, template string")
+    return templates.similar_templates(names, _t(spark, sf_dir)[0], P.MANY_EDITS, 1).drop("campaign", "rank")
+
+
 @register("similar_template_counts")
 def similar_template_counts(spark, sf_dir):
     camp, conv, _ = _t(spark, sf_dir)

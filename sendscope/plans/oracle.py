@@ -487,3 +487,12 @@ ORACLE_SQL["stream_late_rows"] = _with() + f"""
 SELECT "insertId", "timestamp", "timestamp" < TIMESTAMP '{P.LATE_CUT}'
        AND "timestamp" < (SELECT max("timestamp") FROM logs) - INTERVAL 1 HOUR AS late
 FROM logs"""
+
+ORACLE_SQL["similar_templates_many"] = _with(
+    "t AS (SELECT DISTINCT template FROM camp WHERE template IS NOT NULL)",
+    "e AS (SELECT 'crm_' || kind || '_' || lpad(CAST(i AS VARCHAR), 4, '0') AS name "
+    "FROM (SELECT unnest(['click', 'error']) AS kind) kinds, range(10000) r(i))") + f"""
+SELECT e.name AS expected_template, t.template AS similar_template, CAST(levenshtein(t.template, e.name) AS INTEGER) AS distance
+FROM e, t WHERE abs(length(t.template) - length(e.name)) <= {P.MANY_EDITS}
+  AND levenshtein(t.template, e.name) BETWEEN 1 AND {P.MANY_EDITS}
+QUALIFY ROW_NUMBER() OVER (PARTITION BY e.name ORDER BY distance, t.template) = 1"""

@@ -48,3 +48,7 @@ MANY_KEYWORDS = [(f"{a}_{b}", rf"(?i)\b{a}\w*\s+{b}") for a in HEADS for b in TA
 
 # A long CTA list by rule; most lines of the logs hold its common beginning.
 MANY_CTAS = [f'"k": {i}' for i in range(20_000)]
+
+# A long list of expected names by rule, all with a beginning in common.
+MANY_NAMES = [f"crm_{kind}_{i:04d}" for kind in ("click", "error") for i in range(10_000)]
+MANY_EDITS = 2

@@ -65,22 +65,30 @@ def test_campaign_diagnosis_case_study(spark):
     assert d["promo"].best_similar == "crm_promo_1003"
 
 
-def test_segment_blocking_equals_length_bands(spark):
-    # Forcing the unbounded path (max_rows=0) must give exactly the same pairs.
-    from sendscope.plans import params as P
+def test_candidates_equal_brute_force_on_the_base(spark):
     from sendscope.sources.adapter import load_tables
     camp = load_tables(spark, "/root/testdata/sf0.01")["campaigns"]
     names = [("a", "crm_click_3101"), ("b", "crm_galaxy26"), ("c", "crm_click_2001"), ("d", "crm"),
-             ("e", "crm_error_at"), ("f", "xy")]
+             ("e", "crm_error_at"), ("f", "xy"), ("a", "crm_view_0101"), ("g", None)]
     exp = spark.createDataFrame([(c, t, "x", dt.date(2024, 1, 1), 1) for c, t in names],
                                 schemas.EXPECTED_CAMPAIGNS)
+    base = [r.template for r in camp.select("template").distinct().collect()]
     for k in (1, 2, 4):
-        small = sorted(tuple(r) for r in templates.template_candidates(exp, camp, k).collect())
-        large = sorted(tuple(r) for r in templates.template_candidates(exp, camp, k, max_rows=0).collect())
-        assert small == large, k
-    assert P.MAX_EDIT_DISTANCE == 4
-    plan = templates.template_candidates(exp, camp, 4, max_rows=0)._jdf.queryExecution().executedPlan().toString()
+        got = sorted(tuple(r) for r in templates.template_candidates(exp, camp, k).collect())
+        assert got == sorted((c, n, t, _lev(n, t)) for c, n in names if n for t in base if 1 <= _lev(n, t) <= k), k
+    plan = templates.template_candidates(exp, camp, 4)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+    # a campaign reported with two templates keeps their neighbours apart
+    top = templates.similar_templates(exp, camp, 4, 1).where("campaign = 'a'").collect()
+    assert {r.expected_template for r in top} == {"crm_click_3101", "crm_view_0101"}
+
+
+def test_a_common_beginning_is_left_out_of_the_segments(spark):
+    base = spark.createDataFrame([(f"crm_promo_of_the_year_{i:05d}",) for i in range(300)], "template string")
+    exp = spark.createDataFrame([(f"crm_promo_of_the_year_{i:05d}",) for i in range(0, 90000, 4500)], "expected_template string")
+    cuts = templates._cut_points(exp, base, 1).collect()
+    # (of the first name the digits are common too)
+    assert len(cuts) == 40 and all(r["_p"] >= 21 for r in cuts if not r.expected_template.endswith("00000"))
 
 
 def test_unbounded_expected_diagnosis_matches(spark):
@@ -123,13 +131,14 @@ def _lev(a, b):
 @settings(max_examples=12, deadline=None)
 @given(st.lists(st.text(alphabet="ab_1", min_size=1, max_size=9), min_size=1, max_size=15, unique=True),
        st.lists(st.text(alphabet="ab_1", min_size=1, max_size=9), min_size=1, max_size=4, unique=True),
-       st.integers(min_value=1, max_value=3))
-def test_segment_blocking_property(spark, base_names, expected_names, k):
+       st.integers(min_value=1, max_value=3), st.sampled_from(["", "crm_promo_"]))
+def test_segment_blocking_property(spark, base_names, expected_names, k, prefix):
+    base_names, expected_names = [prefix + n for n in base_names], [prefix + n for n in expected_names]
     camp = spark.createDataFrame([(t,) for t in base_names], "template string")
     exp = spark.createDataFrame([(f"c{i}", t, "x", dt.date(2024, 1, 1), 1) for i, t in enumerate(expected_names)],
                                 schemas.EXPECTED_CAMPAIGNS)
     got = sorted((r.campaign, r.similar_template, r.distance)
-                 for r in templates.template_candidates(exp, camp, k, max_rows=0).collect())
+                 for r in templates.template_candidates(exp, camp, k).collect())
     want = sorted((f"c{i}", t, _lev(e, t)) for i, e in enumerate(expected_names) for t in base_names
                   if 1 <= _lev(e, t) <= k)
     assert got == want
