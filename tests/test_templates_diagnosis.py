@@ -89,9 +89,9 @@ def test_a_common_beginning_is_left_out_of_the_segments(spark):
     cuts = templates._cut_points(exp, base, 1).collect()
     held = [r.template for r in base.collect()]
     assert len(cuts) == 40
-    for r in cuts:  # no template holds a segment, but of the first name, whose digits are common too
+    for r in cuts:  # few of the 300 templates hold a segment, but of the first name, whose digits are common too
         segment = r.expected_template[r["_p"]: r["_p"] + r["_w"]]
-        assert r.expected_template.endswith("00000") or sum(segment in t for t in held) < 30
+        assert r.expected_template.endswith("00000") or sum(segment in t for t in held) <= 100
 
 
 def test_unbounded_expected_diagnosis_matches(spark):
