@@ -212,7 +212,7 @@ def requests(key: int, chunk: int, names: Names, owner: np.ndarray | None, bits:
 
 
 def answers(asked: DataFrame, width: int, rule: str) -> DataFrame:
-    """One bit for each entry of each request, as one row per bucket key.
+    """One bit for each entry of each request, as one row per chunk.
 
     ``rule`` "again": another chunk has the name too. ``rule`` "later": another
     chunk has the name in a document with a smaller id.
@@ -248,13 +248,18 @@ def answers(asked: DataFrame, width: int, rule: str) -> DataFrame:
                          "n": pa.array(sizes, pa.int32()), "bits": pa.array(out, pa.binary())})
 
     found = asked.groupBy("grp").applyInArrow(answer, "key long, chunk long, grp int, n int, bits binary")
-    return found.groupBy("key").agg(F.collect_list(F.struct("chunk", "grp", "n", "bits")).alias("answer"))
+    # dealt by the bucket key, as the chunks are; a row holds the answers of one chunk
+    return (found.repartition("key").groupBy("key", F.col("chunk").alias("asker"))
+            .agg(F.collect_list(F.struct("chunk", "grp", "n", "bits")).alias("answer")))
 
 
 def with_answers(chunks: DataFrame, *rounds: DataFrame) -> DataFrame:
     """Chunk rows with the answers of earlier passes (answer_0, answer_1, ...)."""
     for k, found in enumerate(rounds):
-        chunks = chunks.join(found.withColumnRenamed("answer", f"answer_{k}"), "key", "left")
+        mine = found.select(F.col("key").alias("_key"), "asker", F.col("answer").alias(f"answer_{k}"))
+        # the chunk is compared within the join on the bucket key, which needs no exchange of the chunks
+        same = (F.col("key") == F.col("_key")) & (F.col("chunk") - F.col("asker") == 0)
+        chunks = chunks.join(mine, same, "left").drop("_key", "asker")
     return chunks
 
 
