@@ -15,13 +15,13 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..functions.params import param_frame
 from ..operators import checks, daily, diagnosis, payload, prepare, profile, search, sessions, sketches, templates
-from ..session import ensure_checkpoint_dir, prefer_rocksdb_state, scratch_path
+from ..session import prefer_rocksdb_state, scratch_path
 from ..sources.adapter import campaigns_from_events, conversations_from_driver, logs_from_events
 from ..sources.readers import (read_campaigns_array, read_campaigns_json, read_conversations_array, read_logs_csv,
-                               read_logs_csv_split)
+                               read_logs_csv_split, read_processed)
 from ..sources import sorted_export
-from ..sources.staging import path_exists, stage_key, staged_tables
-from ..sources.writers import export_csv, export_json_array, export_json_lines, read_alerts, write_alerts
+from ..sources.staging import staged_tables
+from ..sources.writers import export_csv, export_json_array, export_json_lines, read_alerts, write_alerts, write_processed
 from ..streaming.alerts import error_windows, run_error_alert_sweep, sweep_error_counts
 from ..streaming.dedup import first_deliveries, sweep_deliveries
 from ..streaming import late
@@ -65,21 +65,13 @@ def load_logs(spark, sf_dir):
     return _t(spark, sf_dir)[2]
 
 
-def _export_once(spark, sf_dir, name, write) -> str:
-    """Export path keyed by the inputs' signature; written only when missing
-    (an interrupted export has no _SUCCESS marker and is redone)."""
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/sendscope/exports/{stage_key(spark, sf_dir)}/{name}"
-    if not path_exists(spark, f"{path}/_SUCCESS"):
-        write(path)
-    return path
-
-
 @register("roundtrip_campaigns_json")
 def roundtrip_campaigns_json(spark, sf_dir):
     """S1+S5: the whole campaign base exported as JSON lines and read back with
     the fixed schema (ids stay strings, timestamps keep microseconds)."""
     camp = _t(spark, sf_dir)[0]
-    path = _export_once(spark, sf_dir, "campaigns_json", lambda p: export_json_lines(camp, p))
+    path = scratch_path(spark, "campaigns_json")
+    export_json_lines(camp, path)
     return read_campaigns_json(spark, path, multi_line=False)
 
 
@@ -90,10 +82,20 @@ def roundtrip_logs_csv(spark, sf_dir):
     logs = _t(spark, sf_dir)[2]
     raw = logs.select("timestamp", "insertId", F.col("resource_type").alias("resource.type"),
                       F.col("message").alias("jsonPayload.message"))
-    path = _export_once(spark, sf_dir, "logs_csv", lambda p: export_csv(raw, p))
+    path = scratch_path(spark, "logs_csv")
+    export_csv(raw, path)
     return read_logs_csv(spark, path)
 
 
+@register("roundtrip_processed")
+def roundtrip_processed(spark, sf_dir):
+    """S4+S5: the campaigns written as a processed table and read again."""
+    camp = _t(spark, sf_dir)[0]
+    path = scratch_path(spark, "processed")
+    write_processed(camp, path, "publish_time", ["session_id", "message_id"])
+    return read_processed(spark, path).select(*camp.columns)
+
+
 @register("roundtrip_campaigns_array")
 def roundtrip_campaigns_array(spark, sf_dir):
     """S1 in the form of one JSON array a file, each file read by many tasks."""

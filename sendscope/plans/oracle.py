@@ -496,3 +496,5 @@ SELECT e.name AS expected_template, t.template AS similar_template, CAST(levensh
 FROM e, t WHERE abs(length(t.template) - length(e.name)) <= {P.MANY_EDITS}
   AND levenshtein(t.template, e.name) BETWEEN 1 AND {P.MANY_EDITS}
 QUALIFY ROW_NUMBER() OVER (PARTITION BY e.name ORDER BY distance, t.template) = 1"""
+
+ORACLE_SQL["roundtrip_processed"] = _with() + "SELECT * FROM camp"
