@@ -16,31 +16,39 @@ from sendscope.session import scratch_path
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents whose language can't be told (no text, or no letter)."""
+    """Drop documents whose language can't be told (no text, or no letter), and
+    give those without a ``lang`` the predicted one."""
     held_out = F.coalesce(fold(F.col("doc_id"), 4) == 2, F.lit(False))
     model = language.fit(docs.select(F.col("doc_id").cast("long"), "text", "lang"), F.col("doc_id").isNotNull() & ~held_out)
     plain = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("text"))
     found = language.identify(plain, model, ["row"]).where(F.col("lang_pred") != language.UNDETERMINED)
-    return found.select("row.*")
+    lang = F.coalesce(F.col("row.lang").cast("string"), F.col("lang_pred"))
+    return found.select(F.col("row").withField("lang", lang).alias("row")).select("row.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each group of near duplicates."""
+    """Keep one document of each group of near duplicates: the one with the
+    smallest id, null ids last, ties by the text's hash. Null and empty texts are
+    one group."""
     return simhash.one_of_each(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cut windows of words out of texts that a document with a smaller id has."""
+    """Cut windows of words out of texts that a document with a smaller id has (a
+    null id is the largest); rows stay, a null text becomes an empty one."""
     return substring.deduplicated(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents at the rates that meet the domains' target weights."""
+    """Take documents as often as the rates that meet the domains' target weights
+    say: those of the largest domain once, of a scarce one more often. Repeated
+    rows and rows without an id are dealt each by itself; null texts have no tokens."""
     return mixing.mixed(docs, spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pack the documents that are left into sequences of 1024 tokens."""
+    """Pack the documents that are left into sequences of 1024 tokens; a null text
+    is an empty one, repeated rows are packed each."""
     return packing.pack(docs)
 
 

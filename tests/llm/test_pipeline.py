@@ -73,3 +73,12 @@ def test_stages_keep_columns_named_like_their_own(spark, tmp_path):
 
 def test_run(spark):
     assert P.run(spark, SF).count() > 150
+
+
+def test_language_stage_fills_what_is_missing(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    cut = docs.withColumn("lang", F.when(F.col("doc_id") % 4 > 0, F.col("lang")))
+    got = {r["doc_id"]: r["lang"] for r in P.language_id(spark, cut, SF).collect()}
+    want = {r["doc_id"]: r["lang"] for r in docs.collect()}
+    assert all(got[i] is not None for i in got)
+    assert sum(got[i] == want[i] for i in got) >= 0.97 * len(got)
