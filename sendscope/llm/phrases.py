@@ -38,7 +38,7 @@ ABSORBED = 50
 #: Bytes of text counted together in a task, and bits of the union's bitmap.
 CHUNK_BYTES, BITMAP_BITS = 4 << 20, 26
 #: Bytes of text per group of hashes, and bounds of the groups' number as a power of two.
-GROUP_BYTES, GROUP_BITS = 16 << 20, (4, 20)
+GROUP_BYTES, GROUP_BITS = 8 << 20, (4, 20)
 UNDETERMINED = "und"
 
 # A-Z in lower case; characters that end a piece become a line feed, tabs a
@@ -138,9 +138,9 @@ def mine(docs: DataFrame, support: int = SUPPORT, shards: int = SHARDS, bits: in
     A shard is every ``shards``-th input partition, so a local support of
     ``support / shards`` (rounded up) in each is reached by every phrase that
     reaches ``support`` in all, however unequal the shards are. Chunks send each
-    distinct phrase once, packed by the top bits of the hashes; a group of
-    these counts its share of all shards and gives its part of the bitmap. The
-    number of groups grows with the text.
+    distinct phrase once, packed by the top bits of the hashes, of which 32 bits
+    more are sent; a group of these counts its share of all shards and gives its
+    part of the bitmap. The number of groups grows with the text.
     """
     size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
     top = int(np.clip((size // GROUP_BYTES).bit_length(), *GROUP_BITS))
@@ -151,11 +151,14 @@ def mine(docs: DataFrame, support: int = SUPPORT, shards: int = SHARDS, bits: in
             hashes = chunk.hashes()
             found = [(chunk.hashed(hashes, first, size, lang), counts) for size, first, lang, counts in chunk.phrases()]
             h, c = (np.concatenate(v) for v in zip(*found))
+            more = (c - 1) // 255  # a count over 255 is several entries
+            h, c = np.concatenate([np.repeat(h, more), h]), np.concatenate([np.full(int(more.sum()), 255), c - 255 * more])
             order = np.argsort(h)
-            h, c = h[order], c[order]
+            h, c = h[order], c[order].astype(np.uint8)
+            rest = (h << U(top) >> U(32)).astype("<u4")
             cuts = np.searchsorted(h >> U(64 - top), np.arange((1 << top) + 1).astype(np.uint64))
             some = np.flatnonzero(cuts[1:] > cuts[:-1])
-            packed = [[v[cuts[g]: cuts[g + 1]].tobytes() for g in some.tolist()] for v in (h.astype("<u8"), c.astype("<u4"))]
+            packed = [[v[cuts[g]: cuts[g + 1]].tobytes() for g in some.tolist()] for v in (rest, c)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(some.astype(np.int32)), pa.array(np.full(len(some), shard, np.int32)),
                  *(pa.array(v, pa.binary()) for v in packed)], ["grp", "shard", "hashes", "counts"])
@@ -165,13 +168,13 @@ def mine(docs: DataFrame, support: int = SUPPORT, shards: int = SHARDS, bits: in
         part = np.zeros(1 << (bits - top), bool)
         for shard in np.unique(of):
             mine = table.filter(pa.array(of == shard))
-            h = np.frombuffer(b"".join(mine.column("hashes").to_pylist()), "<u8")
-            c = np.frombuffer(b"".join(mine.column("counts").to_pylist()), "<u4")
+            h = np.frombuffer(b"".join(mine.column("hashes").to_pylist()), "<u4")
+            c = np.frombuffer(b"".join(mine.column("counts").to_pylist()), np.uint8)
             order = np.argsort(h)
             h = h[order]
             begin = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
             often = h[begin][np.add.reduceat(c[order].astype(np.int64), begin) >= -(-support // shards)]
-            part[((often << U(top)) >> U(64 - bits + top)).astype(np.int64)] = True
+            part[often >> np.uint32(32 - bits + top)] = True
         return pa.table({"grp": pa.array([group], pa.int32()), "part": pa.array([np.packbits(part, bitorder="little").tobytes()], pa.binary())})
 
     sent = _plain(docs).mapInArrow(local, "grp int, shard int, hashes binary, counts binary")
@@ -224,8 +227,9 @@ def score(counts: DataFrame, support: int = SUPPORT, absorbed: int = ABSORBED) -
                                        F.struct(F.lit("r").alias("side"), F.array_join(F.slice("w", F.col("k") + 1, F.col("size")), " ").alias("part")))).alias("s"))
              .select("lang", "phrase", "a", "size", "k", "s.*"))
     # a common word is part of a share of all phrases: both sides are dealt out
-    salted = sides.withColumn("salt", F.pmod(F.xxhash64("phrase"), F.lit(_SALTS)).cast("int"))
-    copies = parts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    word = F.instr("part", " ") == 0
+    salted = sides.withColumn("salt", F.when(word, F.pmod(F.xxhash64("phrase"), F.lit(_SALTS))).otherwise(0).cast("int"))
+    copies = parts.withColumn("salt", F.explode(F.when(word, F.sequence(F.lit(0), F.lit(_SALTS - 1))).otherwise(F.array(F.lit(0)))))
     met = salted.join(copies, ["lang", "part", "salt"])
     # a longer phrase's part of two words or more may give way to it
     # (a part of a candidate of three words is one of its two sides)
@@ -254,11 +258,12 @@ def best(scored: DataFrame, limit: int = 2000) -> DataFrame:
     """
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
     n = int(scored.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    salted = scored.withColumn("salt", F.pmod(F.xxhash64("phrase"), F.lit(n)))
-    some = (salted.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*order)))
-            .where(F.col("rank") <= limit).drop("rank", "salt"))
-    return (some.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long"))
-            .where(F.col("rank") <= limit).select("lang", "rank", "phrase", "a", "l", "r", "n", "score"))
+    some = scored
+    for parts in (n, 4, 1):
+        some = some.withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(parts)))
+        first = F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order)).cast("long")
+        some = some.withColumn("rank", first).where(F.col("rank") <= limit).drop("part")
+    return some.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 
 def collocations(docs: DataFrame, support: int = SUPPORT, limit: int = 2000, shards: int = SHARDS) -> DataFrame:
