@@ -36,7 +36,9 @@ SHORTEST, LONGEST = 2, 3
 #: A phrase gives way to a longer one with this share (in hundredths) of its count.
 ABSORBED = 50
 #: Bytes of text counted together in a task, and bits of the union's bitmap.
-CHUNK_BYTES, BITMAP_BITS = 4 << 20, 26
+CHUNK_BYTES, BITMAP_BITS = 2 << 20, 26
+#: Rows of a batch that a task hands over.
+BATCH_ROWS = 1 << 15
 #: Bytes of text per group of hashes, and bounds of the groups' number as a power of two.
 GROUP_BYTES, GROUP_BITS = 8 << 20, (4, 20)
 UNDETERMINED = "und"
@@ -205,7 +207,9 @@ def count_all(docs: DataFrame, union: np.ndarray, bits: int = BITMAP_BITS) -> Da
                 bit = (chunk.hashed(hashes, first, size, lang) >> U(64 - bits)).astype(np.int64)
                 hit = np.flatnonzero(held[bit >> 3] >> (bit & 7) & 1)
                 words = [[chunk.vocabulary[w] for w in chunk.words[first[hit] + k].tolist()] for k in range(size)]
-                yield rows(chunk, size, [b" ".join(w).decode("utf-8") for w in zip(*words)], lang[hit], counts[hit])
+                found = rows(chunk, size, [b" ".join(w).decode("utf-8") for w in zip(*words)], lang[hit], counts[hit])
+                for i in range(0, found.num_rows, BATCH_ROWS):
+                    yield found.slice(i, BATCH_ROWS)
 
     return (_plain(docs).mapInArrow(exact, "lang string, size int, phrase string, c long")
             .groupBy("lang", "size", "phrase").agg(F.sum("c").alias("f")))
