@@ -217,9 +217,8 @@ def count_all(docs: DataFrame, union: np.ndarray, bits: int = BITMAP_BITS) -> Da
 
 def score(counts: DataFrame, support: int = SUPPORT, absorbed: int = ABSORBED) -> DataFrame:
     """The frequent phrases of two words or more with their lowest-scoring cut:
-    lang, phrase, a, l, r, n and score; phrases that a longer one absorbs are
+    lang, phrase, a, l, r and score; phrases that a longer one absorbs are
     left out. Products are decimals of 38 digits, so no step overflows."""
-    n = counts.where("size = 0").select("lang", F.col("f").alias("n"))
     # every part of a frequent phrase is as frequent, so its count is at hand
     parts = (counts.where((F.col("size") > 0) & (F.col("f") >= support))
              .select("lang", F.col("phrase").alias("part"), F.col("f").alias("part_f")))
@@ -246,8 +245,8 @@ def score(counts: DataFrame, support: int = SUPPORT, absorbed: int = ABSORBED) -
                  F.max(F.when(F.col("side") == "r", F.col("part_f"))).alias("r"))
             .withColumn("score", ratio)
             .groupBy("lang", "phrase", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("cut")))
-    return (cuts.join(gone, ["lang", "phrase"], "left_anti").join(n, "lang")
-            .select("lang", "phrase", "a", "cut.l", "cut.r", "n", "cut.score"))
+    return (cuts.join(gone, ["lang", "phrase"], "left_anti")
+            .select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score"))
 
 
 _SALTS = 8
@@ -267,7 +266,7 @@ def best(scored: DataFrame, limit: int = 2000) -> DataFrame:
         some = some.withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(parts)))
         first = F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order)).cast("long")
         some = some.withColumn("rank", first).where(F.col("rank") <= limit).drop("part")
-    return some.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    return some.select("lang", "rank", "phrase", "a", "l", "r", "score")
 
 
 def collocations(docs: DataFrame, support: int = SUPPORT, limit: int = 2000, shards: int = SHARDS) -> DataFrame:
@@ -280,4 +279,6 @@ def collocations(docs: DataFrame, support: int = SUPPORT, limit: int = 2000, sha
     count, then to the phrase that comes first in the order of UTF-8 bytes.
     """
     counts = checkpoint(count_all(docs, mine(docs, support, shards)).where((F.col("size") == 0) | (F.col("f") >= support)))
-    return best(score(counts, support), limit)
+    # the languages' words meet the ranked phrases only, ``limit`` a language at most
+    n = counts.where("size = 0").select("lang", F.col("f").alias("n"))
+    return best(score(counts, support), limit).join(n, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
