@@ -106,7 +106,7 @@ def roundtrip_campaigns_array(spark, sf_dir):
 
 @register("roundtrip_conversations_array")
 def roundtrip_conversations_array(spark, sf_dir):
-    """S2 in the form of one JSON array."""
+    """S2 in the form of one JSON array (beyond 1 GB several)."""
     path = scratch_path(spark, "conversations_array")
     export_json_array(_t(spark, sf_dir)[1], path)
     return read_conversations_array(spark, path)

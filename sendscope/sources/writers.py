@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -53,15 +53,40 @@ def export_json_lines(df: DataFrame, path: str, mode: str = "overwrite") -> None
        .json(path))
 
 
+#: Bytes of an array file, beyond which the rows are dealt over more files.
+ARRAY_BYTES = 1 << 30
+
+
 def export_json_array(df: DataFrame, path: str, files: int = 1, mode: str = "overwrite") -> None:
-    """``files`` files of one JSON array each, in folders ``k=0``, ``k=1``, ..."""
+    """Files of one JSON array each: ``files``, or doubled as often as it takes
+    for a file to hold about ``ARRAY_BYTES`` or less.
+
+    A task writes a file's rows as they come, sorting and holding none: the
+    number of rows of each file is known beforehand, so the first row opens the
+    array and the last one closes it in whatever order they come. ``df`` is read
+    twice for it; one that gives other rows the second time is an error.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
     cells = F.to_json(F.struct(*(F.col(f"`{c}`") for c in df.columns)),
                       {"timestampNTZFormat": JSON_TIME_FORMAT, "ignoreNullFields": "false"})
-    rows = df.select(cells.alias("value")).withColumn("h", F.xxhash64("value")).withColumn("k", F.pmod("h", F.lit(files)))
-    order = Window.partitionBy("k").orderBy("h")
-    before = F.when(F.row_number().over(order) == 1, F.lit("[")).otherwise(F.lit(","))
-    after = F.when(F.lead("h").over(order).isNull(), F.lit("]")).otherwise(F.lit(""))
-    rows.select("k", F.concat(before, "value", after).alias("value")).write.mode(mode).partitionBy("k").text(path)
+    most = files << 10
+    rows = df.select(cells.alias("value")).withColumn("k", F.pmod(F.xxhash64("value"), F.lit(most)))
+    sizes = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("value")).alias("size")).checkpoint(eager=True)
+    n_rows, total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("size"), F.lit(0))).first()
+    while files < most and total > files * ARRAY_BYTES:
+        files *= 2
+    file = (F.col("k") % files).cast("int").alias("k")
+    counts = sizes.groupBy(file).agg(F.sum("n").alias("n"))
+    dealt = rows.select("value", file).repartitionById(files, "k")  # a task a file
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))  # of the row in its task
+    before = F.when(F.col("place") == 0, F.lit("[")).otherwise(F.lit(","))
+    after = F.when(F.col("place") == F.col("n") - 1, F.lit("]")).otherwise(F.lit(""))
+    written = Observation()
+    (dealt.join(F.broadcast(counts), "k").withColumn("place", place)
+          .observe(written, F.count(F.lit(1)).alias("n"), F.max(F.col("place") >= F.col("n")).alias("more"))
+          .select(F.concat(before, "value", after).alias("value")).write.mode(mode).text(path))
+    if written.get["n"] != n_rows or written.get["more"]:
+        raise ValueError("the rows of the export changed while it was written")
 
 
 def write_alerts(alerts: DataFrame, path: str, run_date, run_id: str = "checks") -> None:

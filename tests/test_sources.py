@@ -1,5 +1,6 @@
 import datetime as dt
 import json
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -143,6 +144,73 @@ def test_array_files_in_small_ranges_equal_the_whole_file_reader(spark, tmp_path
             spark.conf.set(k, v)
 
 
+def test_array_export_sorts_nothing_and_deals_rows_over_more_files(spark, tmp_path, monkeypatch):
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    from sendscope.sources import writers
+    plans, text = [], DataFrameWriter.text
+
+    def noted(self, *args, **kwargs):
+        plans.append(self._df._jdf.queryExecution().sparkPlan().toString())
+        return text(self, *args, **kwargs)
+
+    monkeypatch.setattr(DataFrameWriter, "text", noted)
+    rows = [(f"s{i % 90}", None if i % 7 == 0 else f'a "q" }}{{ {i % 40}') for i in range(500)] + [("copy", "x")] * 300 + [(None, None)] * 3
+    df = spark.createDataFrame(rows, "session_id string, message_id string").repartition(5, "session_id")
+
+    def arrays(name):
+        files = [json.loads(f.read_text()) for f in sorted((tmp_path / name).rglob("*.txt"))]
+        assert all(files)
+        return files
+
+    for name, files, size in [("one", 1, 1 << 30), ("three", 3, 1 << 30), ("more", 2, 5000)]:
+        monkeypatch.setattr(writers, "ARRAY_BYTES", size, raising=False)
+        writers.export_json_array(df, str(tmp_path / name), files)
+        found = arrays(name)
+        assert len(found) == files if size > 5000 else len(found) > 4
+        assert sorted(repr((r["session_id"], r["message_id"])) for f in found for r in f) == sorted(map(repr, rows))
+    writers.export_json_array(df.limit(0), str(tmp_path / "none"), 2)
+    from sendscope.sources.readers import read_campaigns_array
+    assert read_campaigns_array(spark, str(tmp_path / "none")).collect() == []
+    assert len(plans) == 4 and not any(word in plan for plan in plans for word in ("Sort", "Window"))
+
+
+def test_array_export_of_changing_rows_is_refused(spark, tmp_path):
+    import random
+
+    import pytest
+
+    from sendscope.sources.writers import export_json_array
+    drawn = F.udf(lambda: str(random.SystemRandom().random())).asNondeterministic()
+    with pytest.raises(ValueError):
+        export_json_array(spark.range(2000).select(drawn().alias("session_id")), str(tmp_path / "a"), 3)
+
+
+def test_fragments_of_a_range_are_summed_up_by_several_tasks(spark, tmp_path, monkeypatch):
+    from sendscope.sources import split
+    from sendscope.sources.readers import read_campaigns_array, read_campaigns_json
+    path = str(tmp_path / "a.json")
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump(_odd_objects(3, 3000), f)
+    for name, value in [("BLOCK_BITS", 6), ("TASK_ROWS", 500), ("TASK_BYTES", 20_000)]:
+        monkeypatch.setattr(split, name, value)
+    rows = split._fragments(spark, path, "}").withColumn("one", F.lit(1))
+    assert rows.select("file", "start").distinct().count() == 1
+    tasks = split._tasks(rows.withColumn("size", F.octet_length("value")))
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # this small a table would be one task's
+    try:
+        got = split._running(rows, "one", "before", tasks).select("before", F.spark_partition_id().alias("task")).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    held = Counter(r.task for r in got)
+    assert len(got) > 3000 and max(held.values()) < len(got) / 3
+    assert sorted(r.before for r in got) == list(range(len(got)))
+    cols = ["session_id", "message_id", "template", "attributes", "publish_time"]
+    want = read_campaigns_json(spark, path).select(cols)
+    assert sorted(map(repr, read_campaigns_array(spark, path).select(cols).collect())) == sorted(map(repr, want.collect()))
+
+
 def test_csv_in_small_ranges_equals_the_whole_file_reader(spark, tmp_path):
     import csv
 
